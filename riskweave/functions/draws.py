@@ -1,0 +1,114 @@
+"""Keyed random draws as column expressions.
+
+A draw depends on a seed, a stream name and the row's key only: not on partitioning, row
+order or the number of tasks. Lost tasks give the same rows again.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Mapping, Sequence
+from itertools import accumulate
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from riskweave import fixed_values as V
+
+
+class Draws:
+    """Uniform numbers in [0, 1) for one key column. Four come out of each hash."""
+
+    def __init__(self, table: str, key: Column, seed: int = V.SEED):
+        self._table, self._key, self._seed = table, key.cast("string"), seed
+
+    def uniform(self, number: int) -> Column:
+        text = F.md5(F.concat(F.lit(f"{self._seed}:{self._table}{number // 4}:"), self._key))
+        digits = F.substring(text, 8 * (number % 4) + 1, 8)
+        return F.conv(digits, 16, 10).cast("double") / 4294967296.0
+
+
+def weighted(u: Column, weights: Mapping[str, float]) -> Column:
+    """A value with probability proportional to its weight."""
+    total = sum(weights.values())
+    names = list(weights)
+    ends = [end / total for end in accumulate(weights.values())]
+    chain = F.when(u < ends[0], names[0])
+    for name, end in zip(names[1:-1], ends[1:-1]):
+        chain = chain.when(u < end, name)
+    return chain.otherwise(names[-1])
+
+
+def one_of(u: Column, values: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.floor(u * len(values)).cast("int") + 1)
+
+
+def one_of_by(u: Column, by: Column, lists: Mapping[str, Sequence[str]]) -> Column:
+    """A value from the list that belongs to another column's value."""
+    chain = None
+    for name, values in lists.items():
+        chosen = one_of(u, values)
+        chain = F.when(by == name, chosen) if chain is None else chain.when(by == name, chosen)
+    return chain
+
+
+def whole(u: Column, low, high) -> Column:
+    """A whole number from low to high, high excluded."""
+    return (low + F.floor(u * (high - low))).cast("long")
+
+
+def real(u: Column, low, high) -> Column:
+    return low + u * (high - low)
+
+
+def by_severity(severity: Column, ranges: Mapping[str, tuple], end: int) -> Column:
+    chain = None
+    for name, bounds in ranges.items():
+        value = F.lit(bounds[end])
+        chain = F.when(severity == name, value) if chain is None else chain.when(severity == name, value)
+    return chain
+
+
+def gamma_two(u1: Column, u2: Column, scale: float) -> Column:
+    """Gamma with shape 2: a sum of two exponentials."""
+    return -scale * F.log((1 - u1) * (1 - u2))
+
+
+def beta_whole(uniforms: Sequence[Column], a: int) -> Column:
+    """Beta(a, len(uniforms) + 1 - a): the a-th smallest of the uniforms."""
+    return F.element_at(F.array_sort(F.array(*uniforms)), a)
+
+
+def poisson_table(mean: float, spread: int = 12) -> list[float]:
+    """Cumulative probabilities for 0, 1, 2, ... up to far in the tail."""
+    last = math.ceil(mean + spread * math.sqrt(mean))
+    return list(accumulate(math.exp(-mean + n * math.log(mean) - math.lgamma(n + 1)) for n in range(last)))
+
+
+def poisson(u: Column, mean: float) -> Column:
+    table = F.array(*[F.lit(p) for p in poisson_table(mean)])
+    return F.size(F.filter(table, lambda p: p <= u))
+
+
+def ipv4(a: Column, b: Column, c: Column, d: Column) -> Column:
+    return F.concat_ws(".", whole(a, 1, 224).cast("string"), whole(b, 0, 256).cast("string"),
+                       whole(c, 0, 256).cast("string"), whole(d, 1, 255).cast("string"))
+
+
+def month_starts() -> list[tuple[int, int]]:
+    first, last = V.FIRST_DATE.split("-"), V.LAST_DATE.split("-")
+    start, end = int(first[0]) * 12 + int(first[1]) - 1, int(last[0]) * 12 + int(last[1]) - 1
+    return [(m // 12, m % 12 + 1) for m in range(start, end + 1)]
+
+
+def seasonal_date(u_month: Column, u_day: Column, spike: float) -> Column:
+    """A date whose month is drawn with spike months weighted up, the day evenly."""
+    weights = {f"{y}-{m:02d}-01": (spike if m in V.SPIKE_MONTHS else 1.0) for y, m in month_starts()}
+    month = weighted(u_month, weights).cast("date")
+    days = F.dayofmonth(F.last_day(month))
+    return F.date_add(month, F.floor(u_day * days).cast("int"))
+
+
+def even_date(u: Column) -> Column:
+    span = F.datediff(F.lit(V.LAST_DATE).cast("date"), F.lit(V.FIRST_DATE).cast("date")) + 1
+    return F.date_add(F.lit(V.FIRST_DATE).cast("date"), F.floor(u * span).cast("int"))

@@ -1,0 +1,143 @@
+"""The domain tables filled from keyed draws.
+
+Each function takes a DataFrame of keys and adds drawn columns, so a table of any length
+is filled in place and in parallel. Only claims look up their provider.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from riskweave import fixed_values as V
+from riskweave.functions import draws as D
+from riskweave.functions import risk
+from riskweave.functions.scalars import at_second, clamp, padded_id, rounded
+
+
+def fill_providers(keys: DataFrame, key: str = "provider_id") -> DataFrame:
+    u = D.Draws("provider", F.col(key)).uniform
+    provider_type, region = F.col("provider_type"), F.col("region")
+    macau = F.when(region.isin(*V.MACAU_DISTRICTS), D.real(u(5), 10.0, 25.0)).otherwise(0.0)
+    risky = F.when(provider_type.isin(*V.RISKY_PROVIDER_TYPES), D.real(u(6), 8.0, 20.0)).otherwise(0.0)
+    base = D.beta_whole([u(n) for n in range(12, 28)], 2) * 100
+    typed = keys.select(key).withColumns({
+        "provider_type": D.weighted(u(0), V.PROVIDER_TYPES),
+        "region": D.weighted(u(1), dict(zip(V.DISTRICTS, V.DISTRICT_WEIGHTS))),
+    })
+    named = typed.withColumns({
+        "provider_name": F.concat_ws(" ", D.one_of(u(2), V.PROVIDER_NAME_PREFIXES),
+                                     D.one_of_by(u(3), provider_type, V.PROVIDER_NAME_SUFFIXES)),
+        "license_years": D.whole(u(4), 1, 36),
+        "total_claims_handled": clamp(D.poisson(u(7), 80.0), 5, 500).cast("long"),
+        "flagged_claims_pct": clamp(rounded(base + macau + risky, 1), 0.0, 80.0),
+        "is_active": u(8) < V.ACTIVE_PROBABILITY,
+    })
+    return named.withColumn("risk_tier", risk.provider_tier(F.col("flagged_claims_pct")))
+
+
+def _indicators(u, flagged: Column) -> Column:
+    """One to three different indicators in random order."""
+    drawn = F.array(*[F.struct(u(20 + i).alias("order"), F.lit(name).alias("name"))
+                      for i, name in enumerate(V.FRAUD_INDICATORS)])
+    names = F.transform(F.array_sort(drawn), lambda d: d["name"])
+    return F.when(flagged, F.array_join(F.slice(names, F.lit(1), D.whole(u(19), 1, 4).cast("int")), ", "))
+
+
+def fill_claims(keys: DataFrame, providers: DataFrame, key: str) -> DataFrame:
+    """Claims for the given keys. ``providers`` has provider_id from 0 without gaps, with
+    region, provider_type and flagged_claims_pct."""
+    u = D.Draws("claim", F.col(key)).uniform
+    count = providers.agg(F.count("*")).scalar()
+    drawn = keys.select(key).withColumns({
+        "claim_id": F.col(key) + 100_000,
+        "policyholder_id": D.whole(u(0), 200_000, 202_000),
+        "provider_id": F.floor(u(1) * count).cast("long"),
+        "claim_type": D.weighted(u(2), V.CLAIM_TYPES),
+        "claim_date": D.even_date(u(3)),
+        "claim_amount_hkd": clamp(rounded(D.gamma_two(u(4), u(5), 12_000.0), 2), 500.0, 2_000_000.0),
+        "status": D.weighted(u(6), V.CLAIM_STATUSES),
+        "submission_channel": D.weighted(u(7), V.CHANNELS),
+        "processing_days": clamp(rounded(D.gamma_two(u(8), u(9), 5.0), 0), 1.0, 90.0).cast("long"),
+    })
+    known = providers.select("provider_id", "region", "provider_type", "flagged_claims_pct")
+    chance = risk.flag_probability(F.col("region"), F.col("provider_type"), F.col("claim_amount_hkd"))
+    flagged = drawn.join(known, "provider_id").withColumn("is_flagged", u(10) < chance)
+    return flagged.withColumn("fraud_indicators", _indicators(u, F.col("is_flagged")))\
+        .withColumnRenamed("flagged_claims_pct", "provider_risk_pct").drop("region", "provider_type")
+
+
+def fill_scores(claims: DataFrame, key: str) -> DataFrame:
+    """The score row of each claim."""
+    u = D.Draws("score", F.col(key)).uniform
+    flagged = F.col("is_flagged")
+    plain = D.beta_whole([u(n) for n in range(12, 21)], 2)
+    raised = D.beta_whole([u(n) for n in range(12, 20)], 6)
+    score = rounded(clamp(F.when(flagged, raised).otherwise(plain) * 100, 0.0, 100.0), 1)
+    return claims.select(
+        "claim_id",
+        score.alias("fraud_score"),
+        risk.risk_category(score).alias("risk_category"),
+        D.weighted(u(0), V.MODEL_VERSIONS).alias("model_version"),
+        F.date_add("claim_date", D.whole(u(1), 1, 6).cast("int")).alias("score_date"),
+        F.when(flagged, D.weighted(u(2), V.OUTCOMES_WHEN_FLAGGED))
+        .when(u(2) < 0.05, "cleared").alias("investigation_outcome"),
+        risk.estimated_loss(flagged, F.col("claim_amount_hkd"), D.real(u(3), 0.5, 1.0)).alias("estimated_loss_hkd"),
+        "provider_risk_pct")
+
+
+def fill_incidents(keys: DataFrame, key: str) -> DataFrame:
+    """Incidents for the given keys, which count from 0."""
+    u = D.Draws("incident", F.col(key)).uniform
+    severity = F.col("severity")
+
+    def drawn(ranges, number):
+        return D.whole(u(number), D.by_severity(severity, ranges, 0), D.by_severity(severity, ranges, 1))
+
+    hours = D.real(u(9), D.by_severity(severity, V.RESPONSE_HOURS, 0), D.by_severity(severity, V.RESPONSE_HOURS, 1))
+    typed = keys.select(key).withColumns({
+        "incident_type": D.weighted(u(0), V.INCIDENT_TYPES),
+        "severity": D.weighted(u(1), V.INCIDENT_SEVERITIES),
+    })
+    measured = typed.withColumns({
+        "response_time_hours": rounded(hours, 2),
+        "impact_score": drawn(V.IMPACT_SCORES, 10),
+        "affected_records": drawn(V.AFFECTED_RECORDS, 11),
+        "data_breach": u(14) < risk.breach_probability(F.col("incident_type")),
+    })
+    return measured.withColumns({
+        "incident_id": padded_id("INC", 6, F.col(key) + 1),
+        "incident_date": D.seasonal_date(u(2), u(3), 1.8),
+        "source_country": D.weighted(u(4), V.SOURCE_COUNTRIES),
+        "target_system": D.one_of(u(5), V.TARGET_SYSTEMS),
+        "detection_method": D.weighted(u(6), V.DETECTION_METHODS),
+        "status": D.weighted(u(7), V.INCIDENT_STATUSES),
+        "assigned_analyst": D.one_of(u(8), V.ANALYSTS),
+        "financial_impact_usd": rounded(F.col("affected_records") * D.real(u(12), 5.0, 50.0), 2),
+        "resolution_time_hours": rounded(F.col("response_time_hours") * D.real(u(13), 1.5, 5.0), 2),
+        "regulatory_report_required": risk.report_required(F.col("data_breach"), severity, u(15)),
+        "source_ip": D.ipv4(u(16), u(17), u(18), u(19)),
+    })
+
+
+def fill_alerts(keys: DataFrame, incident_count: Column, key: str) -> DataFrame:
+    """Alerts for the given keys; three in ten link to one of the incidents."""
+    u = D.Draws("alert", F.col(key)).uniform
+    day = D.seasonal_date(u(0), u(1), 1.5)
+    base = keys.select(key).withColumn("status", D.weighted(u(6), V.ALERT_STATUSES))
+    marked = base.withColumn("is_false_positive", F.col("status") == "false_positive")
+    confidence = F.when(F.col("is_false_positive"), D.real(u(8), 0.1, 0.45)).otherwise(D.real(u(8), 0.4, 0.99))
+    return marked.withColumns({
+        "alert_id": padded_id("ALT", 7, F.col(key) + 1),
+        "alert_timestamp": at_second(day, D.whole(u(2), 0, 86_400)),
+        "source_system": D.weighted(u(3), V.ALERT_SOURCES),
+        "alert_type": D.weighted(u(4), V.ALERT_TYPES),
+        "severity": D.weighted(u(5), V.ALERT_SEVERITIES),
+        "source_ip": D.ipv4(u(12), u(13), u(14), u(15)),
+        "target_system": D.one_of(u(7), V.TARGET_SYSTEMS),
+        "linked_incident_id": F.when(
+            u(9) < 0.3, padded_id("INC", 6, F.floor(u(10) * incident_count).cast("long") + 1)),
+        "confidence_score": rounded(confidence, 3),
+        "mitre_technique_id": D.one_of(u(11), V.MITRE_TECHNIQUES),
+        "triggered_rule": D.one_of(u(16), V.RULE_NAMES),
+    })

@@ -35,7 +35,8 @@ def _bucket(value: Column, cuts: Column, bits: int) -> Column:
 
 def _bucketed(df: DataFrame, value: str, bits: int) -> DataFrame:
     cuts = df.agg(_cut_points(F.col(value), bits)).scalar()
-    return df.withColumn("_bucket", _bucket(F.col(value), cuts, bits))
+    return df.withColumn("_cuts", cuts)\
+        .withColumn("_bucket", _bucket(F.col(value), F.col("_cuts"), bits)).drop("_cuts")
 
 
 def _bucket_starts(tagged: DataFrame, groups: Sequence[str], weight: str) -> DataFrame:

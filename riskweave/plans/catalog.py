@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from riskweave.plans import claims, security
+from riskweave.plans import claims, retrieval, scoring, security
 
-_PACKS = [claims, security]
+_PACKS = [claims, security, scoring, retrieval]
 
 
 def queries() -> dict:

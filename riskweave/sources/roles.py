@@ -170,9 +170,13 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as scoring requests. Some are out of range and must be refused."""
+    return requests_from(read_table(spark, folder, "events"))
+
+
+def requests_from(events: DataFrame) -> DataFrame:
+    """Events, a table or a stream, as scoring requests. Some must be refused."""
     k = F.get_json_object("props", "$.k").cast("long")
-    return read_table(spark, folder, "events").select(
+    return events.select(
         F.col("event_id").alias("request_id"),
         F.col("ts").alias("requested_at"),
         pick(list(V.CLAIM_TYPES), F.col("user_id") % 5).alias("claim_type"),
