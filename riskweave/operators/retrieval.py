@@ -17,6 +17,7 @@ from riskweave import fixed_values as V
 from riskweave.functions.scalars import default_text, is_blank, preview, stripped
 
 QUERIES_PER_BLOCK = 1024
+BROADCAST_ROWS = 100_000
 VECTOR_SIZE = 1024
 SCORE_DIGITS = 9
 
@@ -106,6 +107,24 @@ def _scan_for(query_ids: list, matrix: np.ndarray, k: int, key_type: pa.DataType
     return scan
 
 
+def _unit_rows(rows: list) -> np.ndarray:
+    matrix = np.array([r[1] for r in rows], dtype=np.float64)
+    lengths = np.linalg.norm(matrix, axis=1)
+    lengths[lengths == 0] = 1.0
+    return matrix / lengths[:, None]
+
+
+def _query_blocks(queries: DataFrame) -> Iterator[list]:
+    """The queries in blocks that fit a task: usually one, else by hash of their id."""
+    first = queries.limit(QUERIES_PER_BLOCK + 1).collect()
+    if len(first) <= QUERIES_PER_BLOCK:
+        yield first
+        return
+    blocks = -(-2 * queries.count() // QUERIES_PER_BLOCK)
+    for block in range(blocks):
+        yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = V.RETRIEVAL_DEPTH) -> DataFrame:
     """The k nearest vectors of every query by cosine: (query_id, key, score, rank).
 
@@ -114,30 +133,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = V.RETRIEVAL_DEPTH)
     checked; more queries than a block holds take further passes over the vectors. Equal
     scores rank by key.
     """
-    count = queries.count()
-    blocks = max(1, -(-2 * count // QUERIES_PER_BLOCK)) if count > QUERIES_PER_BLOCK else 1
-    key_name, vector_name = vectors.columns
-    schema = pa_types(vectors, queries)
-    found = None
-    for block in range(blocks):
-        part = queries
-        if blocks > 1:
-            part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = part.collect()
-        if not rows and found is not None:
-            continue
-        matrix = np.array([r[1] for r in rows], dtype=np.float64)
-        if len(rows):
-            norms = np.linalg.norm(matrix, axis=1)
-            norms[norms == 0] = 1.0
-            matrix = matrix / norms[:, None]
-        else:
-            matrix = np.zeros((0, 1))
-        scan = _scan_for([r[0] for r in rows], matrix, k, schema["key"], schema["query"])
-        block_best = vectors.select(key_name, vector_name).mapInArrow(scan, schema["ddl"])
-        found = block_best if found is None else found.unionByName(block_best)
+    return _nearest(vectors, queries, k)[0]
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """Nearest rows and the most rows there can be."""
+    types = pa_types(vectors, queries)
+    parts, asked = [], 0
+    for rows in _query_blocks(queries):
+        if rows:
+            asked += len(rows)
+            scan = _scan_for([r[0] for r in rows], _unit_rows(rows), k, types["key"], types["query"])
+            parts.append(vectors.mapInArrow(scan, types["ddl"]))
+    if not parts:
+        parts = [vectors.limit(0).mapInArrow(_scan_for([], np.zeros((0, 1)), k, types["key"], types["query"]),
+                                             types["ddl"])]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = reduce(DataFrame.unionByName, parts)\
+        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best, asked * k
 
 
 def pa_types(vectors: DataFrame, queries: DataFrame) -> dict:
@@ -148,14 +162,19 @@ def pa_types(vectors: DataFrame, queries: DataFrame) -> dict:
             "ddl": f"query_id {query}, key {key}, score double"}
 
 
-def with_chunks(found: DataFrame, chunks: DataFrame, key: str, query_count: int,
-                k: int = V.RETRIEVAL_DEPTH) -> DataFrame:
-    """Found keys with their chunk columns. The found side has at most k rows per query,
-    so it is broadcast when that product is small and the chunks then stay in place."""
-    bounded = found.withColumnRenamed("key", key)
-    if query_count * k <= 100_000:
-        bounded = F.broadcast(bounded)
-    return chunks.join(bounded, key)
+def retrieve(vectors: DataFrame, queries: DataFrame, chunks: DataFrame,
+             k: int = V.RETRIEVAL_DEPTH) -> DataFrame:
+    """Nearest vectors with the chunk columns of the same key.
+
+    The found side has at most k rows per query. While that number is small it is broadcast
+    and the chunks stay where they are; beyond it both sides are shuffled by key.
+    """
+    key = vectors.columns[0]
+    best, most_rows = _nearest(vectors, queries, k)
+    best = best.withColumnRenamed("key", key)
+    if most_rows <= BROADCAST_ROWS:
+        best = F.broadcast(best)
+    return chunks.join(best, key)
 
 
 # --- sources, context, prompts -----------------------------------------------

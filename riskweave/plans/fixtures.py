@@ -1,0 +1,254 @@
+"""Registered fixture queries: the domain tables filled for the keys of given tables."""
+
+from __future__ import annotations
+
+from itertools import accumulate
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from riskweave import fixed_values as V
+from riskweave.functions.draws import month_starts, poisson_table
+from riskweave.functions.scalars import rounded
+from riskweave.operators import fixtures, metrics, reports
+from riskweave.plans.role_sql import sql_area, sql_category, sql_flagged, sql_in, sql_list, sql_round, sql_tier
+from riskweave.plans.security import METRICS
+from riskweave.sources.tables import read_table
+
+
+def _providers(spark, folder):
+    return fixtures.fill_providers(
+        read_table(spark, folder, "supplier").select(F.col("s_suppkey").alias("provider_id")))
+
+
+def _claims(spark, folder):
+    return fixtures.fill_claims(
+        read_table(spark, folder, "orders").select("o_orderkey"), _providers(spark, folder), "o_orderkey")
+
+
+def _incidents(spark, folder):
+    return fixtures.fill_incidents(read_table(spark, folder, "orders").select("o_orderkey"), "o_orderkey")
+
+
+def _alerts(spark, folder):
+    incidents = read_table(spark, folder, "orders").agg(F.count("*")).scalar()
+    return fixtures.fill_alerts(read_table(spark, folder, "events").select("event_id"), incidents, "event_id")
+
+
+def f01_providers(spark, folder):
+    return _providers(spark, folder)
+
+
+def f02_claims(spark, folder):
+    return _claims(spark, folder).drop("o_orderkey")
+
+
+def f03_scores(spark, folder):
+    return fixtures.fill_scores(_claims(spark, folder), "o_orderkey")
+
+
+def f04_incidents(spark, folder):
+    return _incidents(spark, folder).drop("o_orderkey")
+
+
+def f05_alerts(spark, folder):
+    return _alerts(spark, folder).drop("event_id")
+
+
+def f06_drawn_fraud_by_area(spark, folder):
+    """The area report over the drawn tables."""
+    return reports.fraud_by_area(_claims(spark, folder), _providers(spark, folder))
+
+
+def f07_drawn_monthly_metrics(spark, folder):
+    """The monthly metrics over the drawn tables."""
+    return metrics.monthly_metrics(_incidents(spark, folder), _alerts(spark, folder))
+
+
+def f08_drawn_rates(spark, folder):
+    """Shares of the drawn types, for comparison with their weights."""
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    counted = _incidents(spark, folder).groupBy("incident_type").agg(F.count("*").alias("n"))
+    return counted.select("incident_type", rounded(F.col("n") / total, 4).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in [
+    f01_providers, f02_claims, f03_scores, f04_incidents, f05_alerts,
+    f06_drawn_fraud_by_area, f07_drawn_monthly_metrics, f08_drawn_rates,
+]}
+
+
+def _u(table: str, key: str, number: int) -> str:
+    digits = f"substring(md5('{V.SEED}:{table}{number // 4}:' || {key}), {8 * (number % 4) + 1}, 8)"
+    return f"(cast(cast('0x' || {digits} as bigint) as double) / 4294967296.0::double)"
+
+
+def _weighted(u: str, weights: dict) -> str:
+    total = sum(weights.values())
+    ends = [end / total for end in accumulate(weights.values())]
+    names = list(weights)
+    whens = " ".join(f"WHEN {u} < {end!r}::double THEN '{name}'" for name, end in zip(names[:-1], ends[:-1]))
+    return f"CASE {whens} ELSE '{names[-1]}' END"
+
+
+def _one_of(u: str, values) -> str:
+    return f"list_extract({sql_list(values)}, cast(floor({u} * {len(values)}) as integer) + 1)"
+
+
+def _whole(u: str, low, high) -> str:
+    return f"cast({low} + floor({u} * ({high} - {low})) as bigint)"
+
+
+def _real(u: str, low: float, high: float) -> str:
+    return f"({low}::double + {u} * ({high}::double - {low}::double))"
+
+
+def _by_severity(ranges: dict, end: int, cast: str = "") -> str:
+    return "CASE severity " + " ".join(f"WHEN '{s}' THEN {b[end]}{cast}" for s, b in ranges.items()) + " END"
+
+
+def _seasonal(u_month: str, u_day: str, spike: float) -> str:
+    weights = {f"{y}-{m:02d}-01": (spike if m in V.SPIKE_MONTHS else 1.0) for y, m in month_starts()}
+    month = f"cast({_weighted(u_month, weights)} as date)"
+    return f"{month} + cast(floor({u_day} * dayofmonth(last_day({month}))) as integer)"
+
+
+def _ip(table: str, key: str, first: int) -> str:
+    bounds = [(1, 224), (0, 256), (0, 256), (1, 255)]
+    return "concat_ws('.', " + ", ".join(
+        _whole(_u(table, key, first + i), low, high) for i, (low, high) in enumerate(bounds)) + ")"
+
+
+def _beta(table: str, key: str, numbers: range, a: int) -> str:
+    return f"list_extract(list_sort([{', '.join(_u(table, key, n) for n in numbers)}]), {a})"
+
+
+def _p(n: int) -> str:
+    return _u("provider", "provider_id", n)
+
+
+def _c(n: int) -> str:
+    return _u("claim", "o_orderkey", n)
+
+
+def _s(n: int) -> str:
+    return _u("score", "o_orderkey", n)
+
+
+def _i(n: int) -> str:
+    return _u("incident", "o_orderkey", n)
+
+
+def _a(n: int) -> str:
+    return _u("alert", "event_id", n)
+
+
+_SUFFIX = "CASE provider_type " + " ".join(
+    f"WHEN '{t}' THEN {_one_of(_p(3), names)}" for t, names in V.PROVIDER_NAME_SUFFIXES.items()) + " END"
+_POISSON = "[" + ", ".join(f"{p!r}::double" for p in poisson_table(80.0)) + "]"
+
+PROVIDERS = f"""typed_providers AS (
+    SELECT s_suppkey AS provider_id, {_weighted(_u('provider', 's_suppkey', 0), V.PROVIDER_TYPES)} AS provider_type,
+        {_weighted(_u('provider', 's_suppkey', 1), dict(zip(V.DISTRICTS, V.DISTRICT_WEIGHTS)))} AS region
+    FROM supplier),
+providers AS (
+    SELECT *, {sql_tier('flagged_claims_pct')} AS risk_tier FROM (
+        SELECT provider_id, provider_type, region,
+            concat_ws(' ', {_one_of(_p(2), V.PROVIDER_NAME_PREFIXES)}, {_SUFFIX}) AS provider_name,
+            {_whole(_p(4), 1, 36)} AS license_years,
+            cast(greatest(5, least(500, len(list_filter({_POISSON}, lambda p: p <= {_p(7)})))) as bigint) AS total_claims_handled,
+            greatest(0.0::double, least(80.0::double, {sql_round(
+                _beta('provider', 'provider_id', range(12, 28), 2) + " * 100 + CASE WHEN region IN "
+                + sql_in(V.MACAU_DISTRICTS) + " THEN " + _real(_p(5), 10.0, 25.0) + " ELSE 0 END + CASE WHEN provider_type IN "
+                + sql_in(V.RISKY_PROVIDER_TYPES) + " THEN " + _real(_p(6), 8.0, 20.0) + " ELSE 0 END", 1)})) AS flagged_claims_pct,
+            {_p(8)} < {V.ACTIVE_PROBABILITY}::double AS is_active
+        FROM typed_providers))"""
+
+_INDICATORS = "list_sort([" + ", ".join(
+    f"{{'o': {_c(20 + i)}, 'n': '{name}'}}" for i, name in enumerate(V.FRAUD_INDICATORS)) + "])"
+
+CLAIMS = f"""drawn_claims AS (
+    SELECT o_orderkey, o_orderkey + 100000 AS claim_id, {_whole(_c(0), 200_000, 202_000)} AS policyholder_id,
+        cast(floor({_c(1)} * (SELECT count(*) FROM supplier)) as bigint) AS provider_id,
+        {_weighted(_c(2), V.CLAIM_TYPES)} AS claim_type,
+        DATE '{V.FIRST_DATE}' + cast(floor({_c(3)} * (DATE '{V.LAST_DATE}' - DATE '{V.FIRST_DATE}' + 1)) as integer) AS claim_date,
+        greatest(500.0::double, least(2000000.0::double,
+            {sql_round(f"-12000.0::double * ln((1 - {_c(4)}) * (1 - {_c(5)}))", 2)})) AS claim_amount_hkd,
+        {_weighted(_c(6), V.CLAIM_STATUSES)} AS status, {_weighted(_c(7), V.CHANNELS)} AS submission_channel,
+        cast(greatest(1.0::double, least(90.0::double,
+            {sql_round(f"-5.0::double * ln((1 - {_c(8)}) * (1 - {_c(9)}))", 0)})) as bigint) AS processing_days
+    FROM orders),
+flagged_claims AS (
+    SELECT d.*, p.flagged_claims_pct AS provider_risk_pct, p.region, {_c(10)} < (
+        CASE WHEN p.provider_type IN {sql_in(V.RISKY_PROVIDER_TYPES)} THEN
+                CASE WHEN p.region IN {sql_in(V.MACAU_DISTRICTS)} THEN 0.30::double ELSE 0.25::double END
+             WHEN p.region IN {sql_in(V.MACAU_DISTRICTS)} THEN 0.30::double ELSE 0.08::double END
+        + CASE WHEN claim_amount_hkd > 200000 THEN 0.10::double ELSE 0.0::double END) AS is_flagged
+    FROM drawn_claims d JOIN providers p ON d.provider_id = p.provider_id),
+claims AS (
+    SELECT *, CASE WHEN is_flagged THEN array_to_string(list_transform(
+            list_slice({_INDICATORS}, 1, {_whole(_c(19), 1, 4)}), lambda x: x.n), ', ') END AS fraud_indicators
+    FROM flagged_claims)"""
+
+_SCORE = sql_round(f"""greatest(0.0::double, least(100.0::double, CASE WHEN is_flagged
+    THEN {_beta('score', 'o_orderkey', range(12, 20), 6)} ELSE {_beta('score', 'o_orderkey', range(12, 21), 2)} END * 100))""", 1)
+
+INCIDENTS = f"""typed_incidents AS (
+    SELECT o_orderkey, {_weighted(_i(0), V.INCIDENT_TYPES)} AS incident_type,
+        {_weighted(_i(1), V.INCIDENT_SEVERITIES)} AS severity FROM orders),
+measured_incidents AS (
+    SELECT *, {sql_round(f"{_by_severity(V.RESPONSE_HOURS, 0, '::double')} + {_i(9)} * ({_by_severity(V.RESPONSE_HOURS, 1, '::double')} - {_by_severity(V.RESPONSE_HOURS, 0, '::double')})", 2)} AS response_time_hours,
+        {_whole(_i(10), _by_severity(V.IMPACT_SCORES, 0), _by_severity(V.IMPACT_SCORES, 1))} AS impact_score,
+        {_whole(_i(11), _by_severity(V.AFFECTED_RECORDS, 0), _by_severity(V.AFFECTED_RECORDS, 1))} AS affected_records,
+        {_i(14)} < CASE WHEN incident_type IN ('data_exfiltration', 'insider_threat') THEN 0.6::double
+            WHEN incident_type = 'ransomware' THEN 0.3::double ELSE 0.05::double END AS data_breach
+    FROM typed_incidents),
+incidents AS (
+    SELECT *, printf('INC-%06d', o_orderkey + 1) AS incident_id, {_seasonal(_i(2), _i(3), 1.8)} AS incident_date,
+        {_weighted(_i(4), V.SOURCE_COUNTRIES)} AS source_country, {_one_of(_i(5), V.TARGET_SYSTEMS)} AS target_system,
+        {_weighted(_i(6), V.DETECTION_METHODS)} AS detection_method, {_weighted(_i(7), V.INCIDENT_STATUSES)} AS status,
+        {_one_of(_i(8), V.ANALYSTS)} AS assigned_analyst,
+        {sql_round(f"affected_records * {_real(_i(12), 5.0, 50.0)}", 2)} AS financial_impact_usd,
+        {sql_round(f"response_time_hours * {_real(_i(13), 1.5, 5.0)}", 2)} AS resolution_time_hours,
+        data_breach OR (severity = 'critical' AND {_i(15)} < 0.8::double) AS regulatory_report_required,
+        {_ip('incident', 'o_orderkey', 16)} AS source_ip
+    FROM measured_incidents)"""
+
+ALERTS = f"""typed_alerts AS (
+    SELECT event_id, {_weighted(_a(6), V.ALERT_STATUSES)} AS status FROM events),
+alerts AS (
+    SELECT *, status = 'false_positive' AS is_false_positive, printf('ALT-%07d', event_id + 1) AS alert_id,
+        cast({_seasonal(_a(0), _a(1), 1.5)} as timestamp) + to_seconds({_whole(_a(2), 0, 86_400)}) AS alert_timestamp,
+        {_weighted(_a(3), V.ALERT_SOURCES)} AS source_system, {_weighted(_a(4), V.ALERT_TYPES)} AS alert_type,
+        {_weighted(_a(5), V.ALERT_SEVERITIES)} AS severity, {_ip('alert', 'event_id', 12)} AS source_ip,
+        {_one_of(_a(7), V.TARGET_SYSTEMS)} AS target_system,
+        CASE WHEN {_a(9)} < 0.3::double THEN printf('INC-%06d',
+            cast(floor({_a(10)} * (SELECT count(*) FROM orders)) as bigint) + 1) END AS linked_incident_id,
+        {sql_round(f"CASE WHEN status = 'false_positive' THEN {_real(_a(8), 0.1, 0.45)} ELSE {_real(_a(8), 0.4, 0.99)} END", 3)} AS confidence_score,
+        {_one_of(_a(11), V.MITRE_TECHNIQUES)} AS mitre_technique_id, {_one_of(_a(16), V.RULE_NAMES)} AS triggered_rule
+    FROM typed_alerts)"""
+
+ORACLES = {
+    "f01_providers": f"WITH {PROVIDERS} SELECT * FROM providers",
+    "f02_claims": f"WITH {PROVIDERS}, {CLAIMS} SELECT * EXCLUDE (o_orderkey, region) FROM claims",
+    "f03_scores": f"""WITH {PROVIDERS}, {CLAIMS}
+        SELECT claim_id, fraud_score, {sql_category('fraud_score')} AS risk_category, model_version, score_date,
+            investigation_outcome, estimated_loss_hkd, provider_risk_pct
+        FROM (SELECT claim_id, {_SCORE} AS fraud_score, {_weighted(_s(0), V.MODEL_VERSIONS)} AS model_version,
+                claim_date + cast({_whole(_s(1), 1, 6)} as integer) AS score_date,
+                CASE WHEN is_flagged THEN {_weighted(_s(2), V.OUTCOMES_WHEN_FLAGGED)}
+                    WHEN {_s(2)} < 0.05::double THEN 'cleared' END AS investigation_outcome,
+                CASE WHEN is_flagged THEN {sql_round(f"claim_amount_hkd * {_real(_s(3), 0.5, 1.0)}", 2)}
+                    ELSE 0.0::double END AS estimated_loss_hkd,
+                provider_risk_pct FROM claims)""",
+    "f04_incidents": f"WITH {INCIDENTS} SELECT * EXCLUDE (o_orderkey) FROM incidents",
+    "f05_alerts": f"WITH {ALERTS} SELECT * EXCLUDE (event_id) FROM alerts",
+    "f06_drawn_fraud_by_area": f"""WITH {PROVIDERS}, {CLAIMS}
+        SELECT {sql_area('region')} AS area, count(*) AS total_claims, {sql_flagged()} AS flagged_claims,
+            {sql_round(f"cast({sql_flagged()} * 100 as double) / count(*)", 1)} AS fraud_rate_pct
+        FROM claims GROUP BY 1""",
+    "f07_drawn_monthly_metrics": f"WITH {INCIDENTS}, {ALERTS}, {METRICS} SELECT * FROM metrics",
+    "f08_drawn_rates": f"""WITH {INCIDENTS}
+        SELECT incident_type, {sql_round("cast(count(*) as double) / (SELECT count(*) FROM orders)", 4)} AS share
+        FROM incidents GROUP BY incident_type""",
+}

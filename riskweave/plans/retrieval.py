@@ -80,8 +80,7 @@ def _found_chunks(spark, folder):
     chunks = roles.sections(spark, folder).select(
         F.col("section_number").alias("vec_id"), "doc_title", "section_title",
         F.col("section_content").alias("chunk_text"), "doc_type")
-    found = _nearest_to_centroids(spark, folder)
-    return retrieval.with_chunks(found, chunks, "vec_id", retrieval.QUERIES_PER_BLOCK)
+    return retrieval.retrieve(_index(spark, folder), _centroids(spark, folder), chunks)
 
 
 def r05_text_search(spark, folder):
@@ -270,7 +269,7 @@ past AS (
     WHERE c.role IN ('user', 'assistant') AND c.turn <> r.asked_turn
     QUALIFY row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn DESC) <= {V.HISTORY_LIMIT}),
 messages AS (
-    SELECT conv_id, -1 AS at, 'system' AS role, {_text(V.CHAT_SYSTEM_PROMPT)} AS content FROM requests
+    SELECT conv_id, -1 AS place, 'system' AS role, {_text(V.CHAT_SYSTEM_PROMPT)} AS content FROM requests
     UNION ALL SELECT conv_id, turn, role, text FROM past
     UNION ALL SELECT conv_id, 1000000, 'user', {_text(V.CHAT_PROMPT_HEAD)} || context
         || {_text(V.CHAT_PROMPT_QUESTION)} || question || {_text(V.CHAT_PROMPT_TAIL)} FROM requests)"""
@@ -309,7 +308,7 @@ ORACLES = {
         FROM chunks WHERE rank <= {V.NUMBERED_CONTEXT_DEPTH}"""),
     "r11_prompt_messages": with_roles("sections", f"""WITH {_PROMPTS}
         SELECT conv_id AS query_id, role, md5(content) AS content_hash,
-            cast(row_number() OVER (PARTITION BY conv_id ORDER BY at) - 1 as integer) AS position
+            cast(row_number() OVER (PARTITION BY conv_id ORDER BY place) - 1 as integer) AS position
         FROM messages"""),
     "r11_cited_prompts": with_roles("sections", f"""WITH {_NUMBERED}
         SELECT query_id, 0 AS position, 'system' AS role, md5({_text(V.CITED_SYSTEM_PROMPT)}) AS content_hash FROM contexts

@@ -217,7 +217,7 @@ def _zero(column):
     return f"cast(coalesce({column}, 0) as bigint) AS {column}"
 
 
-_METRICS = f"""{_INCIDENT_MONTHS}, {_ALERT_MONTHS}, metrics AS (
+METRICS = f"""{_INCIDENT_MONTHS}, {_ALERT_MONTHS}, metrics AS (
     SELECT month, {', '.join(_zero(c) for c in metrics.COUNT_COLUMNS if c != 'high_severity_total')},
         cast(coalesce(critical_incidents + high_incidents, 0) as bigint) AS high_severity_total,
         avg_response_time_hours, avg_resolution_time_hours, total_financial_impact_usd,
@@ -228,7 +228,7 @@ _METRICS = f"""{_INCIDENT_MONTHS}, {_ALERT_MONTHS}, metrics AS (
 
 
 def _metrics_sql(columns):
-    return with_roles("incidents alerts", f"WITH {_METRICS} SELECT {columns} FROM metrics ORDER BY month")
+    return with_roles("incidents alerts", f"WITH {METRICS} SELECT {columns} FROM metrics ORDER BY month")
 
 
 ORACLES = {
