@@ -112,6 +112,9 @@ AFFECTED_RECORDS = {"critical": (1000, 50000), "high": (100, 5000), "medium": (1
 BREACH_PROBABILITY = {"data_exfiltration": 0.6, "insider_threat": 0.6, "ransomware": 0.3}
 BREACH_PROBABILITY_ELSE = 0.05
 SPIKE_MONTHS = [1, 3, 9, 11]
+# Weight of a spike month where other months weigh 10.
+INCIDENT_SPIKE_TENTHS = 18
+ALERT_SPIKE_TENTHS = 15
 ANALYSTS = [
     "David Chan", "Michelle Wong", "Eric Lau", "Sarah Leung", "Kevin Ng",
     "Jennifer Ho", "Richard Yip", "Catherine Tam", "Andrew Kwok", "Grace Tsui",

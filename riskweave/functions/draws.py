@@ -7,10 +7,10 @@ order or the number of tasks. Lost tasks give the same rows again.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from itertools import accumulate
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave import fixed_values as V
@@ -19,24 +19,35 @@ from riskweave import fixed_values as V
 class Draws:
     """Uniform numbers in [0, 1) for one key column. Four come out of each hash."""
 
-    def __init__(self, table: str, key: Column, seed: int = V.SEED):
-        self._table, self._key, self._seed = table, key.cast("string"), seed
+    def __init__(self, table: str, key: str, seed: int = V.SEED):
+        self._table, self._key, self._seed = table, key, seed
+
+    def attach(self, df: DataFrame, numbers: Iterable[int]) -> DataFrame:
+        """Add the numbered draws as columns, each computed once per row."""
+        numbers = list(numbers)
+        key = F.col(self._key).cast("string")
+        hashes = {f"_{self._table}_hash{h}": F.md5(F.concat(F.lit(f"{self._seed}:{self._table}{h}:"), key))
+                  for h in sorted({n // 4 for n in numbers})}
+        draws = {f"_{self._table}_draw{n}": F.conv(
+            F.substring(f"_{self._table}_hash{n // 4}", 8 * (n % 4) + 1, 8), 16, 10).cast("double") / 4294967296.0
+            for n in numbers}
+        return df.withColumns(hashes).withColumns(draws).drop(*hashes)
 
     def uniform(self, number: int) -> Column:
-        text = F.md5(F.concat(F.lit(f"{self._seed}:{self._table}{number // 4}:"), self._key))
-        digits = F.substring(text, 8 * (number % 4) + 1, 8)
-        return F.conv(digits, 16, 10).cast("double") / 4294967296.0
+        return F.col(f"_{self._table}_draw{number}")
+
+    def detach(self, df: DataFrame) -> DataFrame:
+        return df.drop(*[c for c in df.columns if c.startswith(f"_{self._table}_draw")])
+
+
+def spread(weights: Mapping[str, int]) -> list[str]:
+    """Each value as often as its whole-number weight."""
+    return [name for name, weight in weights.items() for _ in range(weight)]
 
 
-def weighted(u: Column, weights: Mapping[str, float]) -> Column:
-    """A value with probability proportional to its weight."""
-    total = sum(weights.values())
-    names = list(weights)
-    ends = [end / total for end in accumulate(weights.values())]
-    chain = F.when(u < ends[0], names[0])
-    for name, end in zip(names[1:-1], ends[1:-1]):
-        chain = chain.when(u < end, name)
-    return chain.otherwise(names[-1])
+def weighted(u: Column, weights: Mapping[str, int]) -> Column:
+    """A value with probability proportional to its weight: one lookup, no branches."""
+    return one_of(u, spread(weights))
 
 
 def one_of(u: Column, values: Sequence[str]) -> Column:
@@ -101,12 +112,18 @@ def month_starts() -> list[tuple[int, int]]:
     return [(m // 12, m % 12 + 1) for m in range(start, end + 1)]
 
 
-def seasonal_date(u_month: Column, u_day: Column, spike: float) -> Column:
-    """A date whose month is drawn with spike months weighted up, the day evenly."""
-    weights = {f"{y}-{m:02d}-01": (spike if m in V.SPIKE_MONTHS else 1.0) for y, m in month_starts()}
-    month = weighted(u_month, weights).cast("date")
-    days = F.dayofmonth(F.last_day(month))
-    return F.date_add(month, F.floor(u_day * days).cast("int"))
+def month_weights(spike_tenths: int) -> dict[str, int]:
+    """Weight in tenths of each month, by its first day."""
+    return {f"{y}-{m:02d}-01": (spike_tenths if m in V.SPIKE_MONTHS else 10) for y, m in month_starts()}
+
+
+def seasonal_month(u: Column, spike_tenths: int) -> Column:
+    """First day of a month, spike months weighted up."""
+    return weighted(u, month_weights(spike_tenths)).cast("date")
+
+
+def day_in_month(month: Column, u: Column) -> Column:
+    return F.date_add(month, F.floor(u * F.dayofmonth(F.last_day(month))).cast("int"))
 
 
 def even_date(u: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskweave import fixed_values as V
-from riskweave.functions.scalars import clamp, rounded
+from riskweave.functions.scalars import rounded
 
 
 def area_of(region: Column) -> Column:
@@ -91,7 +91,8 @@ def rule_score(claim: ClaimColumns | None = None) -> Column:
         + points([(c.channel == name, p) for name, p in V.CHANNEL_POINTS.items()])
         + points([(c.claim_type == name, p) for name, p in V.CLAIM_TYPE_POINTS.items()])
     )
-    return rounded(clamp(total, 0.0, 100.0), 1)
+    # The total is never null.
+    return rounded(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 1)
 
 
 def risk_factors(claim: ClaimColumns | None = None) -> Column:
@@ -108,31 +109,34 @@ def risk_factors(claim: ClaimColumns | None = None) -> Column:
 
     amount = F.format_number(c.amount, 0)
     pct = c.flagged_pct.cast("double").cast("string")
-    found = F.array(
-        F.when(c.amount > 200_000, factor(
+    groups = [
+        [(c.amount > 200_000, factor(
             "High Claim Amount", "high",
-            "Claim amount of HKD ", amount, " exceeds the 90th percentile threshold."))
-        .when(c.amount > 100_000, factor(
+            "Claim amount of HKD ", amount, " exceeds the 90th percentile threshold.")),
+         (c.amount > 100_000, factor(
             "Elevated Claim Amount", "medium",
-            "Claim amount of HKD ", amount, " is above average for ", c.claim_type, " claims.")),
-        F.when(c.flagged_pct > 30, factor(
+            "Claim amount of HKD ", amount, " is above average for ", c.claim_type, " claims."))],
+        [(c.flagged_pct > 30, factor(
             "Provider History", "high",
-            "Provider has ", pct, "% flagged claims, significantly above the 10% baseline."))
-        .when(c.flagged_pct > 15, factor(
+            "Provider has ", pct, "% flagged claims, significantly above the 10% baseline.")),
+         (c.flagged_pct > 15, factor(
             "Provider Watch List", "medium",
-            "Provider flagged claims rate (", pct, "%) is above normal range.")),
-        F.when(c.days <= 3, factor(
+            "Provider flagged claims rate (", pct, "%) is above normal range."))],
+        [(c.days <= 3, factor(
             "Rapid Processing", "medium",
-            "Claim processed in ", c.days.cast("string"), " day(s) — unusually fast turnaround.")),
-        F.when(c.channel.isin("email", "agent"), factor(
+            "Claim processed in ", c.days.cast("string"), " day(s) — unusually fast turnaround."))],
+        [(c.channel.isin("email", "agent"), factor(
             "Submission Channel", "low",
             "Claims via '", c.channel,
-            "' have a higher fraud incidence rate than digital channels.")),
-    )
-    present = F.filter(found, lambda f: f.isNotNull())
-    standard = F.array(factor(
-        "Standard Profile", "low", "No significant risk indicators detected for this claim."))
-    return F.when(F.size(present) == 0, standard).otherwise(present)
+            "' have a higher fraud incidence rate than digital channels."))],
+    ]
+    standard = factor("Standard Profile", "low", "No significant risk indicators detected for this claim.")
+    # Joined lists stay inside generated code; filtering one list would leave it.
+    nothing = F.filter(F.array(standard), lambda f: F.lit(False))
+    found = [_cases([(cond, F.array(f)) for cond, f in group], nothing) for group in groups]
+    any_found = reduce(lambda a, b: a | b, [
+        F.coalesce(cond, F.lit(False)) for group in groups for cond, _ in group])
+    return F.concat(*found, F.when(any_found, nothing).otherwise(F.array(standard)))
 
 
 REQUIRED_FIELDS = {

@@ -16,12 +16,13 @@ from riskweave.functions.scalars import at_second, clamp, padded_id, rounded
 
 
 def fill_providers(keys: DataFrame, key: str = "provider_id") -> DataFrame:
-    u = D.Draws("provider", F.col(key)).uniform
+    draws = D.Draws("provider", key)
+    u = draws.uniform
     provider_type, region = F.col("provider_type"), F.col("region")
     macau = F.when(region.isin(*V.MACAU_DISTRICTS), D.real(u(5), 10.0, 25.0)).otherwise(0.0)
     risky = F.when(provider_type.isin(*V.RISKY_PROVIDER_TYPES), D.real(u(6), 8.0, 20.0)).otherwise(0.0)
     base = D.beta_whole([u(n) for n in range(12, 28)], 2) * 100
-    typed = keys.select(key).withColumns({
+    typed = draws.attach(keys.select(key), [*range(9), *range(12, 28)]).withColumns({
         "provider_type": D.weighted(u(0), V.PROVIDER_TYPES),
         "region": D.weighted(u(1), dict(zip(V.DISTRICTS, V.DISTRICT_WEIGHTS))),
     })
@@ -33,7 +34,7 @@ def fill_providers(keys: DataFrame, key: str = "provider_id") -> DataFrame:
         "flagged_claims_pct": clamp(rounded(base + macau + risky, 1), 0.0, 80.0),
         "is_active": u(8) < V.ACTIVE_PROBABILITY,
     })
-    return named.withColumn("risk_tier", risk.provider_tier(F.col("flagged_claims_pct")))
+    return draws.detach(named).withColumn("risk_tier", risk.provider_tier(F.col("flagged_claims_pct")))
 
 
 def _indicators(u, flagged: Column) -> Column:
@@ -47,9 +48,10 @@ def _indicators(u, flagged: Column) -> Column:
 def fill_claims(keys: DataFrame, providers: DataFrame, key: str) -> DataFrame:
     """Claims for the given keys. ``providers`` has provider_id from 0 without gaps, with
     region, provider_type and flagged_claims_pct."""
-    u = D.Draws("claim", F.col(key)).uniform
+    draws = D.Draws("claim", key)
+    u = draws.uniform
     count = providers.agg(F.count("*")).scalar()
-    drawn = keys.select(key).withColumns({
+    drawn = draws.attach(keys.select(key), [*range(11), *range(19, 30)]).withColumns({
         "claim_id": F.col(key) + 100_000,
         "policyholder_id": D.whole(u(0), 200_000, 202_000),
         "provider_id": F.floor(u(1) * count).cast("long"),
@@ -63,21 +65,24 @@ def fill_claims(keys: DataFrame, providers: DataFrame, key: str) -> DataFrame:
     known = providers.select("provider_id", "region", "provider_type", "flagged_claims_pct")
     chance = risk.flag_probability(F.col("region"), F.col("provider_type"), F.col("claim_amount_hkd"))
     flagged = drawn.join(known, "provider_id").withColumn("is_flagged", u(10) < chance)
-    return flagged.withColumn("fraud_indicators", _indicators(u, F.col("is_flagged")))\
-        .withColumnRenamed("flagged_claims_pct", "provider_risk_pct").drop("region", "provider_type")
+    listed = flagged.withColumn("fraud_indicators", _indicators(u, F.col("is_flagged")))
+    return draws.detach(listed).withColumnRenamed("flagged_claims_pct", "provider_risk_pct")\
+        .drop("region", "provider_type")
 
 
 def fill_scores(claims: DataFrame, key: str) -> DataFrame:
     """The score row of each claim."""
-    u = D.Draws("score", F.col(key)).uniform
+    draws = D.Draws("score", key)
+    u = draws.uniform
     flagged = F.col("is_flagged")
     plain = D.beta_whole([u(n) for n in range(12, 21)], 2)
     raised = D.beta_whole([u(n) for n in range(12, 20)], 6)
     score = rounded(clamp(F.when(flagged, raised).otherwise(plain) * 100, 0.0, 100.0), 1)
-    return claims.select(
+    scored = draws.attach(claims, [*range(4), *range(12, 21)]).withColumn("fraud_score", score)
+    return scored.select(
         "claim_id",
-        score.alias("fraud_score"),
-        risk.risk_category(score).alias("risk_category"),
+        "fraud_score",
+        risk.risk_category(F.col("fraud_score")).alias("risk_category"),
         D.weighted(u(0), V.MODEL_VERSIONS).alias("model_version"),
         F.date_add("claim_date", D.whole(u(1), 1, 6).cast("int")).alias("score_date"),
         F.when(flagged, D.weighted(u(2), V.OUTCOMES_WHEN_FLAGGED))
@@ -88,16 +93,18 @@ def fill_scores(claims: DataFrame, key: str) -> DataFrame:
 
 def fill_incidents(keys: DataFrame, key: str) -> DataFrame:
     """Incidents for the given keys, which count from 0."""
-    u = D.Draws("incident", F.col(key)).uniform
+    draws = D.Draws("incident", key)
+    u = draws.uniform
     severity = F.col("severity")
 
     def drawn(ranges, number):
         return D.whole(u(number), D.by_severity(severity, ranges, 0), D.by_severity(severity, ranges, 1))
 
     hours = D.real(u(9), D.by_severity(severity, V.RESPONSE_HOURS, 0), D.by_severity(severity, V.RESPONSE_HOURS, 1))
-    typed = keys.select(key).withColumns({
+    typed = draws.attach(keys.select(key), range(20)).withColumns({
         "incident_type": D.weighted(u(0), V.INCIDENT_TYPES),
         "severity": D.weighted(u(1), V.INCIDENT_SEVERITIES),
+        "_month": D.seasonal_month(u(2), V.INCIDENT_SPIKE_TENTHS),
     })
     measured = typed.withColumns({
         "response_time_hours": rounded(hours, 2),
@@ -105,9 +112,9 @@ def fill_incidents(keys: DataFrame, key: str) -> DataFrame:
         "affected_records": drawn(V.AFFECTED_RECORDS, 11),
         "data_breach": u(14) < risk.breach_probability(F.col("incident_type")),
     })
-    return measured.withColumns({
+    filled = measured.withColumns({
         "incident_id": padded_id("INC", 6, F.col(key) + 1),
-        "incident_date": D.seasonal_date(u(2), u(3), 1.8),
+        "incident_date": D.day_in_month(F.col("_month"), u(3)),
         "source_country": D.weighted(u(4), V.SOURCE_COUNTRIES),
         "target_system": D.one_of(u(5), V.TARGET_SYSTEMS),
         "detection_method": D.weighted(u(6), V.DETECTION_METHODS),
@@ -118,18 +125,22 @@ def fill_incidents(keys: DataFrame, key: str) -> DataFrame:
         "regulatory_report_required": risk.report_required(F.col("data_breach"), severity, u(15)),
         "source_ip": D.ipv4(u(16), u(17), u(18), u(19)),
     })
+    return draws.detach(filled).drop("_month")
 
 
 def fill_alerts(keys: DataFrame, incident_count: Column, key: str) -> DataFrame:
     """Alerts for the given keys; three in ten link to one of the incidents."""
-    u = D.Draws("alert", F.col(key)).uniform
-    day = D.seasonal_date(u(0), u(1), 1.5)
-    base = keys.select(key).withColumn("status", D.weighted(u(6), V.ALERT_STATUSES))
+    draws = D.Draws("alert", key)
+    u = draws.uniform
+    base = draws.attach(keys.select(key), range(17)).withColumns({
+        "status": D.weighted(u(6), V.ALERT_STATUSES),
+        "_month": D.seasonal_month(u(0), V.ALERT_SPIKE_TENTHS),
+    })
     marked = base.withColumn("is_false_positive", F.col("status") == "false_positive")
     confidence = F.when(F.col("is_false_positive"), D.real(u(8), 0.1, 0.45)).otherwise(D.real(u(8), 0.4, 0.99))
-    return marked.withColumns({
+    filled = marked.withColumns({
         "alert_id": padded_id("ALT", 7, F.col(key) + 1),
-        "alert_timestamp": at_second(day, D.whole(u(2), 0, 86_400)),
+        "alert_timestamp": at_second(D.day_in_month(F.col("_month"), u(1)), D.whole(u(2), 0, 86_400)),
         "source_system": D.weighted(u(3), V.ALERT_SOURCES),
         "alert_type": D.weighted(u(4), V.ALERT_TYPES),
         "severity": D.weighted(u(5), V.ALERT_SEVERITIES),
@@ -141,3 +152,4 @@ def fill_alerts(keys: DataFrame, incident_count: Column, key: str) -> DataFrame:
         "mitre_technique_id": D.one_of(u(11), V.MITRE_TECHNIQUES),
         "triggered_rule": D.one_of(u(16), V.RULE_NAMES),
     })
+    return draws.detach(filled).drop("_month")

@@ -81,8 +81,9 @@ def exact_median(
 ) -> DataFrame:
     """Interpolated median per group. Equal values are merged first, and only the one or
     two buckets that hold the middle ranks are sorted."""
-    counts = df.filter(F.col(value).isNotNull())\
-        .groupBy(*groups, value).agg(F.count("*").alias("_n"))
+    # The filter drops nulls and makes every use below read the same columns, so Spark
+    # scans and groups once and reuses the exchange.
+    counts = df.groupBy(*groups, value).agg(F.count(value).alias("_n")).filter("_n > 0")
     tagged = _bucketed(counts, value, bits)
     low, high = F.expr("(_total - 1) div 2"), F.expr("_total div 2")
     end = F.col("_start") + F.col("_in_bucket")
@@ -105,10 +106,13 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     The share of positive/negative pairs that are ordered rightly, ties counting half.
     Sums are exact whole numbers, so the result does not depend on row order.
     """
-    per_score = df.filter(F.col(score).isNotNull()).groupBy(score).agg(
-        F.count_if(F.col(label) == 1).alias("positives"),
-        F.count_if(F.col(label) == 0).alias("negatives"),
-    )
+    known = F.col(score).isNotNull()
+    # The filter on both counts also makes every use below read the same columns, so Spark
+    # scans and groups once and reuses the exchange.
+    per_score = df.groupBy(score).agg(
+        F.count_if(known & (F.col(label) == 1)).alias("positives"),
+        F.count_if(known & (F.col(label) == 0)).alias("negatives"),
+    ).filter(F.col("positives") + F.col("negatives") > 0)
     ranked = with_preceding(per_score, [], score, "negatives")
     wide = "decimal(38,0)"
     won_twice = F.col("positives").cast("decimal(19,0)") * (

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskweave import fixed_values as V
-from riskweave.functions.draws import month_starts, poisson_table
+from riskweave.functions.draws import month_weights, poisson_table
 from riskweave.functions.scalars import rounded
 from riskweave.operators import fixtures, metrics, reports
 from riskweave.plans.role_sql import sql_area, sql_category, sql_flagged, sql_in, sql_list, sql_round, sql_tier
@@ -84,11 +82,7 @@ def _u(table: str, key: str, number: int) -> str:
 
 
 def _weighted(u: str, weights: dict) -> str:
-    total = sum(weights.values())
-    ends = [end / total for end in accumulate(weights.values())]
-    names = list(weights)
-    whens = " ".join(f"WHEN {u} < {end!r}::double THEN '{name}'" for name, end in zip(names[:-1], ends[:-1]))
-    return f"CASE {whens} ELSE '{names[-1]}' END"
+    return _one_of(u, [name for name, weight in weights.items() for _ in range(weight)])
 
 
 def _one_of(u: str, values) -> str:
@@ -107,9 +101,8 @@ def _by_severity(ranges: dict, end: int, cast: str = "") -> str:
     return "CASE severity " + " ".join(f"WHEN '{s}' THEN {b[end]}{cast}" for s, b in ranges.items()) + " END"
 
 
-def _seasonal(u_month: str, u_day: str, spike: float) -> str:
-    weights = {f"{y}-{m:02d}-01": (spike if m in V.SPIKE_MONTHS else 1.0) for y, m in month_starts()}
-    month = f"cast({_weighted(u_month, weights)} as date)"
+def _seasonal(u_month: str, u_day: str, spike: int) -> str:
+    month = f"cast({_weighted(u_month, month_weights(spike))} as date)"
     return f"{month} + cast(floor({u_day} * dayofmonth(last_day({month}))) as integer)"
 
 
@@ -204,7 +197,7 @@ measured_incidents AS (
             WHEN incident_type = 'ransomware' THEN 0.3::double ELSE 0.05::double END AS data_breach
     FROM typed_incidents),
 incidents AS (
-    SELECT *, printf('INC-%06d', o_orderkey + 1) AS incident_id, {_seasonal(_i(2), _i(3), 1.8)} AS incident_date,
+    SELECT *, printf('INC-%06d', o_orderkey + 1) AS incident_id, {_seasonal(_i(2), _i(3), V.INCIDENT_SPIKE_TENTHS)} AS incident_date,
         {_weighted(_i(4), V.SOURCE_COUNTRIES)} AS source_country, {_one_of(_i(5), V.TARGET_SYSTEMS)} AS target_system,
         {_weighted(_i(6), V.DETECTION_METHODS)} AS detection_method, {_weighted(_i(7), V.INCIDENT_STATUSES)} AS status,
         {_one_of(_i(8), V.ANALYSTS)} AS assigned_analyst,
@@ -218,7 +211,7 @@ ALERTS = f"""typed_alerts AS (
     SELECT event_id, {_weighted(_a(6), V.ALERT_STATUSES)} AS status FROM events),
 alerts AS (
     SELECT *, status = 'false_positive' AS is_false_positive, printf('ALT-%07d', event_id + 1) AS alert_id,
-        cast({_seasonal(_a(0), _a(1), 1.5)} as timestamp) + to_seconds({_whole(_a(2), 0, 86_400)}) AS alert_timestamp,
+        cast({_seasonal(_a(0), _a(1), V.ALERT_SPIKE_TENTHS)} as timestamp) + to_seconds({_whole(_a(2), 0, 86_400)}) AS alert_timestamp,
         {_weighted(_a(3), V.ALERT_SOURCES)} AS source_system, {_weighted(_a(4), V.ALERT_TYPES)} AS alert_type,
         {_weighted(_a(5), V.ALERT_SEVERITIES)} AS severity, {_ip('alert', 'event_id', 12)} AS source_ip,
         {_one_of(_a(7), V.TARGET_SYSTEMS)} AS target_system,
