@@ -24,13 +24,21 @@ def _cut_points(value: Column, bits: int) -> Column:
 
 
 def _bucket(value: Column, cuts: Column, bits: int) -> Column:
-    """How many cut points are not above the value, by binary search."""
+    """How many cut points are not above the value, by binary search. Never null, so joins
+    on it add no filter that would run this below an aggregation."""
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(bits))])
-    return F.aggregate(
+    found = F.aggregate(
         steps,
         F.lit(0),
         lambda at, step: F.when(F.element_at(cuts, at + step) <= value, at + step).otherwise(at),
     )
+    return F.coalesce(found, F.lit(0))
+
+
+def _present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    for column in columns:
+        df = df.filter(F.col(column).isNotNull())
+    return df
 
 
 def _bucketed(df: DataFrame, value: str, bits: int) -> DataFrame:
@@ -70,8 +78,9 @@ def with_preceding(
 
 def numbered(df: DataFrame, groups: Sequence[str], order: str, name: str) -> DataFrame:
     """Number rows 1, 2, 3 within each group by a unique order column. The same rows
-    always get the same numbers, however they are partitioned."""
-    one = df.withColumn("_one", F.lit(1).cast("long"))
+    always get the same numbers, however they are partitioned. Rows without a group or
+    an order value have no number and are left out."""
+    one = _present(df, [*groups, order]).withColumn("_one", F.lit(1).cast("long"))
     return with_preceding(one, groups, order, "_one")\
         .withColumn(name, F.col("preceding") + 1).drop("_one", "preceding")
 
@@ -79,11 +88,11 @@ def numbered(df: DataFrame, groups: Sequence[str], order: str, name: str) -> Dat
 def exact_median(
     df: DataFrame, groups: Sequence[str], value: str, name: str, bits: int = BUCKET_BITS,
 ) -> DataFrame:
-    """Interpolated median per group. Equal values are merged first, and only the one or
+    """Interpolated median per group; null groups have none. Equal values are merged first, and only the one or
     two buckets that hold the middle ranks are sorted."""
     # The filter drops nulls and makes every use below read the same columns, so Spark
     # scans and groups once and reuses the exchange.
-    counts = df.groupBy(*groups, value).agg(F.count(value).alias("_n")).filter("_n > 0")
+    counts = _present(df, groups).groupBy(*groups, value).agg(F.count(value).alias("_n")).filter("_n > 0")
     tagged = _bucketed(counts, value, bits)
     low, high = F.expr("(_total - 1) div 2"), F.expr("_total div 2")
     end = F.col("_start") + F.col("_in_bucket")
@@ -106,13 +115,12 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     The share of positive/negative pairs that are ordered rightly, ties counting half.
     Sums are exact whole numbers, so the result does not depend on row order.
     """
-    known = F.col(score).isNotNull()
-    # The filter on both counts also makes every use below read the same columns, so Spark
-    # scans and groups once and reuses the exchange.
+    # The filter drops the null score and makes every use below read the same columns, so
+    # Spark scans and groups once and reuses the exchange.
     per_score = df.groupBy(score).agg(
-        F.count_if(known & (F.col(label) == 1)).alias("positives"),
-        F.count_if(known & (F.col(label) == 0)).alias("negatives"),
-    ).filter(F.col("positives") + F.col("negatives") > 0)
+        F.count_if(F.col(label) == 1).alias("positives"),
+        F.count_if(F.col(label) == 0).alias("negatives"),
+    ).filter(F.when(F.col(score).isNotNull(), F.col("positives") + F.col("negatives")) > 0)
     ranked = with_preceding(per_score, [], score, "negatives")
     wide = "decimal(38,0)"
     won_twice = F.col("positives").cast("decimal(19,0)") * (

@@ -1,0 +1,96 @@
+"""Properties of the drawn tables."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from riskweave import fixed_values as V
+from riskweave.functions import draws
+from riskweave.operators import fixtures, metrics
+
+N = 20_000
+
+
+@pytest.fixture(scope="module")
+def providers(spark):
+    return fixtures.fill_providers(spark.range(2000).withColumnRenamed("id", "provider_id")).cache()
+
+
+@pytest.fixture(scope="module")
+def claims(spark, providers):
+    return fixtures.fill_claims(spark.range(N), providers, "id").cache()
+
+
+def test_draws_are_even_and_independent_of_partitioning(spark):
+    d = draws.Draws("t", "id")
+    one = d.attach(spark.range(0, N, 1, 3), range(3)).select("id", d.uniform(2).alias("u"))
+    two = d.attach(spark.range(0, N, 1, 11), [2]).select("id", d.uniform(2).alias("u"))
+    assert one.exceptAll(two).count() == 0
+    low, mean, high = one.agg(F.min("u"), F.avg("u"), F.max("u")).first()
+    assert 0 <= low < 0.001 and 0.999 < high < 1 and abs(mean - 0.5) < 0.01
+
+
+def test_shapes(spark):
+    d = draws.Draws("t", "id")
+    df = d.attach(spark.range(N), range(20)).select(
+        draws.gamma_two(d.uniform(0), d.uniform(1), 12_000.0).alias("gamma"),
+        draws.beta_whole([d.uniform(i) for i in range(2, 18)], 2).alias("beta"),
+        draws.poisson(d.uniform(18), 80.0).alias("poisson"))
+    row = df.agg(F.avg("gamma"), F.avg("beta"), F.avg("poisson"), F.variance("poisson")).first()
+    assert row[0] == pytest.approx(24_000, rel=0.03)
+    assert row[1] == pytest.approx(2 / 17, rel=0.03)
+    assert row[2] == pytest.approx(80, rel=0.01) and row[3] == pytest.approx(80, rel=0.06)
+
+
+def test_claims(claims, providers):
+    assert claims.count() == claims.select("claim_id").distinct().count() == N
+    assert claims.join(providers, "provider_id", "left_anti").count() == 0
+    amounts = claims.agg(F.min("claim_amount_hkd"), F.max("claim_amount_hkd"),
+                         F.min("processing_days"), F.max("processing_days")).first()
+    assert amounts[0] >= 500 and amounts[1] <= 2_000_000 and amounts[2] >= 1 and amounts[3] <= 90
+    by_macau = {r.m: r.s for r in claims.join(providers.select("provider_id", "region"), "provider_id")
+                .groupBy(F.col("region").isin(*V.MACAU_DISTRICTS).alias("m"))
+                .agg(F.avg(F.col("is_flagged").cast("double")).alias("s")).collect()}
+    assert 0.25 < by_macau[True] < 0.35 and 0.07 < by_macau[False] < 0.13
+
+
+def test_indicators(claims):
+    listed = claims.select("is_flagged", F.split("fraud_indicators", ", ").alias("l"))
+    assert listed.filter(F.col("is_flagged") != F.col("l").isNotNull()).count() == 0
+    flagged = listed.filter("is_flagged")
+    assert flagged.filter(~F.size("l").between(1, 3) | (F.size("l") != F.size(F.array_distinct("l")))).count() == 0
+
+
+def test_scores(claims):
+    scores = fixtures.fill_scores(claims, "id")
+    joined = claims.select("claim_id", "is_flagged", "claim_date", "claim_amount_hkd").join(scores, "claim_id")
+    means = {r.is_flagged: r.m for r in joined.groupBy("is_flagged").agg(F.avg("fraud_score").alias("m")).collect()}
+    assert means[True] == pytest.approx(66.7, abs=2) and means[False] == pytest.approx(20, abs=1)
+    assert joined.filter(~F.datediff("score_date", "claim_date").between(1, 5)).count() == 0
+    assert joined.filter("not is_flagged and (estimated_loss_hkd <> 0 or investigation_outcome <> 'cleared')").count() == 0
+    assert joined.filter("is_flagged and investigation_outcome is null").count() == 0
+
+
+def test_incidents_and_alerts(spark):
+    incidents = fixtures.fill_incidents(spark.range(N), "id").cache()
+    shares = {r.incident_type: r.n / N for r in incidents.groupBy("incident_type").agg(F.count("*").alias("n")).collect()}
+    assert shares["phishing"] == pytest.approx(0.35, abs=0.02)
+    hours = {r.severity: r.h for r in incidents.groupBy("severity").agg(F.avg("response_time_hours").alias("h")).collect()}
+    assert hours["critical"] == pytest.approx(2.25, abs=0.2) and hours["low"] == pytest.approx(48, abs=1)
+    assert incidents.agg(F.min("incident_date"), F.max("incident_date")).select(
+        *[F.col(c).cast("string") for c in ("min(incident_date)", "max(incident_date)")]).first()[:] == (V.FIRST_DATE, V.LAST_DATE)
+    alerts = fixtures.fill_alerts(spark.range(N), F.lit(N), "id").cache()
+    linked = alerts.filter("linked_incident_id is not null")
+    assert linked.count() / N == pytest.approx(0.3, abs=0.02)
+    assert linked.join(incidents, F.col("linked_incident_id") == F.col("incident_id"), "left_anti").count() == 0
+    assert alerts.filter("is_false_positive and confidence_score > 0.45").count() == 0
+    assert metrics.monthly_metrics(incidents, alerts).count() == 27
+
+
+def test_months_missing_on_one_side(spark):
+    incidents = fixtures.fill_incidents(spark.range(50), "id").withColumn("incident_date", F.lit("2024-05-07").cast("date"))
+    alerts = fixtures.fill_alerts(spark.range(50), F.lit(50), "id")\
+        .withColumn("alert_timestamp", F.lit("2024-06-01 10:00:00").cast("timestamp"))
+    may, june = metrics.monthly_metrics(incidents, alerts).collect()
+    assert (may.total_incidents, may.total_alerts, may.false_positive_rate_pct) == (50, 0, None)
+    assert (june.total_incidents, june.high_severity_total, june.median_response_time_hours) == (0, 0, None)
+    assert june.total_alerts == 50
