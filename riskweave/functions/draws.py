@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave import fixed_values as V
+from riskweave.functions.scalars import constant_list, pick
 
 
 class Draws:
@@ -51,7 +52,7 @@ def weighted(u: Column, weights: Mapping[str, int]) -> Column:
 
 
 def one_of(u: Column, values: Sequence[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), F.floor(u * len(values)).cast("int") + 1)
+    return pick(values, F.floor(u * len(values)))
 
 
 def one_of_by(u: Column, by: Column, lists: Mapping[str, Sequence[str]]) -> Column:
@@ -97,7 +98,7 @@ def poisson_table(mean: float, spread: int = 12) -> list[float]:
 
 
 def poisson(u: Column, mean: float) -> Column:
-    table = F.array(*[F.lit(p) for p in poisson_table(mean)])
+    table = constant_list([repr(p) for p in poisson_table(mean)]).cast("array<double>")
     return F.size(F.filter(table, lambda p: p <= u))
 
 

@@ -76,7 +76,7 @@ class ClaimColumns:
 
 
 def rule_score(claim: ClaimColumns | None = None) -> Column:
-    """Explainable score from 0 to 100, one decimal."""
+    """Explainable score from 0 to 100."""
     c = claim or ClaimColumns()
     zero = F.lit(0.0)
 
@@ -91,8 +91,8 @@ def rule_score(claim: ClaimColumns | None = None) -> Column:
         + points([(c.channel == name, p) for name, p in V.CHANNEL_POINTS.items()])
         + points([(c.claim_type == name, p) for name, p in V.CLAIM_TYPE_POINTS.items()])
     )
-    # The total is never null.
-    return rounded(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 1)
+    # Never null, and whole because all points are: no rounding is needed.
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), total))
 
 
 def risk_factors(claim: ClaimColumns | None = None) -> Column:

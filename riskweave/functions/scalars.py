@@ -17,12 +17,14 @@ def rounded(x: Column, digits: int) -> Column:
 
 
 def exact_sum(x: Column, scale: int = 2) -> Column:
-    """Sum of a fixed-point double, independent of row and partition order."""
-    return F.sum(x.cast(f"decimal(18,{scale})")).cast("double")
+    """Sum of a double with ``scale`` decimals, independent of row and partition order:
+    whole numbers of the last decimal are summed."""
+    units = F.rint(x * 10**scale).cast("long").cast("decimal(18,0)")
+    return F.sum(units).cast("double") / 10**scale
 
 
 def exact_avg(x: Column, scale: int = 2) -> Column:
-    """Mean of a fixed-point double, independent of row and partition order."""
+    """Mean of a double with ``scale`` decimals, independent of row and partition order."""
     return exact_sum(x, scale) / F.count(x)
 
 
@@ -44,9 +46,14 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
+def constant_list(values: Sequence[str]) -> Column:
+    """A constant array, built from one literal that Spark folds."""
+    return F.split(F.lit("|".join(values)), "[|]")
+
+
 def pick(values: Sequence[str], index: Column) -> Column:
     """The value at a zero-based index."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
+    return F.element_at(constant_list(values), index.cast("int") + 1)
 
 
 def padded_id(prefix: str, width: int, number: Column) -> Column:

@@ -46,13 +46,11 @@ def category_codes(features: DataFrame, columns=None) -> DataFrame:
 def encoded(features: DataFrame, columns=None) -> DataFrame:
     """Features with every category replaced by its code."""
     columns = columns or V.CATEGORICAL_FEATURES
-    codes = category_codes(features, columns)
-    result = features
-    for c in columns:
-        lookup = codes.filter(F.col("feature") == c).agg(
-            F.map_from_entries(F.collect_list(F.struct("value", "code")))).scalar()
-        result = result.withColumn(c, F.element_at(lookup, _as_category(c)))
-    return result
+    # One small map for all categories: one pass over the table, and no join.
+    lookup = category_codes(features, columns).agg(F.map_from_entries(F.collect_list(
+        F.struct(F.concat_ws("=", "feature", "value"), F.col("code"))))).scalar()
+    return features.withColumns(
+        {c: F.element_at(lookup, F.concat_ws("=", F.lit(c), _as_category(c))) for c in columns})
 
 
 def feature_vectors(numeric: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from riskweave.operators import joins, ranks, retrieval
 from riskweave.plans.role_sql import with_roles
 from riskweave.session import scratch_dir
 from riskweave.sources import roles
-from riskweave.sources.tables import overwrite_path, read_table
+from riskweave.sources.tables import overwrite_path, read_table, stream_table
 from riskweave.streaming.sync import current_rows, newest_by_key, sync_changes
 
 
@@ -46,14 +46,11 @@ def r03_text_vectors(spark, folder):
         F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length"))
 
 
-def _index(spark, folder):
-    return retrieval.vector_index(read_table(spark, folder, "embeddings"), "vec_id", "embedding")
-
-
 def r04_vector_index(spark, folder):
     """The index table, checked by its size, length and a position-weighted sum."""
     weighted = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    return _index(spark, folder).select(
+    index = retrieval.vector_index(read_table(spark, folder, "embeddings"), "vec_id", "embedding")
+    return index.select(
         "vec_id", F.size("vector").alias("dimensions"), F.round(weighted, 6).alias("weighted_sum"))
 
 
@@ -66,8 +63,13 @@ def _centroids(spark, folder):
                         F.transform("_mean", lambda x: F.round(x, 9)).alias("vector"))
 
 
+def _vectors(spark, folder):
+    """The search scales vectors itself, so it takes them as they are."""
+    return read_table(spark, folder, "embeddings").select("vec_id", "embedding")
+
+
 def _nearest_to_centroids(spark, folder):
-    return retrieval.nearest(_index(spark, folder), _centroids(spark, folder))
+    return retrieval.nearest(_vectors(spark, folder), _centroids(spark, folder))
 
 
 def r05_nearest_to_centroids(spark, folder):
@@ -80,7 +82,7 @@ def _found_chunks(spark, folder):
     chunks = roles.sections(spark, folder).select(
         F.col("section_number").alias("vec_id"), "doc_title", "section_title",
         F.col("section_content").alias("chunk_text"), "doc_type")
-    return retrieval.retrieve(_index(spark, folder), _centroids(spark, folder), chunks)
+    return retrieval.retrieve(_vectors(spark, folder), _centroids(spark, folder), chunks)
 
 
 def r05_text_search(spark, folder):
@@ -195,9 +197,7 @@ def s09_removed_keys(spark, folder):
 
 def t1_synced_stream(spark, folder):
     """Messages read as a stream of changes by conversation; then the synced table."""
-    table = read_table(spark, folder, "conversations")
-    stream = spark.readStream.schema(table.schema)\
-        .option("pathGlobFilter", "conversations.parquet").parquet(folder)
+    stream = stream_table(spark, folder, "conversations")
     base = scratch_dir(spark, "sync")
     sync_changes(stream, f"{base}/changes", f"{base}/checkpoint", "conv_id", "turn").awaitTermination()
     return current_rows(spark, f"{base}/changes", "conv_id", "turn")\

@@ -54,7 +54,7 @@ ROLES = {
         SELECT l_orderkey AS policyholder_id, l_suppkey AS provider_id,
             {sql_pick(V.CLAIM_TYPES, 'l_linenumber % 5')} AS claim_type,
             cast(l_shipdate as date) AS claim_date,
-            cast(cast(l_extendedprice * 7.8::double as decimal(18,2)) as double) AS claim_amount_hkd,
+            round(l_extendedprice * 780) / 100 AS claim_amount_hkd,
             CASE WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN 'pending'
                  WHEN l_linestatus = 'O' AND l_returnflag = 'A' THEN 'under_review'
                  WHEN l_linestatus = 'O' THEN 'denied'
@@ -125,7 +125,7 @@ ROLES = {
             cast(round(l_discount * 100) as integer) % 5 = 4 AS is_false_positive,
             CASE WHEN l_returnflag = 'A' THEN l_orderkey END AS linked_incident_number,
             CASE WHEN l_returnflag = 'A' THEN printf('INC-%06d', l_orderkey) END AS linked_incident_id,
-            round(l_tax * 10, 1) + 0.125::double AS confidence_score
+            round(l_tax * 100) / 10 + 0.125::double AS confidence_score
         FROM lineitem""",
     "requests": f"""
         SELECT event_id AS request_id, ts AS requested_at,

@@ -10,7 +10,7 @@ from riskweave.operators import scoring
 from riskweave.plans.role_sql import sql_category, sql_round, with_roles
 from riskweave.session import scratch_dir
 from riskweave.sources import roles
-from riskweave.sources.tables import append_by_date, overwrite_path, write_audit
+from riskweave.sources.tables import append_by_date, overwrite_path, stream_table, write_audit
 from riskweave.streaming.scoring import capture
 
 _KEYS = ["policyholder_id", "line_number", "part_id"]
@@ -105,8 +105,7 @@ def s05_write_audit(spark, folder):
 
 def t2_scored_stream(spark, folder):
     """Requests read as a stream, scored and captured; then the captured table."""
-    events = spark.read.parquet(f"{folder}/events.parquet")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    stream = stream_table(spark, folder, "events")
     base = scratch_dir(spark, "stream")
     capture(roles.requests_from(stream), f"{base}/scores", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/scores").select(

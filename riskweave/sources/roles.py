@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from riskweave import fixed_values as V
 from riskweave.functions import risk
-from riskweave.functions.scalars import padded_id, pick
+from riskweave.functions.scalars import constant_list, padded_id, pick
 from riskweave.sources.tables import read_table
 
 
 def _percent(x: str) -> Column:
     """0.07 -> 7"""
-    return F.round(F.col(x) * 100).cast("int")
+    return F.rint(F.col(x) * 100).cast("int")
 
 
 def line_claims(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,13 +45,13 @@ def line_claims(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_suppkey").alias("provider_id"),
         pick(list(V.CLAIM_TYPES), F.col("l_linenumber") % 5).alias("claim_type"),
         F.col("l_shipdate").cast("date").alias("claim_date"),
-        (F.col("l_extendedprice") * 7.8).cast("decimal(18,2)").cast("double").alias("claim_amount_hkd"),
+        (F.rint(F.col("l_extendedprice") * 780) / 100).alias("claim_amount_hkd"),
         status.alias("status"),
         pick(list(V.CHANNELS), _percent("l_discount") % 5).alias("submission_channel"),
         F.col("l_quantity").cast("long").alias("processing_days"),
         flagged.alias("is_flagged"),
         F.when(flagged, F.nullif(indicators, F.lit(""))).alias("fraud_indicators"),
-        F.round(F.col("l_tax") * 1000).alias("provider_flagged_pct"),
+        F.rint(F.col("l_tax") * 1000).alias("provider_flagged_pct"),
         F.col("l_linenumber").cast("long").alias("line_number"),
         F.col("l_partkey").alias("part_id"),
     )
@@ -84,8 +84,7 @@ def order_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def _region(nation_key: str) -> Column:
     """A district for the first nations; the rest keep their own name."""
-    districts = F.array(*[F.lit(d) for d in V.DISTRICTS])
-    return F.coalesce(F.try_element_at(districts, F.col(nation_key) + 1), F.col("n_name"))
+    return F.coalesce(F.try_element_at(constant_list(V.DISTRICTS), F.col(nation_key) + 1), F.col("n_name"))
 
 
 def supplier_providers(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,7 +164,7 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
         (status == "false_positive").alias("is_false_positive"),
         link.alias("linked_incident_number"),
         F.when(link.isNotNull(), padded_id("INC", 6, F.col("l_orderkey"))).alias("linked_incident_id"),
-        (F.round(F.col("l_tax") * 10, 1) + 0.125).alias("confidence_score"),
+        (F.rint(F.col("l_tax") * 100) / 10 + 0.125).alias("confidence_score"),
     )
 
 

@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from riskweave.sources.schemas import SCHEMAS
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """A given table. Its schema is declared, so no job runs to infer it."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table read as a stream of its files."""
+    return spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def local_rows(spark: SparkSession, rows: Sequence, schema: StructType | str) -> DataFrame:

@@ -37,10 +37,9 @@ def test_append_by_date_keeps_all_rows(spark, tmp_path):
 
 
 def test_capture_does_not_repeat_rows(spark, folder, tmp_path):
-    events = spark.read.parquet(f"{folder}/events.parquet")
     path, checkpoint = str(tmp_path / "scores"), str(tmp_path / "checkpoint")
     for _ in range(2):
-        stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+        stream = tables.stream_table(spark, folder, "events")
         capture(roles.requests_from(stream), path, checkpoint).awaitTermination()
     scored = spark.read.parquet(path)
     assert scored.count() == scored.select("request_id").distinct().count() > 0
