@@ -3,7 +3,7 @@
 No broadcast hints: Spark broadcasts a side when its measured size is below
 ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sort-merges, where adaptive
 execution splits a hot key over several tasks. What adaptive execution cannot spread
-well, null keys of an outer join, is salted here.
+well, null keys of an outer join, is spread by a second join column.
 """
 
 from __future__ import annotations
@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NULL_KEY_SALTS = 1024
-
 
 def with_provider(claims: DataFrame, providers: DataFrame, *columns: str, how: str = "inner") -> DataFrame:
     """Claims with the named provider columns. Only those columns are read."""
@@ -27,20 +25,19 @@ def with_score(claims: DataFrame, scores: DataFrame, *columns: str) -> DataFrame
 def left_join_sparse_key(left: DataFrame, right: DataFrame, key: str, right_key: str, spread_by: str) -> DataFrame:
     """Left join on a key that is mostly null.
 
-    All null keys would hash to one task. They get a salt from ``spread_by`` instead
-    and so spread over many; rows with a key keep salt 0, which is the right side's.
+    All null keys would hash to one task. A second join column, the hash of the key on both
+    sides but of ``spread_by`` where the key is null, sends those rows to all tasks.
     """
-    salted = left.withColumn(
-        "_salt",
-        F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(NULL_KEY_SALTS)).cast("int"))
-        .otherwise(0),
-    )
-    keyed = right.withColumn("_right_salt", F.lit(0))
-    return salted.join(
+    # Equal keys of different types hash differently, so both sides hash the right side's type.
+    same_type = F.col(key).cast(right.schema[right_key].dataType)
+    spread = F.when(F.col(key).isNull(), F.xxhash64(spread_by)).otherwise(F.xxhash64(same_type))
+    wide = left.withColumn("_spread", spread)
+    keyed = right.withColumn("_right_spread", F.xxhash64(right_key))
+    return wide.join(
         keyed,
-        (F.col(key) == F.col(right_key)) & (F.col("_salt") == F.col("_right_salt")),
+        (F.col(key) == F.col(right_key)) & (F.col("_spread") == F.col("_right_spread")),
         "left",
-    ).drop("_salt", "_right_salt", right_key)
+    ).drop("_spread", "_right_spread", right_key)
 
 
 def linked(alerts: DataFrame, incidents: DataFrame) -> DataFrame:

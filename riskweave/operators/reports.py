@@ -128,8 +128,14 @@ def top_flagged(claims: DataFrame, scores: DataFrame, providers: DataFrame, k: i
         risk.area_of(F.col("region")).alias("area"))
 
 
-def overview_counts(overview: DataFrame, by: str) -> DataFrame:
-    return overview.groupBy(by).agg(F.count("claim_id").alias("claim_count"))
+def overview_counts(claims: DataFrame, scores: DataFrame, providers: DataFrame, by: str) -> DataFrame:
+    """Rows of the overview by one of its columns, counted per provider before the provider
+    join, so the overview's rows never move by provider."""
+    scored = with_score(claims, scores, "risk_category").filter(F.col("provider_id").isNotNull())
+    keys = [] if by == "area" else [by]
+    per_provider = scored.groupBy("provider_id", *keys).agg(F.count("claim_id").alias("_claims"))
+    known = providers.select("provider_id", risk.area_of(F.col("region")).alias("area"))
+    return per_provider.join(known, "provider_id").groupBy(by).agg(F.sum("_claims").alias("claim_count"))
 
 
 def worst_region(claims: DataFrame, providers: DataFrame) -> DataFrame:

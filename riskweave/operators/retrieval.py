@@ -198,9 +198,9 @@ def with_placeholder(queries: DataFrame, sources: DataFrame) -> DataFrame:
         F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def source_lists(sources: DataFrame) -> DataFrame:
-    """One array of source records per query, best first. At most k records each."""
-    return sources.groupBy("query_id").agg(
+def source_lists(sources: DataFrame, depth: int = V.RETRIEVAL_DEPTH) -> DataFrame:
+    """One array of the best ``depth`` source records per query, best first."""
+    return sources.filter(F.col("rank") <= depth).groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "content", "source", "score"))).alias("sources"))
 
 

@@ -20,18 +20,14 @@ def _suppliers_with_history(spark, folder):
         roles.supplier_providers(spark, folder), roles.line_claims(spark, folder))
 
 
-def _overview(spark, folder):
-    return reports.claims_overview(
-        roles.order_claims(spark, folder), roles.order_scores(spark, folder),
-        roles.customer_providers(spark, folder))
-
-
 def q01_claims_kpi(spark, folder):
     return reports.claims_kpi(roles.line_claims(spark, folder))
 
 
 def q02_claims_overview(spark, folder):
-    return _overview(spark, folder)
+    return reports.claims_overview(
+        roles.order_claims(spark, folder), roles.order_scores(spark, folder),
+        roles.customer_providers(spark, folder))
 
 
 def q03_claims_by_month(spark, folder):
@@ -64,7 +60,9 @@ def q08_top_flagged(spark, folder):
 
 def _widget(column):
     def run(spark, folder):
-        return reports.overview_counts(_overview(spark, folder), column)
+        return reports.overview_counts(
+            roles.order_claims(spark, folder), roles.order_scores(spark, folder),
+            roles.customer_providers(spark, folder), column)
     return run
 
 

@@ -31,9 +31,16 @@ def ensure_schema(spark: SparkSession, name: str) -> None:
     spark.sql("CREATE DATABASE IF NOT EXISTS IDENTIFIER(:name)", args={"name": name})
 
 
-def overwrite_table(df: DataFrame, table: str) -> None:
-    """Replace a catalog table, its schema included."""
-    df.write.mode("overwrite").saveAsTable(table)
+def overwrite_table(df: DataFrame, table: str, bucket_by: str | None = None, buckets: int = 0) -> None:
+    """Replace a catalog table, its schema included.
+
+    Tables bucketed by the same key into the same number of buckets join on it without a
+    shuffle; use it for claims and their scores.
+    """
+    writer = df.write.mode("overwrite")
+    if bucket_by:
+        writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
+    writer.saveAsTable(table)
 
 
 def overwrite_path(df: DataFrame, path: str, *partition_columns: str) -> None:
@@ -74,7 +81,6 @@ def bind_views(tables: Mapping[str, DataFrame]) -> None:
 
 
 def append_by_date(df: DataFrame, path: str, date_column: str) -> None:
-    """Append to a Parquet table partitioned by a date column. Rows of a date go to a
-    bounded number of tasks, so a date gets few files but no single hot writer."""
-    spread = df.repartition(F.col(date_column), F.pmod(F.xxhash64(*df.columns), F.lit(32)))
-    spread.write.mode("append").partitionBy(date_column).parquet(path)
+    """Append to a Parquet table partitioned by a date column. Rows are gathered by date, so
+    a date gets few files; Spark splits a date with many rows over several writers."""
+    df.hint("rebalance", date_column).write.mode("append").partitionBy(date_column).parquet(path)

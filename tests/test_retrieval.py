@@ -132,7 +132,7 @@ def test_sync_is_incremental_and_keeps_the_newest(spark, tmp_path):
 
 
 def test_sparse_key_join(spark):
-    left = spark.createDataFrame([(i, 7 if i % 10 == 0 else None) for i in range(100)], "id long, link long")
+    left = spark.createDataFrame([(i, 7 if i % 10 == 0 else None) for i in range(100)], "id long, link int")
     right = spark.createDataFrame([(7, "seven"), (8, "eight")], "key long, name string")
     rows = joins.left_join_sparse_key(left, right, "link", "key", "id").collect()
     assert len(rows) == 100

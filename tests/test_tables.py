@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from riskweave.operators import reports
+from riskweave.operators.joins import with_score
 from riskweave.session import scratch_dir
 from riskweave.sources import roles, tables
 from riskweave.streaming.scoring import capture
@@ -21,6 +22,22 @@ def test_overwrite_replaces_schema_and_drop_goes_on(spark):
     assert not spark.catalog.tableExists("risk_demo.items")
 
 
+def test_bucketed_tables_join_without_shuffle(spark, folder):
+    tables.ensure_schema(spark, "risk_demo")
+    tables.overwrite_table(roles.order_claims(spark, folder), "risk_demo.claims", "claim_id", 4)
+    tables.overwrite_table(roles.order_scores(spark, folder), "risk_demo.scores", "claim_id", 4)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = with_score(spark.table("risk_demo.claims"), spark.table("risk_demo.scores"), "fraud_score")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == roles.order_claims(spark, folder).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        tables.drop_tables(spark, ["risk_demo.claims", "risk_demo.scores"])
+
+
 def test_audit_notices_lost_rows(spark):
     whole = spark.range(10)
     rows = tables.write_audit({"good": (whole, spark.range(10)), "short": (whole, spark.range(9))}).collect()
