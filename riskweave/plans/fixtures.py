@@ -33,37 +33,37 @@ def _alerts(spark, folder):
     return fixtures.fill_alerts(read_table(spark, folder, "events").select("event_id"), incidents, "event_id")
 
 
-def f01_providers(spark, folder):
+def fixture_providers(spark, folder):
     return _providers(spark, folder)
 
 
-def f02_claims(spark, folder):
+def fixture_claims(spark, folder):
     return _claims(spark, folder).drop("o_orderkey")
 
 
-def f03_scores(spark, folder):
+def fixture_scores(spark, folder):
     return fixtures.fill_scores(_claims(spark, folder), "o_orderkey")
 
 
-def f04_incidents(spark, folder):
+def fixture_incidents(spark, folder):
     return _incidents(spark, folder).drop("o_orderkey")
 
 
-def f05_alerts(spark, folder):
+def fixture_alerts(spark, folder):
     return _alerts(spark, folder).drop("event_id")
 
 
-def f06_drawn_fraud_by_area(spark, folder):
+def fixture_fraud_by_area(spark, folder):
     """The area report over the drawn tables."""
     return reports.fraud_by_area(_claims(spark, folder), _providers(spark, folder))
 
 
-def f07_drawn_monthly_metrics(spark, folder):
+def fixture_monthly_metrics(spark, folder):
     """The monthly metrics over the drawn tables."""
     return metrics.monthly_metrics(_incidents(spark, folder), _alerts(spark, folder))
 
 
-def f08_drawn_rates(spark, folder):
+def fixture_incident_shares(spark, folder):
     """Shares of the drawn types, for comparison with their weights."""
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))
     counted = _incidents(spark, folder).groupBy("incident_type").agg(F.count("*").alias("n"))
@@ -71,8 +71,8 @@ def f08_drawn_rates(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in [
-    f01_providers, f02_claims, f03_scores, f04_incidents, f05_alerts,
-    f06_drawn_fraud_by_area, f07_drawn_monthly_metrics, f08_drawn_rates,
+    fixture_providers, fixture_claims, fixture_scores, fixture_incidents, fixture_alerts,
+    fixture_fraud_by_area, fixture_monthly_metrics, fixture_incident_shares,
 ]}
 
 
@@ -222,9 +222,9 @@ alerts AS (
     FROM typed_alerts)"""
 
 ORACLES = {
-    "f01_providers": f"WITH {PROVIDERS} SELECT * FROM providers",
-    "f02_claims": f"WITH {PROVIDERS}, {CLAIMS} SELECT * EXCLUDE (o_orderkey, region) FROM claims",
-    "f03_scores": f"""WITH {PROVIDERS}, {CLAIMS}
+    "fixture_providers": f"WITH {PROVIDERS} SELECT * FROM providers",
+    "fixture_claims": f"WITH {PROVIDERS}, {CLAIMS} SELECT * EXCLUDE (o_orderkey, region) FROM claims",
+    "fixture_scores": f"""WITH {PROVIDERS}, {CLAIMS}
         SELECT claim_id, fraud_score, {sql_category('fraud_score')} AS risk_category, model_version, score_date,
             investigation_outcome, estimated_loss_hkd, provider_risk_pct
         FROM (SELECT claim_id, {_SCORE} AS fraud_score, {_weighted(_s(0), V.MODEL_VERSIONS)} AS model_version,
@@ -234,14 +234,14 @@ ORACLES = {
                 CASE WHEN is_flagged THEN {sql_round(f"claim_amount_hkd * {_real(_s(3), 0.5, 1.0)}", 2)}
                     ELSE 0.0::double END AS estimated_loss_hkd,
                 provider_risk_pct FROM claims)""",
-    "f04_incidents": f"WITH {INCIDENTS} SELECT * EXCLUDE (o_orderkey) FROM incidents",
-    "f05_alerts": f"WITH {ALERTS} SELECT * EXCLUDE (event_id) FROM alerts",
-    "f06_drawn_fraud_by_area": f"""WITH {PROVIDERS}, {CLAIMS}
+    "fixture_incidents": f"WITH {INCIDENTS} SELECT * EXCLUDE (o_orderkey) FROM incidents",
+    "fixture_alerts": f"WITH {ALERTS} SELECT * EXCLUDE (event_id) FROM alerts",
+    "fixture_fraud_by_area": f"""WITH {PROVIDERS}, {CLAIMS}
         SELECT {sql_area('region')} AS area, count(*) AS total_claims, {sql_flagged()} AS flagged_claims,
             {sql_round(f"cast({sql_flagged()} * 100 as double) / count(*)", 1)} AS fraud_rate_pct
         FROM claims GROUP BY 1""",
-    "f07_drawn_monthly_metrics": f"WITH {INCIDENTS}, {ALERTS}, {METRICS} SELECT * FROM metrics",
-    "f08_drawn_rates": f"""WITH {INCIDENTS}
+    "fixture_monthly_metrics": f"WITH {INCIDENTS}, {ALERTS}, {METRICS} SELECT * FROM metrics",
+    "fixture_incident_shares": f"""WITH {INCIDENTS}
         SELECT incident_type, {sql_round("cast(count(*) as double) / (SELECT count(*) FROM orders)", 4)} AS share
         FROM incidents GROUP BY incident_type""",
 }
