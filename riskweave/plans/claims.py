@@ -127,6 +127,24 @@ def j07_claims_in_list(spark, folder):
         .agg(F.count("*").alias("claim_count"))
 
 
+def p01_projected(spark, folder):
+    return roles.order_claims(spark, folder).select(
+        "claim_id", F.col("claim_amount_hkd").alias("amount"), F.col("status").alias("action_taken"))
+
+
+def p03_area_of_region(spark, folder):
+    """Providers by region and the area it rolls up to."""
+    return roles.customer_providers(spark, folder)\
+        .groupBy("region", risk.area_of(F.col("region")).alias("area"))\
+        .agg(F.count("*").alias("provider_count"))
+
+
+def s01_named_table(spark, folder):
+    """A table scanned by its name."""
+    bind_views({"named_claims": roles.order_claims(spark, folder)})
+    return spark.table("named_claims").groupBy("status", "claim_type").agg(F.count("*").alias("claim_count"))
+
+
 def p04_provider_tier(spark, folder):
     return _suppliers_with_history(spark, folder).select(
         "provider_id", "total_claims_handled", "flagged_claims_pct", "risk_tier")
@@ -220,6 +238,9 @@ QUERIES = {
     "j03_claims_left_providers": j03_claims_left_providers,
     "j05_provider_attributes": j05_provider_attributes,
     "j07_claims_in_list": j07_claims_in_list,
+    "p01_projected": p01_projected,
+    "p03_area_of_region": p03_area_of_region,
+    "s01_named_table": s01_named_table,
     "p04_provider_tier": p04_provider_tier,
     "p06_flagged_only": p06_flagged_only,
     "p08_not_blank": p08_not_blank,
@@ -335,6 +356,13 @@ ORACLES = {
     "j07_claims_in_list": with_roles("line_claims", """
         SELECT count(*) AS claim_count FROM line_claims
         WHERE claim_type IN ('travel', 'property') AND submission_channel IN ('email', 'agent')"""),
+    "p01_projected": with_roles("order_claims", """
+        SELECT claim_id, claim_amount_hkd AS amount, status AS action_taken FROM order_claims"""),
+    "p03_area_of_region": with_roles("customer_providers", f"""
+        SELECT region, {sql_area('region')} AS area, count(*) AS provider_count
+        FROM customer_providers GROUP BY region"""),
+    "s01_named_table": with_roles("order_claims", """
+        SELECT status, claim_type, count(*) AS claim_count FROM order_claims GROUP BY status, claim_type"""),
     "p04_provider_tier": with_roles(_LINES, f"""WITH {_HISTORY}
         SELECT provider_id, total_claims_handled, flagged_claims_pct,
             {sql_tier('flagged_claims_pct')} AS risk_tier FROM history"""),

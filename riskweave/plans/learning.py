@@ -15,6 +15,7 @@ from riskweave.plans.role_sql import sql_tier, with_roles
 from riskweave.plans.scoring import RULE_SCORE_SQL
 from riskweave.session import scratch_dir
 from riskweave.sources import roles
+from riskweave.sources.tables import append_path
 
 CHECK_TREES = 10
 
@@ -65,9 +66,12 @@ def m07_predictions(spark, folder):
 
 
 def m10_run_metrics(spark, folder):
+    """A run's test AUC and parameters, appended to a table of runs and read back."""
     predictions = learning.predict(_fitted(spark, folder), _test_rows(spark, folder))
-    return learning.run_metrics(predictions, "fraud_trees", {
-        "trees": CHECK_TREES, "max_depth": 5, "learning_rate": 0.05, "test_percent": V.TEST_SHARE_PERCENT})
+    runs = scratch_dir(spark, "runs")
+    append_path(learning.run_metrics(predictions, "fraud_trees", {
+        "trees": CHECK_TREES, "max_depth": 5, "learning_rate": 0.05, "test_percent": V.TEST_SHARE_PERCENT}), runs)
+    return spark.read.parquet(runs)
 
 
 def m13_saved_model_scores(spark, folder):

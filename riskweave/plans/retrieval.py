@@ -153,7 +153,9 @@ def r11_prompt_messages(spark, folder):
     requests = _conversation_requests(spark, folder)
     turns = read_table(spark, folder, "conversations")
     asked = requests.select(F.col("query_id").alias("conv_id"), "asked_turn")
-    history = retrieval.history_messages(turns).join(asked, "conv_id").filter("turn <> asked_turn")
+    # Cut each conversation first: one message more than a prompt takes, as the question is one.
+    newest = retrieval.last_messages(retrieval.history_messages(turns), V.HISTORY_LIMIT + 1)
+    history = newest.join(asked, "conv_id").filter("turn <> asked_turn")
     messages = retrieval.prompt_messages(requests, history.drop("asked_turn"))
     return messages.select("query_id", F.posexplode("messages").alias("position", "m"))\
         .select("query_id", "position", "m.role", F.md5("m.content").alias("content_hash"))

@@ -48,6 +48,10 @@ def overwrite_path(df: DataFrame, path: str, *partition_columns: str) -> None:
     (writer.partitionBy(*partition_columns) if partition_columns else writer).parquet(path)
 
 
+def append_path(df: DataFrame, path: str) -> None:
+    df.write.mode("append").parquet(path)
+
+
 def drop_tables(spark: SparkSession, tables: Sequence[str]) -> list[tuple[str, str]]:
     """Drop every table that exists; go on after an error and report it."""
     outcome = []

@@ -33,6 +33,13 @@ def sync_changes(changes: DataFrame, path: str, checkpoint: str, key: str, versi
     )
 
 
+def merge_changes(spark: SparkSession, path: str, merged_path: str, key: str, version: str) -> None:
+    """Write the newest change per key, deletions included, as the first change folder of a
+    new path. Later runs with the same checkpoint go on there, and readers read less."""
+    newest_by_key(spark.read.parquet(path).drop("batch"), key, version)\
+        .write.mode("errorifexists").parquet(f"{merged_path}/batch=-1")
+
+
 def current_rows(spark: SparkSession, path: str, key: str, version: str,
                  deleted: Column | None = None) -> DataFrame:
     """The synced table: newest change per key, deleted keys left out."""

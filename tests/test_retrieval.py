@@ -10,7 +10,7 @@ from riskweave import fixed_values as V
 from riskweave.operators import joins, retrieval
 from riskweave.plans import retrieval as plans
 from riskweave.sources import roles
-from riskweave.streaming.sync import current_rows, sync_changes
+from riskweave.streaming.sync import current_rows, merge_changes, sync_changes
 
 
 def cosine(a, b):
@@ -129,6 +129,10 @@ def test_sync_is_incremental_and_keeps_the_newest(spark, tmp_path):
     assert run([("a", 1, "a1", False), ("b", 1, "b1", False), ("a", 2, "a2", False)]) == {"a": "a2", "b": "b1"}
     assert run([("b", 3, "b3", False), ("c", 1, "c1", False), ("a", 3, None, True)]) == {"b": "b3", "c": "c1"}
     assert run([("b", 2, "late", False)]) == {"b": "b3", "c": "c1"}
+    merge_changes(spark, changes, str(tmp_path / "merged"), "chunk_id", "version")
+    changes = str(tmp_path / "merged")
+    assert run([("c", 2, "c2", False)]) == {"b": "b3", "c": "c2"}
+    assert run([("a", 2, "late", False)]) == {"b": "b3", "c": "c2"}
 
 
 def test_sparse_key_join(spark):
