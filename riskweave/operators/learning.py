@@ -46,7 +46,8 @@ def category_codes(features: DataFrame, columns=None) -> DataFrame:
 def encoded(features: DataFrame, columns=None) -> DataFrame:
     """Features with every category replaced by its code."""
     columns = columns or V.CATEGORICAL_FEATURES
-    # One small map for all categories: one pass over the table, and no join.
+    # One map for all categories: one pass over the table, and no join. It holds the distinct
+    # values of a category, as a fitted string indexer would.
     lookup = category_codes(features, columns).agg(F.map_from_entries(F.collect_list(
         F.struct(F.concat_ws("=", "feature", "value"), F.col("code"))))).scalar()
     return features.withColumns(

@@ -144,7 +144,7 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``is_test``, true for exactly round(share * n) rows of each label.
 
-    Rows are ordered by a keyed hash, so the split is random but repeatable. ``key`` must
+    Labels are classes: one hash for each is looked up in a map. Rows are ordered by a keyed hash, so the split is random but repeatable. ``key`` must
     be unique. The first hash digits are the bucket: equal sizes by construction.
     """
     hashed = df.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))

@@ -25,11 +25,10 @@ def rejected(requests: DataFrame) -> DataFrame:
 
 
 def score_by_rules(claims: DataFrame) -> DataFrame:
-    """Add fraud_score, risk_category and risk_factors. One projection, no shuffle."""
-    score = risk.rule_score()
-    return claims.withColumns({
-        "fraud_score": score,
-        "risk_category": risk.risk_category(score),
+    """Add fraud_score, risk_category and risk_factors. No shuffle; the score is a column of
+    its own, so that it is computed once."""
+    return claims.withColumn("fraud_score", risk.rule_score()).withColumns({
+        "risk_category": risk.risk_category(F.col("fraud_score")),
         "risk_factors": risk.risk_factors(),
     })
 
@@ -40,9 +39,8 @@ def explode_factors(scored: DataFrame, *keys: str) -> DataFrame:
         .select(*keys, "position", "f.factor", "f.impact", "f.description")
 
 
-def _answer_score(answer: Column) -> Column:
+def _answer_score(answer: Column, keys: Column) -> Column:
     """Score text of one answer object: fraud_score, else score, else 50."""
-    keys = F.json_object_keys(answer)
     return (
         F.when(F.array_contains(keys, "fraud_score"), F.get_json_object(answer, "$.fraud_score"))
         .when(F.array_contains(keys, "score"), F.get_json_object(answer, "$.score"))
@@ -50,7 +48,7 @@ def _answer_score(answer: Column) -> Column:
     )
 
 
-def _answer_factors(answer: Column) -> Column:
+def _answer_factors(answer: Column, keys: Column) -> Column:
     """Factors an answer object lists, gaps filled; null when they cannot be read."""
     listed = F.from_json(F.get_json_object(answer, "$.risk_factors"), FACTORS_TYPE)
     filled = F.transform(listed, lambda f: F.struct(
@@ -58,8 +56,8 @@ def _answer_factors(answer: Column) -> Column:
         F.coalesce(f["impact"], F.lit("medium")).alias("impact"),
         F.coalesce(f["description"], F.lit("")).alias("description"),
     ))
-    given = F.array_contains(F.json_object_keys(answer), "risk_factors")
-    return F.when(given, filled).otherwise(F.from_json(F.lit("[]"), FACTORS_TYPE))
+    return F.when(F.array_contains(keys, "risk_factors"), filled)\
+        .otherwise(F.from_json(F.lit("[]"), FACTORS_TYPE))
 
 
 def score_by_model_answer(claims: DataFrame, predictions: str) -> DataFrame:
@@ -68,29 +66,35 @@ def score_by_model_answer(claims: DataFrame, predictions: str) -> DataFrame:
     ``predictions`` holds a list, whose first element counts, or one bare value. An empty
     answer scores 50. ``score_source`` says who scored.
     """
-    text = F.col(predictions)
-    length = F.json_array_length(text)
-    answer = F.when(length > 0, F.get_json_object(text, "$[0]"))
-    is_object = F.json_object_keys(answer).isNotNull()
+    text, length, answer, keys = F.col(predictions), F.col("_length"), F.col("_answer"), F.col("_keys")
+    is_object = keys.isNotNull()
     empty = (length == 0) | F.trim(text).isin("", "null", "0", "0.0", "{}", '""', "false")
-    score = (
-        F.when(is_object, _answer_score(answer).try_cast("double"))
+    answered = (
+        F.when(is_object, _answer_score(answer, keys).try_cast("double"))
         .when(length > 0, answer.try_cast("double"))
         .when(empty, F.lit(50.0))
         .otherwise(text.try_cast("double"))
     )
-    parts = claims.withColumns({"_model_score": score, "_object": F.coalesce(is_object, F.lit(False)),
-                                "_factors": F.when(is_object, _answer_factors(answer))})
-    usable = F.col("_model_score").isNotNull() & (~F.col("_object") | F.col("_factors").isNotNull())
-    model_score = clamp(F.col("_model_score"), 0.0, 100.0)
-    rules = risk.rule_score()
-    own_factors = F.when(usable & F.col("_object"), F.col("_factors"))
-    return parts.withColumns({
-        "score_source": F.when(usable, "model").otherwise("rules"),
-        "risk_category": F.when(usable, risk.risk_category(model_score)).otherwise(risk.risk_category(rules)),
-        "fraud_score": F.when(usable, rounded(model_score, 1)).otherwise(rules),
-        "risk_factors": F.coalesce(own_factors, risk.risk_factors()),
-    }).drop("_model_score", "_object", "_factors")
+    # One step per parsed part, so that no part is parsed twice.
+    parsed = (
+        claims.withColumn("_length", F.json_array_length(text))
+        .withColumn("_answer", F.when(length > 0, F.get_json_object(text, "$[0]")))
+        .withColumn("_keys", F.json_object_keys(answer))
+        .withColumns({"_answered": clamp(answered, 0.0, 100.0), "_rules": risk.rule_score(),
+                      "_factors": F.when(is_object, _answer_factors(answer, keys))})
+        .withColumn("_usable", F.col("_answered").isNotNull() & (keys.isNull() | F.col("_factors").isNotNull()))
+    )
+    usable = F.col("_usable")
+    return (
+        parsed.withColumn("_score", F.when(usable, F.col("_answered")).otherwise(F.col("_rules")))
+        .withColumns({
+            "score_source": F.when(usable, "model").otherwise("rules"),
+            "risk_category": risk.risk_category(F.col("_score")),
+            "fraud_score": rounded(F.col("_score"), 1),
+            "risk_factors": F.when(usable & is_object, F.col("_factors")).otherwise(risk.risk_factors()),
+        })
+        .drop("_length", "_answer", "_keys", "_answered", "_rules", "_factors", "_usable", "_score")
+    )
 
 
 def with_fallback(claims: DataFrame, model_score: str) -> DataFrame:
@@ -99,5 +103,4 @@ def with_fallback(claims: DataFrame, model_score: str) -> DataFrame:
     return claims.withColumns({
         "score_source": F.when(F.col(model_score).isNotNull(), "model").otherwise("rules"),
         "fraud_score": score,
-        "risk_category": risk.risk_category(score),
-    })
+    }).withColumn("risk_category", risk.risk_category(F.col("fraud_score")))

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskweave import fixed_values as V
@@ -135,6 +136,28 @@ def test_sync_is_incremental_and_keeps_the_newest(spark, tmp_path):
     assert run([("a", 2, "late", False)]) == {"b": "b3", "c": "c2"}
 
 
+def test_index_follows_its_source(spark, tmp_path):
+    """Changed chunks are vectorised in the stream; searches see the newest text only."""
+    source, index, checkpoint = (str(tmp_path / n) for n in ("source", "index", "checkpoint"))
+    schema = "chunk_id string, version long, chunk_text string"
+    first = [("a", 1, "fraud escalation threshold"), ("b", 1, "password rotation policy"), ("c", 1, "claims archive")]
+    model = retrieval.fit_text_vectors(spark.createDataFrame(first, schema), "chunk_text")
+
+    def search(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        stream = model.transform(spark.readStream.schema(schema).parquet(source)).select(
+            "chunk_id", "version", vector_to_array("_unit", "float32").alias("vector"))
+        sync_changes(stream, index, checkpoint, "chunk_id", "version").awaitTermination()
+        asked = spark.createDataFrame([(1, "fraud threshold")], "query_id int, chunk_text string")
+        found = retrieval.nearest(
+            current_rows(spark, index, "chunk_id", "version").select("chunk_id", "vector"),
+            retrieval.text_vectors(model, asked, "query_id", "chunk_text"), 1)
+        return found.first().key
+
+    assert search(first) == "a"
+    assert search([("a", 2, "claims archive"), ("b", 2, "fraud escalation threshold")]) == "b"
+
+
 def test_sparse_key_join(spark):
     left = spark.createDataFrame([(i, 7 if i % 10 == 0 else None) for i in range(100)], "id long, link int")
     right = spark.createDataFrame([(7, "seven"), (8, "eight")], "key long, name string")
