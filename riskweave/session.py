@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "riskweave", **conf: str) -> SparkSession:
@@ -30,15 +29,31 @@ def build_session(app_name: str = "riskweave", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's ``spark.checkpoint.dir``.
-
-    A machine-local folder is used only when the setting is absent and Spark runs
-    in local mode; on a cluster the executors could not share it.
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a folder of the warehouse,
+    which executors share as well."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="riskweave-")
-    return f"{base.rstrip('/')}/riskweave/{purpose}-{uuid.uuid4().hex}"
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return base.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder that driver and executors share."""
+    return f"{shared_folder(spark)}/riskweave/{purpose}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The same rows, read from a reliable checkpoint, so that a lost executor repeats nothing
+    before it."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The same rows as a Parquet table below the shared folder."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
