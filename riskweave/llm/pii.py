@@ -71,11 +71,16 @@ def _luhn(digits: str) -> bool:
     return (sum(values[::2]) + sum(sum(divmod(2 * v, 10)) for v in values[1::2])) % 10 == 0
 
 
+def _ip_parts(text: str) -> bool:
+    parts = [p.lstrip("0") for p in text.split(".")]
+    return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of what the rules find, by kind and start."""
     found = [(0, a, b) for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+        if _ip_parts(m[0]):
             found.append((1, *m.span()))
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m[0])
@@ -99,9 +104,18 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
         yield first + left, first + len(token.rstrip(_EDGE)) if token.strip(_EDGE) else first + left
 
 
+def _invalid(token: str) -> bool:
+    """A number that looks like a card's or an address but fails its check. It has shapes of its
+    own, which no rule ever labels."""
+    if _IP.fullmatch(token):
+        return not _ip_parts(token)
+    digits = token.replace("-", "")
+    return digits.isascii() and digits.isdigit() and 13 <= len(digits) <= 19 and not _luhn(digits)
+
+
 def _shape(token: str) -> int:
     kinds = re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 20)}", re.sub(r"[^\W\d_]+", "a", token[:64]))
-    return zlib.crc32(kinds.encode("utf-8", "replace")) % SHAPES
+    return zlib.crc32((kinds + "!" * _invalid(token)).encode("utf-8", "replace")) % SHAPES
 
 
 def _keys(token: str) -> set[str]:
