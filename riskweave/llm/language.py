@@ -211,3 +211,21 @@ def identify(documents: DataFrame, model: Model, switch: float = SWITCH) -> Data
 def held_out(doc_id: Column) -> Column:
     """A quarter of all documents, by a checksum of the id; a null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def keep_known(documents: DataFrame, model: Model, least: float = 0.5, switch: float = SWITCH) -> DataFrame:
+    """The rows, with all their columns, whose language is known by at least this score."""
+    docs = documents.withColumn("text", F.col("text").cast("string"))
+    predict = _predictor(model, switch)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, "text", 8 << 20):
+                asked = pa.RecordBatch.from_arrays(
+                    [pa.nulls(rows.num_rows, pa.int64()), rows.column("text")], ["doc_id", "text"])
+                good: list[bool] = []
+                for found in predict(iter([asked])):
+                    good += [lang != "und" and score >= least for lang, score in zip(
+                        found.column("lang_pred").to_pylist(), found.column("score").to_pylist(), strict=True)]
+                yield rows.filter(pa.array(good, pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)

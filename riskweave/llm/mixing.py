@@ -9,9 +9,10 @@ document at the cut gives only the words that are still wanted.
 The hash order is dealt into parts of equal shares of the hash range; part totals are few and give
 each part its start, so no source, however large, is sorted in one task.
 
-Null or wordless text has size 0 and takes 0 words. A null doc_id is a document like any other;
-repeated rows are taken one by one (their order is that of their hash, id, size). An empty table
-gives no rows. Extra columns are ignored.
+Null or wordless text has size 0 and takes 0 words. A null doc_id is a document like any other.
+Rows repeated with the same id and size stand at one place in the order; if the cut falls there,
+they share the words equally, rounded down. An empty table gives no rows. Extra columns are ignored
+by ``mixture`` and kept by ``mixed``.
 """
 
 from __future__ import annotations
@@ -60,34 +61,85 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
         .otherwise(F.least(F.col("w") * found["level"], (F.col("source_size") * most).cast("double"))).alias("target"))
 
 
+def _words(documents: DataFrame) -> DataFrame:
+    return documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        word_count(F.col("text")).alias("size"))
+
+
+def source_cuts(
+    sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3, seed: int = 17,
+) -> DataFrame:
+    """One row per source: source, source_size, target, epochs (whole copies of every document) and
+    the cut: documents whose (key, id, size) is below it are taken once more, those at it give
+    ``last`` words."""
+    # Repeated rows are one unit; parts are equal shares of the key's first 32 bits.
+    units = sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("rows"))\
+        .withColumn("key", random_key(F.col("doc_id"), seed))
+    targets = source_targets(sized, weights, most)
+    per = sized.groupBy("source").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))\
+        .withColumnRenamed("source", "s1")
+    plan = targets.join(per, F.equal_null("source", "s1")).withColumn("budget", F.round("target").cast("long"))\
+        .withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)))\
+        .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")).drop("s1", "budget")
+    plan = cut_lineage(plan)
+    dealt = units.join(plan.select(F.col("source").alias("s1"), "parts", "rest"), F.equal_null("source", "s1"))\
+        .withColumn("part", F.expr("(CAST(conv(substring(key, 1, 8), 16, 10) AS BIGINT) * parts) div 4294967296"))\
+        .withColumn("words", F.col("size") * F.col("rows"))
+    dealt = cut_lineage(dealt.filter("words > 0").select("source", "part", "key", "doc_id", "size", "rows", "words", "rest"))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # The one part per source that holds the cut; only its documents are sorted.
+    holding = dealt.groupBy("source", "part").agg(F.sum("words").alias("in_part"), F.first("rest").alias("rest"))\
+        .withColumn("start", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)))\
+        .filter((F.col("start") < F.col("rest")) & (F.col("rest") <= F.col("start") + F.col("in_part")))\
+        .select(F.col("source").alias("s1"), F.col("part").alias("p1"), "start")
+    within = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = dealt.join(holding, F.equal_null("source", "s1") & (F.col("part") == F.col("p1")))\
+        .withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(within), F.lit(0)))\
+        .filter((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("words")))\
+        .select(F.col("source").alias("s2"), F.struct("key", "doc_id", "size").alias("cut"),
+                F.expr("(rest - before) div rows").alias("last"))
+    return plan.join(cuts, F.equal_null("source", "s2"), "left")\
+        .select(F.col("source").alias("_source"), "source_size", "target", "epochs", "cut", "last")
+
+
+def _taken(doc_id: Column, size: Column, seed: int) -> Column:
+    """Words of a row that are taken once more."""
+    own = F.struct(random_key(doc_id, seed).alias("key"), doc_id.alias("doc_id"), size.alias("size"))
+    return F.when(F.col("cut").isNull(), F.lit(0).cast("long")).when(own < F.col("cut"), size)\
+        .when(own == F.col("cut"), F.col("last")).otherwise(F.lit(0).cast("long"))
+
+
 def mixture(
     documents: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3, seed: int = 17,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (words, repeats counted) of every row."""
-    sized = cut_lineage(documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        word_count(F.col("text")).alias("size")))
-    targets = source_targets(sized, weights, most)
-    per = sized.groupBy("source").agg(F.count("*").alias("n"))
-    # Budgets are whole words; parts are equal shares of the key's first 32 bits.
-    plan = targets.join(per, F.equal_null(targets["source"], per["source"])).select(
-        targets["source"].alias("s"), "source_size", "target",
-        F.round("target").cast("long").alias("budget"),
-        F.ceil(F.col("n") / PART_ROWS).alias("parts"))
-    plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0))\
-        .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
-    key = random_key(F.col("doc_id"), seed)
-    keyed = sized.withColumn("key", key).join(plan, F.equal_null("source", "s")).withColumn(
-        "part", F.expr("(CAST(conv(substring(key, 1, 8), 16, 10) AS BIGINT) * parts) div 4294967296").cast("long"))
-    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy("source", "part").agg(F.sum("size").alias("in_part")).select(
-        F.col("source").alias("s2"), F.col("part").alias("p2"),
-        F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("start"))
-    within = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size")\
-        .rowsBetween(Window.unboundedPreceding, -1)
-    joined = keyed.join(starts, F.equal_null("source", "s2") & (F.col("part") == F.col("p2")))
-    before = F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    return joined.withColumn("before", before).select(
+    sized = cut_lineage(_words(documents))
+    cuts = source_cuts(sized, weights, most, seed)
+    extra = _taken(F.col("doc_id"), F.col("size"), seed)
+    return sized.join(cuts, F.equal_null("source", "_source")).select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
+
+
+def mixed(
+    documents: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3, seed: int = 17,
+) -> DataFrame:
+    """The mix itself, with the documents' columns: every row as often as it is taken. The document
+    at a source's cut gives its first words, joined by single spaces. Texts are not moved; one row
+    per source meets them."""
+    cuts = source_cuts(cut_lineage(_words(documents)), weights, most, seed)
+    columns = documents.columns
+    given = {c: f"_given_{i}" for i, c in enumerate(columns)}  # no name of theirs can clash
+    rows = documents.select(*[F.col(f"`{c}`").alias(given[c]) for c in columns])
+    text, doc_id, source = (F.col(given[c]).cast(k) for c, k in (("text", "string"), ("doc_id", "long"), ("source", "string")))
+    size = word_count(text)
+    sized = rows.withColumn("_size", size).join(cuts, F.equal_null(source, F.col("_source")))\
+        .withColumn("_extra", _taken(doc_id, F.col("_size"), seed))
+    copies = F.col("epochs").cast("int") + (F.col("_extra") > 0).cast("int")
+    taken = sized.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+    cut = (F.col("_copy") > F.col("epochs")) & (F.col("_extra") < F.col("_size"))
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)),
+                                F.lit(1), F.col("_extra").cast("int")), " ")
+    return taken.withColumn(given["text"], F.when(cut, head).otherwise(text))\
+        .select(*[F.col(given[c]).alias(c) for c in columns])

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import components, joined_ids, mixed, slices
+from riskweave.llm.common import BROADCAST_IDS, components, joined_ids, mixed, slices
 from riskweave.session import cut_lineage, written
 
 
@@ -274,6 +274,20 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash()) -> DataFrame:
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
 
 
+def keep_one(documents: DataFrame, p: MinHash = MinHash()) -> DataFrame:
+    """The rows, with all their columns, of one document of each group: that of least doc_id, once."""
+    found = cut_lineage(near_duplicates(documents, p).select(F.col("doc_id").alias("_id"), "kept"))
+    gone = found.filter("NOT kept").select("_id").distinct()
+    again = found.filter("kept AND _id IS NOT NULL").groupBy("_id").count().filter("count > 1").select("_id")
+    rows = documents.withColumn("_id", F.col("doc_id").cast("long"))
+    others = gone.unionAll(again)
+    if others.count() <= BROADCAST_IDS:
+        others = F.broadcast(others)
+    once = rows.join(others, "_id", "left_anti")
+    repeated = joined_ids(rows, again, "_id").dropDuplicates(["_id"])
+    return once.unionByName(repeated).drop("_id")
+
+
 def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, p: MinHash) -> DataFrame:
     """Links between members of a bucket that are still in different components.
 
