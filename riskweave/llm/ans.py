@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import slices
+from riskweave.llm.common import slices, tidied
 from riskweave.llm.tokenizing import tokens
 
 #: Frequencies sum to 2 ** PRECISION. States stay in [2 ** 31, 2 ** 63); 32 bits move at a time.
@@ -179,7 +179,7 @@ def write_tokens(documents: DataFrame, folder: str, path: str, end_id: int = 0)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_encoder(path, end_id), _FILE).write.option("compression", "none").parquet(folder)
+    ordered.mapInArrow(tidied(_encoder(path, end_id)), _FILE).write.option("compression", "none").parquet(folder)
 
 
 def _decoder(digest: bool) -> Callable:
@@ -206,7 +206,7 @@ def read_tokens(spark: SparkSession, folder: str, digest: bool = False) -> DataF
     files = spark.read.schema(_FILE).parquet(folder)
     last = "ids_crc32 long" if digest else "ids array<int>"
     docs = files.select("part", "segment", "payload").mapInArrow(
-        _decoder(digest), f"part int, segment int, doc_id long, within long, n_tokens long, {last}")
+        tidied(_decoder(digest)), f"part int, segment int, doc_id long, within long, n_tokens long, {last}")
     # One row per segment; only those of one partition, and one row per partition, are sorted together.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))\

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import slices
+from riskweave.llm.common import slices, tidied
 
 BUCKETS = 1 << 16
 #: Cost of a switch, in nats. A script is a language's if it has this share of its letters.
@@ -44,14 +44,14 @@ _SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<start
 @functools.cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per code point: letter, lower case, script (the last number for all others)."""
-    characters = [chr(i) for i in range(sys.maxunicode + 1)]
-    letter = np.fromiter((c.isalpha() for c in characters), bool, len(characters))
-    lower = np.arange(len(characters), dtype=np.uint32)
+    size = sys.maxunicode + 1
+    letter = np.fromiter((chr(i).isalpha() for i in range(size)), bool, size)
+    lower = np.arange(size, dtype=np.uint32)
     for i in np.flatnonzero(letter).tolist():
-        low = characters[i].lower()
+        low = chr(i).lower()
         if len(low) == 1:
             lower[i] = ord(low)
-    script = np.full(len(characters), len(_NAMES), np.int8)
+    script = np.full(size, len(_NAMES), np.int8)
     for name, first, last in SCRIPTS:
         script[first:last + 1] = _NAMES.index(name)
     return letter, lower, script
@@ -96,7 +96,7 @@ def _texts(rows: pa.RecordBatch) -> list[str]:
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
-        for rows in slices(batch, "text", 8 << 20):
+        for rows in slices(batch, "text", 3 << 20):
             langs, texts = rows.column("lang").to_pylist(), _texts(rows)
             for lang in dict.fromkeys(langs):
                 w = _words([t for t, x in zip(texts, langs, strict=True) if x == lang])
@@ -121,7 +121,7 @@ def fit(labelled: DataFrame) -> Model:
     """From text, lang of rows whose lang is not null: per language, a table of fixed size."""
     docs = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    cells = docs.mapInArrow(_counter, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    cells = docs.mapInArrow(tidied(_counter), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     table = cells.toArrow()
     names, at = np.unique(np.array(table.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
     counts = np.zeros((BUCKETS + len(_NAMES) + 1, len(names)))
@@ -169,7 +169,7 @@ def _predictor(model: Model, switch: float) -> Callable:
         langs = np.array([*model.langs, "und"], dtype=object)
         known = len(model.langs)
         for batch in batches:
-            for rows in slices(batch, "text", 8 << 20):
+            for rows in slices(batch, "text", 3 << 20):
                 texts = _texts(rows)
                 w, n = _words(texts), len(texts)
                 pred, score = np.full(n, known), np.zeros(n)
@@ -205,7 +205,7 @@ def _predictor(model: Model, switch: float) -> Callable:
 def identify(documents: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     """doc_id, lang_pred, score and spans (start, end, lang) of every row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_predictor(model, switch), _SCHEMA)
+    return docs.mapInArrow(tidied(_predictor(model, switch)), _SCHEMA)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -220,7 +220,7 @@ def keep_known(documents: DataFrame, model: Model, least: float = 0.5, switch: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, "text", 8 << 20):
+            for rows in slices(batch, "text", 3 << 20):
                 asked = pa.RecordBatch.from_arrays(
                     [pa.nulls(rows.num_rows, pa.int64()), rows.column("text")], ["doc_id", "text"])
                 good: list[bool] = []
@@ -228,4 +228,4 @@ def keep_known(documents: DataFrame, model: Model, least: float = 0.5, switch: f
                     good += [lang != "und" and score >= least for lang, score in zip(
                         found.column("lang_pred").to_pylist(), found.column("score").to_pylist(), strict=True)]
                 yield rows.filter(pa.array(good, pa.bool_()))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

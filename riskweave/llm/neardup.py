@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import BROADCAST_IDS, components, joined_ids, mixed, slices
+from riskweave.llm.common import BROADCAST_IDS, components, joined_ids, mixed, slices, tidied
 from riskweave.session import cut_lineage, written
 
 
@@ -232,7 +232,7 @@ def _block_linker(p: MinHash) -> Callable[[pa.Table], pa.Table]:
 def _pair_links(pairs: DataFrame, sets: DataFrame, p: MinHash) -> DataFrame:
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"), F.col("signature").alias("sig_a"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"), F.col("signature").alias("sig_b"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(_confirmer(p), "a long, b long")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(tidied(_confirmer(p)), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, p: MinHash = MinHash()) -> DataFrame:
@@ -240,7 +240,7 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     and kept (doc_id = component_id, or null doc_id) of every row of doc_id, text."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = written(docs.mapInArrow(
-        _sketcher(p), "doc_id long, n_shingles long, digest binary, keys array<long>, signature binary"), "sketches")
+        tidied(_sketcher(p)), "doc_id long, n_shingles long, digest binary, keys array<long>, signature binary"), "sketches")
     known = sketches.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
     nodes_of = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
     nodes = cut_lineage(known.join(nodes_of.withColumn("doc_id", F.col("node")), ["digest", "doc_id"])
@@ -257,7 +257,7 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash()) -> DataFrame:
 
     involved = members.select(F.col("node").alias("doc_id")).distinct()
     texts = joined_ids(docs, involved, "doc_id").distinct()
-    sets = texts.mapInArrow(_setter(p), "node long, shingles binary")\
+    sets = texts.mapInArrow(tidied(_setter(p)), "node long, shingles binary")\
         .join(nodes.select("node", "signature"), "node")
     sets = written(sets, "shingle-sets")
     links = cut_lineage(_pair_links(pairs, sets, p))

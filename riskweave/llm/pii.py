@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from riskweave.llm.common import slices
+from riskweave.llm.common import slices, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 _O = len(KINDS)  # the label of tokens that are no entity
@@ -207,7 +207,7 @@ def _information(counts: np.ndarray, smooth: float = 0.5) -> np.ndarray:
 def fit(documents: DataFrame) -> Model:
     """Potentials from counts over all documents; a table of fixed size reaches the driver."""
     texts = documents.select(F.col("text").cast("string").alias("text"))
-    cells = texts.mapInArrow(_count, "part int, cell long, n long").groupBy("part", "cell").agg(F.sum("n"))
+    cells = texts.mapInArrow(tidied(_count), "part int, cell long, n long").groupBy("part", "cell").agg(F.sum("n"))
     totals = [np.zeros(n * _LABELS) for n in (SHAPES, WORDS, _LABELS, _LABELS)]
     for part, cell, n in cells.collect():
         totals[part][cell] = n
@@ -304,7 +304,7 @@ def find(documents: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or fit(documents)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(
-        _finder(model), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
+        tidied(_finder(model)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
         "base_sha256 string, spans string, n_added long")
 
 
@@ -336,4 +336,4 @@ def redact(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """The same rows and columns, every span in ``text`` replaced by its kind."""
     model = model or fit(documents)
     docs = documents.withColumn("text", F.col("text").cast("string"))
-    return docs.mapInArrow(_redactor(model), StructType(docs.schema.fields))
+    return docs.mapInArrow(tidied(_redactor(model)), StructType(docs.schema.fields))
