@@ -19,7 +19,7 @@ from riskweave.session import cut_lineage
 BROADCAST_IDS = 1_000_000
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of whole rows with about ``max_bytes`` of one column each; a longer
     row is a run of its own."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))

@@ -13,8 +13,8 @@ import re
 
 import numpy as np
 
-#: Words remembered per worker, about 100 MB at most.
-KEPT_WORDS = 400_000
+#: Words remembered per worker, about 40 MB at most; the frequent ones come first.
+KEPT_WORDS = 150_000
 KEPT_LENGTH = 40
 
 _CUT = re.compile(r" (?=\S)")
@@ -58,8 +58,6 @@ class Tokens:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         known = self._known
-        if len(known) > KEPT_WORDS:
-            known.clear()
         cut = [x.split(" ") if not _ODD.search(x) else _CUT.split(x) for x in texts]
         wanted = set()
         for parts in cut:
@@ -70,7 +68,7 @@ class Tokens:
         now = dict(zip(simple, self._encode_words(simple), strict=True))
         now.update(zip(other, self._encode([" " + w for w in other]), strict=True))
         for w, ids in now.items():
-            if len(w) <= KEPT_LENGTH and len(known) <= KEPT_WORDS:
+            if len(w) <= KEPT_LENGTH and len(known) < KEPT_WORDS:
                 known[w] = ids
         firsts = list({parts[0] for parts in cut})
         first = dict(zip(firsts, self._encode(firsts), strict=True))
