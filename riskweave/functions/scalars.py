@@ -13,19 +13,18 @@ WHITESPACE = " \t\n\r\x0b\x0c\u00a0\ufeff"
 
 def rounded(x: Column, digits: int) -> Column:
     """Round half up on the decimal value, so 1.005 gives 1.01; returns double."""
-    return F.round(x.cast("decimal(20,6)"), digits).cast("double")
+    return F.round(x.cast("decimal(38,6)"), digits).cast("double")
 
 
-def exact_sum(x: Column, scale: int = 2) -> Column:
-    """Sum of a double with ``scale`` decimals, independent of row and partition order:
-    whole numbers of the last decimal are summed."""
-    units = F.rint(x * 10**scale).cast("long").cast("decimal(18,0)")
-    return F.sum(units).cast("double") / 10**scale
+def exact_sum(x: Column) -> Column:
+    """Sum of a double with up to 6 decimals, independent of row and partition order: decimals
+    are summed."""
+    return F.sum(x.cast("decimal(28,6)")).cast("double")
 
 
-def exact_avg(x: Column, scale: int = 2) -> Column:
-    """Mean of a double with ``scale`` decimals, independent of row and partition order."""
-    return exact_sum(x, scale) / F.count(x)
+def exact_avg(x: Column) -> Column:
+    """Mean of a double with up to 6 decimals, independent of row and partition order."""
+    return exact_sum(x) / F.count(x)
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -76,9 +76,11 @@ def class_weights(features: DataFrame, label: str = TARGET) -> DataFrame:
 
 
 def with_class_weight(train: DataFrame, label: str = TARGET) -> DataFrame:
-    weights = class_weights(train, label).agg(
+    """Rows with a label, each with its class's weight."""
+    known = train.filter(F.col(label).isNotNull())
+    weights = class_weights(known, label).agg(
         F.map_from_entries(F.collect_list(F.struct(label, "weight")))).scalar()
-    return train.withColumn("class_weight", F.element_at(weights, F.col(label)))
+    return known.withColumn("class_weight", F.element_at(weights, F.col(label)))
 
 
 def fit(train: DataFrame, trees: int = 200, max_depth: int = 5, step: float = 0.05) -> PipelineModel:
@@ -87,13 +89,16 @@ def fit(train: DataFrame, trees: int = 200, max_depth: int = 5, step: float = 0.
     prepared = with_class_weight(_ready(train)).withColumn("label", F.col(TARGET).cast("int"))
     codes = [f"{c}_code" for c in V.CATEGORICAL_FEATURES]
     inputs = [f"{f}_code" if f in V.CATEGORICAL_FEATURES else f for f in V.FEATURES]
+    indexer = StringIndexer(inputCols=V.CATEGORICAL_FEATURES, outputCols=codes,
+                            stringOrderType="alphabetAsc", handleInvalid="keep").fit(prepared)
+    # A category needs a bin for each value and one for unseen values.
+    bins = max([64, *(len(labels) + 1 for labels in indexer.labelsArray)])
     return Pipeline(stages=[
-        StringIndexer(inputCols=V.CATEGORICAL_FEATURES, outputCols=codes,
-                      stringOrderType="alphabetAsc", handleInvalid="keep"),
+        indexer,
         VectorAssembler(inputCols=inputs, outputCol="features"),
         GBTClassifier(featuresCol="features", labelCol="label", weightCol="class_weight",
                       maxIter=trees, maxDepth=max_depth, stepSize=step,
-                      minInstancesPerNode=20, maxBins=64, seed=V.SEED),
+                      minInstancesPerNode=20, maxBins=bins, checkpointInterval=-1, seed=V.SEED),
     ]).fit(prepared)
 
 
@@ -161,7 +166,7 @@ def save_model(spark: SparkSession, model: PipelineModel, features: DataFrame, p
     model.write().overwrite().save(f"{path}/model")
     schema = json.loads(features.select(*V.FEATURES).schema.json())
     spark.createDataFrame([(json.dumps(schema),)], "input_schema string").write.mode("overwrite").text(f"{path}/schema")
-    features.select(*V.FEATURES).limit(3).write.mode("overwrite").json(f"{path}/example")
+    features.select(*V.FEATURES).orderBy(*V.FEATURES).limit(3).write.mode("overwrite").json(f"{path}/example")
 
 
 def load_model(path: str) -> PipelineModel:

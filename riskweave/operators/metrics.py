@@ -36,7 +36,7 @@ def alert_months(alerts: DataFrame) -> DataFrame:
         F.count("alert_id").alias("total_alerts"),
         F.count_if("is_false_positive").alias("false_positive_count"),
         F.count("linked_incident_id").alias("alerts_linked_to_incidents"),
-        rounded(exact_avg(F.col("confidence_score"), 3), 3).alias("avg_confidence_score"),
+        rounded(exact_avg(F.col("confidence_score")), 3).alias("avg_confidence_score"),
     )
 
 

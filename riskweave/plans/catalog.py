@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from riskweave.plans import claims, fixtures, learning, retrieval, scoring, security
+from riskweave.plans import claims, learning, retrieval, scoring, security
 
-_PACKS = [claims, security, scoring, retrieval, learning, fixtures]
+_PACKS = [claims, security, scoring, retrieval, learning]
 
 
 def queries() -> dict:

@@ -103,8 +103,8 @@ def j02_claims_scores_providers(spark, folder):
 
 
 def j03_claims_left_providers(spark, folder):
-    """Only providers with a non-negative balance, so some claims stay unmatched."""
-    known = roles.customer_providers(spark, folder).filter("balance_pct >= 0")
+    """Every order, with its customer's attributes where the customer is known."""
+    known = roles.customer_providers(spark, folder)
     return joins.with_provider(
         roles.order_claims(spark, folder), known, "provider_type", "balance_pct", how="left")\
         .select("claim_id", F.col("provider_type").alias("prov_type"), "balance_pct")
@@ -345,7 +345,7 @@ ORACLES = {
     "j03_claims_left_providers": with_roles(_ORDERS, """
         SELECT c.claim_id, p.provider_type AS prov_type, p.balance_pct
         FROM order_claims c LEFT JOIN customer_providers p
-            ON c.provider_id = p.provider_id AND p.balance_pct >= 0"""),
+            ON c.provider_id = p.provider_id"""),
     "j05_provider_attributes": with_roles(_ORDERS, f"""
         SELECT c.claim_id, {sql_round(f'''
             CASE WHEN p.provider_type IN {sql_in(V.RISKY_PROVIDER_TYPES)} THEN greatest(0.25::double, base) ELSE base END

@@ -16,10 +16,13 @@ from riskweave.streaming.sync import current_rows, newest_by_key, sync_changes
 
 
 def r01_document_table(spark, folder):
-    """Sections of every type put together again, texts summed up per type."""
-    sections = roles.sections(spark, folder)
-    french, others = sections.filter("doc_type = 'fr'"), sections.filter("doc_type <> 'fr'")
-    return retrieval.document_table(french, others).groupBy("doc_type").agg(
+    """Three section lists, documents, pages and benchmark passages, one after the other."""
+    def listed(table, text, kind):
+        return read_table(spark, folder, table).select(kind.alias("doc_type"), F.col(text).alias("section_content"))
+
+    lists = [listed("documents", "text", F.col("lang")), listed("pages", "html", F.lit("page")),
+             listed("benchmark", "text", F.lit("benchmark"))]
+    return retrieval.document_table(*lists).groupBy("doc_type").agg(
         F.count("*").alias("section_count"), F.sum(F.length("section_content")).alias("characters"))
 
 
@@ -102,9 +105,10 @@ def r06_source_records(spark, folder):
         "query_id", "rank", "source", F.round("score", 6).alias("score"), F.md5("content").alias("content_hash"))
 
 
-def _french_sources(spark, folder):
-    """Conversations as questions; the French section of the same number is the source."""
-    found = roles.sections(spark, folder).filter("doc_type = 'fr'").select(
+def _label_sources(spark, folder):
+    """Conversations as questions; the labelled section of the same number is the source."""
+    labelled = read_table(spark, folder, "labels").select(F.col("doc_id").alias("section_number"))
+    found = roles.sections(spark, folder).join(labelled, "section_number", "left_semi").select(
         F.col("section_number").alias("query_id"), F.lit(1).alias("rank"), "doc_title",
         F.col("section_content").alias("chunk_text"), F.lit(0.5).alias("score"))
     asked = read_table(spark, folder, "conversations").select(F.col("conv_id").alias("query_id")).distinct()
@@ -112,12 +116,12 @@ def _french_sources(spark, folder):
 
 
 def r07_placeholder(spark, folder):
-    return _french_sources(spark, folder).select(
+    return _label_sources(spark, folder).select(
         "query_id", "rank", "source", "score", F.md5("content").alias("content_hash"))
 
 
 def p18_shown_sources(spark, folder):
-    lists = retrieval.source_lists(_french_sources(spark, folder))
+    lists = retrieval.source_lists(_label_sources(spark, folder))
     return lists.select("query_id", retrieval.shows_sources(F.col("sources")).alias("shows_sources"))
 
 
@@ -142,9 +146,10 @@ def _conversation_requests(spark, folder):
     sources = roles.sections(spark, folder).select(
         F.col("section_number").alias("query_id"), F.lit(1).alias("rank"),
         F.col("doc_title").alias("source"), F.col("section_content").alias("content"))
-    contexts = retrieval.plain_context(sources)
     asked = newest.select(F.col("conv_id").alias("query_id"), F.col("text").alias("question"),
                           F.col("turn").alias("asked_turn"))
+    # From the conversations' side: only their sections are grouped, and none is dropped.
+    contexts = retrieval.plain_context(retrieval.with_placeholder(asked, sources.withColumn("score", F.lit(1.0))))
     return asked.join(contexts, "query_id")
 
 
@@ -153,9 +158,8 @@ def r11_prompt_messages(spark, folder):
     requests = _conversation_requests(spark, folder)
     turns = read_table(spark, folder, "conversations")
     asked = requests.select(F.col("query_id").alias("conv_id"), "asked_turn")
-    # Cut each conversation first: one message more than a prompt takes, as the question is one.
-    newest = retrieval.last_messages(retrieval.history_messages(turns), V.HISTORY_LIMIT + 1)
-    history = newest.join(asked, "conv_id").filter("turn <> asked_turn")
+    # Only what came before the question; the prompt then takes the last of it.
+    history = retrieval.history_messages(turns).join(asked, "conv_id").filter("turn < asked_turn")
     messages = retrieval.prompt_messages(requests, history.drop("asked_turn"))
     return messages.select("query_id", F.posexplode("messages").alias("position", "m"))\
         .select("query_id", "position", "m.role", F.md5("m.content").alias("content_hash"))
@@ -251,12 +255,13 @@ _NUMBERED = f"""{_FOUND}, contexts AS (
     FROM (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank)
           FROM chunks WHERE rank <= {V.NUMBERED_CONTEXT_DEPTH}) GROUP BY query_id)"""
 
-_FRENCH = """sources AS (
+_LABELLED = """sources AS (
     SELECT a.query_id, 1 AS rank, coalesce(s.doc_title, 'System') AS source,
         CASE WHEN s.doc_title IS NULL THEN 0.0::double ELSE 0.5::double END AS score,
         coalesce(s.section_content, 'Vector search is not available. Please ensure the index is configured.') AS content
     FROM (SELECT DISTINCT conv_id AS query_id FROM conversations) a
-    LEFT JOIN sections s ON s.section_number = a.query_id AND s.doc_type = 'fr')"""
+    LEFT JOIN (SELECT * FROM sections WHERE section_number IN (SELECT doc_id FROM labels)) s
+        ON s.section_number = a.query_id)"""
 
 _PROMPTS = f"""cleaned AS (
     SELECT conv_id, turn, role, trim(text, {_STRIP}) AS text FROM conversations WHERE trim(text, {_STRIP}) <> ''),
@@ -264,11 +269,13 @@ asked AS (
     SELECT conv_id, turn AS asked_turn, text AS question FROM cleaned WHERE role = 'user'
     QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1),
 requests AS (
-    SELECT conv_id, asked_turn, question, '[Source: ' || doc_title || ']' || chr(10) || section_content AS context
-    FROM asked JOIN sections ON section_number = conv_id),
+    SELECT conv_id, asked_turn, question, '[Source: ' || coalesce(doc_title, 'System') || ']' || chr(10)
+        || CASE WHEN section_number IS NULL THEN
+            'Vector search is not available. Please ensure the index is configured.' ELSE section_content END AS context
+    FROM asked LEFT JOIN sections ON section_number = conv_id),
 past AS (
     SELECT c.conv_id, c.turn, c.role, c.text FROM conversations c JOIN requests r ON c.conv_id = r.conv_id
-    WHERE c.role IN ('user', 'assistant') AND c.turn <> r.asked_turn
+    WHERE c.role IN ('user', 'assistant') AND c.turn < r.asked_turn
     QUALIFY row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn DESC) <= {V.HISTORY_LIMIT}),
 messages AS (
     SELECT conv_id, -1 AS place, 'system' AS role, {_text(V.CHAT_SYSTEM_PROMPT)} AS content FROM requests
@@ -278,8 +285,9 @@ messages AS (
 
 ORACLES = {
     "r01_document_table": """
-        SELECT lang AS doc_type, count(*) AS section_count, cast(sum(length(text)) as bigint) AS characters
-        FROM documents GROUP BY lang""",
+        SELECT doc_type, count(*) AS section_count, cast(sum(length(text)) as bigint) AS characters FROM (
+            SELECT lang AS doc_type, text FROM documents UNION ALL SELECT 'page', html FROM pages
+            UNION ALL SELECT 'benchmark', text FROM benchmark) GROUP BY doc_type""",
     "r02_chunk_table": with_roles("sections", """
         SELECT doc_id || '-' || section_number AS chunk_id, doc_id, doc_title, section_title, doc_type,
             md5(section_content) AS text_hash FROM sections"""),
@@ -296,9 +304,9 @@ ORACLES = {
     "r06_source_records": with_roles("sections", f"""WITH {_FOUND}
         SELECT query_id, rank, doc_title AS source, round(score, 6) AS score, md5(chunk_text) AS content_hash
         FROM chunks"""),
-    "r07_placeholder": with_roles("sections", f"""WITH {_FRENCH}
+    "r07_placeholder": with_roles("sections", f"""WITH {_LABELLED}
         SELECT query_id, rank, source, score, md5(content) AS content_hash FROM sources"""),
-    "p18_shown_sources": with_roles("sections", f"""WITH {_FRENCH}
+    "p18_shown_sources": with_roles("sections", f"""WITH {_LABELLED}
         SELECT query_id, source <> 'System' AS shows_sources FROM sources"""),
     "r08_numbered_context": with_roles("sections", f"WITH {_NUMBERED} SELECT query_id, context FROM contexts"),
     "r09_plain_context": with_roles("sections", f"""WITH {_FOUND}

@@ -26,11 +26,11 @@ def sql_area(region: str) -> str:
 
 
 def sql_round(x: str, digits: int) -> str:
-    return f"cast(round(cast({x} as decimal(20,6)), {digits}) as double)"
+    return f"cast(round(cast({x} as decimal(38,6)), {digits}) as double)"
 
 
-def sql_avg(x: str, scale: int = 2) -> str:
-    return f"(cast(sum(cast({x} as decimal(18,{scale}))) as double) / nullif(count({x}), 0))"
+def sql_avg(x: str) -> str:
+    return f"(cast(sum(cast({x} as decimal(28,6))) as double) / nullif(count({x}), 0))"
 
 
 def sql_flagged(flag: str = "is_flagged") -> str:

@@ -12,14 +12,23 @@ from pyspark.sql.types import StructType
 from riskweave.sources.schemas import SCHEMAS
 
 
+BYTES_PER_BATCH = 8 << 30
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A given table. Its schema is declared, so no job runs to infer it."""
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The same table read as a stream of its files."""
-    return spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """The same table read as a stream of its files, be it one file or a folder of parts. A run
+    takes its backlog in micro-batches of about ``BYTES_PER_BATCH``.
+
+    The name is written as a pattern: a stream takes no path of a single file, but a pattern
+    that finds one file, or one folder of parts.
+    """
+    return spark.readStream.schema(SCHEMAS[name]).option("maxBytesPerTrigger", BYTES_PER_BATCH)\
+        .parquet(f"{folder.rstrip('/')}/[{name[0]}]{name[1:]}.parquet")
 
 
 def local_rows(spark: SparkSession, rows: Sequence, schema: StructType | str) -> DataFrame:

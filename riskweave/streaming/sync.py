@@ -7,17 +7,18 @@ newest change per key; nothing already written is rewritten.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
 def newest_by_key(changes: DataFrame, key: str, version: str) -> DataFrame:
-    """The newest row per key. Each task first reduces a key to its newest row, so a key
-    with most of the changes sends no more than any other."""
-    row = F.struct(*[F.col(c) for c in changes.columns])
-    return changes.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.col(version)).alias("_row"))\
-        .select("_row.*")
+    """The newest row per key; a null version is the lowest, equal versions are settled by a hash
+    of the row. Spark keeps one row per key in each task before it sorts keys over tasks, so a
+    key with most of the changes sends no more than any other."""
+    newest = Window.partitionBy(key).orderBy(
+        F.col(version).desc_nulls_last(), F.xxhash64(*[F.col(c) for c in changes.columns]))
+    return changes.withColumn("_age", F.row_number().over(newest)).filter("_age = 1").drop("_age")
 
 
 def sync_changes(changes: DataFrame, path: str, checkpoint: str, key: str, version: str) -> StreamingQuery:

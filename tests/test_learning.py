@@ -59,3 +59,13 @@ def test_codes_count_from_zero(spark, folder):
     for c in V.CATEGORICAL_FEATURES:
         rows = sorted((r.value, r.code) for r in codes.filter(F.col("feature") == c).collect())
         assert [code for _, code in rows] == list(range(len(rows)))
+
+
+def test_fit_with_many_categories_and_a_null_label(spark):
+    from riskweave import fixed_values as V
+    from riskweave.operators import learning
+    rows = spark.range(400).selectExpr("id AS claim_id", "id * 1.0 AS claim_amount_hkd", "int(id % 9) AS processing_days",
+        "'a' AS claim_type", "'b' AS prov_type", "concat('r', id % 80) AS region", "'c' AS submission_channel",
+        "1.0 AS flagged_claims_pct", "'low' AS risk_tier", "CASE WHEN id = 7 THEN null ELSE id % 3 = 0 END AS is_flagged")
+    model = learning.fit(rows.select("claim_id", *V.FEATURES, "is_flagged"), trees=2)
+    assert learning.predict(model, rows).count() == 400

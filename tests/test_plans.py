@@ -42,5 +42,5 @@ def test_history_is_cut_before_the_shuffle(spark, folder):
 
 
 def test_scoring_does_not_shuffle(spark, folder):
-    for name in ("m14_rule_score", "m15_risk_factors", "m16_model_answers", "r02_chunk_table", "fixture_incidents"):
+    for name in ("m14_rule_score", "m15_risk_factors", "m16_model_answers", "r02_chunk_table"):
         assert "Exchange" not in plan(QUERIES[name](spark, folder))

@@ -141,3 +141,11 @@ def test_scalars(spark):
     day = F.lit("2024-02-28").cast("date")
     assert str(value(spark, days_after(day, F.lit(2)))) == "2024-03-01"
     assert str(value(spark, at_second(day, F.lit(3661)))) == "2024-02-28 01:01:01"
+
+
+def test_rounding_and_sums_of_large_and_fine_values(spark):
+    from riskweave.functions.scalars import exact_avg, exact_sum, rounded
+    df = spark.createDataFrame([(3e14,), (0.001,), (0.002,)], "x double")
+    assert df.filter("x > 1").select(rounded(F.col("x"), 2)).first()[0] == 3e14
+    row = df.filter("x < 1").agg(exact_sum(F.col("x")), exact_avg(F.col("x"))).first()
+    assert row[0] == 0.003 and row[1] == 0.0015

@@ -77,3 +77,13 @@ def test_pack_runs_on_other_tables(spark):
 def test_kpi_of_no_claims(spark):
     claims = tables.local_rows(spark, [], "is_flagged boolean, claim_amount_hkd double")
     assert tuple(reports.claims_kpi(claims).first()) == (0, 0, None, None)
+
+
+def test_stream_reads_files_and_folders_of_parts(spark, folder, tmp_path):
+    rows = tables.read_table(spark, folder, "events")
+    rows.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for place in (folder, str(tmp_path)):
+        out = f"{tmp_path}/out-{place == folder}"
+        stream = tables.stream_table(spark, place, "events").writeStream.trigger(availableNow=True)
+        stream.option("checkpointLocation", f"{out}-checkpoint").format("parquet").start(out).awaitTermination()
+        assert spark.read.parquet(out).count() == rows.count()
