@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.session import cut_lineage
@@ -33,6 +33,11 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iter
         yield batch.slice(first)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Give Python workers whole texts in batches of some megabytes; a longer text comes alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def tidied(run: Callable) -> Callable:
     """The same mapping of batches; when a task ends, its worker, which waits for the next task,
     gives its free memory back to the system."""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import ans, covertree, html, language, mixing, neardup, packing, pii, syncmers, urls
+from riskweave.llm.common import bounded_batches
 from riskweave.session import scratch_dir
 
 #: The tokenizer file is a parameter of the operators; the queries take this one.
@@ -14,6 +15,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
