@@ -276,16 +276,19 @@ def near_duplicates(documents: DataFrame, p: MinHash = MinHash()) -> DataFrame:
 
 def keep_one(documents: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     """The rows, with all their columns, of one document of each group: that of least doc_id, once."""
-    found = cut_lineage(near_duplicates(documents, p).select(F.col("doc_id").alias("_id"), "kept"))
-    gone = found.filter("NOT kept").select("_id").distinct()
-    again = found.filter("kept AND _id IS NOT NULL").groupBy("_id").count().filter("count > 1").select("_id")
-    rows = documents.withColumn("_id", F.col("doc_id").cast("long"))
+    key = "_id"
+    while key in {c.lower() for c in documents.columns}:
+        key += "_"
+    found = cut_lineage(near_duplicates(documents, p).select(F.col("doc_id").alias(key), "kept"))
+    gone = found.filter("NOT kept").select(key).distinct()
+    again = found.filter(F.col("kept") & F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key)
+    rows = documents.withColumn(key, F.col("doc_id").cast("long"))
     others = gone.unionAll(again)
     if others.count() <= BROADCAST_IDS:
         others = F.broadcast(others)
-    once = rows.join(others, "_id", "left_anti")
-    repeated = joined_ids(rows, again, "_id").dropDuplicates(["_id"])
-    return once.unionByName(repeated).drop("_id")
+    once = rows.join(others, key, "left_anti")
+    repeated = joined_ids(rows, again, key).dropDuplicates([key])
+    return once.unionByName(repeated).select(*documents.columns)
 
 
 def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, p: MinHash) -> DataFrame:
