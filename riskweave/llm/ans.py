@@ -28,8 +28,8 @@ from riskweave.llm.common import slices, tidied
 from riskweave.llm.tokenizing import tokens
 
 #: Frequencies sum to 2 ** PRECISION. States stay in [2 ** 31, 2 ** 63); 32 bits move at a time.
-PRECISION, LOW, LANES = 20, 31, 512
-BLOCK_TOKENS, SEGMENT_TOKENS = 1 << 17, 1 << 21
+PRECISION, LOW, LANES = 20, 31, 1024
+BLOCK_TOKENS, SEGMENT_TOKENS = 1 << 18, 1 << 21
 _MAGIC = b"RANS1\0"
 _HEAD = struct.Struct("<6sHIQIII")  # magic, lanes, documents, tokens, blocks, bytes of table, of documents
 _INDEX = np.dtype([("tokens", "<u4"), ("before", "<u8"), ("offset", "<u8"), ("bytes", "<u4"), ("crc32", "<u4")])

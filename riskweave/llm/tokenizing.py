@@ -13,9 +13,11 @@ import re
 
 import numpy as np
 
-#: Words remembered per worker, about 40 MB at most; the frequent ones come first.
-KEPT_WORDS = 150_000
+#: Words remembered per worker, about 80 MB at most; the frequent ones come first.
+KEPT_WORDS = 400_000
 KEPT_LENGTH = 40
+#: Words encoded as one text: more or fewer take longer.
+JOINED_WORDS = 50
 
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?=\s|$)")
@@ -42,38 +44,43 @@ class Tokens:
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Each word after a space. Words without white space go in one text, a line break
         between them, and are cut apart at its id."""
-        if not self._joins:
-            return self._encode([" " + w for w in words])
-        out: list[bytes] = []
-        for at in range(0, len(words), 5000):
-            part = words[at:at + 5000]
-            ids = np.frombuffer(self._encode(["\n".join(" " + w for w in part)])[0], "<u4")
-            ends = np.flatnonzero(ids == np.frombuffer(self._break, "<u4")[0])
-            cuts = [-1, *ends.tolist(), len(ids)]
-            if len(cuts) != len(part) + 1:
-                out += self._encode([" " + w for w in part])
-            else:
-                out += [ids[a + 1:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-        return out
+        if self._joins and words:
+            parts = ["\n".join([f" {w}" for w in words[i:i + JOINED_WORDS]]) for i in range(0, len(words), JOINED_WORDS)]
+            ids = np.frombuffer(self._break.join(self._encode(parts)), "<u4")
+            ends = np.flatnonzero(ids == np.frombuffer(self._break, "<u4")[0]).tolist()
+            if len(ends) == len(words) - 1:
+                data = ids.tobytes()
+                return [data[4 * a:4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)]
+        return self._encode([" " + w for w in words])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         known = self._known
         cut = [x.split(" ") if not _ODD.search(x) else _CUT.split(x) for x in texts]
-        wanted = set()
-        for parts in cut:
-            wanted.update(parts[1:])
-        new = [w for w in wanted if w not in known]
-        simple = [w for w in new if w and not _SPACE.search(w)]
-        other = [w for w in new if not w or _SPACE.search(w)]
-        now = dict(zip(simple, self._encode_words(simple), strict=True))
-        now.update(zip(other, self._encode([" " + w for w in other]), strict=True))
-        for w, ids in now.items():
-            if len(w) <= KEPT_LENGTH and len(known) < KEPT_WORDS:
-                known[w] = ids
         firsts = list({parts[0] for parts in cut})
         first = dict(zip(firsts, self._encode(firsts), strict=True))
-        get, late = known.get, now
-        return [b"".join([first[parts[0]], *[get(w) or late[w] for w in parts[1:]]]) for parts in cut]
+        # Known words are looked up at once; only the others' places are gone through.
+        found = [list(map(known.get, parts)) for parts in cut]
+        new: dict[str, bytes] = {}
+        places = []
+        for parts, ids in zip(cut, found, strict=True):
+            ids[0] = first[parts[0]]
+            missing = [i for i, x in enumerate(ids) if x is None]
+            places.append(missing)
+            for i in missing:
+                new[parts[i]] = b""
+        simple = [w for w in new if w and not _SPACE.search(w)]
+        other = [w for w in new if not w or _SPACE.search(w)]
+        new.update(zip(simple, self._encode_words(simple), strict=True))
+        new.update(zip(other, self._encode([" " + w for w in other]), strict=True))
+        for parts, ids, missing in zip(cut, found, places, strict=True):
+            for i in missing:
+                ids[i] = new[parts[i]]
+        for w, x in new.items():
+            if len(known) >= KEPT_WORDS:
+                break
+            if len(w) <= KEPT_LENGTH:
+                known[w] = x
+        return [b"".join(ids) for ids in found]
 
 
 _LOADED: dict[str, Tokens] = {}
