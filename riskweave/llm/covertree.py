@@ -5,7 +5,9 @@ above and cover all below. Every row, data or query, then belongs to the leaf of
 centre, so both sides are indexed by the same tree; each node's covering radii are measured over
 all rows of either side. Node pairs are descended together, from root against root. A pair is
 pruned when even the greatest inner product that its balls allow is below the worst k-th score
-known in the query node. The surviving pairs of leaves meet in blocks of bounded size.
+known in the query node. Neighbouring leaves make blocks of bounded size; a query meets a block if
+its leaf survived with one of the block's leaves, and there each leaf is pruned once more by the
+query's own k-th score.
 
 K-th scores start from the sample and from each query's own leaf, which is searched first.
 
@@ -29,8 +31,11 @@ from pyspark.sql import functions as F
 from riskweave.session import cut_lineage
 
 #: Rows of the sample from which the tree is built (at most), data rows for each of its centres,
-#: data rows of a block and queries that meet it at once.
-CENTRES, ROWS_PER_CENTRE, BLOCK, QUERIES = 1024, 512, 1024, 4096
+#: bytes of a block's vectors and of the queries that meet it at once. Rows sent grow with queries
+#: times blocks, so blocks are as large as a task may hold.
+CENTRES, ROWS_PER_CENTRE, BLOCK_BYTES = 1024, 512, 8 << 20
+#: Scores held in a block before they are cut to the k best of each query.
+HELD = 1 << 18
 _VECTORS = "vec_id long, vec binary, cell int, far double"
 
 
@@ -106,7 +111,7 @@ def surviving(tree: CoverTree, query_far: np.ndarray, data_far: np.ndarray, wors
     while len(pairs):
         q, d = pairs.T
         most = (centre[q] * centre[d]).sum(1) + norm[q] * d_radius[d] + norm[d] * q_radius[q] + q_radius[q] * d_radius[d]
-        most += 1e-9 * np.abs(most) + 1e-6
+        most += 1e-9 * (norm[q] + np.abs(q_radius[q])) * (norm[d] + np.abs(d_radius[d])) + 1e-6
         alive = (q_radius[q] >= 0) & (d_radius[d] >= 0) & (most >= least[q])
         deeper = []
         for a, b in pairs[alive].tolist():
@@ -160,12 +165,44 @@ def _placer(points: np.ndarray) -> Callable:
     return run
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    if len(scores) > 4 * k:
-        some = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))[:k]]
+def _leaf_order(tree: CoverTree) -> list[int]:
+    """Cells in the order of the tree, so that neighbours share ancestors."""
+    out, todo = [], [0]
+    while todo:
+        node = todo.pop()
+        if tree.cell[node] >= 0:
+            out.append(tree.cell[node])
+        todo += reversed(tree.children[node])
+    return out
+
+
+def blocks_of(order: list[int], rows: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """(cell, first block, number of blocks): runs of cells of at most ``most`` rows together; a
+    larger cell is dealt over blocks of its own."""
+    out, block, held = [], 0, 0
+    for cell in order:
+        n = rows.get(cell, 0)
+        if not n:
+            continue
+        if held and held + n > most:
+            block, held = block + 1, 0
+        count = -(-n // most)
+        out.append((cell, block, count))
+        held += n
+        if count > 1:
+            block, held = block + count, 0
+    return out
+
+
+def _best(hits: list[np.ndarray], kth: np.ndarray, k: int) -> np.ndarray:
+    """The k best of each query among hits (rows: query, id, score); raises ``kth`` in place."""
+    found = np.concatenate(hits, axis=1)
+    found = found[:, np.lexsort((found[1], ~found[2], found[0]))]
+    first = np.searchsorted(found[0], found[0], side="left")
+    place = np.arange(found.shape[1]) - first
+    last = found[:, place == k - 1]
+    kth[last[0]] = np.maximum(kth[last[0]], last[2])
+    return found[:, place < k]
 
 
 def _seeder(points: np.ndarray, ids: np.ndarray, k: int) -> Callable:
@@ -181,28 +218,38 @@ def _seeder(points: np.ndarray, ids: np.ndarray, k: int) -> Callable:
     return run
 
 
-def _meeter(points: np.ndarray, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """A block of data rows and the queries that may find something in it."""
+def _meeter(dim: int, k: int, own_leaf: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block of data rows and the queries that may find something in it: in their own leaf, or
+    in all others."""
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
+        found = np.empty((3, 0), np.int64)
+        own, ask = queries.column("vec_id").to_numpy(), queries.column("ask").to_numpy()
         if data.num_rows and queries.num_rows:
-            dim = points.shape[1]
-            ids, x = data.column("vec_id").to_numpy(), _matrix(data.column("vec"), dim)
-            own, q = queries.column("vec_id").to_numpy(), _matrix(queries.column("vec"), dim)
-            kth = queries.column("kth").to_numpy()
-            middle = x.mean(0)
-            radius = np.linalg.norm(x - middle, axis=1).max()
-            most = q @ middle + np.linalg.norm(q, axis=1) * radius
-            may = np.flatnonzero(most + 1e-9 * np.abs(most) + 1e-6 >= kth)
-            for at in range(0, len(may), 256):
-                rows = may[at:at + 256]
-                scores = products(q[rows], x)
-                for i, s in zip(rows.tolist(), scores, strict=True):
-                    some = np.flatnonzero((s >= kth[i]) & (ids != own[i]))
-                    some = some[_best(ids[some], s[some], k)]
-                    out += [(int(own[i]), int(ids[j]), int(s[j]), queries.column("ask")[i].as_py()) for j in some]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score", "ask"), columns, strict=True)})
+            ids, x, leaf = data.column("vec_id").to_numpy(), _matrix(data.column("vec"), dim), data.column("cell").to_numpy()
+            q, home = _matrix(queries.column("vec"), dim), queries.column("cell").to_numpy()
+            kth, norm = queries.column("kth").to_numpy().copy(), np.linalg.norm(q, axis=1)
+            hits, held = [found], 0
+            for cell in np.unique(leaf):
+                mine = np.flatnonzero(leaf == cell)
+                middle = x[mine].mean(0)
+                radius = np.linalg.norm(x[mine] - middle, axis=1).max()
+                most = q @ middle + norm * radius + 1e-9 * norm * (np.linalg.norm(middle) + radius) + 1e-6
+                may = np.flatnonzero((most >= kth) & ((home == cell) == own_leaf))
+                for at in range(0, len(may), 256):
+                    rows = may[at:at + 256]
+                    for start in range(0, len(mine), 1024):
+                        part = mine[start:start + 1024]
+                        scores = products(q[rows], x[part])
+                        i, j = np.nonzero((scores >= kth[rows][:, None]) & (own[rows][:, None] != ids[part]))
+                        hits.append(np.stack([rows[i], ids[part[j]], scores[i, j]]))
+                        held += len(i)
+                        if held > HELD:
+                            hits = [_best(hits, kth, k)]
+                            held = hits[0].shape[1]
+            found = _best(hits, kth, k)
+        row, vec_id, score = found
+        return pa.table({"query_id": pa.array(own[row], pa.int64()), "vec_id": pa.array(vec_id, pa.int64()),
+                         "score": pa.array(score, pa.int64()), "ask": pa.array(ask[row], pa.int64())})
     return run
 
 
@@ -224,7 +271,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     dim = max(1, dim)
     whole = good.mapInArrow(_quantizer(dim, scale), "vec_id long, vec binary")
     centres = max(1, min(CENTRES, n // ROWS_PER_CENTRE))
-    sample = whole.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(centres).toArrow()
+    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(centres)\
+        .mapInArrow(_quantizer(dim, scale), "vec_id long, vec binary").toArrow()
     sample_ids, sampled = sample.column("vec_id").to_numpy(), _matrix(sample.column("vec"), dim)
     points = np.unique(sampled, axis=0)
     tree = cover_tree(points)
@@ -235,28 +283,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     queries = cut_lineage(queries.mapInArrow(_seeder(sampled, sample_ids, k), _VECTORS + ", ask long, kth long"))
     # One row per cell.
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).toPandas()
-    asked = max(1, queries.count())
-    groups = -(-asked // QUERIES)
-    blocks = spark.createDataFrame([(int(c), int(-(-r // BLOCK))) for c, r in zip(cells["cell"], cells["n"], strict=True)],
-                                   "cell int, blocks int")
-    block_of = F.pmod(F.xxhash64("vec_id", "vec"), F.col("blocks")).cast("int")
+    most = max(256, BLOCK_BYTES // (8 * dim))
+    groups = -(-max(1, queries.count()) // most)
+    # One row per cell: its first block and how many it has.
+    blocks = spark.createDataFrame(
+        blocks_of(_leaf_order(tree), dict(zip(cells["cell"].tolist(), cells["n"].tolist(), strict=True)), most),
+        "cell int, first int, blocks int")
+    block_of = (F.col("first") + F.pmod(F.xxhash64("vec_id", "vec"), F.col("blocks"))).cast("int")
     group_of = F.pmod(F.xxhash64("ask"), F.lit(groups)).cast("int")
-    data = placed.join(F.broadcast(blocks), "cell").withColumn("block", block_of)
-
-    def search(asking: DataFrame, pairs: DataFrame) -> DataFrame:
-        """pairs: query cell ``cell``, data cell ``other``; at most CENTRES ** 2 rows."""
-        there = asking.join(pairs, "cell").drop("cell", "far").withColumnRenamed("other", "cell")\
-            .join(F.broadcast(blocks), "cell").withColumn("group", group_of)\
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        wanted = pairs.select(F.col("other").alias("cell")).distinct()
-        here = data.join(wanted, "cell", "left_semi").withColumn(
+    data = placed.drop("far").join(F.broadcast(blocks), "cell").withColumn("block", block_of).drop("first", "blocks")
+
+    def search(asking: DataFrame, pairs: np.ndarray, own_leaf: bool) -> DataFrame:
+        """pairs: query cell, data cell; at most CENTRES ** 2 rows."""
+        met = spark.createDataFrame(pa.table({
+            "home": pa.array(pairs[:, 0], pa.int32()), "cell": pa.array(pairs[:, 1], pa.int32())}))\
+            .join(F.broadcast(blocks), "cell")\
+            .select(F.col("home").alias("cell"), F.explode(F.sequence(
+                F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("block")).distinct()
+        there = asking.drop("far").join(met, "cell").withColumn("group", group_of)
+        here = data.join(met.select("block").distinct(), "block", "left_semi").withColumn(
             "group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        keys = ("cell", "block", "group")
-        return here.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(
-            _meeter(points, k), "query_id long, vec_id long, score long, ask long")
+        return here.groupBy("block", "group").cogroup(there.groupBy("block", "group")).applyInArrow(
+            _meeter(dim, k, own_leaf), "query_id long, vec_id long, score long, ask long")
 
-    same = spark.createDataFrame([(int(c), int(c)) for c in cells["cell"]], "cell int, other int")
-    near = cut_lineage(_top(search(queries, same), k).drop("rank"))
+    same = np.stack([cells["cell"], cells["cell"]], 1)
+    near = cut_lineage(_top(search(queries, same, True), k).drop("rank"))
     kth = near.groupBy("ask").agg(F.count("*").alias("found"), F.min("score").alias("near_kth"))
     asking = cut_lineage(queries.join(kth, "ask", "left").withColumn(
         "kth", F.when(F.col("found") >= k, F.greatest("kth", "near_kth")).otherwise(F.col("kth")))
@@ -269,6 +320,5 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     worst[of_cell["cell"]] = of_cell["kth"]
     pairs = surviving(tree, query_far, data_far, worst)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    other = spark.createDataFrame(pairs.tolist() or [], "cell int, other int")
-    far = search(asking, other)
+    far = search(asking, pairs, False)
     return _top(near.unionByName(far), k).select("query_id", "rank", "vec_id", "score")

@@ -412,3 +412,28 @@ def test_main_text(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "v", "", "y")]
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert [(r.page_id, r.n_chars) for r in found] == [(1, len(text))] * 2 + [(2, 0), (None, 0)]
+
+
+def test_top_k_over_many_blocks_and_groups(spark, monkeypatch):
+    """Blocks and query groups of 256 rows, a third of all vectors equal."""
+    monkeypatch.setattr(covertree, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(covertree, "ROWS_PER_CENTRE", 64)
+    monkeypatch.setattr(covertree, "HELD", 500)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1_500, 8)) + 4 * rng.integers(0, 2, (1_500, 8))
+    x[rng.random(1_500) < 1 / 3] = x[7]
+    found = covertree.top_k(spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.pmod("vec_id", F.lit(3)) == 0)
+    whole = np.floor(256 * x).astype(np.int64)
+    scores = whole @ whole.T
+    want = set()
+    for q in range(0, 1_500, 3):
+        others = [i for i in np.lexsort((np.arange(1_500), -scores[q])).tolist() if i != q][:5]
+        want |= {(q, rank, i, int(scores[q, i])) for rank, i in enumerate(others, 1)}
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+
+
+def test_blocks_hold_neighbouring_cells_and_split_large_ones():
+    got = covertree.blocks_of([3, 1, 2, 0], {0: 4, 1: 5, 2: 25, 3: 4}, 10)
+    assert got == [(3, 0, 1), (1, 0, 1), (2, 1, 3), (0, 4, 1)]
