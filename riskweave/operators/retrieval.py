@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 from riskweave import fixed_values as V
 from riskweave.functions.scalars import default_text, is_blank, preview, stripped
 
-QUERIES_PER_BLOCK = 1024
-BROADCAST_ROWS = 100_000
+#: One block of vectors or queries; all queries together, if they are to be broadcast.
+BLOCK_BYTES, BROADCAST_BYTES = 2 << 20, 64 << 20
+#: Parts in which shuffled blocks of vectors meet each block of queries.
+SALTS = 64
 VECTOR_SIZE = 1024
 SCORE_DIGITS = 9
 
@@ -70,111 +74,99 @@ def text_vectors(model: PipelineModel, df: DataFrame, key: str, column: str) ->
 
 # --- nearest neighbours ------------------------------------------------------
 
-def _scan_for(query_ids: list, matrix: np.ndarray, k: int, key_type: pa.DataType, query_type: pa.DataType):
-    """A task that keeps, for every query, the k best rows of its partition.
+def _usable(vector: Column) -> Column:
+    """Not null, not empty, every component there and finite."""
+    return F.coalesce((F.size(vector) > 0) & F.forall(
+        vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
-    It emits at most k rows per query and partition, never the pairs it compared.
-    """
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [([], []) for _ in query_ids]
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            rows = rows.astype(np.float64)
-            lengths = np.linalg.norm(rows, axis=1)
-            lengths[lengths == 0] = 1.0
-            scores = np.round(rows @ matrix.T / lengths[:, None], SCORE_DIGITS) + 0.0
-            if n > k:
-                floors = np.partition(scores, n - k, axis=0)[n - k]
-            else:
-                floors = np.full(len(query_ids), -np.inf)
-            for q, (best_scores, best_keys) in enumerate(best):
-                near = np.nonzero(scores[:, q] >= floors[q])[0]
-                pool = sorted(
-                    zip([*best_scores, *scores[near, q]], [*best_keys, *keys[near]]),
-                    key=lambda pair: (-pair[0], pair[1]))[:k]
-                best[q] = ([s for s, _ in pool], [key for _, key in pool])
-        out = [(query_ids[q], key, float(s)) for q, (ss, kk) in enumerate(best) for s, key in zip(ss, kk)]
-        if out:
-            yield pa.record_batch([
-                pa.array([o[0] for o in out], query_type),
-                pa.array([o[1] for o in out], key_type),
-                pa.array([o[2] for o in out], pa.float64()),
-            ], names=["query_id", "key", "score"])
-    return scan
-
-
-def _unit_rows(rows: list) -> np.ndarray:
-    matrix = np.array([r[1] for r in rows], dtype=np.float64)
-    lengths = np.linalg.norm(matrix, axis=1)
-    lengths[lengths == 0] = 1.0
-    return matrix / lengths[:, None]
 
-
-def _query_blocks(queries: DataFrame) -> Iterator[list]:
-    """The queries in blocks that fit a task: usually one, else by hash of their id."""
-    first = queries.limit(QUERIES_PER_BLOCK + 1).collect()
-    if len(first) <= QUERIES_PER_BLOCK:
-        yield first
-        return
-    blocks = -(-2 * queries.count() // QUERIES_PER_BLOCK)
-    for block in range(blocks):
-        yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+def _unit_rows(values: np.ndarray) -> np.ndarray:
+    lengths = np.linalg.norm(values, axis=1)
+    lengths[lengths == 0] = 1.0
+    return values / lengths[:, None]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of one length in blocks of bounded size, each in order of its keys."""
+    for batch in batches:
+        lengths = pc.list_value_length(batch.column("vector")).to_numpy()
+        for size in np.unique(lengths).tolist():
+            rows = batch.take(pa.array(np.flatnonzero(lengths == size)))
+            rows = rows.take(pc.sort_indices(rows.column("key"), null_placement="at_start"))
+            step = max(1, BLOCK_BYTES // (8 * size))
+            for at in range(0, rows.num_rows, step):
+                part = rows.slice(at, step)
+                values = part.column("vector").flatten().to_numpy().reshape(-1, size)
+                keys = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("key"))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([size], pa.int32()), pa.array([zlib.crc32(values)], pa.int64()), keys,
+                     pa.array([_unit_rows(values).tobytes()], pa.binary())], ["size", "place", "keys", "block"])
+
+
+def _best_of_block(k: int):
+    """For every question of a block of questions, the k best rows of a block of vectors."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                size, keys = batch.column("size")[i].as_py(), batch.column("keys")[i].values
+                rows = np.frombuffer(batch.column("block")[i].as_buffer(), np.float64).reshape(-1, size)
+                asked = batch.column("asked")[i].values
+                questions = asked.field("vector").flatten().to_numpy().reshape(-1, size)
+                scores = np.round(_unit_rows(questions) @ rows.T, SCORE_DIGITS) + 0.0
+                n = len(rows)
+                floor = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+                question, row = np.nonzero(scores >= floor[:, None])
+                order = np.lexsort((row, -scores[question, row], question))  # rows are in order of their keys
+                question, row = question[order], row[order]
+                kept = np.arange(len(question)) - np.searchsorted(question, question) < k
+                question, row = question[kept], row[kept]
+                yield pa.RecordBatch.from_arrays(
+                    [asked.field("query_id").take(pa.array(question)), keys.take(pa.array(row)),
+                     pa.array(scores[question, row])], ["query_id", "key", "score"])
+    return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = V.RETRIEVAL_DEPTH) -> DataFrame:
     """The k nearest vectors of every query by cosine: (query_id, key, score, rank).
 
-    ``vectors`` has a key and a vector column, ``queries`` a query_id and a vector column.
-    Exact: every vector is compared. A block of queries is held by each task, its size
-    checked; more queries than a block holds take further passes over the vectors. Equal
-    scores rank by key.
+    ``vectors`` has a key and a vector column, ``queries`` a query_id and a vector column; keys
+    and ids are of any type that sorts. Exact: blocks of vectors meet blocks of queries of the
+    same length, a task emits at most k rows per query and block, and Spark cuts them to k per
+    query before the shuffle. Blocks of queries are broadcast if all of them together, by their
+    number and length, stay within ``BROADCAST_BYTES``; beyond that both sides are shuffled,
+    spread evenly. Equal scores rank by key. A vector or query that is null or empty or holds a
+    null or non-finite component takes no part; a zero vector scores 0.
     """
-    return _nearest(vectors, queries, k)[0]
-
-
-def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, int]:
-    """Nearest rows and the most rows there can be."""
-    types = pa_types(vectors, queries)
-    parts, asked = [], 0
-    for rows in _query_blocks(queries):
-        if rows:
-            asked += len(rows)
-            scan = _scan_for([r[0] for r in rows], _unit_rows(rows), k, types["key"], types["query"])
-            parts.append(vectors.mapInArrow(scan, types["ddl"]))
-    if not parts:
-        parts = [vectors.limit(0).mapInArrow(_scan_for([], np.zeros((0, 1)), k, types["key"], types["query"]),
-                                             types["ddl"])]
+    (key, key_type), (vector, _) = vectors.dtypes
+    (query, query_type), (asked, _) = queries.dtypes
+    questions = queries.select(F.col(query).alias("query_id"), F.col(asked).cast("array<double>").alias("vector"))\
+        .filter(_usable(F.col("vector")))
+    total, longest = questions.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    groups = max(1, -(-total * longest * 8 // BLOCK_BYTES))
+    grouped = questions.groupBy(
+        F.size("vector").alias("size"), F.pmod(F.xxhash64("query_id", "vector"), F.lit(groups)).alias("group"))\
+        .agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
+    blocks = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))\
+        .filter(_usable(F.col("vector")))\
+        .mapInArrow(_pack, f"size int, place long, keys array<{key_type}>, block binary")\
+        .withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    if total * longest * 8 <= BROADCAST_BYTES:
+        met = blocks.join(F.broadcast(grouped), ["size", "group"])
+    else:
+        spread = grouped.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        met = blocks.withColumn("salt", F.pmod("place", F.lit(SALTS))).join(spread, ["size", "group", "salt"])
+    found = met.select("size", "keys", "block", "asked")\
+        .mapInArrow(_best_of_block(k), f"query_id {query_type}, key {key_type}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    best = reduce(DataFrame.unionByName, parts)\
-        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best, asked * k
-
-
-def pa_types(vectors: DataFrame, queries: DataFrame) -> dict:
-    """Arrow and Spark types of the key columns."""
-    arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
-    key, query = vectors.dtypes[0][1], queries.dtypes[0][1]
-    return {"key": arrow[key], "query": arrow[query],
-            "ddl": f"query_id {query}, key {key}, score double"}
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def retrieve(vectors: DataFrame, queries: DataFrame, chunks: DataFrame,
              k: int = V.RETRIEVAL_DEPTH) -> DataFrame:
-    """Nearest vectors with the chunk columns of the same key.
-
-    The found side has at most k rows per query. While that number is small it is broadcast
-    and the chunks stay where they are; beyond it both sides are shuffled by key.
-    """
+    """Nearest vectors with the chunk columns of the same key. Spark picks the join by the found
+    side's measured size: at most k rows per query."""
     key = vectors.columns[0]
-    best, most_rows = _nearest(vectors, queries, k)
-    best = best.withColumnRenamed("key", key)
-    if most_rows <= BROADCAST_ROWS:
-        best = F.broadcast(best)
-    return chunks.join(best, key)
+    return chunks.join(nearest(vectors, queries, k).withColumnRenamed("key", key), key)
 
 
 # --- sources, context, prompts -----------------------------------------------

@@ -43,7 +43,8 @@ def test_nearest(spark, vectors, monkeypatch):
     asked = spark.createDataFrame(queries, "query_id int, vector array<double>")
     got = {(r.query_id, r.key, r["rank"]) for r in retrieval.nearest(df, asked, 5).collect()}
     assert got == brute(vectors, queries, 5)
-    monkeypatch.setattr(retrieval, "QUERIES_PER_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 128)
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 0)
     blocks = {(r.query_id, r.key, r["rank"]) for r in retrieval.nearest(df, asked, 5).collect()}
     assert blocks == got
 
@@ -60,6 +61,24 @@ def test_fewer_vectors_than_k(spark):
     assert [r.key for r in retrieval.nearest(df, asked).orderBy("rank").collect()] == ["x", "y"]
 
 
+def test_unusable_vectors_take_no_part(spark):
+    nan = float("nan")
+    rows = [(f"k{i:02}", [1.0, i / 10]) for i in range(20)] + [(f"n{i}", [nan, 1.0]) for i in range(6)]
+    rows += [("null", None), ("empty", []), ("hole", [1.0, None]), ("long", [1.0, 0.0, 0.0]), ("inf", [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows, "id string, vector array<double>").coalesce(1)
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("bad", [nan, 0.0]), ("none", None)], "query_id string, vector array<float>")
+    found = retrieval.nearest(df, asked, 3).orderBy("rank").collect()
+    assert [(r.query_id, r.key) for r in found] == [("q", "k00"), ("q", "k01"), ("q", "k02")]
+
+
+def test_many_questions(spark, vectors, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 8_000)
+    queries = [(i, vectors[i % len(vectors)][1]) for i in range(5_000)]
+    df = spark.createDataFrame(vectors, "id long, vector array<double>")
+    found = retrieval.nearest(df, spark.createDataFrame(queries, "query_id int, vector array<double>"), 1)
+    assert found.count() == 5_000
+
+
 def test_text_search_against_brute_force(spark, folder):
     chunks = retrieval.chunk_table(roles.sections(spark, folder)).select("chunk_id", "chunk_text")
     model = retrieval.fit_text_vectors(chunks, "chunk_text")
