@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import slices, tidied
-from riskweave.llm.tokenizing import tokens
+from riskweave.llm.tokenizing import REMEMBERED_AS, tokens
 
 #: Frequencies sum to 2 ** PRECISION. States stay in [2 ** 31, 2 ** 63); 32 bits move at a time.
 PRECISION, LOW, LANES = 20, 31, 1024
@@ -179,7 +179,7 @@ def write_tokens(documents: DataFrame, folder: str, path: str, end_id: int = 0)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(tidied(_encoder(path, end_id)), _FILE).write.option("compression", "none").parquet(folder)
+    ordered.mapInArrow(tidied(_encoder(path, end_id), REMEMBERED_AS), _FILE).write.option("compression", "none").parquet(folder)
 
 
 def _decoder(digest: bool) -> Callable:

@@ -38,11 +38,23 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def tidied(run: Callable) -> Callable:
-    """The same mapping of batches; when a task ends, its worker, which waits for the next task,
-    gives its free memory back to the system."""
+#: What a worker remembers from one task to the next, by the operator that uses it.
+REMEMBERED: dict[str, dict] = {}
+
+
+def forget_others(uses: str | None) -> None:
+    for name, kept in REMEMBERED.items():
+        if name != uses:
+            kept.clear()
+
+
+def tidied(run: Callable, uses: str | None = None) -> Callable:
+    """The same mapping of batches; when a task starts, its worker forgets what only other
+    operators' tasks remember; when it ends, the worker, which waits for the next task, gives its
+    free memory back to the system."""
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(uses)
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import slices, tidied
-from riskweave.llm.tokenizing import tokens
+from riskweave.llm.tokenizing import REMEMBERED_AS, tokens
 from riskweave.session import written
 
 #: Pieces of one length that one task ranks.
@@ -60,7 +60,7 @@ def _piece_maker(path: str, end_id: int, capacity: int) -> Callable:
 def pieces(documents: DataFrame, path: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(tidied(_piece_maker(path, end_id, capacity)), _PIECES)
+    return docs.mapInArrow(tidied(_piece_maker(path, end_id, capacity), REMEMBERED_AS), _PIECES)
 
 
 def plan(lengths: Mapping[int, int], capacity: int) -> np.ndarray:

@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from riskweave.llm.common import REMEMBERED
+
 #: Words remembered per worker, about 80 MB at most; the frequent ones come first.
 KEPT_WORDS = 400_000
 KEPT_LENGTH = 40
@@ -83,7 +85,10 @@ class Tokens:
         return [b"".join(ids) for ids in found]
 
 
+#: The name under which workers remember tokenizers and the words they met.
+REMEMBERED_AS = "tokens"
 _LOADED: dict[str, Tokens] = {}
+REMEMBERED[REMEMBERED_AS] = _LOADED
 
 
 def tokens(path: str) -> Tokens:

@@ -437,3 +437,13 @@ def test_top_k_over_many_blocks_and_groups(spark, monkeypatch):
 def test_blocks_hold_neighbouring_cells_and_split_large_ones():
     got = covertree.blocks_of([3, 1, 2, 0], {0: 4, 1: 5, 2: 25, 3: 4}, 10)
     assert got == [(3, 0, 1), (1, 0, 1), (2, 1, 3), (0, 4, 1)]
+
+
+def test_workers_forget_what_other_operators_remember():
+    from riskweave.llm import common, tokenizing
+
+    tokenizing.tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    list(common.tidied(iter, tokenizing.REMEMBERED_AS)([]))
+    assert common.REMEMBERED[tokenizing.REMEMBERED_AS]
+    list(common.tidied(iter)([]))
+    assert not common.REMEMBERED[tokenizing.REMEMBERED_AS]
