@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskweave import fixed_values as V
 from riskweave.functions import risk
-from riskweave.functions.scalars import default_text, rounded
+from riskweave.functions.scalars import at_second, days_after, default_text, dotted_quad, month_of, rounded
 from riskweave.operators import joins, reports
 from riskweave.plans.role_sql import (
     sql_area, sql_avg, sql_flagged, sql_in, sql_round, sql_tier, with_roles,
 )
+from riskweave.session import cut_lineage
 from riskweave.sources import roles
-from riskweave.sources.tables import bind_views
+from riskweave.sources.tables import bind_views, drop_tables, ensure_schema, overwrite_table
 
 
 def _suppliers_with_history(spark, folder):
@@ -215,6 +218,49 @@ def f_blank_defaults(spark, folder):
         .agg(F.count("*").alias("claim_count"))
 
 
+def s03_table_replaced(spark, folder):
+    """A schema made, a table written and replaced with other columns, read back, then dropped."""
+    schema = f"riskweave_{uuid.uuid4().hex}"
+    ensure_schema(spark, schema)
+    claims = roles.order_claims(spark, folder)
+    overwrite_table(claims.select("claim_id"), f"{schema}.claims")
+    overwrite_table(claims.select("claim_id", "claim_type", "status"), f"{schema}.claims")
+    kept = cut_lineage(spark.table(f"{schema}.claims").groupBy("claim_type", "status")
+                       .agg(F.count("claim_id").alias("claim_count")))
+    drop_tables(spark, [f"{schema}.claims", f"{schema}.absent"])
+    spark.sql("DROP DATABASE IDENTIFIER(:name)", args={"name": schema})
+    return kept
+
+
+def scalar_months_filled(spark, folder):
+    """Claims of every month between the first and the last, months without claims included."""
+    claims = roles.order_claims(spark, folder).select("claim_id", month_of(F.col("claim_date")).alias("claim_month"))
+    months = claims.agg(F.min("claim_month").alias("first"), F.max("claim_month").alias("last")).select(
+        F.explode(F.expr("sequence(first, last, interval 1 month)")).alias("claim_month"))
+    per = claims.groupBy("claim_month").agg(F.count("*").alias("n"))
+    return months.join(per, "claim_month", "left").select(
+        "claim_month", F.coalesce("n", F.lit(0)).cast("long").alias("total_claims"))
+
+
+def scalar_due_dates(spark, folder):
+    """Days before and after a claim's date, a time on that day, an address of its numbers."""
+    claim = F.col("claim_id")
+    return roles.order_claims(spark, folder).select(
+        "claim_id", days_after(F.col("claim_date"), F.col("processing_days")).alias("due_date"),
+        days_after(F.col("claim_date"), -F.col("processing_days")).alias("opened_date"),
+        F.unix_seconds(at_second(F.col("claim_date"), F.pmod(claim * 37, F.lit(86_400)))).alias("opened_second"),
+        dotted_quad(F.lit(10), *[F.pmod(F.floor(claim / n), F.lit(256)) for n in (65_536, 256, 1)]).alias("address"))
+
+
+def scalar_records(spark, folder):
+    """Column names and values zipped to a record, with who asked."""
+    names = F.array(F.lit("type"), F.lit("status"))
+    record = F.map_from_arrays(names, F.array("claim_type", "status"))
+    return roles.order_claims(spark, folder).select(
+        "claim_id", record["type"].alias("claim_type"), record["status"].alias("status"),
+        (F.length(F.current_user()) > 0).alias("asked_by_someone"))
+
+
 QUERIES = {
     "q01_claims_kpi": q01_claims_kpi,
     "q02_claims_overview": q02_claims_overview,
@@ -252,6 +298,10 @@ QUERIES = {
     "a11_latest_version": a11_latest_version,
     "s08_views_by_role": s08_views_by_role,
     "scalar_blank_defaults": f_blank_defaults,
+    "s03_table_replaced": s03_table_replaced,
+    "scalar_months_filled": scalar_months_filled,
+    "scalar_due_dates": scalar_due_dates,
+    "scalar_records": scalar_records,
 }
 
 _HISTORY = f"""history AS (
@@ -394,4 +444,19 @@ ORACLES = {
     "scalar_blank_defaults": with_roles("line_claims", """
         SELECT coalesce(nullif(fraud_indicators, ''), 'Unknown') AS indicators, count(*) AS claim_count
         FROM line_claims GROUP BY 1"""),
+    "s03_table_replaced": with_roles("order_claims", """
+        SELECT claim_type, status, count(*) AS claim_count FROM order_claims GROUP BY claim_type, status"""),
+    "scalar_months_filled": with_roles("order_claims", """
+        SELECT cast(m AS date) AS claim_month, count(claim_id) AS total_claims
+        FROM (SELECT unnest(generate_series(date_trunc('month', min(claim_date))::timestamp,
+                max(claim_date)::timestamp, interval 1 month)) AS m FROM order_claims)
+        LEFT JOIN order_claims ON date_trunc('month', claim_date)::date = cast(m AS date) GROUP BY 1"""),
+    "scalar_due_dates": with_roles("order_claims", """
+        SELECT claim_id, claim_date + cast(processing_days AS integer) AS due_date,
+            claim_date - cast(processing_days AS integer) AS opened_date,
+            cast(date_diff('day', DATE '1970-01-01', claim_date) * 86400 + (claim_id * 37) % 86400 AS bigint) AS opened_second,
+            '10.' || (claim_id // 65536) % 256 || '.' || (claim_id // 256) % 256 || '.' || claim_id % 256 AS address
+        FROM order_claims"""),
+    "scalar_records": with_roles("order_claims", """
+        SELECT claim_id, claim_type, status, true AS asked_by_someone FROM order_claims"""),
 }
