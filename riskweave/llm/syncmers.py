@@ -2,9 +2,9 @@ r"""Document fingerprints of closed syncmers.
 
 A text's words ``[^\x20\x09-\x0D]+`` are hashed. Of every ``k`` words in a row, those are anchors
 whose least word hash stands at the first or last place: whether a run of words is an anchor does
-not depend on what surrounds it. A fingerprint is the bottom sketch of a text's distinct anchors,
-each with its first position. Two fingerprints are compared below the hash up to which both are
-complete: anchors that both have, at positions that differ by no more than a share of the longer
+not depend on what surrounds it. Of two runs in a row at least one is an anchor, so every word is
+in one. A fingerprint is all of a text's distinct anchors, each with its first position. Of two
+texts, anchors that both have, at positions that differ by no more than a share of the longer
 text, count twice, over all anchors of both.
 
 All expressions are Spark's own. The next document is found by a window over ranges of doc_id
@@ -22,8 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Anchors kept, bits of a position, words by which matched anchors may be apart, plus a share.
-SKETCH, PLACE_BITS, NEAR, DRIFT = 64, 20, 16, 8
+#: Least bits of a position, words by which matched anchors may be apart, plus a share of the longer text.
+PLACE_BITS, NEAR, DRIFT = 20, 16, 8
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -31,32 +31,40 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _anchor(hashes: Column, at: Column) -> Column:
-    """The packed anchor of the three words from a place on, or null."""
-    one, two, three = (F.get(hashes, at + i) for i in range(3))
-    inner_least = (two < one) & (two < three)
-    packed = F.shiftleft(F.shiftright(F.xxhash64(one, two, three), PLACE_BITS), PLACE_BITS)\
-        .bitwiseOR(F.least(at, F.lit((1 << PLACE_BITS) - 1)).cast("long"))
-    return F.when(three.isNotNull() & ~inner_least, packed)
+def place_bits(n: Column) -> Column:
+    """Bits of a position in a text of ``n`` words; the rest of an anchor's 64 are its hash."""
+    return F.greatest(F.lit(PLACE_BITS), F.length(F.bin(n)))
 
 
-def _hash(packed: Column) -> Column:
-    return F.shiftright(packed, PLACE_BITS)
+def _packed(hashed: Column, place: Column, bits: Column) -> Column:
+    high = F.call_function("shiftleft", F.call_function("shiftright", hashed, bits), bits)
+    return high.bitwiseOR(place.cast("long"))
 
 
-def _place(packed: Column) -> Column:
-    return packed.bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+def _hash(packed: Column, bits: Column) -> Column:
+    return F.call_function("shiftright", packed, bits)
 
 
-def sketch(hashes: Column) -> Column:
-    """Sorted anchors of the least hashes, each hash once, from word hashes (k = 3, s = 1)."""
-    short = F.array(F.shiftleft(F.shiftright(F.xxhash64(hashes), PLACE_BITS), PLACE_BITS))
-    anchors = F.when(F.size(hashes) >= 3, F.array_compact(F.transform(hashes, lambda _, i: _anchor(hashes, i))))\
+def _place(packed: Column, bits: Column) -> Column:
+    return packed.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
+
+
+def _anchor(hashes: Column, at: Column, bits: Column) -> Column:
+    """The packed anchor of the three words from a place on, or null."""
+    one, two, three = (F.get(hashes, at + i) for i in range(3))
+    inner_least = (two < one) & (two < three)
+    return F.when(three.isNotNull() & ~inner_least, _packed(F.xxhash64(one, two, three), at, bits))
+
+
+def anchors_of(hashes: Column, bits: Column) -> Column:
+    """All anchors in order of their hashes, each hash once, from word hashes (k = 3, s = 1)."""
+    short = F.array(_packed(F.xxhash64(hashes), F.lit(0), bits))
+    anchors = F.when(F.size(hashes) >= 3, F.array_compact(F.transform(hashes, lambda _, i: _anchor(hashes, i, bits))))\
         .when(F.size(hashes) > 0, short).otherwise(F.array().cast("array<bigint>"))
     ordered = F.sort_array(anchors)
     # A local name for the sorted array, so that it is sorted once.
-    return F.element_at(F.transform(F.array(ordered), lambda a: F.slice(F.filter(
-        a, lambda x, i: (i == 0) | (_hash(x) != _hash(F.get(a, i - 1)))), 1, SKETCH)), 1)
+    return F.element_at(F.transform(F.array(ordered), lambda a: F.filter(
+        a, lambda x, i: (i == 0) | (_hash(x, bits) != _hash(F.get(a, i - 1), bits)))), 1)
 
 
 def fingerprint(anchors: Column) -> Column:
@@ -64,20 +72,20 @@ def fingerprint(anchors: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
-    """Of two sketches, given both texts' numbers of words."""
-    def last(x: Column) -> Column:
-        return F.when(F.size(x) >= SKETCH, _hash(F.element_at(x, -1))).otherwise(F.lit(_MOST))
+    """Of two texts' anchors, given both texts' numbers of words."""
+    bits = F.greatest(place_bits(n_a), place_bits(n_b))
+
+    def widened(anchors: Column, own: Column) -> Column:
+        return F.when(own == bits, anchors).otherwise(F.transform(
+            anchors, lambda x: _packed(x, _place(x, own), bits)))
 
-    cut = F.least(last(a), last(b))
-    both = F.sort_array(F.concat(a, b))
+    both = F.sort_array(F.concat(widened(a, place_bits(n_a)), widened(b, place_bits(n_b))))
     allowed = F.greatest(n_a, n_b) / DRIFT + NEAR
-    inside = F.element_at(F.transform(F.array(F.struct(both.alias("x"), cut.alias("cut"), allowed.alias("far"))), lambda s: F.struct(
-        F.size(F.filter(s["x"], lambda x: _hash(x) <= s["cut"])).alias("n"),
-        F.size(F.filter(s["x"], lambda x, i: (i > 0) & (_hash(x) <= s["cut"])
-                        & (_hash(x) == _hash(F.get(s["x"], i - 1)))
-                        & (F.abs(_place(x) - _place(F.get(s["x"], i - 1))) <= s["far"]))).alias("met"))), 1)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))\
-        .otherwise(F.coalesce(F.try_divide(2.0 * inside["met"], inside["n"]), F.lit(0.0)))
+    given = F.array(F.struct(both.alias("x"), allowed.alias("far"), bits.alias("bits")))
+    met = F.element_at(F.transform(given, lambda s: F.size(F.filter(
+        s["x"], lambda x, i: (i > 0) & (_hash(x, s["bits"]) == _hash(F.get(s["x"], i - 1), s["bits"]))
+        & (F.abs(_place(x, s["bits"]) - _place(F.get(s["x"], i - 1), s["bits"])) <= s["far"])))), 1)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(2.0 * met / (F.size(a) + F.size(b)))
 
 
 def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -118,19 +126,24 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"),
                             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = docs.withColumn("_hashes", hashes(F.col("text"))).select(
-        "doc_id", "text", F.size("_hashes").alias("n_words"), sketch(F.col("_hashes")).alias("anchors"))
-    pairs = with_next(own, ["text", "n_words", "anchors"])
+    # Anchors are larger than their text, so texts are shuffled and anchors found after that.
+    pairs = with_next(docs, ["text"])
     n = F.length("text").cast("long")
     lost = F.floor(n / 3).cast("int")
     edited = pairs.withColumn("n_chars", n).withColumn("edited", F.concat(
         F.substring("text", F.lit(1), (n - lost).cast("int")), F.substring(F.col("next.text"), F.lit(1), lost)))
-    both = edited.withColumn("_hashes", hashes(F.col("edited"))).select(
-        "doc_id", "n_chars", "anchors", "n_words", F.sha2("edited", 256).alias("edited_sha256"),
-        F.col("next.anchors").alias("next_anchors"), F.col("next.n_words").alias("next_words"),
-        F.size("_hashes").alias("edited_words"), sketch(F.col("_hashes")).alias("edited_anchors"))
-    return both.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("anchors")).alias("fingerprint"),
-        fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors"), F.col("edited_anchors"), F.col("n_words"), F.col("edited_words")).alias("near_edited"),
-        likeness(F.col("anchors"), F.col("next_anchors"), F.col("n_words"), F.col("next_words")).alias("near_next"))
+    names = ("own", "edited", "next")
+    hashed = edited.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), hashes(F.col("text")).alias("own"),
+        hashes(F.col("edited")).alias("edited"), hashes(F.col("next.text")).alias("next"))
+    counted = hashed.select("*", *[F.size(c).alias(f"{c}_words") for c in names])\
+        .withColumns({f"{c}_bits": place_bits(F.col(f"{c}_words")) for c in names})
+    found = counted.withColumns({c: anchors_of(F.col(c), F.col(f"{c}_bits")) for c in names})
+
+    def like(other: str) -> Column:
+        return likeness(F.col("own"), F.col(other), F.col("own_words"), F.col(f"{other}_words"))
+
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"),
+        fingerprint(F.col("edited")).alias("edited_fingerprint"),
+        like("edited").alias("near_edited"), like("next").alias("near_next"))

@@ -334,6 +334,28 @@ def test_fingerprints(spark, docs, rows, empty):
     assert one.near_next == 1
 
 
+def test_fingerprints_hold_all_anchors(spark):
+    rng = random.Random(6)
+    words = [[f"{side}{rng.randrange(10 ** 9)}" for _ in range(5000)] for side in "ab"]
+    shared = [f"c{i}" for i in range(60)]
+    a, b = words[0][:3000] + shared + words[0][3000:], words[1][:3100] + shared + words[1][3100:]
+    changed = [*a[:1234], "changed", *a[1235:]]
+    far = words[1][:100] + shared + words[1][100:]
+    rows = [(i, " ".join(t)) for i, t in ((4, a), (3, b), (2, a), (1, changed), (0, far))]
+    found = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 0.005 < found[4].near_next < 0.02  # 58 of some 5,060 runs
+    assert found[2].fingerprint != found[1].fingerprint and 0.99 < found[2].near_next < 1
+    assert found[1].near_next == 0  # the passage is there, but elsewhere
+    n = F.lit(4_000_000)
+    bits = syncmers.place_bits(n)
+    one = spark.range(1).select(*[F.array(syncmers._packed(F.xxhash64(F.lit(5)), F.lit(at), bits)).alias(f"at{at}")
+                                  for at in (3_000_000, 1_100_000)])
+    same, moved = (syncmers.likeness(F.col("at3000000"), F.col(c), n, n) for c in one.columns)
+    assert tuple(one.select(same, moved).first()) == (1.0, 0.0)
+    short = one.select("at1100000", F.array(syncmers._packed(F.xxhash64(F.lit(5)), F.lit(900_000), F.lit(20))).alias("b"))
+    assert short.select(syncmers.likeness(F.col("at1100000"), F.col("b"), n, F.lit(1_000_000))).first()[0] == 1
+
+
 def test_url_rules(spark):
     rng, parts = random.Random(2), ["a", "net", "example", "com", "org", "xnet", "NET", ""]
     made = ["".join([rng.choice(["http://", "https://", "", "x"]), ".".join(rng.choices(parts, k=rng.randint(1, 4))),
