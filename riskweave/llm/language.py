@@ -1,14 +1,15 @@
 """Languages of mixed text: script ranges, then Viterbi over per-word scores.
 
-A word is a run of letters. Its script, by code-point ranges, leaves the languages that write it;
-among them it scores the log-probabilities of its letter trigrams. Viterbi over a document's words,
-with a penalty for every switch, labels spans; the language with most letters is the document's,
-and its share of the letters is the score.
+A word is a run of letters of one script. Its script, by code-point ranges, leaves the languages
+that write it; among them it scores the log-probabilities of its letter trigrams. Viterbi over a
+document's words, with a penalty for every switch, labels spans; the language with most letters is
+the document's, and its share of all letters is the score. Words of a script that no language
+writes are in no span and count for no language.
 
 Trigrams and scripts are counted over all labelled rows into hashed tables of a fixed size.
 
-Null text, or text without a letter, is ``und`` with score 0 and no spans; so is everything when
-no row is labelled. Ties go to the language that sorts first. A null doc_id is passed on, repeated
+Null text, or text without a letter of a known script, is ``und`` with score 0 and no spans; so is
+everything when no row is labelled. Ties go to the language that sorts first. A null doc_id is passed on, repeated
 rows give repeated results, an empty table an empty one; extra columns are ignored.
 """
 
@@ -79,7 +80,8 @@ def _words(texts: list[str]) -> _Words:
     hashed ^= hashed >> np.uint32(15)
     trigram = (hashed * np.uint32(0x2C1B3C6D)) >> np.uint32(16)
     new = np.ones(len(place), bool)
-    new[1:] = np.diff(place) > 1
+    kind = script[points[place]]
+    new[1:] = (np.diff(place) > 1) | (np.diff(kind) != 0)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(place)) - 1
     bounds = np.concatenate([[0], np.cumsum(lengths)])
@@ -181,16 +183,17 @@ def _predictor(model: Model, switch: float) -> Callable:
                     fits = model.allowed[w.script]
                     scores[~fits & fits.any(1, keepdims=True)] -= 1e6  # of no use if no language writes the script
                     scores[~fits.any(1)] = 0
-                    label = viterbi(scores, w.doc, switch)
-                    letters = np.bincount(w.doc * known + label, w.end - w.start, n * known).reshape(n, known)
-                    total = letters.sum(1)
-                    some = total > 0
+                    label = np.where(fits.any(1), viterbi(scores, w.doc, switch), known)
+                    letters = np.bincount(w.doc * (known + 1) + label, w.end - w.start, n * (known + 1)).reshape(n, known + 1)
+                    total, letters = letters.sum(1), letters[:, :known]
+                    some = letters.any(1)
                     pred[some] = letters[some].argmax(1)
                     score[some] = letters[some].max(1) / total[some]
                     new = np.ones(len(label), bool)
                     new[1:] = (np.diff(w.doc) != 0) | (np.diff(label) != 0)
                     first = np.flatnonzero(new)
                     last = np.append(first[1:], len(label)) - 1
+                    first, last = first[label[first] < known], last[label[first] < known]
                     starts_of, ends_of, label_of = w.start[first], w.end[last], label[first]
                     ends = np.searchsorted(w.doc[first], np.arange(n + 1)).astype(np.int32)
                 spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(

@@ -191,6 +191,19 @@ def test_language_spans_and_scripts(spark):
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_letters_of_unlearned_scripts_count_for_no_language(spark):
+    rows = [(i, t, lang) for i in range(8) for t, lang in (("the word and the text " * 9, "en"), ("das wort und der satz " * 9, "de"))]
+    rows += [(20, "слово за словом идёт текст", None), (21, "the word слово за словом идёт текст", None),
+             (22, "漢字かな", None), (23, "the word and the text слово", None), (24, "thewordслово", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    found = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    assert {(found[d].lang_pred, found[d].score, len(found[d].spans)) for d in (20, 22)} == {("und", 0.0, 0)}
+    assert (found[21].lang_pred, found[21].score) == ("en", 7 / 29) and [tuple(x) for x in found[21].spans] == [(0, 8, "en")]
+    assert (found[24].lang_pred, found[24].score) == ("en", 7 / 12)
+    assert {r.doc_id for r in language.keep_known(docs, model).collect()} == {*range(8), 23, 24}
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     scores, doc = rng.normal(size=(9, 3)), np.array([0, 0, 0, 0, 2, 5, 5, 5, 5])
