@@ -5,7 +5,9 @@ commas, less the share of its letters that are links; it passes them whole to it
 falling shares to further ancestors. An ancestor's points are discounted by its own link density;
 the best one, raised to an enclosing article, and its siblings with enough points are kept. What
 is marked as menu, header, footer, sidebar, notice, advert, form, script, style or reader comment
-is left out before scoring.
+is left out before scoring, unless it holds the article: a mark is lifted from what has most of the
+page's points and may be a wrapper, and from what holds an article or main with most of them. Marks
+and form controls inside stay.
 
 Null or empty html, and pages without text, give an empty text. Unclosed and misplaced tags are
 taken as browsers do; an unclosed comment or script runs to the end. Scanning is linear in the
@@ -43,6 +45,13 @@ OTHER_WORDS = frozenset("""ad ads adv advert adverts advertisement adsense banne
     social sponsor sponsored subscribe taboola toolbar widget""".split())
 ARTICLE_WORDS = frozenset("article body content entry has main no page post story text with wrapper container".split())
 ALWAYS_OTHER = frozenset("comment comments disqus respond shoutbox".split())
+#: Elements and names that often wrap a whole page, and controls of forms.
+WRAPPERS = frozenset("form header aside nav menu".split())
+CONTROLS = frozenset("button datalist head label legend output".split())
+#: How surely an element is no part of an article: perhaps a wrapper, the part itself, reader
+#: comments, a control. A wrapper's mark is lifted if it has so many points and times the rest's.
+NOT_MARKED, WRAPPER, PART, COMMENT, CONTROL = range(5)
+LEAST_POINTS, TIMES_REST = 3.0, 3.0
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""")
@@ -51,42 +60,39 @@ _NAME_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _HEADING = re.compile(r"h[1-6]\Z")
 
 
-def _marked(attributes: str, tag: str) -> bool:
-    """Whether the attributes say that the element is no part of an article."""
-    if tag in ("html", "body", "article", "main"):
-        protected = True
-    else:
-        protected = False
+def _marked(attributes: str, tag: str) -> int:
+    """How the attributes say that the element is no part of an article, if they do."""
+    protected = tag in ("html", "body", "article", "main")
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             for word in value.split():
                 parts = [p.lower() for p in _NAME_PARTS.split(word) if p]
                 if ALWAYS_OTHER.intersection(parts):
-                    return tag not in ("html", "body")
+                    return NOT_MARKED if tag in ("html", "body") else COMMENT
                 if not protected and parts and (
                         parts[0] in OTHER_WORDS
                         or OTHER_WORDS.intersection(parts) and not ARTICLE_WORDS.intersection(parts)):
-                    return True
+                    return PART if OTHER_WORDS.issuperset(parts) and parts != ["form"] else WRAPPER
         elif protected:
             continue
         elif name == "role":
             if value.lower() in OTHER_ROLES:
-                return True
+                return WRAPPER if value.lower() == "form" else PART
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return PART
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return PART
+    return NOT_MARKED
 
 
 class _Tree:
     """Block elements in page order; ``blocks`` are (element, text, letters in links)."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.dropped = ["#"], [0], [False]
+        self.tag, self.parent, self.mark = ["#"], [0], [NOT_MARKED]
         self.blocks: list[tuple[int, str, int]] = []
-        self._stack: list[tuple[str, int]] = [("#", 0)]  # open elements; inline ones keep their block's number
+        self._stack: list[tuple[str, int, bool]] = [("#", 0, True)]  # open elements; inline ones keep their block's number
         self._open: dict[str, int] = {}
         self._parts: list[str] = []
         self._links, self._in_links = 0, 0
@@ -97,20 +103,20 @@ class _Tree:
         if self._parts:
             text = " ".join(unescape("".join(self._parts)).split())
             node = self._stack[-1][1]
-            if text and not self.dropped[node]:
+            if text:
                 self.blocks.append((node, text, min(self._links, len(text))))
             self._parts = []
         self._links = 0
 
     def _text(self, text: str) -> None:
-        if text and not self.dropped[self._stack[-1][1]]:
+        if text:
             self._parts.append(text)
             if self._in_links:
                 self._links += len(text)
 
     def _pop(self, depth: int) -> None:
         """Close everything above ``depth`` open elements."""
-        for name, _ in self._stack[depth:]:
+        for name, *_ in self._stack[depth:]:
             self._open[name] -= 1
             self._in_links -= name == "a"
         del self._stack[depth:]
@@ -140,16 +146,19 @@ class _Tree:
         if tag in VOID:
             return
         node = self._stack[-1][1]
-        drop = self.dropped[node] or tag in DROPPED and not (
-            tag == "header" and (self._open.get("article") or self._open.get("main"))) or \
-            bool(attributes) and _marked(attributes, tag)
-        if tag in BLOCKS or drop and not self.dropped[node]:
+        mark = _marked(attributes, tag) if attributes else NOT_MARKED
+        if tag in CONTROLS and (tag in DROPPED or self._open.get("form")):
+            mark = CONTROL
+        elif tag in DROPPED and not (tag == "header" and (self._open.get("article") or self._open.get("main"))):
+            mark = max(mark, WRAPPER if tag in WRAPPERS else PART)
+        made = tag in BLOCKS or mark != NOT_MARKED
+        if made:
             self._end_block()
             self.tag.append(tag)
             self.parent.append(node)
-            self.dropped.append(drop)
+            self.mark.append(mark)
             node = len(self.tag) - 1
-        self._stack.append((tag, node))
+        self._stack.append((tag, node, made))
         self._open[tag] = self._open.get(tag, 0) + 1
         self._in_links += tag == "a"
 
@@ -157,9 +166,9 @@ class _Tree:
         if not self._open.get(tag):
             return
         for depth in range(len(self._stack) - 1, 0, -1):
-            name, node = self._stack[depth]
+            name = self._stack[depth][0]
             if name == tag:
-                if any(n in BLOCKS or self.dropped[k] for n, k in self._stack[depth:]):
+                if any(made for _, _, made in self._stack[depth:]):
                     self._end_block()
                 self._pop(depth)
                 return
@@ -201,13 +210,66 @@ class _Tree:
                 at = mark + 1
 
 
+def _gain(words: str, linked: int) -> float:
+    size = len(words)
+    return ((size >= 25) + words.count(",") + min(size / 100, 3) + size / 1000) * (1 - linked / size)
+
+
+def _left_out(tree: _Tree) -> list[bool]:
+    """Which elements are left out, after marks are lifted from what holds the article."""
+    n, mark = len(tree.tag), tree.mark
+    if not any(mark):
+        return [False] * n
+    own = [0.0] * n
+    for node, words, linked in tree.blocks:
+        own[node] += _gain(words, linked)
+    # Points inside each element without the marked parts in it, and with them, as far as they may
+    # be wrappers; most points of an article or main inside.
+    plain, whole, article = list(own), list(own), [0.0] * n
+    for node in range(n - 1, 0, -1):
+        up, kind = tree.parent[node], mark[node]
+        if tree.tag[node] in ("article", "main"):
+            article[node] = max(article[node], whole[node])
+        if kind == NOT_MARKED:
+            plain[up] += plain[node]
+        if kind <= WRAPPER:
+            whole[up] += whole[node]
+        if kind <= PART:
+            article[up] = max(article[up], article[node])
+    rest = plain[0]
+    shut, has_article, comments = [False] * n, False, 0.0
+    for node in range(1, n):
+        if not shut[tree.parent[node]]:
+            comments += whole[node] * (mark[node] == COMMENT)
+            has_article |= not mark[node] and tree.tag[node] in ("article", "main")
+        shut[node] = shut[tree.parent[node]] or bool(mark[node])
+    # Outer elements come first: what is lifted joins the rest that inner ones are held against.
+    out = [False] * n
+    for node in range(1, n):
+        kind = mark[node]
+        out[node] = out[tree.parent[node]]
+        if kind == NOT_MARKED or out[node]:
+            continue
+        if kind == WRAPPER:
+            lift = whole[node] >= max(LEAST_POINTS, TIMES_REST * rest, whole[0] / 2)
+        else:
+            lift = kind == COMMENT and tree.tag[node] in ("article", "main") and not has_article \
+                and whole[node] > max(LEAST_POINTS, rest + comments - whole[node])
+        if lift or kind <= PART and article[node] > max(LEAST_POINTS, rest):
+            rest += plain[node]
+        else:
+            out[node] = True
+    return out
+
+
 def main_text(html: str) -> str:
     tree = _Tree(html)
+    out = _left_out(tree)
+    blocks = [b for b in tree.blocks if not out[b[0]]]
     n = len(tree.tag)
     points, text, links = [0.0] * n, [0] * n, [0] * n
-    for node, words, linked in tree.blocks:
-        size = len(words)
-        gain = ((size >= 25) + words.count(",") + min(size / 100, 3) + size / 1000) * (1 - linked / size)
+    for node, words, linked in blocks:
+        gain = _gain(words, linked)
         # An element that is itself a paragraph passes its points on; a container keeps them.
         at = tree.parent[node] if tree.tag[node] in ("p", "pre", "li", "td", "blockquote") or _HEADING.match(tree.tag[node]) else node
         for share in (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12):
@@ -215,7 +277,7 @@ def main_text(html: str) -> str:
             if not at:
                 break
             at = tree.parent[at]
-    for node, words, linked in tree.blocks:
+    for node, words, linked in blocks:
         text[node] += len(words)
         links[node] += linked
     for node in range(n - 1, 0, -1):
@@ -245,7 +307,7 @@ def main_text(html: str) -> str:
     for node in range(n):
         listed = tree.tag[node] in ("ul", "ol") and text[node] and links[node] > 0.66 * text[node]
         inside[node] = (node in kept or bool(node) and inside[tree.parent[node]]) and not listed
-    return "\n\n".join(words for node, words, _ in tree.blocks if inside[node])
+    return "\n\n".join(words for node, words, _ in blocks if inside[node])
 
 
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

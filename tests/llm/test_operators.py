@@ -449,6 +449,24 @@ def test_main_text(spark):
     assert [(r.page_id, r.n_chars) for r in found] == [(1, len(text))] * 2 + [(2, 0), (None, 0)]
 
 
+ARTICLE = "<h1>A title</h1>" + "".join(f"<p>Paragraph {i}, long enough, with commas, to be a part of the article's text.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("before,after", [
+    ("<form action=x>", "</form>"), ("<div class='header-fixed'>", "</div>"), ("<div class='nav-open'>", "</div>"),
+    ("<div id='sidebar-right'>", "</div>"), ("<article class='comments-open'>", "</article>"), ("<aside>", "</aside>"),
+    ("<form><div class='nav-open'><article>", "</article></div></form>"), ("<div class=sidebar><main>", "</main></div>")])
+def test_main_text_inside_marked_wrappers(before, after):
+    around = ("<div class='nav-main'><a href=x>Home, sweet, home</a></div><form><label>Name</label><button>Go</button></form>"
+              "<section id=comments><article class=comment><p>I, as a reader, think, so, long.</p></article></section>"
+              "<div class='cookie-notice'><p>We use cookies, and so on, and more of them, and more.</p></div><footer>End, of, it</footer>")
+    inner = "<div class=sidebar>Other, stories, here</div><button>Send</button>"
+    text = html.main_text(f"<body>{before}{inner}{ARTICLE}{after}{around}</body>")
+    assert text == html.main_text(f"<body><article>{ARTICLE}</article></body>")
+    outside = html.main_text(f"<body><div class=post>{ARTICLE}</div>{before}<p>Some, other, small part, of the page.</p>{after}</body>")
+    assert "small part" not in outside and outside.count("Paragraph") == 6
+
+
 def test_top_k_over_many_blocks_and_groups(spark, monkeypatch):
     """Blocks and query groups of 256 rows, a third of all vectors equal."""
     monkeypatch.setattr(covertree, "BLOCK_BYTES", 1)
