@@ -37,9 +37,11 @@ _O = len(KINDS)  # the label of tokens that are no entity
 _LABELS = _O + 1
 #: Model size: hashed shapes and preceding words. Weights of the parts, rounds of messages.
 SHAPES, WORDS, WORD_WEIGHT, SKIP_WEIGHT, ROUNDS = 4096, 1024, 0.5, 1.5, 12
-#: Prior for consistency: so many linked pairs that agree, per label. The rules' labels, which the
-#: counts come from, miss what the field is there to find.
-AGREE = 100.0
+#: Prior for consistency, as shares, so that the same mix of texts gives the same potentials at every
+#: size: pairs that agree, of a label's linked pairs; pairs as if labels were independent; and the
+#: least share of all pairs that a label is taken to have. The rules' labels, which the counts come
+#: from, miss what the field is there to find.
+AGREE, INDEPENDENT, LEAST_LINKED = 1.0, 0.5, 1e-4
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -200,10 +202,19 @@ class Model:
     skip: np.ndarray
 
 
-def _information(counts: np.ndarray, agree: float = 0.0, smooth: float = 0.5) -> np.ndarray:
-    """Pointwise mutual information of both ends' labels; ``agree`` pairs of each label are taken
-    as seen beforehand."""
-    both = counts + counts.T + smooth + agree * np.eye(_LABELS)
+def _information(counts: np.ndarray, smooth: float = 0.5) -> np.ndarray:
+    """Pointwise mutual information of both ends' labels."""
+    both = counts + counts.T + smooth
+    both /= both.sum()
+    alone = both.sum(1)
+    return np.log(both / np.outer(alone, alone))
+
+
+def _consistency(counts: np.ndarray) -> np.ndarray:
+    """The same of linked pairs, with the prior that they agree."""
+    both = (counts + counts.T) / max(2 * counts.sum(), 1)
+    alone = np.maximum(both.sum(1), LEAST_LINKED)
+    both += AGREE * np.diag(alone) + INDEPENDENT * np.outer(alone, alone) / alone.sum()
     both /= both.sum()
     alone = both.sum(1)
     return np.log(both / np.outer(alone, alone))
@@ -222,7 +233,7 @@ def fit(documents: DataFrame) -> Model:
     of_shape = (shape + prior) / (shape.sum(1, keepdims=True) + 1)
     of_word = (word + 8 * prior) / (word.sum(1, keepdims=True) + 8)
     return Model(np.log(of_shape), WORD_WEIGHT * np.log(of_word / prior),
-                 _information(chain), SKIP_WEIGHT * _information(skip, AGREE))
+                 _information(chain), SKIP_WEIGHT * _consistency(skip))
 
 
 def _normal(x: np.ndarray) -> np.ndarray:

@@ -157,6 +157,19 @@ def test_linked_tokens_get_the_label_that_a_rule_gave(spark):
     assert "555-1234" not in clean[201] and clean[202] is None and filler in clean[200]
 
 
+def test_label_consistency_does_not_depend_on_the_size_of_the_table():
+    phone, other = pii.KINDS.index("phone"), len(pii.KINDS)
+    for agreeing in (0, 1, 10):
+        counts = np.zeros((other + 1, other + 1))
+        counts[other, other], counts[phone, other], counts[phone, phone] = 5000, 10, agreeing
+        pulls = []
+        for size in (1, 100, 10_000):
+            skip = pii._consistency(counts * size)
+            pulls.append(skip[phone, phone] - skip[phone, other])
+        assert np.ptp(pulls) < 1e-9 and pulls[0] > 5
+    assert np.isfinite(pii._consistency(np.zeros((other + 1, other + 1)))).all()
+
+
 def test_beliefs_equal_exact_marginals_on_a_tree():
     rng = np.random.default_rng(2)
     unary, edges = rng.normal(size=(4, 3)), np.array([[0, 1], [1, 2], [1, 3]])
