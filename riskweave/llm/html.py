@@ -57,6 +57,7 @@ OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dial
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""")
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?![\w-])""", re.I)
 _NAME_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+_RAW_END = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
 _HEADING = re.compile(r"h[1-6]\Z")
 
 
@@ -176,7 +177,7 @@ class _Tree:
                 return  # an inline end tag doesn't close blocks
 
     def _read(self, html: str) -> None:
-        lower, at, size = None, 0, len(html)
+        at, size, absent = 0, len(html), set()
         while at < size:
             mark = html.find("<", at)
             if mark < 0:
@@ -193,9 +194,11 @@ class _Tree:
                     self._end(tag)
                 elif tag in RAW:
                     if not attributes.endswith("/"):
-                        lower = lower or html.lower()
-                        end = (lower if len(lower) == size else html).find("</" + tag, at)
-                        end = html.find(">", end) if end >= 0 else -1
+                        # No end tag was found from an earlier place: there is none from here on.
+                        found = None if tag in absent else _RAW_END[tag].search(html, at)
+                        if not found:
+                            absent.add(tag)
+                        end = html.find(">", found.start()) if found else -1
                         at = end + 1 if end >= 0 else size
                 else:
                     self._start(tag, attributes)
@@ -300,12 +303,13 @@ def main_text(html: str) -> str:
         for other in range(1, n):
             if tree.parent[other] == tree.parent[best] and other != best and text[other]:
                 dense = links[other] / text[other]
-                paragraph = tree.tag[other] == "p" and text[other] > 80 and dense < 0.25
+                paragraph = tree.tag[other] == "p" and (dense < 0.25 if text[other] > 80 else not dense)
                 if score[other] >= max(10.0, 0.2 * score[best]) or paragraph or tree.tag[other] in ("h1", "h2"):
                     kept.add(other)
-    inside = [False] * n
+    inside, in_article = [False] * n, [False] * n
     for node in range(n):
-        listed = tree.tag[node] in ("ul", "ol") and text[node] and links[node] > 0.66 * text[node]
+        in_article[node] = tree.tag[node] in ("article", "main") or bool(node) and in_article[tree.parent[node]]
+        listed = not in_article[node] and tree.tag[node] in ("ul", "ol") and text[node] and links[node] > 0.66 * text[node]
         inside[node] = (node in kept or bool(node) and inside[tree.parent[node]]) and not listed
     return "\n\n".join(words for node, words, _ in blocks if inside[node])
 

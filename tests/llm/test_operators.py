@@ -480,6 +480,15 @@ def test_main_text_inside_marked_wrappers(before, after):
     assert "small part" not in outside and outside.count("Paragraph") == 6
 
 
+def test_main_text_keeps_what_belongs_to_the_article():
+    links = "<ul><li><a href=x>First source of it</a><li><a href=y>Second source</a></ul>"
+    assert "First source" in html.main_text(f"<body><article>{ARTICLE}{links}</article></body>")
+    assert "First source" not in html.main_text(f"<body><article>{ARTICLE}<div class=related-links>{links}</div></article></body>")
+    assert "Second source" not in html.main_text(f"<body><div>{ARTICLE}</div><div>{links}</div></body>")
+    assert html.main_text(f"<body><p>A short intro.</p><div>{ARTICLE}</div></body>").startswith("A short intro.")
+    assert "Paragraph 5" in html.main_text(f"<body>\u0130<script>x</SCRIPT><div>{ARTICLE}</div></body>")
+
+
 def test_top_k_over_many_blocks_and_groups(spark, monkeypatch):
     """Blocks and query groups of 256 rows, a third of all vectors equal."""
     monkeypatch.setattr(covertree, "BLOCK_BYTES", 1)
