@@ -14,7 +14,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; text without letters or with no main language goes."""
+    """Documents in known languages; text without letters, or with under half of them in such languages, goes."""
     bounded_batches(spark)
     labelled = docs.filter(~language.held_out(F.col("doc_id")))
     return language.keep_known(docs, language.fit(labelled))

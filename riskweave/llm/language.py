@@ -39,7 +39,7 @@ SCRIPTS = (
     ("han", 0x3400, 0x9FFF), ("han", 0x20000, 0x2FA1F), ("hangul", 0x1100, 0x11FF), ("hangul", 0xAC00, 0xD7AF),
 )
 _NAMES = tuple(dict.fromkeys(name for name, _, _ in SCRIPTS))
-_SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"
+_SCHEMA = "doc_id long, lang_pred string, score double, known double, spans array<struct<start:long,end:long,lang:string>>"
 
 
 @functools.cache
@@ -174,7 +174,7 @@ def _predictor(model: Model, switch: float) -> Callable:
             for rows in slices(batch, "text", 3 << 20):
                 texts = _texts(rows)
                 w, n = _words(texts), len(texts)
-                pred, score = np.full(n, known), np.zeros(n)
+                pred, score, share = np.full(n, known), np.zeros(n), np.zeros(n)
                 ends, starts_of, ends_of, label_of = np.zeros(n + 1, np.int32), w.start[:0], w.start[:0], w.doc[:0]
                 if known and len(w.doc):
                     scores = np.empty((len(w.doc), known), np.float32)
@@ -189,6 +189,7 @@ def _predictor(model: Model, switch: float) -> Callable:
                     some = letters.any(1)
                     pred[some] = letters[some].argmax(1)
                     score[some] = letters[some].max(1) / total[some]
+                    share[some] = letters[some].sum(1) / total[some]
                     new = np.ones(len(label), bool)
                     new[1:] = (np.diff(w.doc) != 0) | (np.diff(label) != 0)
                     first = np.flatnonzero(new)
@@ -200,15 +201,15 @@ def _predictor(model: Model, switch: float) -> Callable:
                     [pa.array(starts_of, pa.int64()), pa.array(ends_of, pa.int64()),
                      pa.array(langs[label_of].tolist(), pa.string())], ["start", "end", "lang"]))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(langs[pred].tolist(), pa.string()), pa.array(score), spans],
-                    ["doc_id", "lang_pred", "score", "spans"])
+                    [rows.column("doc_id"), pa.array(langs[pred].tolist(), pa.string()), pa.array(score), pa.array(share), spans],
+                    ["doc_id", "lang_pred", "score", "known", "spans"])
     return run
 
 
 def identify(documents: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     """doc_id, lang_pred, score and spans (start, end, lang) of every row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(tidied(_predictor(model, switch)), _SCHEMA)
+    return docs.mapInArrow(tidied(_predictor(model, switch)), _SCHEMA).drop("known")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -217,7 +218,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def keep_known(documents: DataFrame, model: Model, least: float = 0.5, switch: float = SWITCH) -> DataFrame:
-    """The rows, with all their columns, whose language is known by at least this score."""
+    """The rows, with all their columns, that have at least this share of their letters in any
+    known languages."""
     docs = documents.withColumn("text", F.col("text").cast("string"))
     predict = _predictor(model, switch)
 
@@ -228,7 +230,7 @@ def keep_known(documents: DataFrame, model: Model, least: float = 0.5, switch: f
                     [pa.nulls(rows.num_rows, pa.int64()), rows.column("text")], ["doc_id", "text"])
                 good: list[bool] = []
                 for found in predict(iter([asked])):
-                    good += [lang != "und" and score >= least for lang, score in zip(
-                        found.column("lang_pred").to_pylist(), found.column("score").to_pylist(), strict=True)]
+                    good += [lang != "und" and known >= least for lang, known in zip(
+                        found.column("lang_pred").to_pylist(), found.column("known").to_pylist(), strict=True)]
                 yield rows.filter(pa.array(good, pa.bool_()))
     return docs.mapInArrow(tidied(run), docs.schema)

@@ -217,6 +217,17 @@ def test_letters_of_unlearned_scripts_count_for_no_language(spark):
     assert {r.doc_id for r in language.keep_known(docs, model).collect()} == {*range(8), 23, 24}
 
 
+def test_text_of_several_known_languages_is_kept(spark):
+    parts = {"en": "the word and the text ", "de": "das wort und der satz ", "fr": "le mot et la phrase "}
+    rows = [(i, t * 9, lang) for i in range(8) for lang, t in parts.items()]
+    rows.append((30, " ".join(parts[x] * n for x, n in (("en", 8), ("de", 6), ("fr", 6))), None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    one = language.identify(docs.filter("doc_id = 30"), model).first()
+    assert one.score < 0.5 and {x["lang"] for x in one.spans} == set(parts)
+    assert language.keep_known(docs, model).filter("doc_id = 30").count() == 1
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     scores, doc = rng.normal(size=(9, 3)), np.array([0, 0, 0, 0, 2, 5, 5, 5, 5])
