@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -145,14 +146,15 @@ def decode_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.nda
 
 def _encoder(path: str, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end, part = tokens(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        known, part = tokens(path), TaskContext.get().partitionId()
         docs: list[int | None] = []
-        coded: list[bytes] = []
+        sizes: list[int] = []
+        coded: list[np.ndarray] = []
         total = segment = 0
 
         def flush() -> pa.RecordBatch:
-            payload = encode_segment(docs, [len(x) // 4 for x in coded], np.frombuffer(b"".join(coded), "<u4"))
-            row = [[part], [segment], [total // 4], [len(docs)], [payload]]
+            payload = encode_segment(docs, sizes, np.concatenate(coded))
+            row = [[part], [segment], [total], [len(docs)], [payload]]
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays(
                 [pa.array(x, k) for x, k in zip(row, kinds, strict=True)],
@@ -160,14 +162,20 @@ def _encoder(path: str, end_id: int) -> Callable:
 
         for batch in batches:
             for rows in slices(batch, "text"):
-                texts = [x or "" for x in rows.column("text").to_pylist()]
-                for doc, ids in zip(rows.column("doc_id").to_pylist(), known.ids(texts), strict=True):
-                    docs.append(doc)
-                    coded.append(ids + end)
-                    total += len(ids) + 4
-                    if total >= 4 * SEGMENT_TOKENS:
+                ids, counts = known.with_end(pc.fill_null(rows.column("text"), ""), end_id)
+                ends, names, before = np.cumsum(counts), rows.column("doc_id").to_pylist(), 0
+                while before < len(names):
+                    # Up to the first document that fills the segment.
+                    base = ends[before] - counts[before]
+                    upto = min(len(names), int(np.searchsorted(ends, base + SEGMENT_TOKENS - total)) + 1)
+                    docs += names[before:upto]
+                    sizes += counts[before:upto].tolist()
+                    coded.append(ids[base:ends[upto - 1]])
+                    total += int(ends[upto - 1] - base)
+                    before = upto
+                    if total >= SEGMENT_TOKENS:
                         yield flush()
-                        docs, coded, total, segment = [], [], 0, segment + 1
+                        docs, sizes, coded, total, segment = [], [], [], 0, segment + 1
         if docs:
             yield flush()
     return run

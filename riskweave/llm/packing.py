@@ -22,10 +22,12 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import slices, tidied
+from riskweave.llm.pieces import ranges
 from riskweave.llm.tokenizing import REMEMBERED_AS, tokens
 from riskweave.session import written
 
@@ -37,23 +39,23 @@ _PLACED = _PIECES + ", sequence_id long, offset long"
 
 def _piece_maker(path: str, end_id: int, capacity: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = tokens(path), np.array([end_id], "<u4").tobytes()
+        known = tokens(path)
         for batch in batches:
             for rows in slices(batch, "text"):
-                texts = [x or "" for x in rows.column("text").to_pylist()]
-                out: list[tuple] = []
-                for doc, ids in zip(rows.column("doc_id").to_pylist(), known.ids(texts), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    first = (n - 1) % capacity + 1
-                    bounds = [0, *range(first, n + 1, capacity)]
-                    for piece, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                        out.append((doc, piece, a, b - a, zlib.crc32(memoryview(ids)[4 * a:4 * b])))
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                ids, counts = known.with_end(pc.fill_null(rows.column("text"), ""), end_id)
+                # All pieces but a document's first are of full length.
+                pieces_of = -(-counts // capacity)
+                row = np.repeat(np.arange(len(counts)), pieces_of)
+                piece = ranges(np.zeros(len(counts), np.int64), pieces_of)
+                first = counts - (pieces_of - 1) * capacity
+                begin = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
+                length = np.where(piece == 0, first[row], capacity)
+                at = 4 * ((np.cumsum(counts) - counts)[row] + begin)
+                data = memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    [rows.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(begin),
+                     pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
     return run
 
 

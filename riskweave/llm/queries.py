@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import ans, covertree, html, language, mixing, neardup, packing, pii, syncmers, urls
+from riskweave.llm import alignment, ans, bpe, covertree, html, language, lexical, mixing, neardup, packing, pii, syncmers, urls
 from riskweave.llm.common import bounded_batches
 from riskweave.session import scratch_dir
 
 #: The tokenizer file is a parameter of the operators; the queries take this one.
 TOKENIZER = "byte_bpe_50k.json"
+OTHER_TOKENIZER = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,9 +65,23 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.fingerprints(_table(spark, folder, "documents"))
 
 
+def op11_encoded(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op12_aligned_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER),
+                             public_tokenizers.path(OTHER_TOKENIZER))
+
+
+def op13_ranked_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_personal_data, op2_top_inner_products, op3_main_text, op4_packed_sequences, op5_url_verdicts,
-    op6_languages, op7_token_files, op8_mixture, op9_near_duplicates, op10_fingerprints)}
+    op6_languages, op7_token_files, op8_mixture, op9_near_duplicates, op10_fingerprints, op11_encoded,
+    op12_aligned_tokens, op13_ranked_documents)}
 
 _OP2 = """
 WITH vectors AS (
@@ -129,4 +144,29 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM dealt
 """
 
-ORACLES = {"op2_top_inner_products": _OP2, "op5_url_verdicts": _OP5, "op8_mixture": _OP8}
+_OP13 = """
+WITH terms AS (
+  SELECT doc_id, row_number() OVER () AS doc, regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t
+  FROM documents),
+held AS (SELECT doc_id, doc, t, CAST(len(t) AS BIGINT) AS n FROM terms WHERE len(t) > 0),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM held),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+posts AS (
+  SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(t) AS term FROM held)
+  WHERE term IN (SELECT term FROM asked) GROUP BY doc, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM posts, totals GROUP BY term, n_docs),
+scored AS (
+  SELECT item_id, doc, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM posts JOIN weights USING (term) JOIN held USING (doc) JOIN asked USING (term), totals GROUP BY item_id, doc)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored JOIN held USING (doc) WHERE score > 0)
+WHERE rank <= 10
+"""
+
+ORACLES = {"op13_ranked_documents": _OP13, "op2_top_inner_products": _OP2, "op5_url_verdicts": _OP5, "op8_mixture": _OP8}

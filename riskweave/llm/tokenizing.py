@@ -1,9 +1,9 @@
-"""Token ids of whole texts with a public tokenizer, words kept in a bounded memory.
+"""Token ids of whole texts with the tokenizers library, each distinct piece encoded once.
 
 A byte-level tokenizer never joins what stands before a single space with the space and the
-character after it, so a text may be cut before every space that a non-space follows. The cut
-words repeat; each worker remembers the ids of a bounded number of them. The ids are those of
-the library for the whole text.
+character after it, so a text may be cut before every space that a non-space follows
+(``pieces.py``). The pieces repeat; each worker remembers the ids of a bounded number of them.
+The ids are those of the library for the whole text.
 """
 
 from __future__ import annotations
@@ -12,87 +12,72 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from riskweave.llm.common import REMEMBERED
+from riskweave.llm.pieces import Memo, cut, with_specials
 
-#: Words remembered per worker, about 80 MB at most; the frequent ones come first.
-KEPT_WORDS = 400_000
-KEPT_LENGTH = 40
-#: Words encoded as one text: more or fewer take longer.
-JOINED_WORDS = 50
+#: Pieces encoded as one text: more or fewer take longer.
+JOINED_PIECES = 50
 
-_CUT = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?=\s|$)")
-_SPACE = re.compile(r"\s")
+_SPACED = re.compile(r" [^\s]+\Z")
 
 
 class Tokens:
-    """``ids(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
+    """``flat(texts)`` gives all ids of all texts, and how many each text has. The strings of
+    special tokens get their ids, as in the library; with ``plain`` they are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._known: dict[str, bytes] = {}
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
+        self._tokenizer.encode_special_tokens = plain
+        added = self._tokenizer.get_added_tokens_decoder()
+        self._specials = {} if plain else {t.content: i for i, t in added.items()}
         self._break = self._encode(["\n"])[0]
-        self._joins = len(self._break) == 4 and self._encode([" a\n a"])[0].count(self._break) == 1
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Each word after a space. Words without white space go in one text, a line break
-        between them, and are cut apart at its id."""
-        if self._joins and words:
-            parts = ["\n".join([f" {w}" for w in words[i:i + JOINED_WORDS]]) for i in range(0, len(words), JOINED_WORDS)]
-            ids = np.frombuffer(self._break.join(self._encode(parts)), "<u4")
-            ends = np.flatnonzero(ids == np.frombuffer(self._break, "<u4")[0]).tolist()
-            if len(ends) == len(words) - 1:
-                data = ids.tobytes()
-                return [data[4 * a:4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)]
-        return self._encode([" " + w for w in words])
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        known = self._known
-        cut = [x.split(" ") if not _ODD.search(x) else _CUT.split(x) for x in texts]
-        firsts = list({parts[0] for parts in cut})
-        first = dict(zip(firsts, self._encode(firsts), strict=True))
-        # Known words are looked up at once; only the others' places are gone through.
-        found = [list(map(known.get, parts)) for parts in cut]
-        new: dict[str, bytes] = {}
-        places = []
-        for parts, ids in zip(cut, found, strict=True):
-            ids[0] = first[parts[0]]
-            missing = [i for i, x in enumerate(ids) if x is None]
-            places.append(missing)
-            for i in missing:
-                new[parts[i]] = b""
-        simple = [w for w in new if w and not _SPACE.search(w)]
-        other = [w for w in new if not w or _SPACE.search(w)]
-        new.update(zip(simple, self._encode_words(simple), strict=True))
-        new.update(zip(other, self._encode([" " + w for w in other]), strict=True))
-        for parts, ids, missing in zip(cut, found, places, strict=True):
-            for i in missing:
-                ids[i] = new[parts[i]]
-        for w, x in new.items():
-            if len(known) >= KEPT_WORDS:
-                break
-            if len(w) <= KEPT_LENGTH:
-                known[w] = x
-        return [b"".join(ids) for ids in found]
-
-
-#: The name under which workers remember tokenizers and the words they met.
+        self._joins = len(self._break) == 1 and (self._encode([" a\n a"])[0] == self._break[0]).sum() == 1
+        self.memo = Memo(self._pieces)
+
+    def _encode(self, parts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        """Pieces of a space and other characters go in one text, a line break between them, and
+        are cut apart at its id."""
+        spaced = [i for i, p in enumerate(pieces) if _SPACED.match(p)] if self._joins else []
+        out: list[np.ndarray | None] = [None] * len(pieces)
+        for at in range(0, len(spaced), JOINED_PIECES):
+            some = spaced[at:at + JOINED_PIECES]
+            ids = self._encode(["\n".join([pieces[i] for i in some])])[0]
+            ends = np.flatnonzero(ids == self._break[0])
+            if len(ends) == len(some) - 1:
+                for i, part in zip(some, np.split(ids, ends), strict=True):
+                    out[i] = part if i == some[0] else part[1:]
+        left = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(left, self._encode([pieces[i] for i in left]), strict=True):
+            out[i] = ids
+        return out
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return with_specials(texts, self._specials, lambda part: self.memo.gather(cut(part)))
+
+    def with_end(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same, each text followed by an end id."""
+        ids, counts = self.flat(texts)
+        return np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
+
+
+#: The name under which workers remember tokenizers and the pieces they met.
 REMEMBERED_AS = "tokens"
-_LOADED: dict[str, Tokens] = {}
+_LOADED: dict[tuple[str, bool], Tokens] = {}
 REMEMBERED[REMEMBERED_AS] = _LOADED
 
 
-def tokens(path: str) -> Tokens:
+def tokens(path: str, plain: bool = False) -> Tokens:
     """This worker's tokenizer for a file."""
-    if path not in _LOADED:
-        _LOADED[path] = Tokens(path)
-    return _LOADED[path]
+    if (path, plain) not in _LOADED:
+        _LOADED[path, plain] = Tokens(path, plain)
+    return _LOADED[path, plain]

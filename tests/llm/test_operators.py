@@ -242,7 +242,6 @@ def test_viterbi_is_the_best_path():
 def encoded(rows, end):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [(doc, [*t.encode(text or "", add_special_tokens=False).ids, end]) for doc, text, *_ in rows]
 
 
