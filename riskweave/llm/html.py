@@ -33,7 +33,7 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
     fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol
     p pre section summary table tbody td tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea svg math object canvas audio video select title".split())
+RAW = frozenset("script style template iframe textarea title".split())
 DROPPED = frozenset("aside button dialog footer form head header menu nav datalist".split())
 CLOSES_P = BLOCKS - {"body", "html", "head", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -47,14 +47,14 @@ ARTICLE_WORDS = frozenset("article body content entry has main no page post stor
 ALWAYS_OTHER = frozenset("comment comments disqus respond shoutbox".split())
 #: Elements and names that often wrap a whole page, and controls of forms.
 WRAPPERS = frozenset("form header aside nav menu".split())
-CONTROLS = frozenset("button datalist head label legend output".split())
+CONTROLS = frozenset("button datalist head label legend output select".split())
 #: How surely an element is no part of an article: perhaps a wrapper, the part itself, reader
 #: comments, a control. A wrapper's mark is lifted if it has so many points and times the rest's.
 NOT_MARKED, WRAPPER, PART, COMMENT, CONTROL = range(5)
 LEAST_POINTS, TIMES_REST = 3.0, 3.0
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>]))*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>""")
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?![\w-])""", re.I)
 _NAME_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _RAW_END = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}

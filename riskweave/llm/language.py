@@ -8,8 +8,9 @@ writes are in no span and count for no language.
 
 Trigrams and scripts are counted over all labelled rows into hashed tables of a fixed size.
 
-Null text, or text without a letter of a known script, is ``und`` with score 0 and no spans; so is
-everything when no row is labelled. Ties go to the language that sorts first. A null doc_id is passed on, repeated
+Null text, or text without a letter, is ``und`` with score 0 and no spans; so is everything when no
+row is labelled. Text whose letters are all of scripts that no language writes gets the language with
+most letters in the labelled rows, with score 0 and no spans. Ties go to the language that sorts first. A null doc_id is passed on, repeated
 rows give repeated results, an empty table an empty one; extra columns are ignored.
 """
 
@@ -117,6 +118,7 @@ class Model:
     langs: list[str]
     scores: np.ndarray  # trigram buckets x languages
     allowed: np.ndarray  # scripts x languages
+    prior: int = 0  # the language with most letters
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -130,7 +132,8 @@ def fit(labelled: DataFrame) -> Model:
     counts[table.column("cell").to_numpy(), at] = table.column("n").to_numpy()
     grams, scripts = counts[:BUCKETS] + SMOOTH, counts[BUCKETS:]
     allowed = scripts > SCRIPT_SHARE * scripts.sum(0)
-    return Model(names.tolist(), np.log(grams / grams.sum(0)).astype(np.float32), allowed)
+    prior = int(scripts.sum(0).argmax()) if len(names) else 0
+    return Model(names.tolist(), np.log(grams / grams.sum(0)).astype(np.float32), allowed, prior)
 
 
 def viterbi(scores: np.ndarray, doc: np.ndarray, switch: float) -> np.ndarray:
@@ -187,6 +190,7 @@ def _predictor(model: Model, switch: float) -> Callable:
                     letters = np.bincount(w.doc * (known + 1) + label, w.end - w.start, n * (known + 1)).reshape(n, known + 1)
                     total, letters = letters.sum(1), letters[:, :known]
                     some = letters.any(1)
+                    pred[total > 0] = model.prior
                     pred[some] = letters[some].argmax(1)
                     score[some] = letters[some].max(1) / total[some]
                     share[some] = letters[some].sum(1) / total[some]

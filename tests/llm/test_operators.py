@@ -207,16 +207,28 @@ def test_language_spans_and_scripts(spark):
 def test_letters_of_unlearned_scripts_count_for_no_language(spark):
     rows = [(i, t, lang) for i in range(8) for t, lang in (("the word and the text " * 9, "en"), ("das wort und der satz " * 9, "de"))]
     rows += [(20, "слово за словом идёт текст", None), (21, "the word слово за словом идёт текст", None),
-             (22, "漢字かな", None), (23, "the word and the text слово", None), (24, "thewordслово", None)]
+             (22, "漢字かな", None), (23, "the word and the text слово", None), (24, "thewordслово", None), (25, "ᚠᚢᚦ", None), (26, "12 ?!", None), (27, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language.fit(docs)
     found = {r.doc_id: r for r in language.identify(docs, model).collect()}
-    assert {(found[d].lang_pred, found[d].score, len(found[d].spans)) for d in (20, 22)} == {("und", 0.0, 0)}
+    assert {(found[d].lang_pred, found[d].score, len(found[d].spans)) for d in (20, 22, 25)} == {("de", 0.0, 0)}  # most letters
+    assert {(found[d].lang_pred, found[d].score) for d in (26, 27)} == {("und", 0.0)}
     assert (found[21].lang_pred, found[21].score) == ("en", 7 / 29) and [tuple(x) for x in found[21].spans] == [(0, 8, "en")]
     assert (found[24].lang_pred, found[24].score) == ("en", 7 / 12)
     assert {r.doc_id for r in language.keep_known(docs, model).collect()} == {*range(8), 23, 24}
 
 
+def test_markup_in_quotes_and_text_of_odd_elements():
+    body = "".join(f"<p>Some words, and more of them, in paragraph {i} of a longer article.</p>" for i in range(6))
+    page = f"<article>{body}<p>See <a title='a<b' href=x>link</a> and <img alt=\"one < two\" src=x>this, " \
+        "where <math><mi>x</mi></math> is <select><option>few</select>.</p></article>"
+    last = html.main_text(page).split("\n\n")[-1]
+    assert last == "See link and this, where x is few."
+    assert html.main_text("<p title=\"never closed>kept <b>words</b>") .endswith("kept words")
+    for bad in ("<a x=\"", "<a x='\" ", "<a \" <a \" ", "<b '\"' "):
+        html.main_text(bad * 20_000)
+
+
 def test_text_of_several_known_languages_is_kept(spark):
     parts = {"en": "the word and the text ", "de": "das wort und der satz ", "fr": "le mot et la phrase "}
     rows = [(i, t * 9, lang) for i in range(8) for lang, t in parts.items()]
