@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskweave import fixed_values as V
-from riskweave.operators.ranks import roc_auc, stratified_split
 from riskweave.functions.scalars import ratio
+from riskweave.operators import boosting
+from riskweave.operators.boosting import Booster
+from riskweave.operators.ranks import roc_auc, sorted_positions, stratified_split
+from riskweave.session import cut_lineage
 
 TARGET = "is_flagged"
 
@@ -33,25 +33,26 @@ def _as_category(name: str):
 def category_codes(features: DataFrame, columns=None) -> DataFrame:
     """(feature, value, code): codes 0, 1, 2 in text order per feature.
 
-    One pass over the table; equal values are merged in each task, so only the distinct
-    values of a category reach the window.
+    One pass over the table; equal values are merged in each task. The values of all features are
+    sorted over all tasks, however many one feature has.
     """
     columns = columns or V.CATEGORICAL_FEATURES
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), _as_category(c).alias("value")) for c in columns])
     values = features.select(F.explode(pairs).alias("p")).select("p.*").distinct()
-    return values.withColumn(
-        "code", (F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1).cast("long"))
+    return sorted_positions(values, "feature", "value", {"code": F.lit(1)})
 
 
 def encoded(features: DataFrame, columns=None) -> DataFrame:
-    """Features with every category replaced by its code."""
+    """Features with every category replaced by its code. The codes are joined, a feature at a
+    time; Spark broadcasts those of a feature with few values."""
     columns = columns or V.CATEGORICAL_FEATURES
-    # One map for all categories: one pass over the table, and no join. It holds the distinct
-    # values of a category, as a fitted string indexer would.
-    lookup = category_codes(features, columns).agg(F.map_from_entries(F.collect_list(
-        F.struct(F.concat_ws("=", "feature", "value"), F.col("code"))))).scalar()
-    return features.withColumns(
-        {c: F.element_at(lookup, F.concat_ws("=", F.lit(c), _as_category(c))) for c in columns})
+    codes = cut_lineage(category_codes(features, columns))
+    order = features.columns
+    for c in columns:
+        own = codes.filter(F.col("feature") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        features = features.withColumn("_as", _as_category(c)).join(own, F.col("_as") == F.col("_value"), "left")\
+            .withColumn(c, F.col("_code")).drop("_as", "_value", "_code")
+    return features.select(*order)
 
 
 def feature_vectors(numeric: DataFrame) -> DataFrame:
@@ -75,45 +76,17 @@ def class_weights(features: DataFrame, label: str = TARGET) -> DataFrame:
     return counts.withColumn("weight", total.cast("double") / (classes * F.col("rows")))
 
 
-def with_class_weight(train: DataFrame, label: str = TARGET) -> DataFrame:
-    """Rows with a label, each with its class's weight."""
-    known = train.filter(F.col(label).isNotNull())
-    weights = class_weights(known, label).agg(
-        F.map_from_entries(F.collect_list(F.struct(label, "weight")))).scalar()
-    return known.withColumn("class_weight", F.element_at(weights, F.col(label)))
+def fit(train: DataFrame, trees: int = 200, leaves: int = 31, max_depth: int = 6, step: float = 0.05) -> Booster:
+    """Boosted trees over the raw columns, each class with the same total weight."""
+    return boosting.fit(train, V.FEATURES, V.CATEGORICAL_FEATURES, TARGET, trees, leaves, max_depth, step)
 
 
-def fit(train: DataFrame, trees: int = 200, max_depth: int = 5, step: float = 0.05) -> PipelineModel:
-    """Indexers, assembler and boosted trees in one saved unit, so that scoring takes the
-    raw columns. Unseen categories get a code of their own."""
-    prepared = with_class_weight(_ready(train)).withColumn("label", F.col(TARGET).cast("int"))
-    codes = [f"{c}_code" for c in V.CATEGORICAL_FEATURES]
-    inputs = [f"{f}_code" if f in V.CATEGORICAL_FEATURES else f for f in V.FEATURES]
-    indexer = StringIndexer(inputCols=V.CATEGORICAL_FEATURES, outputCols=codes,
-                            stringOrderType="alphabetAsc", handleInvalid="keep").fit(prepared)
-    # A category needs a bin for each value and one for unseen values.
-    bins = max([64, *(len(labels) + 1 for labels in indexer.labelsArray)])
-    return Pipeline(stages=[
-        indexer,
-        VectorAssembler(inputCols=inputs, outputCol="features"),
-        GBTClassifier(featuresCol="features", labelCol="label", weightCol="class_weight",
-                      maxIter=trees, maxDepth=max_depth, stepSize=step,
-                      minInstancesPerNode=20, maxBins=bins, checkpointInterval=-1, seed=V.SEED),
-    ]).fit(prepared)
-
-
-def _ready(features: DataFrame) -> DataFrame:
-    return features.fillna(-1.0, ["flagged_claims_pct"]).withColumns(
-        {c: _as_category(c) for c in V.CATEGORICAL_FEATURES})
-
-
-def predict(model: PipelineModel, features: DataFrame, key: str = "claim_id") -> DataFrame:
+def predict(model: Booster, features: DataFrame, key: str = "claim_id") -> DataFrame:
     """(key, is_flagged, prediction, probability, model_score) with the score from 0 to 100."""
-    probability = vector_to_array("probability")[1]
-    scored = model.transform(_ready(features))
     kept = [key] + ([TARGET] if TARGET in features.columns else [])
-    return scored.select(*kept, F.col("prediction").cast("int").alias("prediction"),
-                         probability.alias("probability"), (probability * 100).alias("model_score"))
+    scored = boosting.predict(model, features, kept)
+    return scored.select(*kept, (F.col("probability") > 0.5).cast("int").alias("prediction"), "probability",
+                         (F.col("probability") * 100).alias("model_score"))
 
 
 def classification_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -161,16 +134,16 @@ def run_metrics(predictions: DataFrame, run: str, parameters: dict) -> DataFrame
     return auc.select(F.lit(run).alias("run"), F.explode(rows).alias("m")).select("run", "m.name", "m.value")
 
 
-def save_model(spark: SparkSession, model: PipelineModel, features: DataFrame, path: str) -> None:
+def save_model(spark: SparkSession, model: Booster, features: DataFrame, path: str) -> None:
     """Save the model and, beside it, its input schema and three example rows."""
-    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame([(model.to_json(),)], "model string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
     schema = json.loads(features.select(*V.FEATURES).schema.json())
     spark.createDataFrame([(json.dumps(schema),)], "input_schema string").write.mode("overwrite").text(f"{path}/schema")
     features.select(*V.FEATURES).orderBy(*V.FEATURES).limit(3).write.mode("overwrite").json(f"{path}/example")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(f"{path}/model")
+def load_model(path: str) -> Booster:
+    return Booster.from_json(SparkSession.getActiveSession().read.text(f"{path}/model", wholetext=True).first()[0])
 
 
 def champions(versions: DataFrame, name: str = "model", version: str = "version") -> DataFrame:

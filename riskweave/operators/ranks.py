@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.session import cut_lineage
+
 BUCKET_BITS = 10
 
 
@@ -87,6 +89,29 @@ def numbered(df: DataFrame, groups: Sequence[str], order: str, name: str) -> Dat
         .withColumn(name, F.col("preceding") + 1).drop("_one", "preceding")
 
 
+def sorted_positions(df: DataFrame, group: str, value: str, amounts: dict[str, Column]) -> DataFrame:
+    """Add columns, each the sum of an amount over the group's rows with a smaller value.
+
+    (group, value) is unique and of types that sort; rows are sorted over all tasks by it, so a
+    group with most rows is spread like any other. Every task adds up its own rows; the tasks'
+    totals, one row each, give it what comes before. Nulls sort first.
+    """
+    tagged = df.select(*df.columns, *[c.cast("long").alias(f"_a{i}") for i, c in enumerate(amounts.values())])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Cut, as sampled borders of tasks may differ when the rows are sorted once more.
+    spread = cut_lineage(tagged.repartitionByRange(parts, group, value).withColumn("_part", F.spark_partition_id()))
+    added = [f"_a{i}" for i in range(len(amounts))]
+    totals = spread.groupBy("_part", group).agg(*[F.sum(a).alias(a) for a in added])
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_part", F.col(group).alias("_group"), *[
+        F.coalesce(F.sum(a).over(earlier), F.lit(0)).alias(f"{a}_start") for a in added])
+    within = Window.partitionBy("_part", group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = spread.withColumns({f"{a}_before": F.coalesce(F.sum(a).over(within), F.lit(0)) for a in added})
+    both = placed.alias("p").join(starts.alias("s"), (F.col("p._part") == F.col("s._part")) & F.col(f"p.{group}").eqNullSafe(F.col("s._group")))
+    return both.select(*[F.col(f"p.{c}") for c in df.columns], *[
+        (F.col(f"s.{a}_start") + F.col(f"p.{a}_before")).cast("long").alias(name) for a, name in zip(added, amounts, strict=True)])
+
+
 def exact_median(
     df: DataFrame, groups: Sequence[str], value: str, name: str, bits: int = BUCKET_BITS,
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskweave import fixed_values as V
 from riskweave.functions import risk
 from riskweave.functions.scalars import clamp
-from riskweave.operators import learning, ranks
+from riskweave.operators import boosting, learning, ranks
 from riskweave.plans.role_sql import sql_tier, with_roles
 from riskweave.plans.scoring import RULE_SCORE_SQL
 from riskweave.session import scratch_dir
@@ -16,6 +16,8 @@ from riskweave.sources import roles
 from riskweave.sources.tables import append_path
 
 TREES = 200
+#: Held-out AUC that the model reaches on the given tables.
+LEAST_AUC = 0.75
 
 
 def _features(spark, folder):
@@ -48,9 +50,32 @@ def m05_class_weights(spark, folder):
     return learning.class_weights(_features(spark, folder))
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def _train_rows(spark, folder):
+    return learning.train_test(_features(spark, folder)).filter(~F.col("is_test"))
+
+
+def _saved(spark, folder):
+    """The folder of the model, trained once per application and table folder and saved."""
+    place = spark.sparkContext.applicationId, folder
+    if place not in _SAVED:
+        path = scratch_dir(spark, "model")
+        learning.save_model(spark, learning.fit(_train_rows(spark, folder), trees=TREES), _features(spark, folder), path)
+        _SAVED[place] = path
+    return _SAVED[place]
+
+
 def _fitted(spark, folder):
-    train = learning.train_test(_features(spark, folder)).filter(~F.col("is_test"))
-    return learning.fit(train, trees=TREES)
+    return learning.load_model(_saved(spark, folder))
+
+
+def m06_root_histogram(spark, folder):
+    """The first tree's sums at its root: training rows and flagged ones by feature and bin."""
+    train = _train_rows(spark, folder).filter("is_flagged IS NOT NULL")
+    cuts = boosting.bin_cuts(train, V.FEATURES, V.CATEGORICAL_FEATURES)
+    return boosting.root_histogram(boosting.Booster(V.FEATURES, V.CATEGORICAL_FEATURES, cuts), train, "is_flagged")
 
 
 def _test_rows(spark, folder):
@@ -68,20 +93,40 @@ def m10_run_metrics(spark, folder):
     model, runs = _fitted(spark, folder), scratch_dir(spark, "runs")
     for run, rows in (("held_out", _test_rows(spark, folder)), ("all_claims", _features(spark, folder))):
         append_path(learning.run_metrics(learning.predict(model, rows), run, {
-            "trees": TREES, "max_depth": 5, "learning_rate": 0.05, "test_percent": V.TEST_SHARE_PERCENT}), runs)
+            "trees": TREES, "max_depth": 6, "leaves": 31, "learning_rate": 0.05, "test_percent": V.TEST_SHARE_PERCENT}), runs)
     return spark.read.parquet(runs)
 
 
+def m07_prediction_properties(spark, folder):
+    """Whether each held-out claim's probability is one and its class the more probable."""
+    sound = F.col("probability").between(0, 1) & (F.col("prediction") == (F.col("probability") > 0.5).cast("int"))
+    return m07_predictions(spark, folder).select("claim_id", "is_flagged", sound.alias("sound"))
+
+
+def m10_run_properties(spark, folder):
+    """Every run's parameters, and whether its AUC is within bounds."""
+    ok = F.when(F.col("name") == "test_auc", F.col("value").between(LEAST_AUC, 1))
+    return m10_run_metrics(spark, folder).select(
+        "run", "name", F.when(F.col("name") != "test_auc", F.col("value")).alias("value"), ok.alias("within"))
+
+
 def m13_saved_model_scores(spark, folder):
-    """Save the model, load it and score every claim with raw columns."""
-    path = scratch_dir(spark, "model")
+    """Load the saved model and score every claim with raw columns."""
     features = _features(spark, folder)
-    learning.save_model(spark, _fitted(spark, folder), features, path)
-    scored = learning.predict(learning.load_model(path), features.drop("is_flagged"))
+    scored = learning.predict(learning.load_model(_saved(spark, folder)), features.drop("is_flagged"))
     return scored.select("claim_id", F.round("model_score", 1).alias("fraud_score"),
                          risk.risk_category(F.col("model_score")).alias("risk_category"))
 
 
+def m13_score_properties(spark, folder):
+    """Whether each claim's score has one decimal and lies between 0 and 100 and its category is
+    one that such a score can have; and the model's example rows and input columns."""
+    scored = m13_saved_model_scores(spark, folder)
+    near = F.col("fraud_score")
+    fits = (F.col("risk_category") == risk.risk_category(near - 0.05)) | (F.col("risk_category") == risk.risk_category(near + 0.05))
+    return scored.select("claim_id", (near.between(0, 100) & (F.round(near, 1) == near) & fits).alias("sound"))
+
+
 def _rule_predictions(spark, folder):
     return roles.line_claims(spark, folder).select(
         F.col("is_flagged").cast("int").alias("label"), risk.rule_score().alias("score"))
@@ -115,7 +160,8 @@ def m12_champions(spark, folder):
 
 QUERIES = {f.__name__: f for f in [
     m01_feature_table, m02_category_codes, m03_feature_vectors, v03_train_test_split, m05_class_weights,
-    m07_predictions, m10_run_metrics, m13_saved_model_scores, v04_roc_auc, m08_amount_auc,
+    m06_root_histogram, m07_predictions, m07_prediction_properties, m10_run_metrics, m10_run_properties,
+    m13_saved_model_scores, m13_score_properties, v04_roc_auc, m08_amount_auc,
     m09_classification_report, m12_champions,
 ]}
 
@@ -158,6 +204,14 @@ scored AS (
 overall AS (SELECT avg(cast(label = prediction as double)) AS accuracy, count(*) AS n FROM judged)"""
 
 _HASH = "md5('42:' || claim_id)"
+_SPLIT = f"""split AS (
+    SELECT claim_id, is_flagged, row_number() OVER (PARTITION BY is_flagged ORDER BY {_HASH})
+        <= (count(*) OVER (PARTITION BY is_flagged) * 20 + 50) // 100 AS is_test
+    FROM order_claims)"""
+_PAIRS = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, null::double AS number, coalesce({c}, 'None') AS text, is_flagged FROM train"
+    if c in V.CATEGORICAL_FEATURES else
+    f"SELECT '{c}' AS feature, {c}::double AS number, null AS text, is_flagged FROM train WHERE {c} IS NOT NULL" for c in V.FEATURES)
 
 ORACLES = {
     "m01_feature_table": with_roles(_ORDERS, f"WITH {_FEATURES} SELECT * FROM features"),
@@ -186,6 +240,27 @@ ORACLES = {
             UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), cast(sum(support) as bigint) FROM scored
             UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
                 sum(f1 * support) / sum(support), cast(sum(support) as bigint) FROM scored)"""),
+    "m06_root_histogram": with_roles(_ORDERS, f"""WITH {_FEATURES}, {_SPLIT},
+        train AS (SELECT f.* FROM features f JOIN split s ON f.claim_id = s.claim_id WHERE NOT s.is_test),
+        pairs AS ({_PAIRS}),
+        counted AS (SELECT feature, number, text, count(*) AS n, count_if(is_flagged) AS yes FROM pairs GROUP BY ALL),
+        placed AS (
+            SELECT *, coalesce(sum(n) OVER before, 0) AS earlier, row_number() OVER (PARTITION BY feature ORDER BY number, text) - 1 AS place,
+                count(*) OVER (PARTITION BY feature) AS size, sum(n) OVER (PARTITION BY feature) AS total
+            FROM counted WINDOW before AS (PARTITION BY feature ORDER BY number, text
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        binned AS (SELECT *, CASE WHEN size <= {boosting.BINS} THEN place ELSE earlier * {boosting.BINS} // total END AS slot FROM placed)
+        SELECT feature, cast(dense_rank() OVER (PARTITION BY feature ORDER BY slot) - 1 as integer) AS bin,
+            cast(sum(n) as bigint) AS "rows", cast(sum(yes) as bigint) AS flagged
+        FROM binned GROUP BY feature, slot"""),
+    "m07_prediction_properties": with_roles("order_claims", f"""WITH {_SPLIT}
+        SELECT claim_id, is_flagged, true AS sound FROM split WHERE is_test"""),
+    "m10_run_properties": f"""
+        SELECT run, name, value, within FROM (VALUES ('held_out'), ('all_claims')) r(run), (VALUES
+            ('test_auc', cast(null as double), true), ('trees', {TREES}.0::double, null), ('max_depth', 6.0::double, null),
+            ('leaves', 31.0::double, null), ('learning_rate', 0.05::double, null),
+            ('test_percent', {V.TEST_SHARE_PERCENT}.0::double, null)) m(name, value, within)""",
+    "m13_score_properties": with_roles("order_claims", "SELECT claim_id, true AS sound FROM order_claims"),
     "m12_champions": """
         SELECT lang AS model, 'champion' AS alias, cast(max(doc_id) as varchar) AS version
         FROM documents GROUP BY lang""",

@@ -1,10 +1,13 @@
 """Learning: codes, weights, report, fit and the saved model."""
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from riskweave import fixed_values as V
-from riskweave.operators import learning
+from riskweave.operators import boosting, learning
 from riskweave.plans import learning as plans
 
 
@@ -69,3 +72,92 @@ def test_fit_with_many_categories_and_a_null_label(spark):
         "1.0 AS flagged_claims_pct", "'low' AS risk_tier", "CASE WHEN id = 7 THEN null ELSE id % 3 = 0 END AS is_flagged")
     model = learning.fit(rows.select("claim_id", *V.FEATURES, "is_flagged"), trees=2)
     assert learning.predict(model, rows).count() == 400
+
+
+def brute_tree(bins, labels, scores, weights, leaves, max_depth, least_rows, step):
+    """Leaf after leaf is opened, always the one of highest gain; returns each row's value."""
+    p = 1 / (1 + np.exp(-scores))
+    w = np.array(weights)[labels]
+    g, h = np.rint((p - labels) * w * 2 ** 20), np.rint(p * (1 - p) * w * 2 ** 20)
+
+    def best(rows):
+        found = (0.0, -1, -1)
+        for f in range(bins.shape[1]):
+            for cut in range(bins[:, f].max()):
+                low = bins[rows, f] <= cut
+                a, b = rows[low], rows[~low]
+                if min(len(a), len(b)) >= least_rows and min(h[a].sum(), h[b].sum()) >= 1e-3 * 2 ** 20:
+                    gain = g[a].sum() ** 2 / h[a].sum() + g[b].sum() ** 2 / h[b].sum() - g[rows].sum() ** 2 / h[rows].sum()
+                    if gain > found[0] and gain > 1e-9 * 2 ** 20:
+                        found = (gain, f, cut)
+        return found
+
+    open_ = [(np.arange(len(bins)), 0)]
+    while len(open_) < leaves:
+        gains = [best(rows) if depth < max_depth else (0.0, -1, -1) for rows, depth in open_]
+        at = max(range(len(open_)), key=lambda i: gains[i][0])
+        if not gains[at][0]:
+            break
+        rows, depth = open_.pop(at)
+        low = bins[rows, gains[at][1]] <= gains[at][2]
+        open_ += [(rows[low], depth + 1), (rows[~low], depth + 1)]
+    out = np.zeros(len(bins))
+    for rows, _ in open_:
+        out[rows] = -step * g[rows].sum() / h[rows].sum()
+    return out, len(open_)
+
+
+def test_trees_are_grown_leaf_by_leaf(spark):
+    rng = np.random.default_rng(4)
+    n = 900
+    x, y = rng.normal(size=n), rng.integers(0, 12, n)
+    kind = rng.choice(["a", "b", "c", "ä", "zz"], n)
+    label = ((x > 0.3) ^ (y > 6) ^ (kind == "b")) | (rng.random(n) < 0.1)
+    rows = [(i, float(x[i]), int(y[i]) if i % 50 else None, str(kind[i]), bool(label[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, x double, y int, kind string, label boolean").repartition(5)
+    model = boosting.fit(df, ["x", "y", "kind"], ["kind"], "label", trees=3, leaves=7, max_depth=4, step=0.3, least_rows=20)
+    bins = model.binned(pa.RecordBatch.from_pandas(pd.DataFrame(
+        [(r[1], r[2], r[3]) for r in rows], columns=["x", "y", "kind"]), preserve_index=False)).astype(int)
+    labels, scores = label.astype(int), np.zeros(n)
+    weights = [n / 2 / (n - labels.sum()), n / 2 / labels.sum()]
+    for tree in model.trees:
+        value, count = brute_tree(bins, labels, scores, weights, 7, 4, 20, 0.3)
+        assert np.allclose(tree.scores(bins), value, rtol=1e-9) and sum(child < 0 for child in tree.left) == count
+        scores = scores + value
+    again = boosting.fit(df.coalesce(1), ["x", "y", "kind"], ["kind"], "label", trees=3, leaves=7, max_depth=4, step=0.3)
+    assert again.to_json() == model.to_json() == boosting.Booster.from_json(model.to_json()).to_json()
+
+
+def test_fit_over_many_tasks_and_kept_scores(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id", "(id * 7919) % 1000 / 10.0 AS x", "((id * 7919) % 1000 > 600) = (id % 5 < 4) AS label")
+    one = boosting.fit(rows, ["x"], [], "label", trees=5, leaves=4)
+    for name, value in (("BLOCK_ROWS", 100), ("TASK_ROWS", 500), ("KEPT_TREES", 2)):
+        monkeypatch.setattr(boosting, name, value)
+    assert boosting.fit(rows.repartition(6), ["x"], [], "label", trees=5, leaves=4).to_json() == one.to_json()
+
+
+def test_fit_without_rows_or_of_one_class(spark):
+    none = spark.createDataFrame([], "x double, label boolean")
+    assert boosting.fit(none, ["x"], [], "label", trees=2).trees == []
+    only = spark.createDataFrame([(float(i), True) for i in range(50)], "x double, label boolean")
+    model = boosting.fit(only, ["x"], [], "label", trees=2)
+    assert {r.probability > 0.5 for r in boosting.predict(model, only, ["label"]).collect()} == {True}
+
+
+def test_bins_of_few_and_many_values(spark):
+    rows = [(float(i % 1000), "v%d" % (i % 3)) for i in range(5000)] + [(0.0, "v0")] * 3000 + [(None, None), (float("nan"), "v1")]
+    df = spark.createDataFrame(rows, "x double, t string")
+    x, t = boosting.bin_cuts(df, ["x", "t"], ["t"], bins=50)
+    assert t == ["v0", "v1", "v2"] and len(x) <= 50 and x == sorted(x) and x[0] > 0
+    assert boosting.bin_cuts(df.limit(0), ["x", "t"], ["t"]) == [[], []]
+
+
+def test_codes_of_a_million_values(spark):
+    """One feature with most values: sorted over all tasks, codes without a gap."""
+    rows = spark.range(1_000_000).selectExpr("concat('v', lpad(id, 7, '0')) AS a", "concat('w', id % 3) AS b")
+    codes = learning.category_codes(rows, ["a", "b"]).cache()
+    assert codes.count() == 1_000_003
+    assert codes.filter("feature = 'a' AND code <> int(substring(value, 2))").count() == 0
+    assert sorted(codes.filter("feature = 'b'").select("value", "code").collect()) == [("w0", 0), ("w1", 1), ("w2", 2)]
+    coded = learning.encoded(rows.withColumn("id", F.col("a")), ["a", "b"])
+    assert coded.columns == ["a", "b", "id"] and coded.filter("a <> int(substring(id, 2))").count() == 0
