@@ -157,10 +157,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = V.RETRIEVAL_DEPTH)
         met = blocks.withColumn("salt", F.pmod("place", F.lit(SALTS))).join(spread, ["size", "group", "salt"])
     found = met.select("size", "keys", "block", "asked")\
         .mapInArrow(_best_of_block(k), f"query_id {query_type}, key {key_type}, score double")
+    return best_by_query(found, k)
+
+
+def best_by_query(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of every query, ranked; Spark cuts to k before the shuffle as well."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def with_chunks(found: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """Found rows with the chunk columns of the same key."""
+    return chunks.join(found.withColumnRenamed("key", key), key)
+
+
 def retrieve(vectors: DataFrame, queries: DataFrame, chunks: DataFrame,
              k: int = V.RETRIEVAL_DEPTH) -> DataFrame:
     """Nearest vectors with the chunk columns of the same key. Spark picks the join by the found

@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from riskweave import fixed_values as V
-from riskweave.operators import joins, ranks, retrieval
+from riskweave.operators import joins, ranks, retrieval, vector_index
 from riskweave.plans.role_sql import with_roles
 from riskweave.session import scratch_dir
 from riskweave.sources import roles
@@ -49,12 +49,24 @@ def r03_text_vectors(spark, folder):
         F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length"))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, folder):
+    """The folder of the index, built once per application and table folder."""
+    place = spark.sparkContext.applicationId, folder
+    if place not in _INDEXES:
+        path = scratch_dir(spark, "vector-index")
+        vector_index.build(read_table(spark, folder, "embeddings").select("vec_id", "embedding"), path)
+        _INDEXES[place] = path
+    return _INDEXES[place]
+
+
 def r04_vector_index(spark, folder):
-    """The index table, checked by its size, length and a position-weighted sum."""
+    """What the stored index holds, checked by size, length and a position-weighted sum."""
     weighted = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    index = retrieval.vector_index(read_table(spark, folder, "embeddings"), "vec_id", "embedding")
-    return index.select(
-        "vec_id", F.size("vector").alias("dimensions"), F.round(weighted, 6).alias("weighted_sum"))
+    return vector_index.vectors_of(spark, _index(spark, folder)).select(
+        F.col("key").alias("vec_id"), F.size("vector").alias("dimensions"), F.round(weighted, 6).alias("weighted_sum"))
 
 
 def _centroids(spark, folder):
@@ -66,13 +78,8 @@ def _centroids(spark, folder):
                         F.transform("_mean", lambda x: F.round(x, 9)).alias("vector"))
 
 
-def _vectors(spark, folder):
-    """The search scales vectors itself, so it takes them as they are."""
-    return read_table(spark, folder, "embeddings").select("vec_id", "embedding")
-
-
 def _nearest_to_centroids(spark, folder):
-    return retrieval.nearest(_vectors(spark, folder), _centroids(spark, folder))
+    return vector_index.search(spark, _index(spark, folder), _centroids(spark, folder))
 
 
 def r05_nearest_to_centroids(spark, folder):
@@ -85,7 +92,7 @@ def _found_chunks(spark, folder):
     chunks = roles.sections(spark, folder).select(
         F.col("section_number").alias("vec_id"), "doc_title", "section_title",
         F.col("section_content").alias("chunk_text"), "doc_type")
-    return retrieval.retrieve(_vectors(spark, folder), _centroids(spark, folder), chunks)
+    return retrieval.with_chunks(_nearest_to_centroids(spark, folder), chunks, "vec_id")
 
 
 def r05_text_search(spark, folder):
