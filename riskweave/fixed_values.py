@@ -1,8 +1,7 @@
 """Fixed values.
 
 These lists, tables and texts must hold exactly these values for results to be
-right: domain vocabularies, draw weights, severity ranges, thresholds and the
-prompt texts. They are data, not logic.
+right: domain vocabularies, thresholds and the prompt texts. They are data, not logic.
 """
 
 # --- regions and areas -------------------------------------------------------
@@ -15,7 +14,6 @@ HK_DISTRICTS = [
 ]
 MACAU_DISTRICTS = ["Macau Peninsula", "Taipa", "Cotai", "Coloane"]
 DISTRICTS = HK_DISTRICTS + MACAU_DISTRICTS
-DISTRICT_WEIGHTS = [6, 5, 5, 4, 6, 4, 5, 4, 5, 4, 4, 4, 5, 3, 4, 4, 3, 3, 3, 2, 2, 1]
 
 # "Coloane" is a district but belongs to no area: it stands for itself.
 AREAS = {
@@ -34,37 +32,7 @@ PROVIDER_TYPES = {
 }
 RISKY_PROVIDER_TYPES = ["repair_shop", "legal"]
 CLAIM_TYPES = {"medical": 35, "travel": 20, "motor": 20, "property": 15, "life": 10}
-CLAIM_STATUSES = {"approved": 40, "pending": 15, "denied": 10, "under_review": 20, "paid": 15}
 CHANNELS = {"online_portal": 35, "mobile_app": 25, "branch": 15, "agent": 15, "email": 10}
-FRAUD_INDICATORS = [
-    "duplicate_claim", "inflated_amount", "suspicious_timing",
-    "phantom_provider", "document_forgery", "multiple_policies",
-    "rapid_succession", "out_of_network", "excessive_treatment",
-    "known_fraud_ring",
-]
-MODEL_VERSIONS = {"v2.1.0": 20, "v2.2.0": 30, "v2.3.0": 50}
-OUTCOMES_WHEN_FLAGGED = {
-    "confirmed_fraud": 45, "suspicious_cleared": 20,
-    "under_investigation": 25, "referred_to_legal": 10,
-}
-ACTIVE_PROBABILITY = 0.88
-PROVIDER_NAME_PREFIXES = [
-    "Hong Kong", "Kowloon", "New Territories", "Lantau", "Tsim Sha Tsui",
-    "Causeway Bay", "Mongkok", "Aberdeen", "Sha Tin", "Tuen Mun",
-    "Tai Po", "Yuen Long", "Macau", "Taipa", "Cotai",
-]
-PROVIDER_NAME_SUFFIXES = {
-    "hospital": ["General Hospital", "Medical Centre", "Hospital", "Health Centre"],
-    "clinic": ["Clinic", "Medical Clinic", "Family Clinic", "Polyclinic"],
-    "specialist": ["Specialist Centre", "Specialist Clinic", "Medical Group"],
-    "pharmacy": ["Pharmacy", "Dispensary", "Drug Store"],
-    "dental": ["Dental Clinic", "Dental Centre", "Dental Surgery"],
-    "physiotherapy": ["Physiotherapy Centre", "Rehab Centre", "Sports Clinic"],
-    "optical": ["Optical", "Eye Centre", "Vision Centre"],
-    "repair_shop": ["Auto Repair", "Motor Works", "Vehicle Services", "Panel Beaters"],
-    "legal": ["Legal Services", "Claims Consultancy", "Loss Adjusters"],
-    "lab": ["Laboratory", "Diagnostic Centre", "Pathology Lab"],
-}
 
 # --- thresholds: (lower bound, label), highest first, inclusive --------------
 
@@ -86,7 +54,6 @@ INCIDENT_TYPES = {
     "phishing": 35, "malware": 15, "unauthorized_access": 12, "brute_force": 10,
     "data_exfiltration": 8, "insider_threat": 7, "ransomware": 7, "ddos": 6,
 }
-INCIDENT_SEVERITIES = {"critical": 5, "high": 15, "medium": 40, "low": 40}
 SEVERITY_RANKS = {"critical": 1, "high": 2, "medium": 3, "low": 4}
 SOURCE_COUNTRIES = {
     "CN": 30, "RU": 20, "US": 15, "KR": 10, "IN": 5,
@@ -106,48 +73,17 @@ INCIDENT_STATUSES = {
 UNRESOLVED_STATUSES = ["investigating", "escalated"]
 # The KPI tile asks for these two; no incident ever has status "open".
 KPI_OPEN_STATUSES = ["open", "investigating"]
-RESPONSE_HOURS = {"critical": (0.5, 4.0), "high": (2.0, 12.0), "medium": (8.0, 36.0), "low": (24.0, 72.0)}
-IMPACT_SCORES = {"critical": (70, 100), "high": (50, 80), "medium": (20, 60), "low": (1, 30)}
-AFFECTED_RECORDS = {"critical": (1000, 50000), "high": (100, 5000), "medium": (10, 500), "low": (1, 50)}
 BREACH_PROBABILITY = {"data_exfiltration": 0.6, "insider_threat": 0.6, "ransomware": 0.3}
 BREACH_PROBABILITY_ELSE = 0.05
-SPIKE_MONTHS = [1, 3, 9, 11]
-# Weight of a spike month where other months weigh 10.
-INCIDENT_SPIKE_TENTHS = 18
-ALERT_SPIKE_TENTHS = 15
-ANALYSTS = [
-    "David Chan", "Michelle Wong", "Eric Lau", "Sarah Leung", "Kevin Ng",
-    "Jennifer Ho", "Richard Yip", "Catherine Tam", "Andrew Kwok", "Grace Tsui",
-    "Patrick Cheng", "Angela Liu", "Raymond Hui", "Vivian Cheung", "Thomas Fung",
-]
 ALERT_SOURCES = {"firewall": 25, "endpoint": 20, "iam": 15, "email_filter": 20, "waf": 10, "ids": 10}
 ALERT_TYPES = {
     "intrusion_attempt": 15, "malware_detected": 15, "suspicious_login": 20,
     "policy_violation": 10, "anomalous_traffic": 15, "phishing_email": 10,
     "privilege_escalation": 7, "data_transfer": 8,
 }
-ALERT_SEVERITIES = {"critical": 3, "high": 12, "medium": 30, "low": 35, "info": 20}
 ALERT_STATUSES = {
     "new": 15, "acknowledged": 20, "investigating": 15, "resolved": 35, "false_positive": 15,
 }
-MITRE_TECHNIQUES = [
-    "T1566.001", "T1078", "T1110", "T1048", "T1486",
-    "T1071", "T1059", "T1021", "T1190", "T1053",
-    "T1036", "T1055", "T1003", "T1027", "T1562",
-]
-RULE_NAMES = [
-    "BRUTE_FORCE_LOGIN", "MALWARE_SIGNATURE_MATCH", "ANOMALOUS_DATA_TRANSFER",
-    "PHISHING_URL_DETECTED", "PRIVILEGE_ESCALATION_ATTEMPT", "SQL_INJECTION_ATTEMPT",
-    "SUSPICIOUS_OUTBOUND_TRAFFIC", "UNAUTHORIZED_ACCESS_ATTEMPT",
-    "CREDENTIAL_STUFFING", "LATERAL_MOVEMENT_DETECTED",
-    "RANSOMWARE_BEHAVIOR", "DNS_TUNNELING", "C2_COMMUNICATION",
-    "FILE_INTEGRITY_VIOLATION", "POLICY_VIOLATION_DETECTED",
-]
-
-# --- dates -------------------------------------------------------------------
-
-FIRST_DATE = "2024-01-01"
-LAST_DATE = "2026-03-31"
 
 # --- retrieval and prompts ---------------------------------------------------
 
