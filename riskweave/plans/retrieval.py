@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from riskweave import fixed_values as V
-from riskweave.operators import joins, ranks, retrieval, vector_index
+from riskweave.operators import joins, ranks, retrieval, text_index, vector_index
 from riskweave.plans.role_sql import with_roles
 from riskweave.session import scratch_dir
 from riskweave.sources import roles
@@ -38,15 +38,27 @@ def v05_chunk_numbers(spark, folder):
         F.concat_ws("-", "doc_id", F.col("chunk_number").cast("string")).alias("chunk_id"), "section_number")
 
 
+def _chunks(spark, folder):
+    return retrieval.chunk_table(roles.sections(spark, folder)).select("chunk_id", "chunk_text")
+
+
+def _text_index(spark, folder):
+    """The folder of the chunks' text index, built once per application and table folder."""
+    place = spark.sparkContext.applicationId, f"{folder} texts"
+    if place not in _INDEXES:
+        path = scratch_dir(spark, "text-index")
+        text_index.build(_chunks(spark, folder), "chunk_id", "chunk_text", path)
+        _INDEXES[place] = path
+    return _INDEXES[place]
+
+
 def r03_text_vectors(spark, folder):
-    """Unit TF-IDF vectors of all chunks: how many entries are set and the length."""
-    chunks = retrieval.chunk_table(roles.sections(spark, folder)).select("chunk_id", "chunk_text")
-    model = retrieval.fit_text_vectors(chunks, "chunk_text")
-    vectors = retrieval.text_vectors(model, chunks, "chunk_id", "chunk_text")
-    return vectors.select(
-        "chunk_id", F.size("vector").alias("dimensions"),
-        F.size(F.filter("vector", lambda x: x != 0)).alias("entries"),
-        F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length"))
+    """Vectors of all chunks as the index holds them: entries, a sum weighted by place, and the length."""
+    vectors = text_index.vectors_of(spark, _text_index(spark, folder))
+    whole = F.aggregate("entries", F.lit(0).cast("long"), lambda a, x: a + x * x).cast("double")
+    placed = F.aggregate(F.transform("entries", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return vectors.select(F.col("key").alias("chunk_id"), F.size("entries").cast("long").alias("entries"), placed.alias("placed_sum"),
+                          F.round(F.sqrt(whole), 6).alias("length"))
 
 
 _INDEXES: dict[tuple[str, str], str] = {}
@@ -97,13 +109,7 @@ def _found_chunks(spark, folder):
 
 def r05_text_search(spark, folder):
     """The five best chunks for every question, over all chunks and whole texts."""
-    chunks = retrieval.chunk_table(roles.sections(spark, folder)).select("chunk_id", "chunk_text")
-    model = retrieval.fit_text_vectors(chunks, "chunk_text")
-    questions = roles.questions(spark, folder).select(
-        "question_id", F.col("question").alias("chunk_text"))
-    asked = retrieval.text_vectors(model, questions, "question_id", "chunk_text")\
-        .withColumnRenamed("question_id", "query_id")
-    found = retrieval.nearest(retrieval.text_vectors(model, chunks, "chunk_id", "chunk_text"), asked)
+    found = text_index.search(spark, _text_index(spark, folder), roles.questions(spark, folder), "question_id", "question")
     return found.select("query_id", "rank", F.col("key").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
@@ -290,7 +296,35 @@ messages AS (
     UNION ALL SELECT conv_id, 1000000, 'user', {_text(V.CHAT_PROMPT_HEAD)} || context
         || {_text(V.CHAT_PROMPT_QUESTION)} || question || {_text(V.CHAT_PROMPT_TAIL)} FROM requests)"""
 
+_ENTRIES = f"""words AS (
+    SELECT doc_id || '-' || section_number AS key, unnest(regexp_extract_all(lower(section_content), '[\\p{{L}}\\p{{N}}]+')) AS term
+    FROM sections),
+counts AS (SELECT key, term, count(*) AS tf FROM words GROUP BY key, term),
+weights AS (
+    SELECT term, cast(floor(1000 * ln(cast((SELECT count(DISTINCT key) FROM counts) + 1 AS double) / cast(count(*) + 1 AS double))) AS bigint) + 1 AS weight
+    FROM counts GROUP BY term),
+entries AS (
+    SELECT key, term, weight * cast(floor(1000 * (1 + ln(cast(tf AS double)))) AS bigint) // 1000 AS entry
+    FROM counts JOIN weights USING (term)),
+lengths AS (SELECT key, sqrt(cast(sum(entry * entry) AS double)) AS length FROM entries GROUP BY key)"""
+
 ORACLES = {
+    "r03_text_vectors": with_roles("sections", f"""WITH {_ENTRIES},
+        placed AS (SELECT key, entry, row_number() OVER (PARTITION BY key ORDER BY term) AS place FROM entries)
+        SELECT key AS chunk_id, count(*) AS entries, cast(sum(entry * place) AS bigint) AS placed_sum,
+            round(any_value(length), 6) AS length
+        FROM placed JOIN lengths USING (key) GROUP BY key"""),
+    "r05_text_search": with_roles("sections questions", f"""WITH {_ENTRIES},
+        asked_words AS (SELECT question_id, unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}]+')) AS term FROM questions),
+        asked AS (
+            SELECT question_id, term, any_value(weight) * cast(floor(1000 * (1 + ln(cast(count(*) AS double)))) AS bigint) // 1000 AS own
+            FROM asked_words JOIN weights USING (term) GROUP BY question_id, term),
+        own_lengths AS (SELECT question_id, sqrt(cast(sum(own * own) AS double)) AS own_length FROM asked GROUP BY question_id),
+        scored AS (
+            SELECT question_id, key, cast(sum(own * entry) AS double) / (any_value(own_length) * any_value(length)) AS score
+            FROM asked JOIN entries USING (term) JOIN lengths USING (key) JOIN own_lengths USING (question_id) GROUP BY question_id, key)
+        SELECT question_id AS query_id, cast(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key) AS integer) AS rank,
+            key AS chunk_id, round(score, 6) AS score FROM scored QUALIFY rank <= {V.RETRIEVAL_DEPTH}"""),
     "r01_document_table": """
         SELECT doc_type, count(*) AS section_count, cast(sum(length(text)) as bigint) AS characters FROM (
             SELECT lang AS doc_type, text FROM documents UNION ALL SELECT 'page', html FROM pages

@@ -8,9 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskweave import fixed_values as V
-from riskweave.operators import joins, retrieval
-from riskweave.plans import retrieval as plans
-from riskweave.sources import roles
+from riskweave.operators import joins, retrieval, text_index
 from riskweave.streaming.sync import current_rows, merge_changes, sync_changes
 
 
@@ -79,27 +77,59 @@ def test_many_questions(spark, vectors, monkeypatch):
     assert found.count() == 5_000
 
 
-def test_text_search_against_brute_force(spark, folder):
-    chunks = retrieval.chunk_table(roles.sections(spark, folder)).select("chunk_id", "chunk_text")
-    model = retrieval.fit_text_vectors(chunks, "chunk_text")
-    asked = roles.questions(spark, folder).select("question_id", F.col("question").alias("chunk_text"))
-    rows = [(r.chunk_id, list(r.vector)) for r in retrieval.text_vectors(model, chunks, "chunk_id", "chunk_text").collect()]
-    queries = [(r.question_id, list(r.vector)) for r in
-               retrieval.text_vectors(model, asked, "question_id", "chunk_text").collect()][:5]
-    import numpy as np
-
-    matrix = np.array([v for _, v in rows], dtype=np.float64)
-    lengths = np.linalg.norm(matrix, axis=1)
-    lengths[lengths == 0] = 1.0
-    wanted = set()
-    for q, vector in queries:
-        v = np.array(vector, dtype=np.float64)
-        scores = np.round(matrix @ v / lengths / (np.linalg.norm(v) or 1.0), 9)
-        best = sorted(zip(-scores, [key for key, _ in rows]))[:5]
-        wanted |= {(q, rank, key) for rank, (_, key) in enumerate(best, 1)}
-    ids = [q for q, _ in queries]
-    got = {(r.query_id, r["rank"], r.chunk_id) for r in plans.r05_text_search(spark, folder).collect() if r.query_id in ids}
-    assert got == wanted
+def brute_text_search(texts, questions, k):
+    import collections
+    import regex
+    counts = {key: collections.Counter(regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())) for key, text in texts}
+    counts = {key: c for key, c in counts.items() if c}
+    df = collections.Counter(t for c in counts.values() for t in c)
+
+    def entries(c):
+        return {t: (math.floor(1000 * math.log((len(counts) + 1) / (df[t] + 1))) + 1)
+                * math.floor(1000 * (1 + math.log(n))) // 1000 for t, n in c.items() if t in df}
+
+    vectors = {key: entries(c) for key, c in counts.items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    out = set()
+    for query, text in questions:
+        own = entries(collections.Counter(regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())))
+        scores = {key: sum(x * v.get(t, 0) for t, x in own.items()) / (size(own) * size(v)) for key, v in vectors.items() if own.keys() & v.keys()}
+        best = sorted((-s, key) for key, s in scores.items())[:k]
+        out |= {(query, rank, key, round(-s, 9)) for rank, (s, key) in enumerate(best, 1)}
+    return out
+
+
+def test_text_search_against_brute_force(spark, folder, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(120)] + ["Straße", "naïve", "42"]
+    some = lambda n: " ".join(rng.choices(words, [1 / (i + 1) for i in range(len(words))], k=n))
+    texts = [(f"c{i:03}", some(rng.randint(1, 60))) for i in range(200)] + [("none", None), ("empty", ""), ("odd", "?! --")]
+    texts += [(f"same{i}", texts[4][1]) for i in range(90)] + [("long", some(4000))]
+    questions = [(i, some(rng.randint(1, 12))) for i in range(20)] + [(50, None), (51, "unheard of"), (52, texts[4][1])]
+    chunks, asked = spark.createDataFrame(texts, "id string, t string"), spark.createDataFrame(questions, "q int, t string")
+    expected = brute_text_search(texts, questions, 5)
+    for block in (512, 20, 1):
+        monkeypatch.setattr(text_index, "BLOCK_DOCUMENTS", block)
+        path = str(tmp_path / f"index{block}")
+        text_index.build(chunks.repartition(3), "id", "t", path)
+        found = text_index.search(spark, path, asked, "q", "t", 5)
+        assert {(r.query_id, r["rank"], r.key, round(r.score, 9)) for r in found.collect()} == expected
+    assert text_index.search(spark, path, asked.limit(0), "q", "t").count() == 0
+    text_index.build(chunks.limit(0), "id", "t", str(tmp_path / "none"))
+    assert text_index.search(spark, str(tmp_path / "none"), asked, "q", "t").count() == 0
+
+
+def test_blocks_below_the_floor_are_not_scored(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "BLOCK_DOCUMENTS", 4)
+    rows = [(i, f"common topic{i % 40} filler{i}") for i in range(400)]
+    text_index.build(spark.createDataFrame(rows, "id long, t string"), "id", "t", str(tmp_path / "i"))
+    visited = []
+    real = text_index._scored
+    monkeypatch.setattr(text_index, "_scored", lambda p, v, *more: visited.append(v.count()) or real(p, v, *more))
+    asked = spark.createDataFrame([(1, "common topic7 filler7"), (2, "topic9")], "q int, t string")
+    found = text_index.search(spark, str(tmp_path / "i"), asked, "q", "t", 1).collect()
+    assert [r.key for r in sorted(found, key=lambda r: r.query_id)][0] == 7 and found[1].key % 40 in (7, 9)
+    assert sum(visited) < 60  # of some 200 pairs of a question and a block
 
 
 def test_unit_vectors(spark):
