@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from riskweave.llm.bpe import Table, byte_alphabet
 from riskweave.llm.common import REMEMBERED, slices, tidied
 from riskweave.llm.pieces import Cut, Memo, cut, ranges, sums
-from riskweave.llm.tokenizing import Tokens
+from riskweave.llm.tokenizing import Tokens, joined
 from riskweave.session import written
 
 #: Most frequent pairs whose counts are broadcast: 100,000 rows of three columns, a few MB.
@@ -92,9 +92,9 @@ class Alignment:
         piece = self._b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self._b.is_byte(i) else piece.replace(_MARK, " ").encode()
 
-    def _encode_b(self, pieces: list[str]) -> list[np.ndarray]:
+    def _encode_b(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The model puts a space before every text itself."""
-        return [np.array(ids, np.uint32) for ids in self._b.encode([p[1:] for p in pieces], num_threads=1)]
+        return joined(self._b.encode([p[1:] for p in pieces], num_threads=1))
 
     def _work_out(self, a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> _Windows:
         """Windows from all their ids and each one's numbers of ids: a group ends where the bytes
@@ -154,11 +154,11 @@ class Alignment:
         data = b"".join(t.encode() for t in texts.to_pylist())
         good = np.ones(len(sizes), bool)
         for table, (ids, lengths) in ((self._bytes_a, a), (self._bytes_b, b)):
-            joined, made = table.joined(ids), sums(table.length[ids], sums(lengths, found.counts))
-            if len(made) and joined == data and (made == sizes).all():
+            data_of, made = table.joined(ids), sums(table.length[ids], sums(lengths, found.counts))
+            if len(made) and data_of == data and (made == sizes).all():
                 continue
             ends, at = np.cumsum(made), np.cumsum(sizes)
-            good &= np.array([joined[e - m:e] == data[p - s:p] for e, m, p, s in zip(
+            good &= np.array([data_of[e - m:e] == data[p - s:p] for e, m, p, s in zip(
                 ends.tolist(), made.tolist(), at.tolist(), sizes.tolist(), strict=True)], bool)
         return good
 

@@ -161,7 +161,7 @@ def _encoder(path: str, end_id: int) -> Callable:
                 ["part", "segment", "n_tokens", "n_docs", "payload"])
 
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", 4 << 20):
                 ids, counts = known.with_end(pc.fill_null(rows.column("text"), ""), end_id)
                 ends, names, before = np.cumsum(counts), rows.column("doc_id").to_pylist(), 0
                 while before < len(names):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.common import REMEMBERED, slices, tidied
-from riskweave.llm.pieces import Memo, cut, ranges, with_specials
+from riskweave.llm.pieces import Memo, cut, ranges, sums, with_specials
 
 _NEVER = np.iinfo(np.int64).max
 _NO_MERGE = (_NEVER, -1)
@@ -301,7 +301,7 @@ class Coder:
         order = np.argsort(word, kind="stable")
         return flat[order].astype(np.uint32), np.bincount(word, minlength=len(words))
 
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         number: dict[bytes, int] = {}
         code, counts = [], []
         for piece in pieces:
@@ -310,9 +310,7 @@ class Coder:
             code += [number.setdefault(w, len(number)) for w in words]
         ids, lengths = self.encode_words(list(number))
         starts, code = np.cumsum(lengths) - lengths, np.array(code, np.int64)
-        all_ids = ids[ranges(starts[code], lengths[code])]
-        ends = np.append(0, np.cumsum(lengths[code]))[np.append(0, np.cumsum(counts))].tolist()
-        return [all_ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return ids[ranges(starts[code], lengths[code])], sums(lengths[code], np.array(counts, np.int64))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and how many each text has."""

@@ -41,7 +41,7 @@ def _piece_maker(path: str, end_id: int, capacity: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokens(path)
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", 4 << 20):
                 ids, counts = known.with_end(pc.fill_null(rows.column("text"), ""), end_id)
                 # All pieces but a document's first are of full length.
                 pieces_of = -(-counts // capacity)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ def cut(texts: pa.Array, single: bool = False) -> Cut:
     bounds = np.append(starts, total).astype(np.int64)
     pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data))
     coded = pieces.dictionary_encode()
-    return Cut(coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64),
+    return Cut(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64),
                np.diff(np.searchsorted(starts, offsets)))
 
 
@@ -95,9 +96,10 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """The ids of pieces, found by ``encode`` once and kept for a bounded number of pieces."""
+    """The ids of pieces, found by ``encode`` once and kept for a bounded number of pieces.
+    ``encode`` gives all ids of all pieces, one after the other, and how many each piece has."""
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]]):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self._encode = encode
         self._known: dict[str, int] = {}
         self._starts, self._lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
@@ -117,33 +119,28 @@ class Memo:
 
     def gather_pieces(self, found: Cut) -> tuple[np.ndarray, np.ndarray]:
         """The same, and how many each piece has."""
-        rows = list(map(self._known.get, found.distinct))
-        missing = [i for i, r in enumerate(rows) if r is None]
-        new = self._encode([found.distinct[i] for i in missing]) if missing else []
-        flat, at = self._flat[:self._used], self._used
-        starts, lengths = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        known = np.array([i for i, r in enumerate(rows) if r is not None], np.int64)
-        kept = np.array([r for r in rows if r is not None], np.int64)
-        starts[known], lengths[known] = self._starts[kept], self._lengths[kept]
-        if missing:
-            sizes = np.array([len(x) for x in new], np.int64)
-            starts[missing], lengths[missing] = at + np.cumsum(sizes) - sizes, sizes
-            flat = np.concatenate([flat, *new])
-        ids = flat[ranges(starts[found.code], lengths[found.code])]
-        self._keep(found, missing, new)
-        return ids, lengths[found.code]
-
-    def _keep(self, found: Cut, missing: list[int], new: list[np.ndarray]) -> None:
+        row = np.array(list(map(self._known.get, found.distinct, repeat(-1))), np.int64)
+        missing = np.flatnonzero(row < 0)
+        starts, lengths, flat = self._starts[row], self._lengths[row], self._flat[:self._used]
+        if len(missing):
+            pieces = [found.distinct[i] for i in missing.tolist()]
+            new, sizes = self._encode(pieces)
+            starts[missing], lengths[missing] = self._used + np.cumsum(sizes) - sizes, sizes
+            flat = np.concatenate([flat, new.astype(np.uint32)])
+            self._keep(pieces, new, sizes)
+        return flat[ranges(starts[found.code], lengths[found.code])], lengths[found.code]
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         row = len(self._known)
-        kept = [(found.distinct[i], ids) for i, ids in zip(missing, new, strict=True)
-                if len(found.distinct[i]) <= KEPT_LENGTH][:KEPT_PIECES - row]
-        if kept:
-            sizes = np.array([len(ids) for _, ids in kept], np.int64)
-            self._starts = self._append(self._starts, row, self._used + np.cumsum(sizes) - sizes)
-            self._lengths = self._append(self._lengths, row, sizes)
-            self._flat = self._append(self._flat, self._used, np.concatenate([ids for _, ids in kept]))
-            self._used += int(sizes.sum())
-            self._known.update(zip([piece for piece, _ in kept], range(row, row + len(kept)), strict=True))
+        if row >= KEPT_PIECES:
+            return
+        short = np.flatnonzero(np.array(list(map(len, pieces))) <= KEPT_LENGTH)[:KEPT_PIECES - row]
+        starts, sizes = (np.cumsum(sizes) - sizes)[short], sizes[short]
+        self._starts = self._append(self._starts, row, self._used + np.cumsum(sizes) - sizes)
+        self._lengths = self._append(self._lengths, row, sizes)
+        self._flat = self._append(self._flat, self._used, ids[ranges(starts, sizes)])
+        self._used += int(sizes.sum())
+        self._known.update(zip([pieces[i] for i in short.tolist()], range(row, row + len(short)), strict=True))
 
 
 def with_specials(texts: pa.Array, specials: dict[str, int], flat: Callable) -> tuple[np.ndarray, np.ndarray]:

@@ -8,6 +8,7 @@ The ids are those of the library for the whole text.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 from riskweave.llm.common import REMEMBERED
-from riskweave.llm.pieces import Memo, cut, with_specials
+from riskweave.llm.pieces import Memo, cut, ranges, sums, with_specials
 
 #: Pieces encoded as one text: more or fewer take longer.
 JOINED_PIECES = 50
@@ -23,6 +24,12 @@ JOINED_PIECES = 50
 _SPACED = re.compile(r" [^\s]+\Z")
 
 
+def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, one list after the other, and how many each list has."""
+    return (np.fromiter(itertools.chain.from_iterable(lists), np.uint32),
+            np.array(list(map(len, lists)), np.int64))
+
+
 class Tokens:
     """``flat(texts)`` gives all ids of all texts, and how many each text has. The strings of
     special tokens get their ids, as in the library; with ``plain`` they are ordinary text."""
@@ -37,29 +44,34 @@ class Tokens:
         self._tokenizer.encode_special_tokens = plain
         added = self._tokenizer.get_added_tokens_decoder()
         self._specials = {} if plain else {t.content: i for i, t in added.items()}
-        self._break = self._encode(["\n"])[0]
-        self._joins = len(self._break) == 1 and (self._encode([" a\n a"])[0] == self._break[0]).sum() == 1
+        ids = self._encode(["\n"])[0]
+        self._break = ids[0] if len(ids) else 0
+        self._joins = len(ids) == 1 and (self._encode([" a\n a"])[0] == self._break).sum() == 1
         self.memo = Memo(self._pieces)
 
-    def _encode(self, parts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return joined([e.ids for e in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
 
-    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of a space and other characters go in one text, a line break between them, and
         are cut apart at its id."""
         spaced = [i for i, p in enumerate(pieces) if _SPACED.match(p)] if self._joins else []
-        out: list[np.ndarray | None] = [None] * len(pieces)
-        for at in range(0, len(spaced), JOINED_PIECES):
-            some = spaced[at:at + JOINED_PIECES]
-            ids = self._encode(["\n".join([pieces[i] for i in some])])[0]
-            ends = np.flatnonzero(ids == self._break[0])
-            if len(ends) == len(some) - 1:
-                for i, part in zip(some, np.split(ids, ends), strict=True):
-                    out[i] = part if i == some[0] else part[1:]
-        left = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(left, self._encode([pieces[i] for i in left]), strict=True):
-            out[i] = ids
-        return out
+        runs = [spaced[i:i + JOINED_PIECES] for i in range(0, len(spaced), JOINED_PIECES)]
+        ids, counts = self._encode(["\n".join([pieces[i] for i in run]) for run in runs])
+        breaks = ids == self._break
+        sizes = np.array([len(run) for run in runs], np.int64)
+        good = sums(breaks, counts) == sizes - 1
+        bounds = np.concatenate([np.flatnonzero(breaks & np.repeat(good, counts)), np.cumsum(counts)[good]])
+        ends = np.sort(bounds)
+        # A piece begins at its run's begin or after a break.
+        starts = np.sort(np.concatenate([np.flatnonzero(breaks & np.repeat(good, counts)) + 1, (np.cumsum(counts) - counts)[good]]))
+        owner = np.array(spaced, np.int64)[np.repeat(good, sizes)]
+        left = np.setdiff1d(np.arange(len(pieces)), owner)
+        more, lengths = self._encode([pieces[i] for i in left.tolist()])
+        order = np.argsort(np.append(owner, left), kind="stable")
+        start = np.append(starts, len(ids) + np.cumsum(lengths) - lengths)[order]
+        length = np.append(ends - starts, lengths)[order]
+        return np.append(ids, more)[ranges(start, length)], length
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return with_specials(texts, self._specials, lambda part: self.memo.gather(cut(part)))
