@@ -28,6 +28,8 @@ from riskweave.session import cut_lineage
 WEIGHTS = (5, 2, 1)
 #: Documents of a part, about.
 PART_ROWS = 5_000
+#: One row per source is broadcast up to this size; else a source is spread over so many tasks.
+BROADCAST_BYTES, SPREAD = 16 << 20, 64
 
 
 def random_key(doc_id: Column, seed: int) -> Column:
@@ -67,6 +69,20 @@ def _words(documents: DataFrame) -> DataFrame:
         word_count(F.col("text")).alias("size"))
 
 
+def _with_source(rows: DataFrame, source: Column, per_source: DataFrame, name: str, spread: Column) -> DataFrame:
+    """Rows with their source's row (one each, its source in ``name``). Those rows are broadcast if
+    they stay within ``BROADCAST_BYTES``; beyond that a source is spread over ``SPREAD`` tasks by
+    another column and its row copied for each."""
+    per_source = cut_lineage(per_source)
+    size = per_source.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(name), F.lit(0)) + 200), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(per_source), F.equal_null(source, F.col(name)))
+    copies = per_source.withColumn("_part_of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    own = F.pmod(F.xxhash64(spread), F.lit(SPREAD))
+    return rows.withColumn("_own", own).join(copies, F.equal_null(source, F.col(name)) & (F.col("_own") == F.col("_part_of")))\
+        .drop("_own", "_part_of")
+
+
 def source_cuts(
     sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3, seed: int = 17,
 ) -> DataFrame:
@@ -83,7 +99,7 @@ def source_cuts(
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)))\
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")).drop("s1", "budget")
     plan = cut_lineage(plan)
-    dealt = units.join(plan.select(F.col("source").alias("s1"), "parts", "rest"), F.equal_null("source", "s1"))\
+    dealt = _with_source(units, F.col("source"), plan.select(F.col("source").alias("s1"), "parts", "rest"), "s1", F.col("key"))\
         .withColumn("part", F.expr("(CAST(conv(substring(key, 1, 8), 16, 10) AS BIGINT) * parts) div 4294967296"))\
         .withColumn("words", F.col("size") * F.col("rows"))
     dealt = cut_lineage(dealt.filter("words > 0").select("source", "part", "key", "doc_id", "size", "rows", "words", "rest"))
@@ -117,7 +133,7 @@ def mixture(
     sized = cut_lineage(_words(documents))
     cuts = source_cuts(sized, weights, most, seed)
     extra = _taken(F.col("doc_id"), F.col("size"), seed)
-    return sized.join(cuts, F.equal_null("source", "_source")).select(
+    return _with_source(sized, F.col("source"), cuts, "_source", F.col("doc_id")).select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
 
@@ -134,7 +150,7 @@ def mixed(
     rows = documents.select(*[F.col(f"`{c}`").alias(given[c]) for c in columns])
     text, doc_id, source = (F.col(given[c]).cast(k) for c, k in (("text", "string"), ("doc_id", "long"), ("source", "string")))
     size = word_count(text)
-    sized = rows.withColumn("_size", size).join(cuts, F.equal_null(source, F.col("_source")))\
+    sized = _with_source(rows.withColumn("_size", size), source, cuts, "_source", doc_id)\
         .withColumn("_extra", _taken(doc_id, F.col("_size"), seed))
     copies = F.col("epochs").cast("int") + (F.col("_extra") > 0).cast("int")
     taken = sized.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))

@@ -356,6 +356,15 @@ def test_mixture(docs, rows, empty):
     for r in real.collect():
         words[r.source] += len(WORD.findall(r.text or ""))
     assert words == +taken
+    plan = real._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan  # texts stay where they are
+    kept = mixing.BROADCAST_BYTES
+    try:
+        mixing.BROADCAST_BYTES = 0
+        assert sorted(map(str, mixing.mixture(docs).collect())) == sorted(map(str, found))
+        assert sorted(map(str, mixing.mixed(docs).collect())) == sorted(map(str, real.collect()))
+    finally:
+        mixing.BROADCAST_BYTES = kept
     assert mixing.mixture(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
