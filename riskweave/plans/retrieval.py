@@ -12,7 +12,8 @@ from riskweave.plans.role_sql import with_roles
 from riskweave.session import scratch_dir
 from riskweave.sources import roles
 from riskweave.sources.tables import overwrite_path, read_table, stream_table
-from riskweave.streaming.sync import current_rows, newest_by_key, sync_changes
+from riskweave.streaming.sync import (
+    apply_changes, current_rows, newest_by_key, remove_missing, snapshot_rows, sync_changes, sync_snapshot)
 
 
 def r01_document_table(spark, folder):
@@ -223,6 +224,25 @@ def t1_synced_stream(spark, folder):
         .select("conv_id", "turn", "role", F.md5("text").alias("text_hash"))
 
 
+def s09_synced_after_removal(spark, folder):
+    """All sections synced, then the removal of those whose label record is gone."""
+    path = scratch_dir(spark, "snapshot")
+    rows = roles.sections(spark, folder).select(
+        "section_number", F.lit(1).alias("version"), F.md5("section_content").alias("text_hash"))
+    apply_changes(rows, 0, path, "section_number", "version")
+    kept = read_table(spark, folder, "labels").select(F.col("doc_id").alias("section_number"))
+    remove_missing(kept, path, "section_number", "version")
+    return snapshot_rows(spark, path).select("section_number", "text_hash")
+
+
+def t1_snapshot_stream(spark, folder):
+    """Messages as a stream of changes; a conversation whose newest message is the assistant's is deleted."""
+    base = scratch_dir(spark, "snapshot")
+    sync_snapshot(stream_table(spark, folder, "conversations"), f"{base}/table", f"{base}/checkpoint", "conv_id", "turn",
+                  F.col("role") == "assistant").awaitTermination()
+    return snapshot_rows(spark, f"{base}/table").select("conv_id", "turn", "role", F.md5("text").alias("text_hash"))
+
+
 def s04_chunks_written(spark, folder):
     """The chunk table written and read back."""
     path = scratch_dir(spark, "chunks")
@@ -236,7 +256,7 @@ QUERIES = {f.__name__: f for f in [
     r05_nearest_to_centroids, r05_text_search, r06_source_records, r07_placeholder, p18_shown_sources,
     r08_numbered_context, r09_plain_context, r10_citations, r11_prompt_messages, r11_cited_prompts,
     r12_source_previews, v02_last_messages, p19_history, p20_clean_questions, s09_removed_keys,
-    t1_synced_stream, s04_chunks_written,
+    t1_synced_stream, s04_chunks_written, s09_synced_after_removal, t1_snapshot_stream,
 ]}
 
 
@@ -378,6 +398,12 @@ ORACLES = {
         WHERE trim(text, {_STRIP}) <> ''""",
     "s09_removed_keys": """
         SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
+    "s09_synced_after_removal": """
+        SELECT doc_id AS section_number, md5(text) AS text_hash FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""",
+    "t1_snapshot_stream": """
+        SELECT conv_id, turn, role, md5(text) AS text_hash FROM (
+            SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)
+        WHERE role <> 'assistant'""",
     "t1_synced_stream": """
         SELECT conv_id, turn, role, md5(text) AS text_hash FROM conversations
         QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1""",
