@@ -14,6 +14,7 @@ from riskweave.operators import boosting
 from riskweave.operators.boosting import Booster
 from riskweave.operators.ranks import roc_auc, sorted_positions, stratified_split
 from riskweave.session import cut_lineage
+from riskweave.sources import versions
 
 TARGET = "is_flagged"
 
@@ -134,6 +135,30 @@ def run_metrics(predictions: DataFrame, run: str, parameters: dict) -> DataFrame
     return auc.select(F.lit(run).alias("run"), F.explode(rows).alias("m")).select("run", "m.name", "m.value")
 
 
+def register_run(metrics: DataFrame, path: str) -> int:
+    """Append a run's (run, name, value) rows with the user and the time; returns the version,
+    which no other run gets, also if many register at once."""
+    return versions.append(metrics.withColumns({"user": F.current_user(), "registered_at": F.current_timestamp()}), path)
+
+
+def registered_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All runs: version, run, user, registered_at, name, value."""
+    return versions.read_appended(spark, path).select("version", "run", "user", "registered_at", "name", "value")
+
+
+def set_alias(spark: SparkSession, path: str, alias: str, version: int) -> None:
+    """Point an alias at a registered version; the pointers are a versioned table of their own."""
+    if str(version) not in versions.latest(spark, path)[1]:
+        raise ValueError(f"no run has version {version}")
+    versions.append(spark.createDataFrame([(alias, version)], "alias string, version long"), f"{path}/aliases")
+
+
+def aliased(spark: SparkSession, path: str) -> DataFrame:
+    """alias and the version it points at now."""
+    set_ = versions.read_appended(spark, f"{path}/aliases", "_set")
+    return set_.groupBy("alias").agg(F.max_by("version", "_set").alias("version"))
+
+
 def save_model(spark: SparkSession, model: Booster, features: DataFrame, path: str) -> None:
     """Save the model and, beside it, its input schema and three example rows."""
     spark.createDataFrame([(model.to_json(),)], "model string").coalesce(1).write.mode("overwrite").text(f"{path}/model")

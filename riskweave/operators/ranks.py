@@ -113,13 +113,15 @@ def sorted_positions(df: DataFrame, group: str, value: str, amounts: dict[str, C
 
 
 def exact_median(
-    df: DataFrame, groups: Sequence[str], value: str, name: str, bits: int = BUCKET_BITS,
+    df: DataFrame, groups: Sequence[str], value: str, name: str, bits: int = BUCKET_BITS, weight: str | None = None,
 ) -> DataFrame:
-    """Interpolated median per group; null groups have none. Equal values are merged first, and only the one or
+    """Interpolated median per group; null groups have none. With ``weight``, a row stands for so
+    many. Equal values are merged first, and only the one or
     two buckets that hold the middle ranks are sorted."""
     # The filter drops nulls and makes every use below read the same columns, so Spark
     # scans and groups once and reuses the exchange.
-    counts = _present(df, groups).groupBy(*groups, value).agg(F.count(value).alias("_n")).filter("_n > 0")
+    counts = _present(df, groups).groupBy(*groups, value).agg(
+        (F.sum(F.when(F.col(value).isNotNull(), F.col(weight))) if weight else F.count(value)).alias("_n")).filter("_n > 0")
     tagged = _bucketed(counts, value, bits)
     low, high = F.expr("(_total - 1) div 2"), F.expr("_total div 2")
     end = F.col("_start") + F.col("_in_bucket")

@@ -42,6 +42,42 @@ def chunk_table(sections: DataFrame) -> DataFrame:
         F.col("section_content").alias("chunk_text"), "doc_type")
 
 
+#: Longest chunk, and how many sentence ends to one that ends a chunk.
+CHUNK_CHARACTERS, ENDS_TO_A_CUT = 2000, 8
+
+
+def sentences(text: Column, longest: int) -> Column:
+    """A text's sentences with what follows up to the next one, longer ones cut after ``longest``
+    characters; one after the other they are the text."""
+    return F.regexp_extract_all(text, F.lit(
+        rf"(?s)[^.!?]{{0,{longest - 1}}}+[.!?]\s{{0,{longest}}}|[^.!?]{{1,{longest}}}"), F.lit(0))
+
+
+def sized_chunks(sections: DataFrame, most: int = CHUNK_CHARACTERS, ends: int = ENDS_TO_A_CUT) -> DataFrame:
+    """Chunks of at most ``most`` characters, cut after sentences whose text says so.
+
+    One of ``ends`` sentences, by its hash, ends a stretch; a stretch is cut where it reaches half
+    of ``most``. An edit changes its own stretch, and with a lost or new cut its neighbour, and
+    nothing else. The id is the section's, the hash of the chunk and which of equal ones it is, so
+    that unchanged chunks keep it. Chunks in order are the section; a null or empty section has
+    none. ``section_number`` is unique within a document.
+    """
+    pieces = sections.select("doc_id", "section_number", F.posexplode(sentences(F.col("section_content"), most // 4)).alias("place", "text"))
+    section = Window.partitionBy("doc_id", "section_number")
+    before = section.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    is_end = F.pmod(F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long"), F.lit(ends)) == 0
+    stretched = pieces.withColumn("stretch", F.coalesce(F.sum(is_end.cast("int")).over(before), F.lit(0)))
+    within = Window.partitionBy("doc_id", "section_number", "stretch").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    cut = stretched.withColumn("cut", F.floor(F.coalesce(F.sum(F.length("text")).over(within), F.lit(0)) / (most // 2)))
+    chunks = cut.groupBy("doc_id", "section_number", "stretch", "cut").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda s: s["text"]), "").alias("chunk_text"))
+    order = F.row_number().over(section.orderBy("stretch", "cut"))
+    equal = Window.partitionBy("doc_id", "section_number", "_hash").orderBy("stretch", "cut")
+    return chunks.withColumn("chunk_number", order).withColumn("_hash", F.substring(F.md5("chunk_text"), 1, 16)).select(
+        F.concat_ws("-", "doc_id", F.col("section_number").cast("string"), "_hash", F.row_number().over(equal).cast("string")).alias("chunk_id"),
+        "doc_id", "section_number", "chunk_number", "chunk_text")
+
+
 # --- vectors -----------------------------------------------------------------
 
 def unit_vector(vector: Column) -> Column:

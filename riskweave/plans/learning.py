@@ -13,7 +13,6 @@ from riskweave.plans.role_sql import sql_tier, with_roles
 from riskweave.plans.scoring import RULE_SCORE_SQL
 from riskweave.session import scratch_dir
 from riskweave.sources import roles
-from riskweave.sources.tables import append_path
 
 TREES = 200
 #: Held-out AUC that the model reaches on the given tables.
@@ -87,14 +86,19 @@ def m07_predictions(spark, folder):
         .select("claim_id", "is_flagged", "prediction", "probability")
 
 
-def m10_run_metrics(spark, folder):
-    """Two runs' AUC and parameters, on held-out and on all claims, appended to one table of runs
-    and read back."""
+def _registered(spark, folder):
+    """Two runs, on held-out and on all claims, registered one after the other."""
     model, runs = _fitted(spark, folder), scratch_dir(spark, "runs")
     for run, rows in (("held_out", _test_rows(spark, folder)), ("all_claims", _features(spark, folder))):
-        append_path(learning.run_metrics(learning.predict(model, rows), run, {
+        version = learning.register_run(learning.run_metrics(learning.predict(model, rows), run, {
             "trees": TREES, "max_depth": 6, "leaves": 31, "learning_rate": 0.05, "test_percent": V.TEST_SHARE_PERCENT}), runs)
-    return spark.read.parquet(runs)
+        learning.set_alias(spark, runs, "champion", version)
+    return runs
+
+
+def m10_run_metrics(spark, folder):
+    """Two runs' AUC and parameters, registered in one table of runs and read back."""
+    return learning.registered_runs(spark, _registered(spark, folder)).select("run", "name", "value")
 
 
 def m07_prediction_properties(spark, folder):
@@ -104,10 +108,12 @@ def m07_prediction_properties(spark, folder):
 
 
 def m10_run_properties(spark, folder):
-    """Every run's parameters, and whether its AUC is within bounds."""
+    """Every run's version, parameters and alias, whether its AUC is within bounds and its user the current one."""
+    path = _registered(spark, folder)
     ok = F.when(F.col("name") == "test_auc", F.col("value").between(LEAST_AUC, 1))
-    return m10_run_metrics(spark, folder).select(
-        "run", "name", F.when(F.col("name") != "test_auc", F.col("value")).alias("value"), ok.alias("within"))
+    return learning.registered_runs(spark, path).join(learning.aliased(spark, path), "version", "left").select(
+        "version", "run", "alias", "name", F.when(F.col("name") != "test_auc", F.col("value")).alias("value"),
+        ok.alias("within"), (F.col("user") == F.current_user()).alias("own"))
 
 
 def m13_saved_model_scores(spark, folder):
@@ -256,7 +262,8 @@ ORACLES = {
     "m07_prediction_properties": with_roles("order_claims", f"""WITH {_SPLIT}
         SELECT claim_id, is_flagged, true AS sound FROM split WHERE is_test"""),
     "m10_run_properties": f"""
-        SELECT run, name, value, within FROM (VALUES ('held_out'), ('all_claims')) r(run), (VALUES
+        SELECT version, run, alias, name, value, within, true AS own
+        FROM (VALUES (0::bigint, 'held_out', null), (1::bigint, 'all_claims', 'champion')) r(version, run, alias), (VALUES
             ('test_auc', cast(null as double), true), ('trees', {TREES}.0::double, null), ('max_depth', 6.0::double, null),
             ('leaves', 31.0::double, null), ('learning_rate', 0.05::double, null),
             ('test_percent', {V.TEST_SHARE_PERCENT}.0::double, null)) m(name, value, within)""",

@@ -32,6 +32,12 @@ def r02_chunk_table(spark, folder):
         "chunk_id", "doc_id", "doc_title", "section_title", "doc_type", F.md5("chunk_text").alias("text_hash"))
 
 
+def r02_sized_chunks(spark, folder):
+    """Chunks of bounded size, cut at sentence ends that the text itself chooses."""
+    chunks = retrieval.sized_chunks(roles.sections(spark, folder))
+    return chunks.select("chunk_id", "section_number", "chunk_number", F.length("chunk_text").alias("characters"))
+
+
 def v05_chunk_numbers(spark, folder):
     """Dense numbers per document, for sections that carry no number of their own."""
     keys = roles.sections(spark, folder).select("doc_id", "section_number")
@@ -252,7 +258,7 @@ def s04_chunks_written(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in [
-    r01_document_table, r02_chunk_table, v05_chunk_numbers, r03_text_vectors, r04_vector_index,
+    r01_document_table, r02_chunk_table, r02_sized_chunks, v05_chunk_numbers, r03_text_vectors, r04_vector_index,
     r05_nearest_to_centroids, r05_text_search, r06_source_records, r07_placeholder, p18_shown_sources,
     r08_numbered_context, r09_plain_context, r10_citations, r11_prompt_messages, r11_cited_prompts,
     r12_source_previews, v02_last_messages, p19_history, p20_clean_questions, s09_removed_keys,
@@ -352,6 +358,24 @@ ORACLES = {
     "r02_chunk_table": with_roles("sections", """
         SELECT doc_id || '-' || section_number AS chunk_id, doc_id, doc_title, section_title, doc_type,
             md5(section_content) AS text_hash FROM sections"""),
+    "r02_sized_chunks": with_roles("sections", f"""WITH listed AS (
+            SELECT doc_id, section_number, regexp_extract_all(section_content,
+                '[^.!?]{{0,{retrieval.CHUNK_CHARACTERS // 4 - 1}}}[.!?][\\s\\x0B]{{0,{retrieval.CHUNK_CHARACTERS // 4}}}|[^.!?]{{1,{retrieval.CHUNK_CHARACTERS // 4}}}', 0, 's') AS parts
+            FROM sections),
+        pieces AS (SELECT doc_id, section_number, unnest(parts) AS text, generate_subscripts(parts, 1) AS place FROM listed),
+        stretched AS (
+            SELECT *, coalesce(sum(CASE WHEN cast('0x' || substring(md5(text), 1, 8) AS bigint) % {retrieval.ENDS_TO_A_CUT} = 0 THEN 1 ELSE 0 END) OVER (
+                PARTITION BY doc_id, section_number ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stretch FROM pieces),
+        cuts AS (
+            SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id, section_number, stretch ORDER BY place
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {retrieval.CHUNK_CHARACTERS // 2} AS cut FROM stretched),
+        chunks AS (
+            SELECT doc_id, section_number, stretch, cut, string_agg(text, '' ORDER BY place) AS chunk_text
+            FROM cuts GROUP BY doc_id, section_number, stretch, cut)
+        SELECT doc_id || '-' || section_number || '-' || substring(md5(chunk_text), 1, 16) || '-' || row_number() OVER (
+                PARTITION BY doc_id, section_number, substring(md5(chunk_text), 1, 16) ORDER BY stretch, cut) AS chunk_id, section_number,
+            cast(row_number() OVER (PARTITION BY doc_id, section_number ORDER BY stretch, cut) as integer) AS chunk_number,
+            cast(length(chunk_text) as integer) AS characters FROM chunks"""),
     "v05_chunk_numbers": with_roles("sections", """
         SELECT doc_id || '-' || row_number() OVER (PARTITION BY doc_id ORDER BY section_number) AS chunk_id,
             section_number FROM sections"""),

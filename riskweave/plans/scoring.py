@@ -10,7 +10,7 @@ from riskweave.operators import scoring
 from riskweave.plans.role_sql import sql_category, sql_round, with_roles
 from riskweave.session import scratch_dir
 from riskweave.sources import roles
-from riskweave.sources.tables import append_by_date, overwrite_path, stream_table, write_audit
+from riskweave.sources.tables import append_by_date, audited_write, stream_table
 from riskweave.streaming.scoring import capture
 
 _KEYS = ["policyholder_id", "line_number", "part_id"]
@@ -95,12 +95,7 @@ def s05_write_audit(spark, folder):
     """Write tables, read them again and compare the counts."""
     sources = {"claims": roles.order_claims(spark, folder), "scores": roles.order_scores(spark, folder),
                "providers": roles.customer_providers(spark, folder)}
-    base = scratch_dir(spark, "audit")
-    written = {}
-    for name, df in sources.items():
-        overwrite_path(df, f"{base}/{name}")
-        written[name] = (df, spark.read.parquet(f"{base}/{name}"))
-    return write_audit(written)
+    return audited_write(sources, scratch_dir(spark, "audit"))
 
 
 def t2_scored_stream(spark, folder):

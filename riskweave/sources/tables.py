@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -87,6 +88,28 @@ def write_audit(written: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame
     return audit
 
 
+def _marks(df: DataFrame) -> tuple:
+    """Row count and a sum of row hashes, which does not depend on the order of rows."""
+    return F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("checksum")
+
+
+def audited_write(sources: Mapping[str, DataFrame], path: str) -> DataFrame:
+    """Write tables below ``path`` and compare them, read again, with what was written: (table,
+    expected, actual, ok). Rows are counted and hashed while they are written, so every source
+    runs once; ok says that the count and the hashes of the rows agree."""
+    parts = []
+    for name, df in sources.items():
+        seen = Observation()
+        df.observe(seen, *_marks(df)).write.mode("overwrite").parquet(f"{path}/{name}")
+        rows, checksum = seen.get["rows"], seen.get["checksum"]
+        spark = df.sparkSession
+        reread = spark.read.parquet(f"{path}/{name}").select(*df.columns)
+        parts.append(reread.agg(*_marks(reread)).select(
+            F.lit(name).alias("table"), F.lit(rows).cast("long").alias("expected"), F.col("rows").alias("actual"),
+            ((F.col("rows") == rows) & F.equal_null("checksum", F.lit(checksum).cast("decimal(38,0)"))).alias("ok")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def bind_views(tables: Mapping[str, DataFrame]) -> None:
     """Point a query pack at these tables: one temporary view per table role."""
     for role, df in tables.items():
