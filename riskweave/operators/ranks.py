@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from riskweave.session import cut_lineage
 
 BUCKET_BITS = 10
+#: Rows of a bucket that one task sorts; a fuller one is cut into buckets once more.
+ROWS_AT_ONCE = 1 << 20
 
 
 def _cut_points(value: Column, bits: int) -> Column:
@@ -114,22 +116,39 @@ def sorted_positions(df: DataFrame, group: str, value: str, amounts: dict[str, C
 
 def exact_median(
     df: DataFrame, groups: Sequence[str], value: str, name: str, bits: int = BUCKET_BITS, weight: str | None = None,
+    most: int = ROWS_AT_ONCE,
 ) -> DataFrame:
     """Interpolated median per group; null groups have none. With ``weight``, a row stands for so
     many. Equal values are merged first, and only the one or
-    two buckets that hold the middle ranks are sorted."""
+    two buckets that hold the middle ranks are sorted; of more than ``most`` values, such a bucket
+    is cut once more, and so on."""
     # The filter drops nulls and makes every use below read the same columns, so Spark
     # scans and groups once and reuses the exchange.
     counts = _present(df, groups).groupBy(*groups, value).agg(
         (F.sum(F.when(F.col(value).isNotNull(), F.col(weight))) if weight else F.count(value)).alias("_n")).filter("_n > 0")
-    tagged = _bucketed(counts, value, bits)
     low, high = F.expr("(_total - 1) div 2"), F.expr("_total div 2")
     end = F.col("_start") + F.col("_in_bucket")
-    middle = _bucket_starts(tagged, groups, "_n").filter((F.col("_start") <= high) & (low < end))
+
+    def holding(starts: DataFrame) -> DataFrame:
+        return starts.filter((F.col("_start") <= high) & (low < end))
+
+    tagged = _bucketed(counts, value, bits)
+    middle = holding(_bucket_starts(tagged, groups, "_n"))
+    held = cut_lineage(tagged.join(middle, [*groups, "_bucket"]))
+    while held.groupBy(*groups, "_bucket").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] > most:
+        # Only the buckets that hold a middle rank are left; each is cut by the values in it.
+        outer = [*groups, "_outer"]
+        finer = _bucketed(held.withColumnRenamed("_bucket", "_outer"), value, bits)
+        before = Window.partitionBy(*outer).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        starts = finer.groupBy(*outer, "_bucket").agg(
+            F.sum("_n").alias("_in_bucket"), F.first("_start").alias("_from"), F.first("_total").alias("_total"))\
+            .withColumn("_start", F.col("_from") + F.coalesce(F.sum("_in_bucket").over(before), F.lit(0))).drop("_from")
+        inner = finer.drop("_start", "_in_bucket", "_total").join(holding(starts), [*outer, "_bucket"])
+        # Buckets of one group are told apart by where they start.
+        held = cut_lineage(inner.withColumn("_bucket", F.col("_start")).drop("_outer"))
     within = Window.partitionBy(*groups, "_bucket").orderBy(value)\
         .rowsBetween(Window.unboundedPreceding, -1)
-    ranked = tagged.join(middle, [*groups, "_bucket"]).withColumn(
-        "_first", F.col("_start") + F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    ranked = held.withColumn("_first", F.col("_start") + F.coalesce(F.sum("_n").over(within), F.lit(0)))
     last = F.col("_first") + F.col("_n")
 
     def at(rank: Column) -> Column:
@@ -168,23 +187,33 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def stratified_split(
     df: DataFrame, label: str, key: str, test_percent: int, seed: int, bucket_digits: int = 3,
+    most: int = ROWS_AT_ONCE,
 ) -> DataFrame:
     """Add ``is_test``, true for exactly round(share * n) rows of each label.
 
     Labels are classes: one hash for each is looked up in a map. Rows are ordered by a keyed hash, so the split is random but repeatable. ``key`` must
-    be unique. The first hash digits are the bucket: equal sizes by construction.
+    be unique. The first hash digits are the bucket: equal sizes by construction. A bucket of more
+    than ``most`` rows is cut by the next digits.
     """
     hashed = df.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
-    keyed = hashed.select(
-        label, "_hash", F.substring("_hash", 1, bucket_digits).alias("_bucket"),
-        F.lit(1).cast("long").alias("_one"))
+    keyed = hashed.select(label, "_hash", F.lit(1).cast("long").alias("_one"))
     quota = F.expr(f"(_total * {test_percent} + 50) div 100")
-    # The one bucket per label in which the last test row lies.
-    cut = _bucket_starts(keyed, [label], "_one").withColumn("_quota", quota).filter(
-        (F.col("_start") < F.col("_quota")) & (F.col("_quota") <= F.col("_start") + F.col("_in_bucket")))
+    digits, rows, known = bucket_digits, keyed, None
+    while True:
+        # The one bucket per label in which the last test row lies; buckets are equal hash ranges.
+        dealt = rows.withColumn("_bucket", F.substring("_hash", 1, digits))
+        starts = _bucket_starts(dealt, [label], "_one")
+        if known is not None:
+            starts = starts.drop("_total").join(known, label).withColumn("_start", F.col("_start") + F.col("_from"))
+        cut = starts.withColumn("_quota", quota).filter(
+            (F.col("_start") < F.col("_quota")) & (F.col("_quota") <= F.col("_start") + F.col("_in_bucket")))
+        held = cut_lineage(dealt.join(cut.select(label, "_bucket", "_start", "_total", "_quota"), [label, "_bucket"]))
+        if digits >= 32 or held.groupBy(label).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] <= most:
+            break
+        known = held.groupBy(label).agg(F.first("_start").alias("_from"), F.first("_total").alias("_total"))
+        rows, digits = held.select(label, "_hash", "_one"), digits + bucket_digits
     rank = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_hash"))
-    last = keyed.join(cut, [label, "_bucket"]).withColumn("_rank", F.col("_start") + rank)\
-        .filter(F.col("_rank") == F.col("_quota"))
+    last = held.withColumn("_rank", F.col("_start") + rank).filter(F.col("_rank") == F.col("_quota"))
     # One hash per label, looked up without moving the rows.
     last_by_label = last.agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(label), F.col("_hash"))))).scalar()

@@ -13,8 +13,8 @@ from riskweave.operators import joins, reports
 from riskweave.plans.role_sql import (
     sql_area, sql_avg, sql_flagged, sql_in, sql_round, sql_tier, with_roles,
 )
-from riskweave.session import cut_lineage
-from riskweave.sources import roles
+from riskweave.session import cut_lineage, scratch_dir
+from riskweave.sources import roles, versions
 from riskweave.sources.tables import bind_views, drop_tables, ensure_schema, overwrite_table
 
 
@@ -113,6 +113,24 @@ def j03_claims_left_providers(spark, folder):
         .select("claim_id", F.col("provider_type").alias("prov_type"), "balance_pct")
 
 
+def j01_claims_hot_providers(spark, folder):
+    """The same join where a few providers may hold most claims and none can be broadcast."""
+    providers = roles.customer_providers(spark, folder).select("provider_id", "provider_type", "region")
+    claims = roles.order_claims(spark, folder).select("claim_id", "provider_id")
+    return joins.join_hot_keys(claims, providers, "provider_id").select("claim_id", "provider_id", "provider_type", "region")
+
+
+def s03_table_versions(spark, folder):
+    """A table replaced by one with other columns in one step; a reader of the first version keeps it."""
+    path = scratch_dir(spark, "versions")
+    claims = roles.order_claims(spark, folder)
+    versions.replace(claims.select("claim_id", "claim_type"), path)
+    first = versions.read(spark, path)
+    versions.replace(claims.groupBy("claim_type", "status").agg(F.count("claim_id").alias("claim_count")), path)
+    before = first.groupBy("claim_type").agg(F.count("claim_id").alias("claims_before"))
+    return versions.read(spark, path).join(before, "claim_type")
+
+
 def j05_provider_attributes(spark, folder):
     """Each claim's provider region, type and share, and the flag probability they give."""
     joined = joins.with_provider(
@@ -280,6 +298,8 @@ QUERIES = {
     "n04_large_critical_claims": n04_large_critical_claims,
     "n05_rate_by_type": n05_rate_by_type,
     "j01_claims_with_provider": j01_claims_with_provider,
+    "j01_claims_hot_providers": j01_claims_hot_providers,
+    "s03_table_versions": s03_table_versions,
     "j02_claims_scores_providers": j02_claims_scores_providers,
     "j03_claims_left_providers": j03_claims_left_providers,
     "j05_provider_attributes": j05_provider_attributes,
@@ -388,6 +408,13 @@ ORACLES = {
     "j01_claims_with_provider": with_roles(_ORDERS, """
         SELECT c.claim_id, c.provider_id, p.provider_type, p.region
         FROM order_claims c JOIN customer_providers p ON c.provider_id = p.provider_id"""),
+    "j01_claims_hot_providers": with_roles(_ORDERS, """
+        SELECT c.claim_id, c.provider_id, p.provider_type, p.region
+        FROM order_claims c JOIN customer_providers p ON c.provider_id = p.provider_id"""),
+    "s03_table_versions": with_roles("order_claims", """
+        SELECT claim_type, status, count(*) AS claim_count,
+            cast(sum(count(*)) OVER (PARTITION BY claim_type) as bigint) AS claims_before
+        FROM order_claims GROUP BY claim_type, status"""),
     "j02_claims_scores_providers": with_roles(_ORDERS, """
         SELECT c.claim_id, p.provider_name, f.fraud_score
         FROM order_claims c JOIN order_scores f ON c.claim_id = f.claim_id

@@ -205,6 +205,11 @@ def v02_last_messages(spark, folder):
         .select("conv_id", "turn", "role")
 
 
+def v02_history_window(spark, folder):
+    """The newest messages of every conversation, as many as a prompt takes."""
+    return retrieval.last_messages(read_table(spark, folder, "conversations")).select("conv_id", "turn", "role")
+
+
 def p19_history(spark, folder):
     return retrieval.history_messages(read_table(spark, folder, "conversations"), drop_assistant=True)\
         .select("conv_id", "turn", "role")
@@ -261,7 +266,7 @@ QUERIES = {f.__name__: f for f in [
     r01_document_table, r02_chunk_table, r02_sized_chunks, v05_chunk_numbers, r03_text_vectors, r04_vector_index,
     r05_nearest_to_centroids, r05_text_search, r06_source_records, r07_placeholder, p18_shown_sources,
     r08_numbered_context, r09_plain_context, r10_citations, r11_prompt_messages, r11_cited_prompts,
-    r12_source_previews, v02_last_messages, p19_history, p20_clean_questions, s09_removed_keys,
+    r12_source_previews, v02_last_messages, v02_history_window, p19_history, p20_clean_questions, s09_removed_keys,
     t1_synced_stream, s04_chunks_written, s09_synced_after_removal, t1_snapshot_stream,
 ]}
 
@@ -416,6 +421,9 @@ ORACLES = {
     "v02_last_messages": """
         SELECT conv_id, turn, role FROM conversations
         QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3""",
+    "v02_history_window": f"""
+        SELECT conv_id, turn, role FROM conversations
+        QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {V.HISTORY_LIMIT}""",
     "p19_history": "SELECT conv_id, turn, role FROM conversations WHERE role = 'user'",
     "p20_clean_questions": f"""
         SELECT conv_id, turn, md5(trim(text, {_STRIP})) AS text_hash FROM conversations

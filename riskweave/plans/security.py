@@ -11,6 +11,7 @@ from riskweave.operators import joins, metrics, month_table, reports
 from riskweave.plans.role_sql import sql_avg, sql_flagged, sql_in, sql_round, with_roles
 from riskweave.session import scratch_dir
 from riskweave.sources import roles
+from riskweave.sources.tables import local_rows
 
 
 def _metrics(spark, folder):
@@ -31,6 +32,13 @@ def _month_table(spark, folder):
     return _MONTHS[place]
 
 
+def s02_local_ranks(spark, folder):
+    """A list of the driver as a table, joined to the incidents it ranks."""
+    ranks = local_rows(spark, list(V.SEVERITY_RANKS.items()), "severity string, place int")
+    counts = roles.incidents(spark, folder).groupBy("severity").agg(F.count("incident_id").alias("incident_count"))
+    return counts.join(ranks, "severity").select("place", "severity", "incident_count")
+
+
 def a05_months_in_batches(spark, folder):
     """The kept table after three batches of facts, the last of them repeated."""
     path = scratch_dir(spark, "months")
@@ -193,6 +201,7 @@ QUERIES = {
     "a04_alert_months": a04_alert_months,
     "a05_monthly_metrics": a05_monthly_metrics,
     "a05_months_in_batches": a05_months_in_batches,
+    "s02_local_ranks": s02_local_ranks,
     "j04_months_full_join": j04_months_full_join,
     "j06_alerts_with_incident": j06_alerts_with_incident,
     "j06_linked_alerts": j06_linked_alerts,
@@ -291,6 +300,9 @@ ORACLES = {
     "a04_alert_months": with_roles("alerts", f"WITH {_ALERT_MONTHS} SELECT * FROM alert_months"),
     "a05_monthly_metrics": _metrics_sql("*"),
     "a05_months_in_batches": _metrics_sql("*"),
+    "s02_local_ranks": with_roles("incidents", """
+        SELECT CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END AS place,
+            severity, count(*) AS incident_count FROM incidents GROUP BY severity"""),
     "j04_months_full_join": with_roles("incidents alerts", """WITH i AS (
             SELECT cast(date_trunc('month', incident_date) as date) AS month, count(*) AS incident_count
             FROM incidents GROUP BY 1),

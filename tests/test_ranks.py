@@ -80,3 +80,21 @@ def test_split_repeats(frame):
     ids = [set(r.id for r in ranks.stratified_split(f, "label", "id", 20, 42).filter("is_test").collect())
            for f in (frame, frame.coalesce(1))]
     assert ids[0] == ids[1]
+
+
+def test_buckets_are_cut_until_they_are_small(spark):
+    """Small buckets force several levels; results stay the same."""
+    rng = random.Random(21)
+    rows = [(rng.choice("abc"), rng.choice([round(rng.random(), 3), 0.5, None])) for _ in range(3000)] + [("d", 1.0), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    one = {r.g: r.m for r in ranks.exact_median(df, ["g"], "v", "m").collect()}
+    many = {r.g: r.m for r in ranks.exact_median(df, ["g"], "v", "m", bits=2, most=3).collect()}
+    assert many == one
+    for g in "abc":
+        assert one[g] == statistics.median(v for k, v in rows if k == g and v is not None)
+    keyed = spark.range(4000).select(F.col("id"), (F.col("id") % 3 == 0).alias("label"))
+    key = lambda split: {r.id for r in split.filter("is_test").collect()}
+    assert key(ranks.stratified_split(keyed, "label", "id", 20, 42)) == key(
+        ranks.stratified_split(keyed, "label", "id", 20, 42, bucket_digits=1, most=2))
+    weighed = spark.createDataFrame([("a", 1.0, 3), ("a", 2.0, 2), ("a", 9.0, 4), ("b", 5.0, 0), ("b", None, 7)], "g string, v double, n int")
+    assert [(r.g, r.m) for r in ranks.exact_median(weighed, ["g"], "v", "m", weight="n").collect()] == [("a", 2.0)]

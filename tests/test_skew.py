@@ -71,3 +71,24 @@ def test_null_keys_spread_over_tasks(spark, no_broadcast):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(sizes) == 20_000 and unmatched == 18_000
     assert max(sizes) < 20_000 / 4
+
+
+def test_hot_keys_are_found_and_spread_without_settings(spark, claims, providers):
+    """A third of all rows has one key: no task takes more than a few times the median."""
+    left = claims.select("claim_id", F.when(F.col("claim_id") % 11 > 0, F.col("provider_id")).alias("provider_id"))
+    assert 1 in joins.hot_keys(left, "provider_id")
+    right = providers.unionAll(providers.filter("provider_id = 1")).hint("merge")
+    for how in ("inner", "left"):
+        joined = joins.join_hot_keys(left, right, "provider_id", how)
+        plain = left.join(right, "provider_id", how)
+        assert joined.columns == plain.columns
+        key = lambda df: sorted(map(str, df.groupBy("provider_id", "region").count().collect()))
+        assert key(joined) == key(plain)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in joins.join_hot_keys(left, right, "provider_id", "left")
+                 .groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(sizes) == 8 and max(sizes) <= 3 * sorted(sizes)[4]
