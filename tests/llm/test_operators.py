@@ -111,6 +111,25 @@ def test_near_duplicate_blocks_lose_no_link(spark):
     assert {r.doc_id: r.component_id for r in found} == expected
 
 
+def test_recall_on_the_given_documents(spark, folder):
+    """All links of the given documents, by an exact test of all pairs that share a shingle."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, neardup.MinHash(shingle=3, percent=85)).collect()}
+    sets, holders = {}, collections.defaultdict(list)
+    for doc, text in docs.select("doc_id", "text").collect():
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[doc] = {tuple(words[i:i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+        for shingle in sets[doc]:
+            holders[shingle].append(doc)
+    links = missed = 0
+    shared = collections.Counter((a, b) for docs in holders.values() for i, a in enumerate(docs) for b in docs[:i])
+    for (a, b), n in shared.items():
+        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+            links += 1
+            missed += found[a] != found[b]
+    assert links > 5 and missed == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r.node: r.component for r in components(edges).collect()}
