@@ -48,6 +48,16 @@ DAYS_POINTS = [(2, 10), (5, 5)]
 CHANNEL_POINTS = {"email": 8, "agent": 5}
 CLAIM_TYPE_POINTS = {"travel": 5, "property": 5}
 
+# Risk factors: name, impact and description around the claim's own value, or values.
+FACTOR_HIGH_AMOUNT = ("High Claim Amount", "high", "Claim amount of HKD ", " exceeds the 90th percentile threshold.")
+FACTOR_AMOUNT = ("Elevated Claim Amount", "medium", "Claim amount of HKD ", " is above average for ", " claims.")
+FACTOR_HISTORY = ("Provider History", "high", "Provider has ", "% flagged claims, significantly above the 10% baseline.")
+FACTOR_WATCH_LIST = ("Provider Watch List", "medium", "Provider flagged claims rate (", "%) is above normal range.")
+FACTOR_RAPID = ("Rapid Processing", "medium", "Claim processed in ", " day(s) — unusually fast turnaround.")
+FACTOR_CHANNEL = (
+    "Submission Channel", "low", "Claims via '", "' have a higher fraud incidence rate than digital channels.")
+FACTOR_STANDARD = ("Standard Profile", "low", "No significant risk indicators detected for this claim.")
+
 # --- security ----------------------------------------------------------------
 
 INCIDENT_TYPES = {

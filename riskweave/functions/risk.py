@@ -99,38 +99,24 @@ def risk_factors(claim: ClaimColumns | None = None) -> Column:
     """array<struct<factor, impact, description>> in fixed order; never empty."""
     c = claim or ClaimColumns()
 
-    def factor(name: str, impact: str, *description) -> Column:
-        parts = [F.lit(d) if isinstance(d, str) else d for d in description]
-        return F.struct(
-            F.lit(name).alias("factor"),
-            F.lit(impact).alias("impact"),
-            F.concat(*parts).alias("description"),
-        )
+    def factor(fixed: tuple[str, ...], *values) -> Column:
+        """The texts of a factor with the values between them."""
+        name, impact, *texts = fixed
+        parts = [F.lit(texts[0])]
+        for value, text in zip(values, texts[1:], strict=True):
+            parts += [value, F.lit(text)]
+        return F.struct(F.lit(name).alias("factor"), F.lit(impact).alias("impact"), F.concat(*parts).alias("description"))
 
     amount = F.format_number(c.amount, 0)
     pct = c.flagged_pct.cast("double").cast("string")
     groups = [
-        [(c.amount > 200_000, factor(
-            "High Claim Amount", "high",
-            "Claim amount of HKD ", amount, " exceeds the 90th percentile threshold.")),
-         (c.amount > 100_000, factor(
-            "Elevated Claim Amount", "medium",
-            "Claim amount of HKD ", amount, " is above average for ", c.claim_type, " claims."))],
-        [(c.flagged_pct > 30, factor(
-            "Provider History", "high",
-            "Provider has ", pct, "% flagged claims, significantly above the 10% baseline.")),
-         (c.flagged_pct > 15, factor(
-            "Provider Watch List", "medium",
-            "Provider flagged claims rate (", pct, "%) is above normal range."))],
-        [(c.days <= 3, factor(
-            "Rapid Processing", "medium",
-            "Claim processed in ", c.days.cast("string"), " day(s) — unusually fast turnaround."))],
-        [(c.channel.isin("email", "agent"), factor(
-            "Submission Channel", "low",
-            "Claims via '", c.channel,
-            "' have a higher fraud incidence rate than digital channels."))],
+        [(c.amount > 200_000, factor(V.FACTOR_HIGH_AMOUNT, amount)),
+         (c.amount > 100_000, factor(V.FACTOR_AMOUNT, amount, c.claim_type))],
+        [(c.flagged_pct > 30, factor(V.FACTOR_HISTORY, pct)), (c.flagged_pct > 15, factor(V.FACTOR_WATCH_LIST, pct))],
+        [(c.days <= 3, factor(V.FACTOR_RAPID, c.days.cast("string")))],
+        [(c.channel.isin("email", "agent"), factor(V.FACTOR_CHANNEL, c.channel))],
     ]
-    standard = factor("Standard Profile", "low", "No significant risk indicators detected for this claim.")
+    standard = factor(V.FACTOR_STANDARD)
     # Joined lists stay inside generated code; filtering one list would leave it.
     nothing = F.filter(F.array(standard), lambda f: F.lit(False))
     found = [_cases([(cond, F.array(f)) for cond, f in group], nothing) for group in groups]

@@ -12,13 +12,14 @@ WHITESPACE = " \t\n\r\x0b\x0c\u00a0\ufeff"
 
 
 def rounded(x: Column, digits: int) -> Column:
-    """Round half up on the decimal value, so 1.005 gives 1.01; returns double."""
+    """Round half up on the decimal value, so 1.005 gives 1.01; returns double. Decimals from the
+    seventh on are rounded away first."""
     return F.round(x.cast("decimal(38,6)"), digits).cast("double")
 
 
 def exact_sum(x: Column) -> Column:
     """Sum of a double with up to 6 decimals, independent of row and partition order: decimals
-    are summed."""
+    are summed. Further decimals of a value are rounded away."""
     return F.sum(x.cast("decimal(28,6)")).cast("double")
 
 

@@ -237,7 +237,3 @@ def last_twelve_months(incidents: DataFrame) -> DataFrame:
     return incidents.filter(F.col("incident_date") >= start)\
         .groupBy(month_of(F.col("incident_date")).alias("month"))\
         .agg(F.count("*").alias("incident_count")).orderBy("month")
-
-
-def money_sum(df: DataFrame, column: str, name: str) -> DataFrame:
-    return df.agg(exact_sum(F.col(column)).alias(name))

@@ -39,7 +39,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder that driver and executors share."""
+    """A fresh folder that driver and executors share. It may be read as long as a DataFrame made
+    from it lives, so nothing here deletes it; let the shared folder have a lifetime of its own,
+    longer than a run."""
     return f"{shared_folder(spark)}/riskweave/{purpose}-{uuid.uuid4().hex}"
 
 
