@@ -100,7 +100,8 @@ def _mean(total: str, n: str, digits: int) -> Column:
     return rounded(F.col(total).cast("double") / F.nullif(F.col(n), F.lit(0)), digits)
 
 
-def incident_months(spark: SparkSession, path: str) -> DataFrame:
+def incident_months(spark: SparkSession, path: str, median: bool = True) -> DataFrame:
+    """The incident side; without the median no response times are read."""
     _, parts = versions.latest(spark, f"{path}/incidents")
     sums = spark.read.parquet(f"{path}/incidents/{parts[_SUMS]}")
     months = [f"{path}/incidents/{folder}" for name, folder in parts.items() if name != _SUMS]
@@ -111,10 +112,10 @@ def incident_months(spark: SparkSession, path: str) -> DataFrame:
         F.col("financial").cast("double").alias("total_financial_impact_usd"), F.col("breaches").alias("data_breach_count"),
         F.col("reports").alias("regulatory_reports_filed"), _mean("impact", "impacts", 2).alias("avg_impact_score"),
         F.col("records").alias("total_affected_records"))
-    if not months:
+    if not months or not median:
         return out.withColumn("median_response_time_hours", F.lit(None).cast("double"))
-    median = exact_median(spark.read.parquet(*months), ["month"], "value", "_median", weight="n")
-    return out.join(median, "month", "left").withColumn("median_response_time_hours", rounded(F.col("_median"), 2)).drop("_median")
+    middle = exact_median(spark.read.parquet(*months), ["month"], "value", "_median", weight="n")
+    return out.join(middle, "month", "left").withColumn("median_response_time_hours", rounded(F.col("_median"), 2)).drop("_median")
 
 
 def alert_months(spark: SparkSession, path: str) -> DataFrame:
@@ -130,5 +131,6 @@ def metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def trend(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """Columns of the incident and alert sides by month, without the response times."""
-    return metrics(spark, path).select("month", *columns).orderBy("month")
+    """Columns of the incident and alert sides by month; response times are read for the median only."""
+    median = "median_response_time_hours" in columns
+    return combine_months(incident_months(spark, path, median), alert_months(spark, path)).select("month", *columns).orderBy("month")
