@@ -1,12 +1,14 @@
 """Best-fit packing of documents into sequences, in bulk-synchronous rounds.
 
 A document's ids and an end id make pieces of at most ``capacity`` tokens; only longer documents
-are cut, and their first piece may be shorter. Pieces and gaps are sorted by length. Both sorted
-lists are kept run by run: equal lengths, equal gaps. There are at most ``capacity`` lengths, so
-a sweep has that many steps whatever the corpus. A round takes every piece of the longest length
-left, sweeps the gaps upwards from it (the successor is the tightest gap that fits), settles
-which piece gets which gap by rank, updates the gaps and repeats; pieces without a gap open new
-sequences. Ranks within a length are prefix sums over hashed parts of bounded size, so the pieces
+are cut, and their first piece may be shorter. A round takes the pieces of the longest lengths
+left, range-sorts them with the gaps, finds each piece's successor (the tightest gap that fits
+and that no longer piece takes) by a sweep of window functions, settles which piece gets which
+gap by rank, updates the gaps, writes them and repeats. Unopened sequences are the widest gaps, so
+they are taken last. A sweep's rows are runs of equal lengths and of equal gaps: at most
+``capacity`` lengths, some thousand runs in all, whatever the corpus. A round over one length
+(``width`` 1) is best-fit decreasing itself; wider rounds are fewer and waste next to nothing more.
+Ranks within a length are prefix sums over hashed parts of bounded size, so the pieces
 themselves are placed in parallel and none passes through the driver.
 
 Null text is empty (a piece of the end id alone); an empty table gives no pieces; a null doc_id
@@ -17,8 +19,7 @@ broken by doc_id, piece and checksum; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,16 @@ from pyspark.sql import functions as F
 from riskweave.llm.common import slices, tidied
 from riskweave.llm.pieces import ranges
 from riskweave.llm.tokenizing import REMEMBERED_AS, tokens
-from riskweave.session import written
+from riskweave.session import scratch_dir, written
 
 #: Pieces of one length that one task ranks.
 RANKED_AT_ONCE = 2_000
+#: Lengths up to half the capacity that one round places together.
+WIDTH = 8
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = _PIECES + ", sequence_id long, offset long"
+_GAPS = "gap long, first long, n long"
+_ROUND = "length long, rank long, each long, offset long, first long, n long, gap long"
 
 
 def _piece_maker(path: str, end_id: int, capacity: int) -> Callable:
@@ -65,49 +70,100 @@ def pieces(documents: DataFrame, path: str, end_id: int = 2, capacity: int = 102
     return docs.mapInArrow(tidied(_piece_maker(path, end_id, capacity), REMEMBERED_AS), _PIECES)
 
 
-def plan(lengths: Mapping[int, int], capacity: int) -> np.ndarray:
-    """Rounds over (length, number of pieces). Rows: length, first rank, number of pieces, first
-    sequence, pieces per sequence, offset of the first piece in its sequence."""
-    gaps: list[int] = []
-    runs: dict[int, list[tuple[int, int]]] = {}
-    steps: list[tuple[int, int, int, int, int, int]] = []
-    opened = 0
-
-    def keep(gap: int, first: int, count: int) -> None:
-        if gap and count:
-            if gap not in runs:
-                insort(gaps, gap)
-                runs[gap] = []
-            runs[gap].append((first, count))
-
-    for length in sorted(lengths, reverse=True):
-        rank, left = 0, lengths[length]
-        while left:
-            at = bisect_left(gaps, length)
-            if at == len(gaps):
-                gap, each = capacity, min(capacity // length, left)
-                first, count = opened, left // each
-                opened += count
-            else:
-                gap = gaps[at]
-                first, count = runs[gap].pop()
-                each = min(gap // length, left)
-                used = min(count, left // each)
-                if not runs[gap]:
-                    del runs[gap], gaps[at]
-                keep(gap, first + used, count - used)
-                count = used
-            steps.append((length, rank, each * count, first, each, capacity - gap))
-            keep(gap - each * length, first, count)
-            rank += each * count
-            left -= each * count
-    return np.array(steps, np.int64).reshape(-1, 6)
+def windows(lengths: list[int], capacity: int, width: int) -> list[tuple[int, int]]:
+    """Least and greatest length of each round, longest first. Lengths over half the capacity
+    never share a sequence, so one round takes them all; the others go ``width`` at a time."""
+    of_window: dict[int, list[int]] = {}
+    for length in lengths:
+        of_window.setdefault(-1 if 2 * length > capacity else (capacity // 2 - length) // width, []).append(length)
+    return [(min(w), max(w)) for _, w in sorted(of_window.items())]
+
+
+#: One round. A gap offers as many slots as it holds of the longest piece. From long to short, gaps
+#: push slots and pieces pop the latest, which is the tightest left: the depth of that stack is a
+#: prefix sum, and a slot is taken if the depth falls below it later on. As many slots are taken as
+#: there are pieces, so the rank among either settles which piece gets which slot. Where a run of
+#: slots meets a run of pieces, slots [x, y) are cut into the end of one sequence, whole sequences
+#: and the beginning of one.
+_SWEEP = """
+WITH offers AS (SELECT *, greatest(gap div :top, 1) AS each FROM {gaps}),
+events AS (
+  SELECT gap AS size, 0 AS kind, gap, first, n, each, if(gap >= :low, n * each, 0) AS units FROM offers
+  UNION ALL
+  SELECT length, 1, NULL, NULL, NULL, NULL, count FROM {lengths} WHERE length BETWEEN :low AND :top),
+stacked AS (
+  SELECT *, sum(if(kind = 0, units, -units)) OVER (ORDER BY size DESC, kind, first
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth FROM events),
+later AS (
+  SELECT *, min(depth) OVER (ORDER BY size DESC, kind, first
+    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least FROM stacked),
+swept AS (
+  SELECT *, if(kind = 0, units - least(greatest(least - depth + units, 0), units), units) AS taken FROM later),
+ranked AS (
+  SELECT *, sum(if(kind = 0, taken, 0)) OVER upto AS slots, sum(if(kind = 1, taken, 0)) OVER upto AS pieces FROM swept
+  WINDOW upto AS (ORDER BY size DESC, kind, first ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+runs AS (SELECT *, if(kind = 0, slots, pieces) AS to, if(kind = 0, slots, pieces) - taken AS from FROM ranked WHERE taken > 0),
+met AS (
+  SELECT from, lead(from) OVER (ORDER BY from, kind) AS next,
+    last(if(kind = 0, struct(from, gap, first, each), NULL), true) OVER upto AS s,
+    last(if(kind = 1, struct(from, to, size), NULL), true) OVER upto AS p
+  FROM runs WINDOW upto AS (ORDER BY from, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+slots AS (
+  SELECT s.gap, s.first AS base, s.each, p.size AS length, from - p.from AS rank, from - s.from AS x,
+    coalesce(next, p.to) - s.from AS y FROM met WHERE coalesce(next, p.to) > from),
+bounds AS (SELECT *, least(y, (x + each - 1) div each * each) AS a FROM slots),
+cut AS (
+  SELECT *, inline(array(struct(x AS lo, a AS hi, a - x AS in_one),
+    struct(a AS lo, greatest(a, y div each * each) AS hi, each AS in_one),
+    struct(greatest(a, y div each * each) AS lo, y AS hi, y - greatest(a, y div each * each) AS in_one))) FROM bounds),
+placed AS (
+  SELECT length, rank + lo - x AS rank, in_one AS each, base + lo div each AS first, (hi - lo) div in_one AS n, gap, lo
+  FROM cut WHERE hi > lo),
+filled AS (
+  SELECT *, sum(each * length) OVER (PARTITION BY first ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used,
+    lead(lo) OVER (PARTITION BY first ORDER BY lo) IS NULL AS at_end FROM placed)
+SELECT length, rank, each, :capacity - gap + used - each * length AS offset, first, n, if(at_end, gap - used, NULL) AS gap FROM filled
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, first + (taken + each - 1) div each, n - (taken + each - 1) div each, gap FROM swept
+WHERE kind = 0 AND n > (taken + each - 1) div each
+"""
+
+
+def sweep(gaps: DataFrame, lengths: DataFrame, low: int, top: int, capacity: int) -> DataFrame:
+    """One round: all pieces of ``low`` to ``top`` ids get places in the gaps (gap, first, n: n
+    sequences from the first on that have this gap).
+
+    Rows with a length are places: pieces of that length from a rank on, ``each`` to a sequence,
+    at an offset in n sequences from ``first`` on. Rows with a positive gap are the gaps after
+    the round. Both come from windows over runs, not over pieces.
+    """
+    return gaps.sparkSession.sql(
+        _SWEEP, args={"low": low, "top": top, "capacity": capacity}, gaps=gaps, lengths=lengths)
+
+
+def plan(lengths: DataFrame, capacity: int, width: int = WIDTH) -> DataFrame:
+    """All rounds over (length, count): length, rank, each, offset, first, n of ``sweep``. Each
+    round is written, so a lost executor repeats no earlier one."""
+    spark = lengths.sparkSession
+    lengths = written(lengths.select(F.col("length").cast("long"), F.col("count").cast("long")), "lengths")
+    # At most ``capacity`` rows.
+    counts = {r[0]: r[1] for r in lengths.collect()}
+    # As many sequences as pieces are enough; those that no round opens stay empty.
+    gaps = spark.createDataFrame([(capacity, 0, sum(counts.values()))], _GAPS)
+    folder, rounds = scratch_dir(spark, "rounds"), []
+    for low, top in windows(list(counts), capacity, width):
+        rounds.append(f"{folder}/{low}-{top}")
+        sweep(gaps, lengths, low, top, capacity).write.parquet(rounds[-1])
+        gaps = spark.read.schema(_ROUND).parquet(rounds[-1]).filter("gap > 0").select("gap", "first", "n")
+    if not rounds:
+        return spark.createDataFrame([], _ROUND).drop("gap")
+    return spark.read.schema(_ROUND).parquet(*rounds).filter("length is not null").drop("gap")
 
 
 def _placer(steps: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((steps[:, 1], steps[:, 0]))
-        length, lo, _, first, each, offset = steps[order].T
+        length, lo, each, offset, first = steps[order].T
         starts = np.searchsorted(length, np.arange(length.max(initial=0) + 2))
         for batch in batches:
             size, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
@@ -125,16 +181,16 @@ def _placer(steps: np.ndarray) -> Callable:
     return run
 
 
-def pack(documents: DataFrame, path: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def pack(documents: DataFrame, path: str, end_id: int = 2, capacity: int = 1024, width: int = WIDTH) -> DataFrame:
     """Every piece with its sequence_id and its gapless offset there."""
-    spark = documents.sparkSession
     made = written(pieces(documents, path, end_id, capacity), "pieces")
-    # At most ``capacity`` rows.
-    counts = {r[0]: r[1] for r in made.groupBy("length").count().collect()}
-    steps = plan(counts, capacity)
-    parts = spark.createDataFrame(
-        [(k, -(-n // RANKED_AT_ONCE)) for k, n in counts.items()], "length long, parts long")
-    tagged = made.join(F.broadcast(parts), "length").withColumn(
+    lengths = made.groupBy("length").count()
+    places = plan(lengths, capacity, width)
+    # Some thousand rows: each round places at most as many runs as it holds lengths and gaps.
+    steps = np.array([tuple(r) for r in places.select("length", "rank", "each", "offset", "first").collect()],
+                     np.int64).reshape(-1, 5)
+    parts = F.broadcast(lengths.select("length", F.ceil(F.col("count") / RANKED_AT_ONCE).alias("parts")))
+    tagged = made.join(parts, "length").withColumn(
         "part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "parts"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = tagged.groupBy("length", "part").count().select(

@@ -302,21 +302,32 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, PATH).count() == 0
 
 
-def test_plan_is_best_fit_decreasing():
+@pytest.mark.parametrize("capacity, width, low, high, n", [
+    (10, 1, 1, 10, 300), (37, 1, 1, 37, 300), (37, 4, 1, 37, 2000), (64, 3, 1, 9, 500), (64, 2, 17, 31, 500), (40, 1, 1, 5, 7)])
+def test_rounds_are_best_fit_decreasing(spark, capacity, width, low, high, n):
     rng = random.Random(8)
-    for capacity in (10, 37):
-        sizes = [rng.randint(1, capacity) for _ in range(300)]
-        gaps = []
-        for s in sorted(sizes, reverse=True):
-            fit = min((g for g in gaps if g >= s), default=None)
-            if fit is not None:
-                gaps.remove(fit)
-            gaps.append((fit if fit is not None else capacity) - s)
-        steps = packing.plan(collections.Counter(sizes), capacity)
-        bins = set()
-        for _, _, count, first, each, _ in steps.tolist():
-            bins.update(range(first, first + count // each))
-        assert len(bins) == len(gaps)
+    sizes = [rng.randint(low, high) for _ in range(n)]
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fit = min((g for g in gaps if g >= s), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((fit if fit is not None else capacity) - s)
+    lengths = spark.createDataFrame(list(collections.Counter(sizes).items()), "length long, count long")
+    inside, ranks = collections.defaultdict(list), collections.defaultdict(list)
+    for r in packing.plan(lengths, capacity, width).collect():
+        ranks[r.length].append((r["rank"], r["each"] * r.n))
+        for sequence in range(r.first, r.first + r.n):
+            inside[sequence] += [(r.offset + i * r.length, r.length) for i in range(r["each"])]
+    for parts in [*inside.values(), *ranks.values()]:
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+    assert {k: sum(c for _, c in v) for k, v in ranks.items()} == collections.Counter(sizes)
+    assert all(sum(length for _, length in parts) <= capacity for parts in inside.values())
+    # One length a round is best-fit decreasing itself; wider rounds are near it.
+    assert len(inside) == len(gaps) if width == 1 else len(inside) <= 1.1 * len(gaps) + 1
 
 
 def test_token_files_round_trip(spark, docs, rows, empty):
