@@ -136,6 +136,21 @@ def test_fit_over_many_tasks_and_kept_scores(spark, monkeypatch):
     assert boosting.fit(rows.repartition(6), ["x"], [], "label", trees=5, leaves=4).to_json() == one.to_json()
 
 
+def test_a_pass_is_one_job_on_many_tasks(spark, monkeypatch):
+    """200 trees take over a thousand passes; none may cost a planned query and a shuffle."""
+    rows = spark.range(4000).selectExpr("id", "(id * 7919) % 1000 / 10.0 AS x", "((id * 7919) % 1000 > 600) = (id % 5 < 4) AS label")
+    for name, value in (("BLOCK_ROWS", 100), ("TASK_ROWS", 500)):
+        monkeypatch.setattr(boosting, name, value)
+    context, jobs = spark.sparkContext, []
+    for trees in (3, 8):
+        context.setJobGroup(f"fit-{trees}", "")
+        model = boosting.fit(rows, ["x"], [], "label", trees=trees, leaves=4, max_depth=2)
+        assert all(tree.left[0] > 0 for tree in model.trees)
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"fit-{trees}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] <= 5 * 2  # two levels a tree
+
+
 def test_fit_without_rows_or_of_one_class(spark):
     none = spark.createDataFrame([], "x double, label boolean")
     assert boosting.fit(none, ["x"], [], "label", trees=2).trees == []
