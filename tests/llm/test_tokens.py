@@ -279,3 +279,23 @@ def test_masks_spare_documents():
         lexical.ranges = real
     assert docs.tolist() == want.tolist() and got.tolist() == scores[want].tolist()
     assert sum(met) < n // 2
+
+
+def test_plain_pieces_go_to_the_model_and_keep_the_ids_of_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(tokenizing, "ENCODED_AT_ONCE", 3)
+    known, library = tokenizing.Tokens(path), Tokenizer.from_file(path)
+    asked = []
+    real = known._through_library
+    monkeypatch.setattr(known, "_through_library", lambda pieces: asked.extend(pieces) or real(pieces))
+    words = [f"wo{'abcdefghij'[i % 10] * (i % 7)}rd{'éжア中'[i % 4]}" for i in range(400)]
+    texts = [" ".join(words), " " + ". ".join(words) + "...", " don't 's 'll a's a'. x»… a1 b² ª ×a a  two   three\n four \r five\x00",
+             "", " ", " ?", "中 文,字。 か、", "word", " <|endoftext|> a<|endoftext|>."]
+    ids, counts = known.flat(pa.array(texts))
+    ends = np.cumsum(counts)
+    for text, a, b in zip(texts, ends - counts, ends, strict=True):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert not {f" {w}" for w in words} & set(asked) and not {f" {w}." for w in words} & set(asked)
+    assert {" a1", " b²", " ×a"} <= set(asked)
