@@ -132,6 +132,22 @@ def test_blocks_below_the_floor_are_not_scored(spark, tmp_path, monkeypatch):
     assert sum(visited) < 60  # of some 200 pairs of a question and a block
 
 
+def test_no_pair_of_question_and_posting_is_shuffled(spark, tmp_path, monkeypatch):
+    """Questions of common words: a question costs a block at most k rows, whatever it holds."""
+    rows = [(i, f"the of and topic{i % 7} filler{i}") for i in range(600)]
+    text_index.build(spark.createDataFrame(rows, "id long, t string"), "id", "t", str(tmp_path / "i"))
+    asked = spark.createDataFrame([(q, f"the of and topic{q % 7}") for q in range(30)], "q int, t string")
+    given = []
+    real = text_index.best_by_query
+    monkeypatch.setattr(text_index, "best_by_query", lambda found, k: given.append(found) or real(found, k))
+    for at_once in (500_000, 20):
+        monkeypatch.setattr(text_index, "ASKED_AT_ONCE", at_once)
+        given.clear()
+        found = text_index.search(spark, str(tmp_path / "i"), asked, "q", "t", 3)
+        assert found.count() == 90 and {r.key % 7 - r.query_id % 7 for r in found.collect()} == {0}
+        assert given[0].count() <= 30 * 3
+
+
 def test_unit_vectors(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "id int, v array<double>")
     got = {r.id: r.vector for r in retrieval.vector_index(df, "id", "v").collect()}
