@@ -37,8 +37,10 @@ from riskweave.session import written
 
 #: Most frequent pairs whose counts are broadcast: 100,000 rows of three columns, a few MB.
 FREQUENT = 100_000
-#: Windows remembered per worker, about 120 MB at most; the frequent ones come first.
-KEPT_WINDOWS = 250_000
+#: Windows remembered per worker, about 50 MB at most; the frequent ones come first.
+KEPT_WINDOWS = 100_000
+#: Bytes of text aligned at once; the arrays of their links take some 50 times as much.
+ALIGNED_AT_ONCE = 1 << 20
 #: Between the two tuples of ids in a window's key; no id.
 _BETWEEN = b"\xff\xff\xff\xff"
 _MARK = "▁"
@@ -232,7 +234,7 @@ def linked(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _alignment(path_a, path_b)
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", ALIGNED_AT_ONCE):
                 found = both.align(rows.column("text"))
                 columns = [x if isinstance(x, pa.Array) else pa.array(x) for x in found.values()]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], ["doc_id", *found])

@@ -299,3 +299,26 @@ def test_plain_pieces_go_to_the_model_and_keep_the_ids_of_the_library(monkeypatc
         assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
     assert not {f" {w}" for w in words} & set(asked) and not {f" {w}." for w in words} & set(asked)
     assert {" a1", " b²", " ×a"} <= set(asked)
+
+
+def test_texts_are_aligned_a_megabyte_at_once(spark, monkeypatch):
+    """The arrays of links are some 50 times the text, so a worker's peak hangs on this."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    sizes = []
+
+    class Both:
+        def align(self, texts):
+            sizes.append(pc.sum(pc.binary_length(texts)).as_py())
+            return {"n_a": np.zeros(len(texts), np.int64)}
+
+    class Documents:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    monkeypatch.setattr(alignment, "_alignment", lambda *paths: Both())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * 100_000] * 40)], ["doc_id", "text"])
+    made = list(alignment.linked(Documents(), "a", "b")([batch]))
+    assert sum(sizes) == 4_000_000 and max(sizes) <= 1 << 20 and sum(b.num_rows for b in made) == 40
+    assert alignment.KEPT_WINDOWS <= 100_000
