@@ -99,6 +99,21 @@ def brute_text_search(texts, questions, k):
     return out
 
 
+def test_text_vectors_are_read_as_written(spark, tmp_path, monkeypatch):
+    """No shuffle on reading; rows of a repeated key, also of other partitions, are one document."""
+    monkeypatch.setattr(text_index, "BLOCK_DOCUMENTS", 2)
+    rows = [(1, "b a a"), (2, "c"), (1, "a Z"), (None, "a"), (3, None), (4, "?"), (5, "b b b"), (1, "q")]
+    path = str(tmp_path / "i")
+    text_index.build(spark.createDataFrame(rows, "id long, t string").repartition(4), "id", "t", path)
+    vectors = text_index.vectors_of(spark, path)
+    assert "Exchange" not in vectors._jdf.queryExecution().executedPlan().toString()
+    df = {"a": 1, "b": 2, "c": 1, "q": 1, "z": 1}
+    entry = lambda t, n: (math.floor(1000 * math.log(4 / (df[t] + 1))) + 1) * math.floor(1000 * (1 + math.log(n))) // 1000
+    assert {r.key: list(zip(r.terms, r.entries)) for r in vectors.collect()} == {
+        key: [(t, entry(t, n)) for t, n in sorted(counts.items())]
+        for key, counts in {1: {"a": 3, "b": 1, "q": 1, "z": 1}, 2: {"c": 1}, 5: {"b": 3}}.items()}
+
+
 def test_text_search_against_brute_force(spark, folder, tmp_path, monkeypatch):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(120)] + ["Straße", "naïve", "42"]
