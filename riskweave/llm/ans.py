@@ -29,7 +29,7 @@ from riskweave.llm.common import slices, tidied
 from riskweave.llm.tokenizing import REMEMBERED_AS, tokens
 
 #: Frequencies sum to 2 ** PRECISION. States stay in [2 ** 31, 2 ** 63); 32 bits move at a time.
-PRECISION, LOW, LANES = 20, 31, 1024
+PRECISION, LOW, LANES = 20, 31, 4096
 BLOCK_TOKENS, SEGMENT_TOKENS = 1 << 18, 1 << 21
 _MAGIC = b"RANS1\0"
 _HEAD = struct.Struct("<6sHIQIII")  # magic, lanes, documents, tokens, blocks, bytes of table, of documents
@@ -68,12 +68,12 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, cum: np.ndarray) -> bytes:
     return state.astype("<u8").tobytes() + np.concatenate(words[::-1]).astype("<u4").tobytes()
 
 
-def decode_block(data: bytes, n: int, freq: np.ndarray, cum: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    state = np.frombuffer(data, "<u8", LANES).copy()
-    words = np.frombuffer(data, "<u4", offset=8 * LANES)
+def decode_block(data: bytes, n: int, freq: np.ndarray, cum: np.ndarray, symbol: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    state = np.frombuffer(data, "<u8", lanes).copy()
+    words = np.frombuffer(data, "<u4", offset=8 * lanes)
     out, used, mask = np.empty(n, np.uint32), 0, np.uint64((1 << PRECISION) - 1)
-    for at in range(0, n, LANES):
-        k = min(LANES, n - at)
+    for at in range(0, n, lanes):
+        k = min(lanes, n - at)
         x = state[:k]
         slot = x & mask
         ids = symbol[slot]
@@ -120,7 +120,7 @@ def decode_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.nda
     magic, lanes, n_docs, n_tokens, n_blocks, table_bytes, doc_bytes = _HEAD.unpack_from(payload)
     at = _HEAD.size
     end = at + table_bytes + doc_bytes + n_blocks * _INDEX.itemsize
-    if magic != _MAGIC or lanes != LANES or zlib.crc32(payload[:end]) != struct.unpack_from("<I", payload, end)[0]:
+    if magic != _MAGIC or not lanes or zlib.crc32(payload[:end]) != struct.unpack_from("<I", payload, end)[0]:
         raise ValueError("this is no segment, or its head is damaged")
     table = np.frombuffer(zlib.decompress(payload[at:at + table_bytes]), "<u4")
     some = np.cumsum(table[:len(table) // 2])
@@ -137,7 +137,7 @@ def decode_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.nda
     for block in index:
         first = end + 4 + int(block["offset"])
         n, before = int(block["tokens"]), int(block["before"])
-        ids = decode_block(payload[first:first + int(block["bytes"])], n, freq, cum, symbol)
+        ids = decode_block(payload[first:first + int(block["bytes"])], n, freq, cum, symbol, lanes)
         if zlib.crc32(ids.astype("<u4").tobytes()) != block["crc32"]:
             raise ValueError(f"the block at token {before} is damaged")
         out[before:before + n] = ids

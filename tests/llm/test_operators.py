@@ -330,6 +330,15 @@ def test_rounds_are_best_fit_decreasing(spark, capacity, width, low, high, n):
     assert len(inside) == len(gaps) if width == 1 else len(inside) <= 1.1 * len(gaps) + 1
 
 
+def test_segments_of_other_lanes_are_read(monkeypatch):
+    ids = np.random.default_rng(3).integers(0, 900, 5000).astype(np.uint32)
+    with monkeypatch.context() as earlier:
+        earlier.setattr(ans, "LANES", 64)
+        data = ans.encode_segment([3, 9], [4000, 1000], ids)
+    docs, lengths, back = ans.decode_segment(data)
+    assert docs == [3, 9] and lengths.tolist() == [4000, 1000] and (back == ids).all()
+
+
 def test_token_files_round_trip(spark, docs, rows, empty):
     folder = scratch_dir(spark, "test-tokens")
     ans.write_tokens(docs, folder, PATH)
