@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -38,6 +39,19 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+@contextlib.contextmanager
+def planned_once(spark: SparkSession) -> Iterator[None]:
+    """Queries written inside are planned once, not anew after each shuffle: for many small ones in
+    a row, whose plans, not rows, cost time and driver memory."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: What a worker remembers from one task to the next, by the operator that uses it.
 REMEMBERED: dict[str, dict] = {}
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import slices, tidied
+from riskweave.llm.common import planned_once, slices, tidied
 from riskweave.llm.pieces import ranges
 from riskweave.llm.tokenizing import REMEMBERED_AS, tokens
 from riskweave.session import scratch_dir, written
@@ -84,7 +84,8 @@ def windows(lengths: list[int], capacity: int, width: int) -> list[tuple[int, in
 #: prefix sum, and a slot is taken if the depth falls below it later on. As many slots are taken as
 #: there are pieces, so the rank among either settles which piece gets which slot. Where a run of
 #: slots meets a run of pieces, slots [x, y) are cut into the end of one sequence, whole sequences
-#: and the beginning of one.
+#: and the beginning of one. A run of gaps also gives its sequences that stay as they are, in the same
+#: step: a second use of a CTE is planned and run a second time, and the driver pays for each plan.
 _SWEEP = """
 WITH offers AS (SELECT *, greatest(gap div :top, 1) AS each FROM {gaps}),
 events AS (
@@ -102,30 +103,33 @@ swept AS (
 ranked AS (
   SELECT *, sum(if(kind = 0, taken, 0)) OVER upto AS slots, sum(if(kind = 1, taken, 0)) OVER upto AS pieces FROM swept
   WINDOW upto AS (ORDER BY size DESC, kind, first ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-runs AS (SELECT *, if(kind = 0, slots, pieces) AS to, if(kind = 0, slots, pieces) - taken AS from FROM ranked WHERE taken > 0),
+runs AS (SELECT *, if(kind = 0, slots, pieces) AS to, if(kind = 0, slots, pieces) - taken AS from
+  FROM ranked WHERE kind = 0 OR taken > 0),
 met AS (
-  SELECT from, lead(from) OVER (ORDER BY from, kind) AS next,
-    last(if(kind = 0, struct(from, gap, first, each), NULL), true) OVER upto AS s,
+  SELECT *, lead(from) OVER (ORDER BY from, kind) AS next,
+    last(if(kind = 0 AND taken > 0, struct(from, gap, first, each), NULL), true) OVER upto AS s,
     last(if(kind = 1, struct(from, to, size), NULL), true) OVER upto AS p
   FROM runs WINDOW upto AS (ORDER BY from, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 slots AS (
-  SELECT s.gap, s.first AS base, s.each, p.size AS length, from - p.from AS rank, from - s.from AS x,
-    coalesce(next, p.to) - s.from AS y FROM met WHERE coalesce(next, p.to) > from),
+  SELECT gap AS own_gap, first AS own_first, n AS own_n, (taken + each - 1) div each AS opened,
+    s.gap, s.first AS base, s.each, p.size AS length, from - p.from AS rank, from - s.from AS x,
+    coalesce(next, p.to) - s.from AS y FROM met),
 bounds AS (SELECT *, least(y, (x + each - 1) div each * each) AS a FROM slots),
 cut AS (
-  SELECT *, inline(array(struct(x AS lo, a AS hi, a - x AS in_one),
-    struct(a AS lo, greatest(a, y div each * each) AS hi, each AS in_one),
-    struct(greatest(a, y div each * each) AS lo, y AS hi, y - greatest(a, y div each * each) AS in_one))) FROM bounds),
+  SELECT *, inline(array(struct(x AS lo, a AS hi, a - x AS in_one, false AS rest),
+    struct(a AS lo, greatest(a, y div each * each) AS hi, each AS in_one, false AS rest),
+    struct(greatest(a, y div each * each) AS lo, y AS hi, y - greatest(a, y div each * each) AS in_one, false AS rest),
+    struct(opened AS lo, own_n AS hi, NULL AS in_one, true AS rest))) FROM bounds),
 placed AS (
-  SELECT length, rank + lo - x AS rank, in_one AS each, base + lo div each AS first, (hi - lo) div in_one AS n, gap, lo
+  SELECT if(rest, NULL, length) AS length, if(rest, NULL, rank + lo - x) AS rank, in_one AS each,
+    if(rest, own_first + lo, base + lo div each) AS first, if(rest, hi - lo, (hi - lo) div in_one) AS n,
+    if(rest, own_gap, gap) AS gap, lo, rest
   FROM cut WHERE hi > lo),
 filled AS (
   SELECT *, sum(each * length) OVER (PARTITION BY first ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used,
     lead(lo) OVER (PARTITION BY first ORDER BY lo) IS NULL AS at_end FROM placed)
-SELECT length, rank, each, :capacity - gap + used - each * length AS offset, first, n, if(at_end, gap - used, NULL) AS gap FROM filled
-UNION ALL
-SELECT NULL, NULL, NULL, NULL, first + (taken + each - 1) div each, n - (taken + each - 1) div each, gap FROM swept
-WHERE kind = 0 AND n > (taken + each - 1) div each
+SELECT length, rank, each, :capacity - gap + used - each * length AS offset, first, n,
+  if(rest, gap, if(at_end, gap - used, NULL)) AS gap FROM filled
 """
 
 
@@ -151,10 +155,11 @@ def plan(lengths: DataFrame, capacity: int, width: int = WIDTH) -> DataFrame:
     # As many sequences as pieces are enough; those that no round opens stay empty.
     gaps = spark.createDataFrame([(capacity, 0, sum(counts.values()))], _GAPS)
     folder, rounds = scratch_dir(spark, "rounds"), []
-    for low, top in windows(list(counts), capacity, width):
-        rounds.append(f"{folder}/{low}-{top}")
-        sweep(gaps, lengths, low, top, capacity).write.parquet(rounds[-1])
-        gaps = spark.read.schema(_ROUND).parquet(rounds[-1]).filter("gap > 0").select("gap", "first", "n")
+    with planned_once(spark):
+        for low, top in windows(list(counts), capacity, width):
+            rounds.append(f"{folder}/{low}-{top}")
+            sweep(gaps, lengths, low, top, capacity).write.parquet(rounds[-1])
+            gaps = spark.read.schema(_ROUND).parquet(rounds[-1]).filter("gap > 0").select("gap", "first", "n")
     if not rounds:
         return spark.createDataFrame([], _ROUND).drop("gap")
     return spark.read.schema(_ROUND).parquet(*rounds).filter("length is not null").drop("gap")

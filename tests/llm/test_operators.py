@@ -592,3 +592,33 @@ def test_workers_forget_what_other_operators_remember():
     assert common.REMEMBERED[tokenizing.REMEMBERED_AS]
     list(common.tidied(iter)([]))
     assert not common.REMEMBERED[tokenizing.REMEMBERED_AS]
+
+
+def test_a_round_is_one_plan_with_one_exchange(spark):
+    """Every round costs the driver a plan: gaps that stay and places come from one pass over the runs."""
+    gaps = spark.createDataFrame([(9, 0, 2), (7, 2, 1), (7, 5, 3), (5, 8, 4), (3, 12, 2), (40, 14, 30)], packing._GAPS)
+    lengths = spark.createDataFrame([(5, 4), (4, 3), (2, 1)], "length long, count long")
+    found = packing.sweep(gaps, lengths, 4, 5, 40)
+    said = found._jdf.queryExecution().sparkPlan().toString()
+    assert said.count("Window [") <= 5 and said.count("Sort [") == 0
+    planned = found._jdf.queryExecution().executedPlan().toString()
+    assert planned.count("Exchange ") == 1, planned
+    rows = found.collect()
+    left = sorted((r.gap, r.first, r.n) for r in rows if r.gap is not None)
+    placed = sorted((r.length, r.rank, r.each, r.offset, r.first, r.n) for r in rows if r.length is not None)
+    # The tightest seven that fit are taken, the longer pieces get the wider of them.
+    assert placed == [(4, 0, 1, 35, 9, 3), (5, 0, 1, 33, 5, 3), (5, 3, 1, 35, 8, 1)]
+    assert left == [(0, 8, 1), (1, 9, 3), (2, 5, 3), (3, 12, 2), (7, 2, 1), (9, 0, 2), (40, 14, 30)]
+
+
+def test_rounds_are_not_planned_anew(spark):
+    before, seen = spark.conf.get("spark.sql.adaptive.enabled"), []
+    sweep = packing.sweep
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing, "sweep", lambda *a: seen.append(spark.conf.get("spark.sql.adaptive.enabled")) or sweep(*a))
+        packing.plan(spark.createDataFrame([(700, 2), (300, 1), (40, 5)], "length long, count long"), 1024).collect()
+        assert set(seen) == {"false"} and len(seen) == 3
+        m.setattr(packing, "sweep", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            packing.plan(spark.createDataFrame([(700, 2)], "length long, count long"), 1024)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
