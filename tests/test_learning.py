@@ -176,3 +176,19 @@ def test_codes_of_a_million_values(spark):
     assert sorted(codes.filter("feature = 'b'").select("value", "code").collect()) == [("w0", 0), ("w1", 1), ("w2", 2)]
     coded = learning.encoded(rows.withColumn("id", F.col("a")), ["a", "b"])
     assert coded.columns == ["a", "b", "id"] and coded.filter("a <> int(substring(id, 2))").count() == 0
+
+
+def test_a_fit_works_its_rows_out_once(spark, monkeypatch):
+    """What comes before a fit (joins, an exact split) is not repeated for cuts, weights and blocks."""
+    rows = spark.range(300).selectExpr("id", "id % 2 = 0 AS label").join(
+        spark.range(300).selectExpr("id", "id * 1.0 AS x", "concat('v', id % 3) AS t"), "id")
+    read, cuts = [], boosting.bin_cuts
+    monkeypatch.setattr(boosting, "bin_cuts", lambda df, *a: read.append(df._jdf.queryExecution().optimizedPlan().toString()) or cuts(df, *a))
+    assert len(boosting.fit(rows, ["x", "t"], ["t"], "label", trees=2).trees) == 2
+    assert len(read) == 1 and "parquet" in read[0] and "Join" not in read[0]
+
+
+def test_cuts_of_numbers_and_texts_are_told_apart(spark):
+    rows = [(float(i % 4) - 1, str(i % 3), None if i % 2 else float("nan"), None) for i in range(40)] + [(-0.0, "", None, None)]
+    df = spark.createDataFrame(rows, "x double, t string, n double, u string")
+    assert boosting.bin_cuts(df, ["t", "x", "n", "u"], ["t", "u"]) == [["0", "1", "2"], [0.0, 1.0, 2.0], [], []]

@@ -98,3 +98,17 @@ def test_buckets_are_cut_until_they_are_small(spark):
         ranks.stratified_split(keyed, "label", "id", 20, 42, bucket_digits=1, most=2))
     weighed = spark.createDataFrame([("a", 1.0, 3), ("a", 2.0, 2), ("a", 9.0, 4), ("b", 5.0, 0), ("b", None, 7)], "g string, v double, n int")
     assert [(r.g, r.m) for r in ranks.exact_median(weighed, ["g"], "v", "m", weight="n").collect()] == [("a", 2.0)]
+
+
+def test_few_rows_are_sorted_in_few_parts(spark, monkeypatch):
+    df = spark.createDataFrame([("g", i) for i in range(300)], "g string, v long")
+    parts, cut = [], ranks.cut_lineage
+    monkeypatch.setattr(ranks, "cut_lineage", lambda d: (kept := cut(d), parts.append(kept.rdd.getNumPartitions()))[0])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        placed = ranks.sorted_positions(df, "g", "v", {"at": F.lit(1)}).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r.v, r["at"]) for r in placed) == [(i, i) for i in range(300)]
+    assert parts[0] <= 8
