@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mix, packed into sequences of 1,024 tokens."""
-    bounded_batches(spark)
+    bounded_batches(spark, 2)
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -34,9 +34,9 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iter
         yield batch.slice(first)
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """Give Python workers whole texts in batches of some megabytes; a longer text comes alone."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
 @contextlib.contextmanager

@@ -34,6 +34,9 @@ from riskweave.session import scratch_dir, written
 
 #: Pieces of one length that one task ranks.
 RANKED_AT_ONCE = 2_000
+#: Bytes of text cut into pieces at once, and words' ids that a worker remembers: both are what a worker's
+#: memory goes to, beside an executor whose heap earlier stages have filled.
+TEXT_AT_ONCE, REMEMBERED_WORDS = 1 << 20, 200_000
 #: Lengths up to half the capacity that one round places together.
 WIDTH = 8
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -44,9 +47,9 @@ _ROUND = "length long, rank long, each long, offset long, first long, n long, ga
 
 def _piece_maker(path: str, end_id: int, capacity: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = tokens(path)
+        known = tokens(path, kept=REMEMBERED_WORDS)
         for batch in batches:
-            for rows in slices(batch, "text", 4 << 20):
+            for rows in slices(batch, "text", TEXT_AT_ONCE):
                 ids, counts = known.with_end(pc.fill_null(rows.column("text"), ""), end_id)
                 # All pieces but a document's first are of full length.
                 pieces_of = -(-counts // capacity)

@@ -99,8 +99,8 @@ class Memo:
     """The ids of pieces, found by ``encode`` once and kept for a bounded number of pieces.
     ``encode`` gives all ids of all pieces, one after the other, and how many each piece has."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self._encode = encode
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kept: int | None = None):
+        self._encode, self._kept = encode, KEPT_PIECES if kept is None else kept
         self._known: dict[str, int] = {}
         self._starts, self._lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self._flat, self._used = np.zeros(1 << 14, np.uint32), 0
@@ -132,9 +132,9 @@ class Memo:
 
     def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         row = len(self._known)
-        if row >= KEPT_PIECES:
+        if row >= self._kept:
             return
-        short = np.flatnonzero(np.array(list(map(len, pieces))) <= KEPT_LENGTH)[:KEPT_PIECES - row]
+        short = np.flatnonzero(np.array(list(map(len, pieces))) <= KEPT_LENGTH)[:self._kept - row]
         starts, sizes = (np.cumsum(sizes) - sizes)[short], sizes[short]
         self._starts = self._append(self._starts, row, self._used + np.cumsum(sizes) - sizes)
         self._lengths = self._append(self._lengths, row, sizes)

@@ -68,7 +68,7 @@ class Tokens:
     """``flat(texts)`` gives all ids of all texts, and how many each text has. The strings of
     special tokens get their ids, as in the library; with ``plain`` they are ordinary text."""
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, kept: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -87,7 +87,7 @@ class Tokens:
 
             self._model = Tokenizer(self._tokenizer.model)
             self._model.pre_tokenizer = pre_tokenizers.Split(_BYTE_CHARACTERS[0x0A], "isolated")
-        self.memo = Memo(self._pieces)
+        self.memo = Memo(self._pieces, kept)
 
     def _encode(self, parts: list[str], by=None) -> tuple[np.ndarray, np.ndarray]:
         found = [joined([e.ids for e in (by or self._tokenizer).encode_batch_fast(
@@ -154,12 +154,13 @@ class Tokens:
 
 #: The name under which workers remember tokenizers and the pieces they met.
 REMEMBERED_AS = "tokens"
-_LOADED: dict[tuple[str, bool], Tokens] = {}
+_LOADED: dict[tuple[str, bool, int | None], Tokens] = {}
 REMEMBERED[REMEMBERED_AS] = _LOADED
 
 
-def tokens(path: str, plain: bool = False) -> Tokens:
-    """This worker's tokenizer for a file."""
-    if (path, plain) not in _LOADED:
-        _LOADED[path, plain] = Tokens(path, plain)
-    return _LOADED[path, plain]
+def tokens(path: str, plain: bool = False, kept: int | None = None) -> Tokens:
+    """This worker's tokenizer for a file, the one it has; it remembers ``kept`` pieces at most."""
+    if (path, plain, kept) not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path, plain, kept] = Tokens(path, plain, kept)
+    return _LOADED[path, plain, kept]

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -594,6 +595,37 @@ def test_workers_forget_what_other_operators_remember():
     assert not common.REMEMBERED[tokenizing.REMEMBERED_AS]
 
 
+def test_a_packing_worker_holds_little_text_and_few_words(monkeypatch):
+    """Two workers share an executor's memory with its heap, so neither may hold many megabytes at once."""
+    path, asked = public_tokenizers.path("byte_bpe_50k.json"), []
+    known = packing.tokens(path, kept=50)
+    with_end = known.with_end
+    monkeypatch.setattr(known, "with_end", lambda texts, end_id: asked.append(texts.nbytes) or with_end(texts, end_id))
+    monkeypatch.setattr(packing, "REMEMBERED_WORDS", 50)
+    docs = [(i, " ".join(f"w{(i * 37 + j) % 9_000:04d}" for j in range(500))) for i in range(1_500)]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in docs])
+    rows = [r for b in packing._piece_maker(path, 2, 1024)(iter([batch])) for r in b.to_pylist()]
+    assert sum(asked) > 4 << 20 and max(asked) < 1.1 * (1 << 20)
+    assert len(known.memo._known) == 50
+    # The ids are those of a worker that holds all of it.
+    ids, counts = packing.tokens(path).with_end(batch.column("text"), 2)
+    whole, at = {}, 0
+    for (i, _), n in zip(docs, counts.tolist(), strict=True):
+        whole[i], at = ids[at:at + n].astype("<u4"), at + n
+    assert sum(r["length"] for r in rows) == len(ids)
+    for r in rows:
+        assert r["ids_crc32"] == zlib.crc32(whole[r["doc_id"]][r["start"]:r["start"] + r["length"]].tobytes())
+
+
+def test_a_worker_holds_one_tokenizer():
+    from riskweave.llm import common, tokenizing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for kept in (None, 50, None):
+        assert tokenizing.tokens(path, kept=kept) is tokenizing.tokens(path, kept=kept)
+        assert len(common.REMEMBERED[tokenizing.REMEMBERED_AS]) == 1
+
+
 def test_a_round_is_one_plan_with_one_exchange(spark):
     """Every round costs the driver a plan: gaps that stay and places come from one pass over the runs."""
     gaps = spark.createDataFrame([(9, 0, 2), (7, 2, 1), (7, 5, 3), (5, 8, 4), (3, 12, 2), (40, 14, 30)], packing._GAPS)
