@@ -57,6 +57,50 @@ def test_fit_save_load_score(spark, folder, tmp_path):
     assert "claim_amount_hkd" in spark.read.text(f"{tmp_path}/schema").first()[0]
 
 
+def _claims(spark, rows):
+    kinds = ", ".join(f"{c} {'string' if c in V.CATEGORICAL_FEATURES else 'double'}" for c in V.FEATURES)
+    values = [(i, *(None if c in gone else "v%d" % (i % 3) if c in V.CATEGORICAL_FEATURES else float(i % 40) for c in V.FEATURES), i % 40 > 25)
+              for i, gone in rows]
+    return spark.createDataFrame(values, f"claim_id long, {kinds}, is_flagged boolean")
+
+
+def test_a_model_is_saved_with_signature_and_training_rows(spark, tmp_path):
+    """Types and nulls of the training rows and of what the model predicts of them; their first three rows."""
+    train = _claims(spark, [(i, ("region",) if i == 90 else ()) for i in range(120, 20, -1)])
+    model = learning.fit(train, trees=2)
+    learning.save_model(spark, model, train.repartition(3), str(tmp_path))
+    seen = learning.saved_signature(spark, str(tmp_path))
+    assert [(c["name"], c["type"], c["required"]) for c in seen["inputs"]] == [
+        (c, "string" if c in V.CATEGORICAL_FEATURES else "double", c != "region") for c in V.FEATURES]
+    assert seen["outputs"] == [{"name": "prediction", "type": "int", "required": True}]
+    example = learning.saved_example(spark, str(tmp_path))
+    assert example.collect() == train.filter("claim_id <= 23").orderBy("claim_id").select(*V.FEATURES).collect()
+    assert learning.predict(model, example.withColumn("claim_id", F.lit(0))).count() == 3
+
+
+def test_a_saved_model_becomes_a_version(spark, tmp_path):
+    train, registry = _claims(spark, [(i, ()) for i in range(60)]), str(tmp_path / "models")
+    model = learning.fit(train, trees=2)
+    saved = [learning.save_model(spark, model, train, str(tmp_path / n), registry=registry) for n in ("a", "b")]
+    assert saved == [0, 1]
+    for version, name in ((1, "b"), (0, "a")):
+        learning.set_alias(spark, registry, "champion", version)
+        assert learning.registered_model(spark, registry) == str(tmp_path / name)
+    assert learning.load_model(learning.registered_model(spark, registry)).to_json() == model.to_json()
+
+
+def test_score_properties_look_at_signature_and_example(spark, folder, monkeypatch):
+    monkeypatch.setattr(plans, "TREES", 3)
+    monkeypatch.setattr(plans, "_SAVED", {})
+    claims = plans._features(spark, folder).count()
+    assert plans.m13_score_properties(spark, folder).filter("sound").count() == claims
+    train = plans._train_rows(spark, folder).orderBy("claim_id").limit(3).select(*V.FEATURES)
+    assert learning.saved_example(spark, plans._saved(spark, folder)).collect() == train.collect()
+    real = learning.saved_signature
+    monkeypatch.setattr(learning, "saved_signature", lambda *a: {**real(*a), "outputs": []})
+    assert plans.m13_score_properties(spark, folder).filter("sound").count() == 0
+
+
 def test_codes_count_from_zero(spark, folder):
     codes = learning.category_codes(plans._features(spark, folder))
     for c in V.CATEGORICAL_FEATURES:
