@@ -1,8 +1,10 @@
 """Nearest neighbours against brute force, prompts and the index sync."""
 
+import collections
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -163,6 +165,61 @@ def test_no_pair_of_question_and_posting_is_shuffled(spark, tmp_path, monkeypatc
         assert given[0].count() <= 30 * 3
 
 
+def test_an_index_takes_less_disk_than_its_texts(spark, tmp_path):
+    """Keys, lengths and terms stand once per block and not at every posting."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10 ** 9)}" for _ in range(3_000)]
+    rows = [(f"source-{i:07}", " ".join(rng.choices(words, k=200))) for i in range(1_500)]
+    text_index.build(spark.createDataFrame(rows, "id string, t string").coalesce(2), "id", "t", str(tmp_path / "i"))
+    assert 3 * sum(p.stat().st_size for p in (tmp_path / "i").rglob("*.parquet")) < sum(len(t) for _, t in rows)
+
+
+def test_a_search_moves_no_index(spark, tmp_path):
+    """Also where Spark sends no table by itself: blocks meet what is asked without a shuffle of all postings."""
+    rows = [(i, f"common topic{i % 40} filler{i}") for i in range(2_000)]
+    text_index.build(spark.createDataFrame(rows, "id long, t string"), "id", "t", str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, "common topic7 filler7"), (2, "topic9")], "q int, t string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = text_index.search(spark, str(tmp_path / "i"), asked, "q", "t", 2)
+        assert found.filter("rank = 1 AND query_id = 1").first().key == 7
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin [block" not in plan and "SortMergeJoin [term" not in plan
+
+
+def test_blocks_and_groups_of_documents(monkeypatch):
+    """Blocks end at so many documents or postings, groups at so many postings; nothing is lost."""
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 3)
+    for name, value in (("TaskContext", Task), ("BLOCK_POSTINGS", 6), ("GROUP_POSTINGS", 9)):
+        monkeypatch.setattr(text_index, name, value)
+    docs = [(f"k{i}", sorted({f"t{(i * j) % 11}" for j in range(1, 2 + i % 5)})) for i in range(30)] + [("long", [f"u{i:02}" for i in range(20)])]
+
+    def batches(size):
+        for at in range(0, len(docs), size):
+            keys, terms = zip(*docs[at:at + size])
+            yield pa.RecordBatch.from_pydict({"key": keys, "terms": terms, "tfs": [[n + 1 for n in range(len(t))] for t in terms]})
+
+    for size in (1, 4, 100):
+        rows = pa.Table.from_batches(text_index._blocks(3)(batches(size)))
+        blocks = rows.to_pylist()
+        assert [k for b in blocks for k in b["keys"]] == [k for k, _ in docs]
+        held = [[len(t) for k, t in docs if k in b["keys"]] for b in blocks]
+        assert all(len(h) <= 3 and (sum(h) <= 6 or len(h) == 1) for h in held) and len(blocks) < 25
+        assert [b["block"] for b in blocks] == [(3 << 32) + i for i in range(len(blocks))]
+        groups = {g: sum(sum(h) for b, h in zip(blocks, held) if b["group"] == g) for g in {b["group"] for b in blocks}}
+        assert 5 < len(groups) < len(blocks) and all(n <= 9 or n == 20 for n in groups.values())
+        again = pa.Table.from_batches(text_index._unblocked(iter(rows.to_batches()))).to_pylist()
+        assert [(r["key"], r["terms"], r["tfs"]) for r in again] == [(k, t, [n + 1 for n in range(len(t))]) for k, t in docs]
+        seen = pa.Table.from_batches(text_index._vocabulary(iter(rows.to_batches(max_chunksize=2)))).to_pylist()
+        wanted = collections.Counter((b["group"], t) for b in blocks for k, ts in docs if k in b["keys"] for t in ts)
+        assert {(r["group"], r["term"]): r["n"] for r in seen} == wanted and len(seen) == len(wanted)
+
+
 def test_unit_vectors(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "id int, v array<double>")
     got = {r.id: r.vector for r in retrieval.vector_index(df, "id", "v").collect()}
