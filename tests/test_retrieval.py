@@ -174,6 +174,16 @@ def test_an_index_takes_less_disk_than_its_texts(spark, tmp_path):
     assert 3 * sum(p.stat().st_size for p in (tmp_path / "i").rglob("*.parquet")) < sum(len(t) for _, t in rows)
 
 
+def test_an_index_is_built_in_small_batches(spark, tmp_path, monkeypatch):
+    """Words of many texts would fill a Python worker; the session's own setting is put back."""
+    name, given, real = "spark.sql.execution.arrow.maxBytesPerBatch", [], text_index._packed
+    before = spark.conf.get(name)
+    monkeypatch.setattr(text_index, "_packed", lambda *a: given.append(spark.conf.get(name)) or real(*a))
+    rows = [(1, "a b"), (1, "b"), (2, "c")]
+    text_index.build(spark.createDataFrame(rows, "id long, t string").coalesce(1), "id", "t", str(tmp_path / "i"))
+    assert given[0] == str(8 << 20) and spark.conf.get(name) == before
+
+
 def test_a_search_moves_no_index(spark, tmp_path):
     """Also where Spark sends no table by itself: blocks meet what is asked without a shuffle of all postings."""
     rows = [(i, f"common topic{i % 40} filler{i}") for i in range(2_000)]
